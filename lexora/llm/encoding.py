@@ -1,9 +1,9 @@
 """Token ids of whole texts by a public tokenizer of the tokenizers library, each distinct piece encoded once.
 
-A byte-level or word-level pre-tokenizer never lets a token cross from one white-space unit to the next, so
-the ids of a text are those of its units in order. Units are encoded by the library itself and remembered in a
-bounded memory per Python worker. A text in which that could fail (special tokens' strings, white space that
-libraries understand differently) goes to the library whole.
+The library first splits a text into pieces (words with a space before, numbers, punctuation, white space) and
+then encodes every piece for itself. Words repeat, so a worker splits texts here, has the library's model encode
+each piece that is new, and remembers it in a bounded memory. Only texts of characters whose class is listed
+below are split here; any other text, and one with a special token's string, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -11,18 +11,39 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 
-#: Units remembered by a worker; the memory is emptied when it is full.
-REMEMBER = 600_000
-#: Units handed to the library in one call.
-CALL = 512
+#: Pieces remembered by a worker; the memory is emptied when it is full.
+REMEMBER = 1_000_000
 
-_UNITS = {"byte": re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+"), "word": re.compile(r"[^ \t\n\r\x0b\x0c]+")}
-#: Code points of white space and control or format characters other than those above.
-ODD = ((0x00, 0x08), (0x0E, 0x1F), (0x7F, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
-_ODD = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ODD) + "]")
+#: Code points split here: ASCII with its usual white space, Latin letters and signs, common punctuation.
+PLAIN = [0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x250), *range(0x2010, 0x2028), 0x2030, 0x2039, 0x203A, 0x20AC]
+
+
+def _class(letter: str) -> str:
+    """A regular expression's character class of the plain code points of a Unicode category."""
+    return "".join(re.escape(chr(c)) for c in PLAIN if unicodedata.category(chr(c))[0] == letter)
+
+
+_L, _N, _S = _class("L"), _class("N"), " \t\n\r"
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_PLAIN = re.compile("[" + "".join(re.escape(chr(c)) for c in PLAIN) + "]*")
+_PIECES = {
+    "byte": re.compile(f"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
+    "word": re.compile(f"{_SHORT}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"),
+}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for code points from 256 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 class Encoder:
@@ -31,6 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         with open(path) as f:
             config = json.load(f)
         self.kind = "word" if config.get("normalizer") else "byte"
@@ -45,38 +67,36 @@ class Encoder:
         self.used = 0
 
     def whole(self, text: str) -> np.ndarray:
-        text = text.encode("utf-8", "replace").decode("utf-8")
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), CALL):
-            part = new[at : at + CALL]
-            for unit, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                ids, k = e.ids, len(self.number)
-                if k >= len(self.start):
-                    self.start, self.count = np.resize(self.start, 2 * k), np.resize(self.count, 2 * k)
-                if self.used + len(ids) > len(self.ids):
-                    self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.start[k], self.count[k] = self.used, len(ids)
-                self.used += len(ids)
-                self.number[unit] = k
+        room = lambda a, n: np.concatenate([a, np.zeros(len(a), a.dtype)]) if n > len(a) else a
+        for piece in new:
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]
+            k, end = len(self.number), self.used + len(ids)
+            while end > len(self.ids):
+                self.ids = room(self.ids, end)
+            self.start, self.count = room(self.start, k + 1), room(self.count, k + 1)
+            self.ids[self.used : end] = ids
+            self.start[k], self.count[k] = self.used, len(ids)
+            self.used = end
+            self.number[piece] = k
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if _ODD.search(text) or any(s in text for s in self.special):
+        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self.whole(text)
-        units = _UNITS[self.kind].findall(text)
-        if not units:
+        pieces = _PIECES[self.kind].findall(text.lower() if self.kind == "word" else text)
+        if not pieces:
             return np.zeros(0, np.uint32)
         get = self.number.get
-        known = [get(u, -1) for u in units]
+        known = [get(p, -1) for p in pieces]
         if -1 in known:
             if len(self.number) > REMEMBER:
                 self.clear()
-            self.learn([u for u in dict.fromkeys(units) if u not in self.number])
-            known = [self.number[u] for u in units]
+            self.learn([p for p in dict.fromkeys(pieces) if p not in self.number])
+            known = [self.number[p] for p in pieces]
         k = np.array(known)
         count = self.count[k]
         end = np.cumsum(count)

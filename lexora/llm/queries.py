@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_dedup, packing, pii, quality, token_file, toxicity
+from . import decontaminate, license_scan, line_dedup, packing, pii, quality, substring_dedup, token_file, toxicity
 from .common import table
 from .encoding import tokenizer_path
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    registered = (op2_toxicity, op3_decontamination, op4_token_file, op5_packing, op6_quality_rules, op7_pii, op9_line_dedup, op10_license_scan)
+    registered = (op1_substring_dedup, op2_toxicity, op3_decontamination, op4_token_file, op5_packing, op6_quality_rules, op7_pii, op9_line_dedup, op10_license_scan)
     return {f.__name__: f for f in registered}
 
 

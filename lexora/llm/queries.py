@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_dedup, packing, pii, quality, substring_dedup, token_file, toxicity
+from . import decontaminate, jaccard_join, license_scan, line_dedup, packing, pii, quality, substring_dedup, token_file, toxicity
 from .common import table
 from .encoding import tokenizer_path
 
@@ -39,6 +39,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    registered = (op1_substring_dedup, op2_toxicity, op3_decontamination, op4_token_file, op5_packing, op6_quality_rules, op7_pii, op9_line_dedup, op10_license_scan)
+    registered = (op1_substring_dedup, op2_toxicity, op3_decontamination, op4_token_file, op5_packing, op6_quality_rules, op7_pii, op8_jaccard_join, op9_line_dedup, op10_license_scan)
     return {f.__name__: f for f in registered}
 
 

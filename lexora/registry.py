@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+from lexora.plans import study
+
+MODULES = ("q_text",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"lexora.plans.{name}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(study.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(study.SQL)

@@ -6,7 +6,7 @@ import importlib
 
 from lexora.plans import study
 
-MODULES = ("q_text",)
+MODULES = ("q_text", "q_models")
 
 
 def _load() -> None:

@@ -16,7 +16,7 @@ import unicodedata
 import numpy as np
 
 #: Pieces remembered by a worker; the memory is emptied when it is full.
-REMEMBER = 1_000_000
+REMEMBER = 1_600_000
 
 #: Code points split here: ASCII with its usual white space, Latin letters and signs, common punctuation.
 PLAIN = [0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x250), *range(0x2010, 0x2028), 0x2030, 0x2039, 0x203A, 0x20AC]
@@ -90,13 +90,15 @@ class Encoder:
         pieces = _PIECES[self.kind].findall(text.lower() if self.kind == "word" else text)
         if not pieces:
             return np.zeros(0, np.uint32)
-        get = self.number.get
-        known = [get(p, -1) for p in pieces]
-        if -1 in known:
+        known = list(map(self.number.get, pieces))
+        if None in known:
             if len(self.number) > REMEMBER:
                 self.clear()
-            self.learn([p for p in dict.fromkeys(pieces) if p not in self.number])
-            known = [self.number[p] for p in pieces]
+                known = [None] * len(pieces)
+            new = [i for i, k in enumerate(known) if k is None]
+            self.learn([p for p in dict.fromkeys([pieces[i] for i in new]) if p not in self.number])
+            for i in new:
+                known[i] = self.number[pieces[i]]
         k = np.array(known)
         count = self.count[k]
         end = np.cumsum(count)

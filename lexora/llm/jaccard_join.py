@@ -35,7 +35,7 @@ FREQUENT_FROM = 6
 #: Documents of a cluster that one task compares, and shingles of tree members that are sent to all tasks at once.
 CLUSTER_DOCS = 250
 BLOCK_SHINGLES = 2_000_000
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -229,7 +229,7 @@ def _members(docs: DataFrame, clusters: DataFrame, frequent) -> DataFrame:
 
     sizes = clusters.groupBy("component").agg((F.count("*") > CLUSTER_DOCS).alias("large"))
     of = save(clusters.join(sizes, "component").select(F.col("node").alias("doc"), F.col("component").alias("cluster"), "large"), "clustered")
-    of = F.broadcast(of) if of.count() <= BROADCAST_ROWS // 4 else of
+    of = F.broadcast(of) if of.count() <= BROADCAST_ROWS else of
     return save(docs.join(of, "doc").select("doc", "text", "cluster", "large").mapInArrow(members, "cluster long, large boolean, doc long, keys array<long>"), "members")
 
 

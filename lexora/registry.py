@@ -6,7 +6,7 @@ import importlib
 
 from lexora.plans import study
 
-MODULES = ("q_text", "q_models", "q_vocab")
+MODULES = ("q_text", "q_models", "q_vocab", "q_reports")
 
 
 def _load() -> None:

@@ -6,7 +6,7 @@ import importlib
 
 from lexora.plans import study
 
-MODULES = ("q_text", "q_models", "q_vocab", "q_reports")
+MODULES = ("q_text", "q_models", "q_vocab", "q_reports", "q_canonical")
 
 
 def _load() -> None:

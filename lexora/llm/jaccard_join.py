@@ -1,6 +1,6 @@
 """N-gram Jaccard join: documents link when their shingle sets are alike, found by prefix-tree joins.
 
-Sets are put in one global order, rarest shingles first. Two sets that are alike enough share one of their first
+Sets are put in one global order, shingles known to be repeated last. Two sets that are alike enough share one of their first
 elements (the prefix), so only documents that share a prefix element can link. Documents so connected form a
 cluster. In a cluster the ordered sets are stored in a prefix tree; each set walks it, sharing the overlap of
 common beginnings, and leaves a subtree as soon as what remains on either side cannot reach the needed overlap.
@@ -26,12 +26,10 @@ from .components import components
 SHINGLE = 4
 #: Links from so many hundredths of the union on.
 PERCENT = 85
-#: Frequent shingles that are put last in the order; their number is bounded, so that the list can be sent to all tasks.
-FREQUENT_ROWS = 1 << 19
-#: Shingles counted together before those found in fewer than LOCAL_DOCS documents of a task are left out of that list.
-COUNT_TOGETHER = 4_000_000
-LOCAL_DOCS = 3
-FREQUENT_FROM = 6
+#: Shingles known to be repeated, most frequent first, that are put last in the order; bounded, as all tasks hold them.
+REPEATED_ROWS = 4_000_000
+#: Share of a set, smallest hashes first, in which repeats are counted; the prefix is a smaller share.
+COUNTED_PERCENT = 25
 #: Documents of a cluster that one task compares, and shingles of tree members that are sent to all tasks at once.
 CLUSTER_DOCS = 250
 BLOCK_SHINGLES = 2_000_000
@@ -58,42 +56,32 @@ def needed(a: int, b: int, percent: int = PERCENT) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, with their rank; only the order of elements depends on it, never a result."""
+def _repeated(heads: DataFrame, first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated shingles, sorted, with the rank of their frequency; only the order of elements depends on it, never a result.
 
-    def count(batches):
-        held, size = [], 0
-
-        def told():
-            s, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= LOCAL_DOCS
-            return pa.RecordBatch.from_arrays([pa.array(signed(s[keep]), pa.int64()), pa.array(n[keep], pa.int64())], names=["s", "n"])
-
-        for batch in batches:
-            for _, s in _sets(batch.column(0).to_pylist()):
-                held.append(s)
-                size += len(s)
-                if size >= COUNT_TOGETHER:
-                    yield told()
-                    held, size = [], 0
-        if held:
-            yield told()
-
-    counted = save(docs.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "frequent")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    # at most total / floor shingles reach the floor
-    top = counted.where(F.col("n") >= max(FREQUENT_FROM, -(-total // rows))).toPandas().sort_values("s")
+    Counted are the elements of smallest hash of one document of each class. If too many are repeated, the list
+    is cut at a frequency, found from a histogram.
+    """
+    rows = heads.join(first, "doc", "left_semi").select(F.explode("low").alias("s"))
+    counted = save(rows.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "counted")
+    room, floor = REPEATED_ROWS, 2
+    for r in sorted(counted.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["n"]):
+        room -= r["rows"]
+        if room < 0:
+            floor = r["n"] + 1
+            break
+    top = counted.where(F.col("n") >= floor).toPandas().sort_values("s")
     drop(counted)
-    return top["s"].to_numpy(np.uint64), np.minimum(np.log2(top["n"].to_numpy(float) + 1) * 8, 127).astype(np.uint64)
+    return top["s"].to_numpy(np.uint64), np.minimum(np.log2(top["n"].to_numpy(float) + 1) * 8, 127).astype(np.uint8)
 
 
-def ordered(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def ordered(s: np.ndarray, repeated: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The set as order keys: rank of its frequency in the top bits, the hash below; sorted."""
-    known, rank = frequent
+    known, rank = repeated
     if not len(known) or not len(s):
         return s
     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-    return np.sort(s | (np.where(known[at] == s, rank[at], np.uint64(0)) << np.uint64(56)))
+    return np.sort(s | (np.where(known[at] == s, rank[at], 0).astype(np.uint64) << np.uint64(56)))
 
 
 # ---------------------------------------------------------------- the tree
@@ -180,31 +168,39 @@ def cluster_links(docs: list[int], sets: list[list[int]], percent: int = PERCENT
 
 # ---------------------------------------------------------------- Spark stages
 
-_HEADS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+_HEADS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("low", pa.list_(pa.int64()))])
 
 
-def _heads(docs: DataFrame, frequent, percent: int) -> DataFrame:
-    """Saved table of every row's set size, signature and prefix."""
+def _heads(docs: DataFrame) -> DataFrame:
+    """Saved table of every row's set size, signature and elements of smallest hash."""
 
     def heads(batches):
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), {f.name: [] for f in _HEADS}
             for i, s in _sets(batch.column(1).to_pylist()):
-                keys, n = ordered(s, frequent.value), len(s)
-                mixed = scramble(s)
-                row = (ids[i], n, int(signed(mixed.sum(keepdims=True))[0]), int(signed(scramble(mixed + np.uint64(n)).sum(keepdims=True))[0]), signed(keys[: n - -(-percent * n // 100) + 1]) if n else [])
+                n, mixed = len(s), scramble(s)
+                row = (ids[i], n, int(signed(mixed.sum(keepdims=True))[0]), int(signed(scramble(mixed + np.uint64(n)).sum(keepdims=True))[0]), signed(s[: -(-COUNTED_PERCENT * n // 100)]))
                 for name, value in zip(out, row):
                     out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=_HEADS)
 
-    return save(docs.select("doc", "text").mapInArrow(heads, "doc long, n long, sig1 long, sig2 long, prefix array<long>"), "heads")
+    return save(docs.select("doc", "text").mapInArrow(heads, "doc long, n long, sig1 long, sig2 long, low array<long>"), "heads")
 
 
-def _clusters(heads: DataFrame, classes: DataFrame) -> DataFrame:
+def _clusters(docs: DataFrame, first: DataFrame, repeated, percent: int) -> DataFrame:
     """Saved table (node, component): documents, one for each class, connected by shared prefix elements."""
-    first = classes.select(F.col("class").alias("doc")).distinct()
-    rows = heads.where("n > 0 and doc is not null").join(F.broadcast(first) if classes.count() <= BROADCAST_ROWS else first, "doc", "left_semi")
-    rows = save(rows.select("doc", F.explode("prefix").alias("s")), "prefixes")
+
+    def prefixes(batches):
+        for batch in batches:
+            ids, own, out = batch.column(0).to_pylist(), [], []
+            for i, s in _sets(batch.column(1).to_pylist()):
+                if len(s):
+                    own.append(ids[i])
+                    out.append(signed(ordered(s, repeated.value)[: len(s) - -(-percent * len(s) // 100) + 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc", "prefix"])
+
+    every = docs.where("doc is not null").select("doc", "text").mapInArrow(prefixes, "doc long, prefix array<long>")
+    rows = save(every.join(first, "doc", "left_semi").select("doc", F.explode("prefix").alias("s")), "prefixes")
     shared = save(rows.groupBy("s").agg(F.min("doc").alias("b"), F.max("doc").alias("last")).where("b < last").select("s", "b"), "shared")
     links = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "s").where("doc <> b").select(F.col("doc").alias("a"), "b")
     out = components(links)
@@ -215,7 +211,7 @@ def _clusters(heads: DataFrame, classes: DataFrame) -> DataFrame:
 _MEMBERS = pa.schema([("cluster", pa.int64()), ("large", pa.bool_()), ("doc", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
-def _members(docs: DataFrame, clusters: DataFrame, frequent) -> DataFrame:
+def _members(docs: DataFrame, clusters: DataFrame, repeated) -> DataFrame:
     """Saved table (cluster, large, doc, keys) of the ordered sets of all clustered documents."""
 
     def members(batches):
@@ -223,7 +219,7 @@ def _members(docs: DataFrame, clusters: DataFrame, frequent) -> DataFrame:
             ids, of, large = (batch.column(i).to_pylist() for i in (0, 2, 3))
             out = {f.name: [] for f in _MEMBERS}
             for i, s in _sets(batch.column(1).to_pylist()):
-                for name, value in zip(out, (of[i], large[i], ids[i], signed(ordered(s, frequent.value)))):
+                for name, value in zip(out, (of[i], large[i], ids[i], signed(ordered(s, repeated.value)))):
                     out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=_MEMBERS)
 
@@ -316,11 +312,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    frequent = spark.sparkContext.broadcast(_frequent(own, FREQUENT_ROWS))
-    heads = _heads(own, frequent, percent)
+    heads = _heads(own)
     classes = save(heads.where("n > 0 and doc is not null").groupBy("sig1", "sig2").agg(F.min("doc").alias("class")), "classes")
-    clusters = _clusters(heads, classes)
-    members = _members(own, clusters, frequent)
+    first = classes.select(F.col("class").alias("doc")).distinct()
+    first = F.broadcast(first) if classes.count() <= BROADCAST_ROWS else first
+    repeated = spark.sparkContext.broadcast(_repeated(heads, first))
+    clusters = _clusters(own, first, repeated, percent)
+    members = _members(own, clusters, repeated)
     links = [_small(members.where("not large"), percent)]
     if members.where("large").limit(1).count():
         links += _large(members.where("large"), percent)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at a time.
@@ -55,6 +56,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f and its lambdas read it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def as_bytes(text) -> bytes:
     """UTF-8 of a text; null is empty."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, save
+from .common import fresh, let, save
 
 #: ASCII white space, and the letters whose case is ignored.
 SPACES = " \t\n\x0b\x0c\r"
@@ -52,12 +52,16 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # Both sides are exchanged by key, so that large keys can be split
     hit = keyed.join(common, ["h1", "h2"]).groupBy("doc").agg(F.collect_set("pos").alias(gone))
     out = docs.join(hit, F.col(id_col).eqNullSafe(F.col("doc")), "left").drop("doc")
-    lines, lost = lines_of(F.col(text_col)), F.coalesce(F.col(gone), F.array().cast("array<int>"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
-    text = F.when(F.size(lost) == 0, F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: lines[i]), "\n"))
+    lost = F.coalesce(F.col(gone), F.array().cast("array<int>"))
+
+    def without(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+        return F.array_join(F.transform(kept, lambda i: lines[i]), "\n")
+
+    text = F.when(F.size(lost) == 0, F.col(text_col)).otherwise(let(lines_of(F.col(text_col)), without))
     n_lines, n_dropped = fresh(docs, "n_lines"), fresh(docs, "n_dropped")
     names = [F.col(f"`{c}`") if c != text_col else text.alias(text_col) for c in docs.columns]
-    return out.select(*names, F.size(lines).cast("long").alias(n_lines), F.size(lost).cast("long").alias(n_dropped))
+    return out.select(*names, F.size(lines_of(F.col(text_col))).cast("long").alias(n_lines), F.size(lost).cast("long").alias(n_dropped))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ SHINGLE = 4
 #: Links from so many hundredths of the union on.
 PERCENT = 85
 #: Shingles known to be repeated, most frequent first, that are put last in the order; bounded, as all tasks hold them.
-REPEATED_ROWS = 4_000_000
+REPEATED_ROWS = 2_000_000
 #: Share of a set, smallest hashes first, in which repeats are counted; the prefix is a smaller share.
 COUNTED_PERCENT = 25
 #: Documents of a cluster that one task compares, and shingles of tree members that are sent to all tasks at once.
@@ -70,9 +70,17 @@ def _repeated(heads: DataFrame, first: DataFrame) -> tuple[np.ndarray, np.ndarra
         if room < 0:
             floor = r["n"] + 1
             break
-    top = counted.where(F.col("n") >= floor).toPandas().sort_values("s")
+
+    def packed(batches):
+        for batch in batches:
+            rank = np.minimum(np.log2(batch.column(1).to_numpy() + 1.0) * 8, 127).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()]), pa.array([rank.tobytes()])], names=["s", "rank"])
+
+    parts = [(r["s"], r["rank"]) for r in counted.where(F.col("n") >= floor).mapInArrow(packed, "s binary, rank binary").toLocalIterator()]
     drop(counted)
-    return top["s"].to_numpy(np.uint64), np.minimum(np.log2(top["n"].to_numpy(float) + 1) * 8, 127).astype(np.uint8)
+    known, rank = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*parts) if parts else ((), ()), (np.uint64, np.uint8)))
+    order = np.argsort(known)
+    return known[order], rank[order]
 
 
 def ordered(s: np.ndarray, repeated: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

@@ -24,6 +24,9 @@ WINDOW = 3
 #: Posterior probability of good quality from which a document is kept.
 KEEP_AT = 0.5
 ROUNDS = 200
+#: What EM may not leave: rules are made to spare good documents, and junk is neither the rule nor absent.
+MAX_FALSE_ALARMS = 0.002
+PRIOR = (0.5, 0.9)
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_bangs", "n_lines")
 
@@ -111,39 +114,43 @@ def votes(c: Column) -> Column:
 
 
 def fit(patterns: list[tuple[str, int]], rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
-    """Share of good documents, and for each class (bad, good) and rule the probabilities of -, 0 and +.
+    """Share of good documents, and for each class (bad, good) and rule the probabilities of - and + where it votes.
 
-    EM over the counts of vote patterns, which are at most 3 ** len(RULES) whatever the corpus size. Each rule
-    knows one kind of junk, so it starts from rules that fire on one bad document in six and one good in a
-    hundred; the start counts as one more document, which keeps probabilities off 0 and 1.
+    EM over the counts of vote patterns, which are at most 3 ** len(RULES) whatever the corpus size; an abstention
+    says nothing. Each rule knows one kind of junk, so it starts from rules that vote against one bad document in
+    six; the start counts as one more document, which keeps probabilities off 0 and 1. Two bounds keep EM from
+    explaining a kind of junk that one rule alone sees as a habit of good documents: a rule votes against at most
+    MAX_FALSE_ALARMS of these, and the share of good documents lies within PRIOR.
     """
     m = len(RULES)
-    n = np.array([k for _, k in patterns], float)
-    v = np.array([["-0+".index(x) for x in p] for p, _ in patterns], int).reshape(len(patterns), m)
-    seen = np.zeros((len(patterns), m, 3))
-    np.put_along_axis(seen, v[:, :, None], 1.0, axis=2)
-    # where both classes abstain alike an abstention says nothing, so each class starts with the overall share
-    idle = (n @ seen[:, :, 1] + 1) / (n.sum() + 2) if len(n) else np.full(m, 0.5)
-    theta = np.stack([np.stack([(1 - idle) * w, idle, (1 - idle) * (1 - w)], 1) for w in (1 / 6, 0.01)])
-    start = theta.copy()
-    prior = 0.8
+    n, seen = np.array([k for _, k in patterns], float), votes_seen([p for p, _ in patterns])
+    start = np.stack([np.tile([x, 1.0, 1 - x], (m, 1)) for x in (1 / 6, MAX_FALSE_ALARMS)])
+    prior, theta = 0.8, start.copy()
     for _ in range(rounds if len(n) else 0):
         post = posterior(prior, theta, seen)
-        new = (post @ n + 4) / (n.sum() + 5)
+        new = min(max((post @ n + 4) / (n.sum() + 5), PRIOR[0]), PRIOR[1])
         for k, share in ((0, 1 - post), (1, post)):
-            mass = np.einsum("p,pmv->mv", share * n, seen)
-            theta[k] = (mass + start[k]) / (mass.sum(1, keepdims=True) + 1)
-        # a rule that votes against the others is held at even odds rather than turned round
-        for j in range(m):
-            if theta[1, j, 2] * theta[0, j, 0] < theta[1, j, 0] * theta[0, j, 2]:
-                theta[:, j] = theta[:, j].mean(0)
+            mass = np.einsum("p,pmv->mv", share * n, seen) + start[k]
+            theta[k, :, 0] = mass[:, 0] / (mass[:, 0] + mass[:, 2])
+        theta[1, :, 0] = np.minimum(theta[1, :, 0], MAX_FALSE_ALARMS)
+        theta[0, :, 0] = np.maximum(theta[0, :, 0], theta[1, :, 0])  # no rule is turned round
+        theta[:, :, 2] = 1 - theta[:, :, 0]
         if abs(new - prior) < 1e-12:
             break
         prior = new
     return prior, theta
 
 
+def votes_seen(patterns: list[str]) -> np.ndarray:
+    """Indicators (pattern, rule, vote) of -, 0 and +."""
+    seen = np.zeros((len(patterns), len(RULES), 3))
+    for i, p in enumerate(patterns):
+        seen[i, np.arange(len(RULES)), ["-0+".index(x) for x in p]] = 1
+    return seen
+
+
 def posterior(prior: float, theta: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Probability of good quality; an abstention's factor is 1 in both classes."""
     log = np.einsum("kmv,pmv->pk", np.log(theta), seen) + np.log([1 - prior, prior])
     return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -700, 700)))
 

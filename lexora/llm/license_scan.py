@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, save
 
 #: Spellings that license matching treats alike.
 SPELLINGS = (
@@ -121,7 +121,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, *, text_col: str = "te
         table = F.map_from_arrays(F.array(*[F.lit(d) for d, _ in pairs]), F.array(*[F.lit(x) for _, x in pairs])) if pairs else F.create_map().cast("map<string,string>")
         found = F.array_sort(F.array_distinct(F.filter(F.transform(F.filter(marked, lambda d: d.isNotNull()), lambda d: F.try_element_at(table, d)), lambda x: x.isNotNull())))
         return out.withColumn(notices, found).select(*[F.col(f"`{c}`") for c in docs.columns], digest, license_, notices)
-    out = out.withColumn(row, F.monotonically_increasing_id())
+    out = save(out.withColumn(row, F.monotonically_increasing_id()), "scan")  # saved: row numbers must not change
     hits = out.select(row, F.explode(marked).alias(line)).join(look(line, notices), line).groupBy(row).agg(F.array_sort(F.collect_set(notices)).alias(notices))
     out = out.join(hits, row, "left").withColumn(notices, F.coalesce(notices, F.array().cast("array<string>")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], digest, license_, notices)

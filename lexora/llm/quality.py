@@ -77,7 +77,7 @@ def _lines(raw: bytes) -> tuple[int, int]:
 
 
 def counts_of(texts) -> pd.DataFrame:
-    """COUNTS of each text; null counts as empty."""
+    """COUNTS of each text, and the rules' votes on them; null counts as empty."""
     texts = list(texts)
     out = {c: np.zeros(len(texts), np.int64) for c in COUNTS}
     for first, raws in chunks(texts):
@@ -90,10 +90,23 @@ def counts_of(texts) -> pd.DataFrame:
         for i, raw in enumerate(raws):
             out["n_repeat_words"][first + i] = _covered(h[word[i] : word[i + 1]])
             out["n_lines"][first + i], out["n_dup_lines"][first + i] = _lines(raw)
-    return pd.DataFrame(out)
+    counts = pd.DataFrame(out)
+    return counts.assign(votes=votes(counts))
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def votes(counts: pd.DataFrame) -> np.ndarray:
+    """One character for each rule: + good, - bad, 0 abstains (also where its measure has no base)."""
+    base = counts.astype(float)
+    bases = ["n_words", "n_lines", "n_letters", "word_chars"]
+    base[bases] = base[bases].replace(0.0, np.nan)
+    said = np.full(len(counts), "", dtype=object)
+    for measure, good, bad in RULES.values():
+        x = measure(base).to_numpy()
+        said = said + np.where(x <= good, "+", np.where(x >= bad, "-", "0")).astype(object)
+    return said
+
+
+@F.pandas_udf(T.StructType([*[T.StructField(c, T.LongType()) for c in COUNTS], T.StructField("votes", T.StringType())]))
 def text_counts(texts: pd.Series) -> pd.DataFrame:
     return counts_of(texts)
 
@@ -102,17 +115,6 @@ def base_failed(c: Column) -> Column:
     return (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
 
 
-def votes(c: Column) -> Column:
-    """One character for each rule: + good, - bad, 0 abstains (also where its measure has no base)."""
-
-    class Counts:
-        def __getitem__(self, name: str) -> Column:
-            return F.nullif(c[name].cast("double"), F.lit(0.0)) if name in ("n_words", "n_lines", "n_letters", "word_chars") else c[name].cast("double")
-
-    vote = lambda measure, good, bad: F.when(measure <= good, "+").when(measure >= bad, "-").otherwise("0")
-    return F.concat(*[vote(measure(Counts()), good, bad) for measure, good, bad in RULES.values()])
-
-
 def fit(patterns: list[tuple[str, int]], rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
     """Share of good documents, and for each class (bad, good) and rule the probabilities of - and + where it votes.
 
@@ -156,29 +158,24 @@ def posterior(prior: float, theta: np.ndarray, seen: np.ndarray) -> np.ndarray:
 
 
 def quality_scores(docs: DataFrame, *, text_col: str = "text", keep_at: float = KEEP_AT, rounds: int = ROUNDS) -> DataFrame:
-    """docs with two more columns: counts (struct of COUNTS) and verdict (struct votes, posterior, base_failed, kept).
+    """docs with two more columns: counts (struct of COUNTS and votes) and verdict (struct posterior, base_failed, kept).
 
     Documents that fail the base test are never kept; all others are kept from a posterior of keep_at on. The
     rules' accuracies are fitted to the vote patterns of all documents that pass the base test. Null and empty
     texts have no words and so fail; copies get the same verdict; an empty table gives an empty table.
     """
-    counts, verdict, said = fresh(docs, "counts"), fresh(docs, "verdict"), fresh(docs, "votes")
-    counted = docs.withColumn(counts, text_counts(F.col(text_col).cast("string")))
+    counts, verdict = fresh(docs, "counts"), fresh(docs, "verdict")
     passed = docs.select(text_counts(F.col(text_col).cast("string")).alias("c")).where(~base_failed(F.col("c")))
-    patterns = [(r["v"], r["n"]) for r in passed.groupBy(votes(F.col("c")).alias("v")).agg(F.count("*").alias("n")).orderBy("v").collect()]
+    patterns = [(r["v"], r["n"]) for r in passed.groupBy(F.col("c.votes").alias("v")).agg(F.count("*").alias("n")).orderBy("v").collect()]
     prior, theta = fit(patterns, rounds)
-    log = np.log(theta[1] / theta[0]).tolist()
-    odds = F.lit(float(np.log(prior / (1 - prior))))
-    for j in range(len(RULES)):
-        sign = F.substring(F.col(said), j + 1, 1)
-        odds = odds + F.when(sign == "-", log[j][0]).when(sign == "0", log[j][1]).otherwise(log[j][2])
+    counted = docs.withColumn(counts, text_counts(F.col(text_col).cast("string")))
+    said, odds = F.col(counts)["votes"], F.lit(float(np.log(prior / (1 - prior))))
+    for j, (against, _, for_) in enumerate(np.log(theta[1] / theta[0]).tolist()):
+        sign = F.substring(said, j + 1, 1)
+        odds = odds + F.when(sign == "-", against).when(sign == "+", for_).otherwise(0.0)
     good = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), -odds))))
     failed = base_failed(F.col(counts))
-    out = counted.withColumn(said, votes(F.col(counts)))
-    return out.withColumn(
-        verdict,
-        F.struct(F.col(said).alias("votes"), good.alias("posterior"), failed.alias("base_failed"), (~failed & (good >= keep_at)).alias("kept")),
-    ).drop(said)
+    return counted.withColumn(verdict, F.struct(good.alias("posterior"), failed.alias("base_failed"), (~failed & (good >= keep_at)).alias("kept")))
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
@@ -189,4 +186,4 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", keep_at: float = KEEP_
 
 def digest(docs: DataFrame) -> DataFrame:
     scored = quality_scores(docs.select("doc_id", "text"))
-    return scored.select("doc_id", *[f"counts.{c}" for c in COUNTS[:5]], "verdict.base_failed", "verdict.kept", F.col("verdict.posterior").alias("posterior"), F.col("verdict.votes").alias("votes"))
+    return scored.select("doc_id", *[f"counts.{c}" for c in COUNTS[:5]], "verdict.base_failed", "verdict.kept", F.col("verdict.posterior").alias("posterior"), F.col("counts.votes").alias("votes"))

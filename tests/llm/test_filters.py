@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lexora.llm import common, decontaminate, license_scan, pii, quality, toxicity
 
@@ -64,7 +65,7 @@ def test_toxicity(spark):
     pos, neg = [got[i].score for i in held if i % 5 == 0], [got[i].score for i in held if i % 5]
     assert np.mean([p > n for p in pos for n in neg]) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
-    model = toxicity.train(d, lab, ~toxicity.held_out(d.doc_id))
+    model = toxicity.train(d, lab, ~toxicity.held_out(F.col("doc_id")))
     text = docs[0][1]
     spans = toxicity.score_texts([text], *model).sentences[0]
     assert spans and all("grumb" in text[s["start"] : s["end"]] for s in spans)

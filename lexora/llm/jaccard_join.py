@@ -261,35 +261,63 @@ def _pairs(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+class Chosen:
+    """Members of one large cluster that a task compares its rows with; what is known to be connected is not compared again."""
+
+    def __init__(self, pivot: int, docs: list[int], sets: list[list[int]], percent: int, forest: Forest):
+        self.pivot, self.docs, self.sets, self.percent, self.forest = pivot, docs, sets, percent, forest
+        self.every = Tree(sets, percent)
+        self.open, self.closed = docs, 0
+        self.rest = self.every
+
+    def links(self, doc: int, keys: list[int]) -> list[tuple[int, int]]:
+        """New links of a row. A row connected with the pivot walks a tree of those that aren't, rebuilt whenever half of it are."""
+        find = self.forest.find
+        mine = find(doc) == find(self.pivot)
+        docs, tree = (self.open, self.rest) if mine else (self.docs, self.every)
+        hits = tree.walk(keys, lambda i, first: i is not None and find(docs[i]) == find(doc))
+        out = [(doc, docs[i]) for i in hits if self.forest.join(doc, docs[i])]
+        if mine:
+            self.closed += len(out)
+            if 2 * self.closed > len(self.open):
+                left = [i for i, d in enumerate(self.docs) if find(d) != find(self.pivot)]
+                self.open, self.rest, self.closed = [self.docs[i] for i in left], Tree([self.sets[i] for i in left], self.percent), 0
+        return out
+
+
 def _against(members: DataFrame, chosen: DataFrame, percent: int) -> list[DataFrame]:
-    """Links of every member with those chosen (cluster, doc), whose sets go to all tasks in blocks of bounded size."""
+    """Links of every member (cluster, doc, keys, near: known to link to the pivot) with those chosen (cluster, doc), whose sets go to all tasks in blocks of bounded size.
+
+    A cluster's name is its smallest document, which is its pivot.
+    """
     out, trees = [], []
     spark = members.sparkSession
+    rows = members.select("cluster", "doc", "keys", "near").sortWithinPartitions(F.desc("near"))
 
-    def block(rows) -> DataFrame:
-        held = spark.sparkContext.broadcast(rows)
+    def block(sets) -> DataFrame:
+        held = spark.sparkContext.broadcast(sets)
 
         def linked(batches):
             of: dict[int, tuple[list, list]] = {}
             for c, d, k in held.value:
-                docs, sets = of.setdefault(c, ([], []))
+                docs, keys = of.setdefault(c, ([], []))
                 docs.append(d)
-                sets.append(k.tolist())
-            made, forest = {c: (docs, Tree(sets, percent)) for c, (docs, sets) in of.items()}, Forest()
+                keys.append(k.tolist())
+            forest = Forest()
+            made = {c: Chosen(c, docs, keys, percent, forest) for c, (docs, keys) in of.items()}
             for batch in batches:
                 found = []
-                for c, d, k in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                for c, d, k, near in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    if near:
+                        forest.join(d, c)
                     if c in made:
-                        docs, tree = made[c]
-                        # no link between what this task has connected already
-                        hits = tree.walk(k, lambda i, first: i is not None and forest.find(docs[i]) == forest.find(d))
-                        found += [(d, docs[i]) for i in hits if forest.join(d, docs[i])]
+                        found += made[c].links(d, k)
                 yield _pairs(found)
 
-        return save(members.mapInArrow(linked, "a long, b long"), "links")
+        return save(rows.mapInArrow(linked, "a long, b long"), "links")
 
     size = 0
-    for r in members.join(chosen, ["cluster", "doc"], "left_semi").toLocalIterator():
+    for r in members.join(chosen, ["cluster", "doc"], "left_semi").select("cluster", "doc", "keys").toLocalIterator():
         trees.append((r["cluster"], r["doc"], np.array(r["keys"], np.int64)))
         size += len(r["keys"])
         if size >= BLOCK_SHINGLES:
@@ -302,13 +330,14 @@ def _against(members: DataFrame, chosen: DataFrame, percent: int) -> list[DataFr
 
 def _large(members: DataFrame, percent: int) -> list[DataFrame]:
     """Links that connect what is connected in clusters above one task's size."""
-    pivots = save(members.groupBy("cluster").agg(F.min("doc").alias("doc")), "pivots")
-    links = _against(members, pivots, percent)
+    pivots = save(members.select("cluster", F.col("cluster").alias("doc")).distinct(), "pivots")
+    links = _against(members.withColumn("near", F.lit(False)), pivots, percent)
     near = pivots.select("doc")
     for part in links:
         near = near.unionByName(part.select(F.col("a").alias("doc")))
-    rest = save(members.select("cluster", "doc").join(near.distinct(), "doc", "left_anti"), "rest")
-    return links + _against(members, rest, percent)
+    near = save(near.distinct().withColumn("near", F.lit(True)), "near")
+    marked = members.join(F.broadcast(near) if near.count() <= BROADCAST_ROWS else near, "doc", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    return links + _against(marked, marked.where("not near").select("cluster", "doc"), percent)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

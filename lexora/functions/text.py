@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Answers that say nothing, and texts that mean true.
 NO_ANSWER = ("", "nan", "none", "na", "n/a", "x")
@@ -48,7 +49,7 @@ def ngram_kind(c: Column, policy: str = "letters_only", strip_articles: bool = F
     return F.when(fits & (F.size(parts) == 1), "1gram").when(fits & (F.size(parts) == 2), "2gram").otherwise("unsupported")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def norm_text(s: pd.Series) -> pd.Series:
     """Unicode NFC, then stripped; Spark has no built-in for it."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).strip())

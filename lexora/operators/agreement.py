@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexora.functions.stats import pearson, spearman
 from lexora.functions.text import uniform
@@ -14,7 +15,7 @@ from lexora.functions.text import uniform
 C = F.col
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation, by the finite series of Student's t for whole degrees of freedom; on summary rows only."""
 

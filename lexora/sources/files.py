@@ -78,7 +78,7 @@ def collect_results(spark: SparkSession, path: str, structures: list[str] | None
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """(line, token) with 1-based line numbers; blank lines are counted but left out. The file is read whole, as its order is its meaning."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "token"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "token"))
     return rows.select((F.col("line") + 1).cast("long").alias("line"), F.trim("token").alias("token")).where("token <> ''")
 
 

@@ -13,7 +13,7 @@ all members that didn't link to it. What did link is connected already, so no li
 from __future__ import annotations
 
 import sys
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -96,42 +96,60 @@ def ordered(s: np.ndarray, repeated: tuple[np.ndarray, np.ndarray]) -> np.ndarra
 
 
 class Tree:
-    """A prefix tree of ordered sets; runs without a branch are one node."""
+    """A prefix tree of ordered sets; runs without a branch are one node.
+
+    Linked sets share an element of their prefixes, so a walk enters subtrees alone that hold such a member.
+    """
 
     def __init__(self, sets: list[list[int]], percent: int = PERCENT):
         self.sets, self.percent = sets, percent
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 4 * len(sets)))  # a branch leaves one set out at least
-        self.root = self._node(sorted((i for i in range(len(sets)) if sets[i]), key=lambda i: sets[i]), 0)
-
-    def _node(self, members: list[int], at: int) -> tuple:
-        """(run, place after it, members that end here, children, smallest and largest set, smallest member)"""
-        if not members:
-            return ([], at, [], [], 0, 0, 0)
-        low, high = self.sets[members[0]], self.sets[members[-1]]  # sorted: what these share, all share
+        self.order = sorted((i for i in range(len(sets)) if sets[i]), key=lambda i: sets[i])
+        self.entry: dict[int, list[int]] = {}
+        for place, i in enumerate(self.order):
+            for x in sets[i][: self._prefix(len(sets[i]))]:
+                self.entry.setdefault(x, []).append(place)
+        self.root = self._node(0, len(self.order), 0)
+
+    def _prefix(self, n: int) -> int:
+        return n - -(-self.percent * n // 100) + 1
+
+    def _node(self, lo: int, hi: int, at: int) -> tuple:
+        """Of places lo to hi: (run, length after it, places that end here, children and their first places, smallest and largest set, smallest member)"""
+        if lo == hi:
+            return ([], at, [], [], [], 0, 0, 0)
+        low, high = self.sets[self.order[lo]], self.sets[self.order[hi - 1]]  # sorted: what these share, all share
         end, most = at, min(len(low), len(high))
-        if len(members) == 1:
+        if hi - lo == 1:
             end = len(low)
         else:
             while end < most and low[end] == high[end]:
                 end += 1
-        here = [i for i in members if len(self.sets[i]) == end]
-        children, group = [], []
-        for i in members:
-            if len(self.sets[i]) > end:
-                if group and self.sets[group[0]][end] != self.sets[i][end]:
-                    children.append(self._node(group, end))
-                    group = []
-                group.append(i)
-        if group:
-            children.append(self._node(group, end))
-        sizes = [len(self.sets[i]) for i in members]
-        return (low[at:end], end, here, children, min(sizes), max(sizes), min(members))
+        here, children, starts = [], [], []
+        first = lo
+        while first < hi and len(self.sets[self.order[first]]) == end:
+            here.append(first)
+            first += 1
+        while first < hi:
+            last, x = first + 1, self.sets[self.order[first]][end]
+            while last < hi and self.sets[self.order[last]][end] == x:
+                last += 1
+            starts.append(first)
+            children.append(self._node(first, last, end))
+            first = last
+        own = self.order[lo:hi]
+        sizes = [len(self.sets[i]) for i in own]
+        return (low[at:end], end, here, children, starts, min(sizes), max(sizes), min(own))
 
     def walk(self, query: list[int], skip) -> list[int]:
-        """Members that link to the ordered query; skip(member) leaves one out, skip(None, smallest member) a subtree."""
-        own, n, found, stack = set(query), len(query), [], [(self.root, 0)]
+        """Members that link to the ordered query; skip(member, member) leaves one out, skip(None, smallest member) a subtree."""
+        n = len(query)
+        able = sorted({p for x in query[: self._prefix(n)] for p in self.entry.get(x, ())}) if n else []
+        if not able:
+            return []
+        own, found, stack = set(query), [], [(self.root, 0, 0, len(able))]
         while stack:
-            (run, end, here, children, least, most, first), shared = stack.pop()
+            (run, end, here, children, starts, least, most, first), shared, lo, hi = stack.pop()
             if skip(None, first) or 100 * min(n, most) < self.percent * max(n, least):
                 continue
             if run:
@@ -139,10 +157,17 @@ class Tree:
                 left = n - bisect_right(query, run[-1])
                 if shared + min(left, most - end) < needed(n, max(least, end), self.percent):
                     continue
-            for i in here:
-                if shared >= needed(n, end, self.percent) and not skip(i, i):
-                    found.append(i)
-            stack += [(c, shared) for c in children]
+            if here and shared >= needed(n, end, self.percent):
+                for p in able[lo : bisect_right(able, here[-1], lo, hi)]:
+                    if not skip(i := self.order[p], i):
+                        found.append(i)
+            if here:
+                lo = bisect_right(able, here[-1], lo, hi)
+            while lo < hi:
+                child = bisect_right(starts, able[lo]) - 1
+                after = bisect_left(able, starts[child + 1], lo, hi) if child + 1 < len(starts) else hi
+                stack.append((children[child], shared, lo, after))
+                lo = after
         return found
 
 

@@ -1,9 +1,10 @@
 """Benchmark decontamination [native]: spaced seeds find places to look at, an aligned comparison decides.
 
-A mask picks WEIGHT of SPAN consecutive tokens and ignores the others, so that a hash of the picked tokens
-survives substitutions at the ignored positions. Benchmark items are hashed at every position, documents at
-every STRIDE-th: an overlap of SPAN + STRIDE - 1 tokens has a sampled position whatever its phase. Documents are
-compared with an item along the diagonal of a hit.
+A block is BLOCK consecutive tokens; a mask picks two blocks whose starts are 1 to FAR blocks apart and ignores the
+others, so that a hash of the picked tokens survives substitutions elsewhere. Documents and items are both hashed at
+every position. Every overlap that the rule accepts is hit: cut into blocks, its 20 tokens hold 6 with at most 4
+substitutions, 15 to 19 tokens hold at least 5 with at most 3, 12 to 14 hold 4 with at most 2, so two blocks are
+always whole. Documents are compared with an item along the diagonal of a hit.
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ from pyspark.sql import functions as F
 
 from .common import fresh, let, save
 
+#: Tokens of a block, and how many blocks apart the two blocks of a mask start at most.
+BLOCK = 3
+FAR = 5
 #: Fixed masks: the token positions that are hashed.
-MASKS = ((0, 1, 2, 5, 6, 8, 10, 11), (0, 1, 3, 4, 7, 9, 10, 11), (0, 2, 3, 5, 6, 7, 9, 11))
+MASKS = tuple((0, 1, 2, BLOCK * far, BLOCK * far + 1, BLOCK * far + 2) for far in range(1, FAR + 1))
+#: Tokens that an item must have.
 SPAN = 12
-STRIDE = 4
 
 #: An overlap counts if in some WINDOW consecutive aligned tokens (the whole item if shorter) MATCH_PERCENT are equal.
 WINDOW = 20
 MATCH_PERCENT = 80
-#: Tokens on either side of the hits that are compared.
+#: Tokens on either side of the hits that are compared; after them, counted from the last hit's first token and SPAN more.
 AROUND = 24
 
 #: Rows up to which seeds and hits are sent to all executors; above, Spark joins them by key.
@@ -38,11 +42,17 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def seeds(hashes: Column, stride: int) -> Column:
-    """Hashes of all masks at every stride-th position, mask by mask within a position."""
-    starts = F.when(F.size(hashes) >= SPAN, F.sequence(F.lit(0), F.size(hashes) - SPAN, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    masked = lambda i: F.array(*[F.xxhash64(F.lit(m), *[F.get(hashes, i + at) for at in mask]) for m, mask in enumerate(MASKS)])
-    return F.flatten(F.transform(starts, masked))
+def blocks(hashes: Column) -> Column:
+    """At every position: the hash of the block there, and of those 1 to FAR blocks on (null beyond the end)."""
+    n = F.size(hashes) - (BLOCK - 1)
+    own = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(BLOCK)]))).otherwise(F.array().cast("array<bigint>"))
+    return let(own, lambda b: F.transform(b, lambda x, i: F.struct(x.alias("block"), *[F.get(b, i + BLOCK * far).alias(f"b{far}") for far in range(1, FAR + 1)])))
+
+
+def seeds(df: DataFrame, *keep: str) -> DataFrame:
+    """One row for each mask that ends within the text, from the columns of blocks()."""
+    masked = [F.when(F.col(f"b{far}").isNotNull(), F.xxhash64(F.lit(far), "block", f"b{far}")) for far in range(1, FAR + 1)]
+    return df.select(*keep, F.explode(F.array_compact(F.array(*masked))).alias("seed"))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -52,12 +62,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def hits(docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
     """Saved table (doc, item, diagonal, first and last item position hit); a diagonal is document position - item position."""
-    known = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.posexplode(let(token_hashes(F.col(item_text)), lambda h: seeds(h, 1))).alias("k", "seed"))
-    m = len(MASKS)
-    known = save(known.select("item", F.floor(F.col("k") / m).cast("int").alias("item_at"), "seed").distinct(), "seeds")
-    own = docs.select(F.col(id_col).alias("doc"), F.posexplode(let(token_hashes(F.col(text_col)), lambda h: seeds(h, STRIDE))).alias("k", "seed"))
+    at = lambda column: F.posexplode(let(token_hashes(F.col(column)), blocks)).alias("at", "b")
+    theirs = items.where(F.col(item_col).isNotNull() & (F.size(tokens(F.col(item_text))) >= SPAN)).select(F.col(item_col).alias("item"), at(item_text))
+    theirs = save(theirs.select("item", F.col("at").alias("item_at"), "b.*"), "blocks")
+    first = save(theirs.select("block").distinct(), "first")
+    known = save(seeds(theirs, "item", "item_at").distinct(), "seeds")
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), at(text_col)).select("doc", "at", "b.*")
+    # Few positions begin with a block that an item has, and only these are hashed by all masks
+    own = seeds(own.join(small(first), "block", "left_semi"), "doc", "at")
     met = own.join(small(known), "seed")
-    met = met.withColumn("diagonal", (F.floor(F.col("k") / m) * STRIDE - F.col("item_at")).cast("int"))
+    met = met.withColumn("diagonal", (F.col("at") - F.col("item_at")).cast("int"))
     return save(met.groupBy("doc", "item", "diagonal").agg(F.min("item_at").alias("first"), F.max("item_at").alias("last")), "hits")
 
 

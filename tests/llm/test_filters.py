@@ -88,6 +88,28 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(df.limit(0), items).count() == 0
 
 
+def test_decontamination_hits_every_accepted_overlap(spark):
+    """All ways to substitute what the rule tolerates have a mask that is whole; some of them go through Spark at every phase."""
+    from itertools import combinations
+    from random import Random
+
+    tolerated = lambda n: n - -(-decontaminate.MATCH_PERCENT * n // 100)
+    for n in range(decontaminate.SPAN, decontaminate.WINDOW + 1):
+        seen = [{at + i for i in mask} for mask in decontaminate.MASKS for at in range(n - mask[-1])]
+        assert all(any(places.isdisjoint(gone) for places in seen) for gone in combinations(range(n), tolerated(n))), n
+    docs, items, r = [], [], Random(5)
+    for n in range(decontaminate.SPAN, decontaminate.WINDOW + 1):
+        own = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(own)))
+        for case in range(24):
+            gone = [] if case < 4 else r.sample(range(n), tolerated(n))
+            text = ["before"] * (case % 4) + [f"other{case}" if k in gone else w for k, w in enumerate(own)] + ["after"] * 9
+            docs.append((100 * n + case, " ".join(text)))
+        docs.append((100 * n + 99, " ".join(f"other{k}" if k % 3 == 0 else w for k, w in enumerate(own))))
+    found = {(x.doc, x.item) for x in decontaminate.overlaps(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(d, d // 100) for d, _ in docs if d % 100 != 99}
+
+
 def test_large_sides_are_joined_by_key(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     item = prose(40, 77)

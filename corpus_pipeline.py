@@ -10,6 +10,11 @@ from lexora.llm.common import save, table
 from lexora.llm.encoding import tokenizer_path
 
 
+#: Near copies in the pipeline share this many hundredths of their shingles of so many words; op8 keeps its own values.
+SHINGLE = 5
+PERCENT = 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.keep_good(docs)
@@ -23,8 +28,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link, directly or through others, the one of the smallest id stays."""
-    return jaccard_join.keep_first(docs)
+    """Of documents that link by 5-word shingles and 80 %, directly or through others, the one of the smallest id stays."""
+    return jaccard_join.keep_first(docs, size=SHINGLE, percent=PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,11 +44,11 @@ def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return np.unique(grams >> np.uint64(8))
 
 
-def _sets(texts):
+def _sets(texts, size: int = SHINGLE):
     for first, raws in chunks(texts):
         _, _, _, h, word, _ = chunk_words([r.lower() for r in raws])  # bytes: A-Z alone
         for i in range(len(raws)):
-            yield first + i, shingles(h[word[i] : word[i + 1]])
+            yield first + i, shingles(h[word[i] : word[i + 1]], size)
 
 
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
@@ -204,13 +204,13 @@ def cluster_links(docs: list[int], sets: list[list[int]], percent: int = PERCENT
 _HEADS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("low", pa.list_(pa.int64()))])
 
 
-def _heads(docs: DataFrame) -> DataFrame:
+def _heads(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Saved table of every row's set size, signature and elements of smallest hash."""
 
     def heads(batches):
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), {f.name: [] for f in _HEADS}
-            for i, s in _sets(batch.column(1).to_pylist()):
+            for i, s in _sets(batch.column(1).to_pylist(), size):
                 n, mixed = len(s), scramble(s)
                 row = (ids[i], n, int(signed(mixed.sum(keepdims=True))[0]), int(signed(scramble(mixed + np.uint64(n)).sum(keepdims=True))[0]), signed(s[: -(-COUNTED_PERCENT * n // 100)]))
                 for name, value in zip(out, row):
@@ -220,13 +220,13 @@ def _heads(docs: DataFrame) -> DataFrame:
     return save(docs.select("doc", "text").mapInArrow(heads, "doc long, n long, sig1 long, sig2 long, low array<long>"), "heads")
 
 
-def _clusters(docs: DataFrame, first: DataFrame, repeated, percent: int) -> DataFrame:
+def _clusters(docs: DataFrame, first: DataFrame, repeated, percent: int, size: int = SHINGLE) -> DataFrame:
     """Saved table (node, component): documents, one for each class, connected by shared prefix elements."""
 
     def prefixes(batches):
         for batch in batches:
             ids, own, out = batch.column(0).to_pylist(), [], []
-            for i, s in _sets(batch.column(1).to_pylist()):
+            for i, s in _sets(batch.column(1).to_pylist(), size):
                 if len(s):
                     own.append(ids[i])
                     out.append(signed(ordered(s, repeated.value)[: len(s) - -(-percent * len(s) // 100) + 1]))
@@ -244,14 +244,14 @@ def _clusters(docs: DataFrame, first: DataFrame, repeated, percent: int) -> Data
 _MEMBERS = pa.schema([("cluster", pa.int64()), ("large", pa.bool_()), ("doc", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
-def _members(docs: DataFrame, clusters: DataFrame, repeated) -> DataFrame:
+def _members(docs: DataFrame, clusters: DataFrame, repeated, size: int = SHINGLE) -> DataFrame:
     """Saved table (cluster, large, doc, keys) of the ordered sets of all clustered documents."""
 
     def members(batches):
         for batch in batches:
             ids, of, large = (batch.column(i).to_pylist() for i in (0, 2, 3))
             out = {f.name: [] for f in _MEMBERS}
-            for i, s in _sets(batch.column(1).to_pylist()):
+            for i, s in _sets(batch.column(1).to_pylist(), size):
                 for name, value in zip(out, (of[i], large[i], ids[i], signed(ordered(s, repeated.value)))):
                     out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=_MEMBERS)
@@ -365,22 +365,22 @@ def _large(members: DataFrame, percent: int) -> list[DataFrame]:
     return links + _against(marked, marked.where("not near").select("cluster", "doc"), percent)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest id reachable by links, its own included).
 
-    Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct 4-word shingles, of a
-    shorter text its whole sequence. Null, empty and blank texts have no shingle and link with nothing. Rows that
+    Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct shingles of
+    `size` words, of a shorter text its whole sequence. Null, empty and blank texts have no shingle and link with nothing. Rows that
     repeat an id are one document; rows of a null id have no component.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    heads = _heads(own)
+    heads = _heads(own, size)
     classes = save(heads.where("n > 0 and doc is not null").groupBy("sig1", "sig2").agg(F.min("doc").alias("class")), "classes")
     first = classes.select(F.col("class").alias("doc")).distinct()
     first = F.broadcast(first) if classes.count() <= BROADCAST_ROWS else first
     repeated = spark.sparkContext.broadcast(_repeated(heads, first))
-    clusters = _clusters(own, first, repeated, percent)
-    members = _members(own, clusters, repeated)
+    clusters = _clusters(own, first, repeated, percent, size)
+    members = _members(own, clusters, repeated, size)
     links = [_small(members.where("not large"), percent)]
     if members.where("large").limit(1).count():
         links += _large(members.where("large"), percent)

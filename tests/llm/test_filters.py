@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexora.llm import common, decontaminate, license_scan, pii, quality, toxicity
+from lexora.llm import common, decontaminate, jaccard_join, license_scan, pii, quality, toxicity
 
 from .util import SCHEMA, odd_rows, prose, words
 
@@ -170,3 +170,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert all("the same line" not in r.text and r.n_chars == len(r.text) for r in now.collect())
     packed = P.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == set(range(30))
+
+
+def test_pipeline_drops_near_copies_by_five_words_and_80_percent(spark):
+    import corpus_pipeline as P
+
+    def like(a, b, size):
+        x, y = ({tuple(t[i : i + size]) for i in range(len(t) - size + 1)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    base = prose(200, 70).split()
+    copy, far = list(base), list(base)
+    for k in (20, 70, 120, 170):
+        copy[k] = "other"
+    for k in (20, 50, 80, 110, 140, 170):
+        far[k] = "other"
+    assert like(base, copy, 5) >= 0.8 and like(base, copy, 4) < 0.85 and like(base, far, 5) < 0.8
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(far))], SCHEMA)
+    assert sorted(r.doc_id for r in P.jaccard_join_stage(spark, df, "").collect()) == [1, 3]
+    assert all(r.component_id == r.doc_id for r in jaccard_join.digest(df).collect())

@@ -159,9 +159,22 @@ def access_key(key: bytes, text: str) -> str:
     return text[:4] + by_class(key, "access", text[4:], (_CLASSES[2] + _CLASSES[0],))
 
 
+#: Characters of a secret that are permuted together.
+SECRET_BLOCK = 128
+
+
 def secret(key: bytes, text: str) -> str:
-    hexed = re.fullmatch("[0-9a-f]+", text)
-    return by_class(key, "secret", text, ("0123456789abcdef",)) if hexed else by_class(key, "secret", text)
+    """Longer ones block by block, forwards and then backwards, each block keyed by those before it in that order: all of the text decides on all of the pseudonym."""
+    alphabets = ("0123456789abcdef",) if re.fullmatch("[0-9a-f]+", text) else _CLASSES
+    if len(text) <= SECRET_BLOCK:
+        return by_class(key, "secret", text, alphabets)
+    blocks = [text[i : i + SECRET_BLOCK] for i in range(0, len(text), SECRET_BLOCK)]
+    for way in (1, -1):
+        told = f"{way}:{len(text)}"
+        for i in range(len(blocks))[::way]:
+            blocks[i] = by_class(key, f"secret{told}:", blocks[i], alphabets)
+            told = blake2b((told + blocks[i]).encode(), key=key, digest_size=16).hexdigest()
+    return "".join(blocks)
 
 
 _LEFT, _RIGHT = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
@@ -170,7 +183,7 @@ KINDS: dict[str, tuple[str, Callable]] = {
     "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", email),
     "iban": (_LEFT + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _RIGHT, iban),
     "access_key": (_LEFT + r"AKIA[A-Z0-9]{16}" + _RIGHT, access_key),
-    "secret": (r"(?i:(?:password|passwd|secret|token|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?)(?P<own>[A-Za-z0-9_-]{8,128})", secret),
+    "secret": (r"(?i:(?:password|passwd|secret|token|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?)(?![A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}\.)(?=[_./+=-]*[A-Za-z0-9])(?P<own>[A-Za-z0-9_./+=-]{7,}[A-Za-z0-9_/+=-])", secret),
     "date": (_LEFT + r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?!\.?[0-9A-Za-z])", day),
     "ip4": (r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])", ip4),
     "social": (_LEFT + r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-)" + _RIGHT, social),

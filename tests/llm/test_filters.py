@@ -133,6 +133,26 @@ def test_permutation_and_formats():
     assert places[0]["kind"] == "secret" and "608866bb6ce40206" not in new
 
 
+def test_secrets_are_replaced_whole():
+    from random import Random
+
+    r = Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    own = lambda n: "".join(r.choice(letters) for _ in range(n))
+    long, jwt, base64 = own(1000), ".".join((own(36), own(80), own(43))), own(30) + "+" + own(20) + "/" + own(11) + "=="
+    for value in (long, jwt, base64):
+        new, places = pii.replace(f'token = "{value}" x', b"k")
+        assert places == [{"kind": "secret", "start": 9, "end": 9 + len(value)}] and len(new) == len(value) + 12
+        assert not any(value[i : i + 8] == new[9 + i : 17 + i] for i in range(0, len(value) - 8) if value[i : i + 8].isalnum())
+    one, other = (pii.replace("token=" + x, b"k")[0][6:] for x in (long, long[:-1] + ("a" if long[-1] != "a" else "b")))
+    assert one[:128] != other[:128]
+    assert len({pii.secret(b"k", "0" * 128 + f"{i:02d}" + "ag") for i in range(100)}) == 100
+    new, places = pii.replace("Secret: abcdefgh1. Next", b"k")
+    assert places[0]["end"] == 17 and new.endswith(". Next")
+    assert pii.replace("password: =========", b"k")[1] == []
+    assert [p["kind"] for p in pii.replace("token: first.last9@mail.example.com", b"k")[1]] == ["email"]
+
+
 def test_pseudonyms_link_documents(spark):
     rows = [(1, "call +1 (788) 555-7546"), (2, "or +1 (788) 555-7546."), (3, None), (4, "")]
     out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame([(*r, 9) for r in rows], SCHEMA + ", places int")).collect()}

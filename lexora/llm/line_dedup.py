@@ -25,15 +25,22 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, UPPER.lower())
 
 
+def text_key(text: Column) -> list[Column]:
+    """Two xxhash64 values that tell texts of one id apart."""
+    own = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(own), F.xxhash64(F.lit(1), own)]
+
+
 def common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """The lines as a saved table (doc, pos, h1, h2), and the key hashes found in at least min_docs documents.
+    """The lines as a saved table (doc, t1, t2, pos, h1, h2; t1 and t2 know the text), and the key hashes found in at least min_docs documents.
 
     A key is known by two xxhash64 values with different seeds, 128 bits together. A document counts once
     however often it has a line: keys are made distinct per document before anything is shuffled by key.
     """
-    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
-    keyed = lines.select("doc", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    keyed = save(keyed.select("doc", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "lines")
+    t1, t2 = text_key(F.col(text_col))
+    lines = docs.select(F.col(id_col).alias("doc"), t1.alias("t1"), t2.alias("t2"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+    keyed = lines.select("doc", "t1", "t2", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    keyed = save(keyed.select("doc", "t1", "t2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "lines")
     # (document, key) pairs are made distinct first, then counted by key; both steps combine before the shuffle
     once = keyed.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
     return keyed, save(once.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"), "common")
@@ -44,14 +51,17 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased; keys of at least min_chars
     code points found in at least min_docs documents lose all their lines. Null and empty texts have one empty
-    line and stay as they are; rows of a null id, whose lines count as those of one document, and rows of an
-    equal id are treated alike. All other columns are kept.
+    line and stay as they are; rows of a null id and rows of an
+    equal id count as one document, but each loses only lines of its own text. All other columns are kept.
     """
     keyed, common = common_lines(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, min_chars=min_chars)
-    gone = fresh(docs, "gone")
+    gone, row = fresh(docs, "gone"), fresh(docs, "row")
     # Both sides are exchanged by key, so that large keys can be split
-    hit = keyed.join(common, ["h1", "h2"]).groupBy("doc").agg(F.collect_set("pos").alias(gone))
-    out = docs.join(hit, F.col(id_col).eqNullSafe(F.col("doc")), "left").drop("doc")
+    hit = keyed.join(common, ["h1", "h2"]).groupBy("doc", "t1", "t2").agg(F.collect_set("pos").alias(gone))
+    hit = hit.select(F.struct("doc", "t1", "t2").alias(row), gone)
+    t1, t2 = text_key(F.col(text_col))
+    mine = F.struct(F.col(id_col).alias("doc"), t1.alias("t1"), t2.alias("t2"))
+    out = docs.join(hit, mine.eqNullSafe(F.col(row)), "left").drop(row)
     lost = F.coalesce(F.col(gone), F.array().cast("array<int>"))
 
     def without(lines: Column) -> Column:

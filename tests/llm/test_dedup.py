@@ -84,6 +84,13 @@ def test_line_dedup(spark):
     assert line_dedup.digest(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_line_dedup_keeps_texts_of_one_id_apart(spark):
+    rows = [(i, f"own {i}\ncommon") for i in range(5)] + [(None, "common\nmine"), (None, "clean\nlines"), (9, "common\nmine"), (9, "short"), (9, None)]
+    got = line_dedup.drop_common_lines(spark.createDataFrame(rows, SCHEMA), min_docs=5).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.text, r.n_dropped) for r in got if r.doc_id in (None, 9)} == {(None, "mine", 1), (None, "clean\nlines", 0), (9, "mine", 1), (9, "short", 0), (9, None, 0)}
+
+
 def sets_of(rows):
     out = {}
     low = str.maketrans(line_dedup.UPPER, line_dedup.UPPER.lower())

@@ -18,9 +18,11 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where it is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named in spark.checkpoint.dir. Where it is unset, a folder of this machine, which only a local session can use."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-lexora-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -37,11 +39,9 @@ def save(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables made by save() that no later plan reads."""
+    """Empty tables made by save() that no later plan reads: an overwrite deletes their files."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(df._scratch_path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -76,12 +76,15 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(which: str, n: int) -> np.ndarray:
-    have = _powers.get(which)
-    if have is None or len(have) < n:
+    """Powers of the step, or of its inverse; those of a block are kept, those of a longer word are not."""
+    made = _powers.get(which)
+    if made is None or len(made) < n:
         base = np.full(max(n, BLOCK + 4096), _STEP if which == "up" else _STEP_INV, dtype=np.uint64)
         base[0] = 1
-        _powers[which] = have = np.cumprod(base)
-    return have[:n]
+        made = np.cumprod(base)
+        if n <= BLOCK + 4096:
+            _powers[which] = made
+    return made[:n]
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -167,8 +170,3 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
-
-
-def unlimited(df: DataFrame) -> DataFrame:
-    """Columns doc_id and text alone, as long and string."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -12,11 +12,14 @@ import json
 import os
 import re
 import unicodedata
+from itertools import islice
 
 import numpy as np
 
-#: Pieces remembered by a worker; the memory is emptied when it is full.
-REMEMBER = 1_600_000
+#: Pieces remembered by a worker, some 60 MB; the memory is emptied when it is full, and at the end of a task.
+REMEMBER = 300_000
+#: Characters of a text, or pieces, that are handled at once.
+LONG = 1_000_000
 
 #: Code points split here: ASCII with its usual white space, Latin letters and signs, common punctuation.
 PLAIN = [0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x250), *range(0x2010, 0x2028), 0x2030, 0x2039, 0x203A, 0x20AC]
@@ -46,70 +49,57 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+class Pieces(dict):
+    """piece: its ids as little-endian 32-bit numbers; a piece that isn't known is encoded by the model."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]
+        self[piece] = found = np.array(ids, "<u4").tobytes()
+        return found
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
         with open(path) as f:
             config = json.load(f)
         self.kind = "word" if config.get("normalizer") else "byte"
         self.special = [t["content"] for t in config.get("added_tokens", [])]
-        self.clear()
+        self.known = Pieces(self.library.model)
 
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
-        self.used = 0
+    def release(self) -> None:
+        """Forget all pieces: workers outlive tasks and stages."""
+        self.known.clear()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, new: list[str]) -> None:
-        room = lambda a, n: np.concatenate([a, np.zeros(len(a), a.dtype)]) if n > len(a) else a
-        for piece in new:
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]
-            k, end = len(self.number), self.used + len(ids)
-            while end > len(self.ids):
-                self.ids = room(self.ids, end)
-            self.start, self.count = room(self.start, k + 1), room(self.count, k + 1)
-            self.ids[self.used : end] = ids
-            self.start[k], self.count[k] = self.used, len(ids)
-            self.used = end
-            self.number[piece] = k
-
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self.whole(text)
-        pieces = _PIECES[self.kind].findall(text.lower() if self.kind == "word" else text)
-        if not pieces:
-            return np.zeros(0, np.uint32)
-        known = list(map(self.number.get, pieces))
-        if None in known:
-            if len(self.number) > REMEMBER:
-                self.clear()
-                known = [None] * len(pieces)
-            new = [i for i, k in enumerate(known) if k is None]
-            self.learn([p for p in dict.fromkeys([pieces[i] for i in new]) if p not in self.number])
-            for i in new:
-                known[i] = self.number[pieces[i]]
-        k = np.array(known)
-        count = self.count[k]
-        end = np.cumsum(count)
-        return self.ids[np.arange(end[-1]) + np.repeat(self.start[k] - (end - count), count)]
+        text, pattern, parts = text.lower() if self.kind == "word" else text, _PIECES[self.kind], []
+        # A long text's pieces are not all held at once
+        rest = iter([pattern.findall(text)]) if len(text) <= LONG else iter(lambda m=pattern.finditer(text): [x.group() for x in islice(m, LONG)], [])
+        for pieces in rest:
+            if len(self.known) > REMEMBER:
+                self.release()
+            parts.append(b"".join(map(self.known.__getitem__, pieces)))
+        return np.frombuffer(b"".join(parts), "<u4")
 
 
 _made: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; kept from task to task."""
+    """The worker's encoder for a tokenizer file, kept from task to task; its memory of pieces is the task's to release."""
     if path not in _made:
         _made[path] = Encoder(path)
     return _made[path]

@@ -166,6 +166,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
                         rows[name].append(value)
                     seen[kind, size] += 1
             yield pa.RecordBatch.from_pydict(rows, schema=_CUTS)
+        enc.release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, CUTS)
 

@@ -114,6 +114,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, b
                     number, held, parts, size = number + 1, [], [], 0
         if held:
             yield pa.RecordBatch.from_pylist([_block(shard, number, held, parts, width)], schema=_ARROW)
+        enc.release()
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(blocks, SCHEMA).write.option("compression", "zstd").parquet(path)

@@ -25,7 +25,8 @@ def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(encoding, "REMEMBER", 5)
     path = encoding.tokenizer_path("byte_bpe_50k.json")
     whole, own = Tokenizer.from_file(path), encoding.Encoder(path)
-    for t in TEXTS * 2:
+    monkeypatch.setattr(encoding, "LONG", 7)
+    for t in TEXTS * 2 + ["some words of a longer text 123  and\n\n more, it's so"]:
         assert own.encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 

@@ -14,9 +14,11 @@ from lexora.operators.trials import require
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the cluster's shared folder; a local one only where spark.checkpoint.dir is unset."""
+    """A new path in the cluster's shared folder; one of this machine only where spark.checkpoint.dir is unset and the session is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-lexora-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{label}-{uuid.uuid4().hex}"

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexora.functions.stats import pearson, spearman
 from lexora.functions.text import uniform
+from lexora.operators.vocab import attach, numbered
 
 C = F.col
 
@@ -55,11 +56,11 @@ def correlation_report(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
 
 def halves(df: DataFrame, cell: list[str], unit: str, seed: str, first_larger: bool = True) -> DataFrame:
     """df with half 1 or 2: units of each cell in a fixed random order; an odd one goes to the first half, or else to the second."""
-    w = Window.partitionBy(*cell)
     u = df.withColumn("_u", uniform(*[C(c) for c in cell], C(unit), seed=seed))
-    k, n = F.row_number().over(w.orderBy("_u", unit)), F.count("*").over(w)
+    placed = numbered(u, [F.asc("_u"), F.asc(unit)], "_k", tuple(cell))
+    sizes = placed.groupBy(*cell).agg(F.max("_k").alias("_n"))
     cut = F.ceil(C("_n") / 2) if first_larger else F.floor(C("_n") / 2)
-    return u.withColumns({"_k": k, "_n": n}).withColumn("half", F.when(C("_k") <= cut, 1).otherwise(2)).drop("_u", "_k", "_n")
+    return attach(placed, sizes, tuple(cell)).withColumn("half", F.when(C("_k") <= cut, 1).otherwise(2)).drop("_u", "_k", "_n")
 
 
 def split_half(trials: DataFrame, seed: str = "split") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexora.functions.text import uniform
+from lexora.operators.vocab import numbered
 
 
 def race_key(weight: Column, u: Column) -> Column:
@@ -26,12 +27,14 @@ def draws(source: DataFrame, reps: int, seed: int = 7, by: tuple[str, ...] = ("c
 def sample_orderings(source: DataFrame, reps: int, seed: int = 7, *, k: int | None = None, by: tuple[str, ...] = ("context",)) -> DataFrame:
     """(by..., rep, token, position): positive weights first by the race, then the others; the first k positions if given.
 
-    With k, Spark keeps k rows of each (context, repetition) per task before the shuffle.
+    With k, Spark keeps k rows of each (context, repetition) per task before the shuffle; without, no task holds
+    more of an ordering than its range.
     """
-    w = Window.partitionBy(*by, "rep").orderBy((F.col("weight") > 0).desc(), "key", "token")
-    out = draws(source, reps, seed, by).withColumn("position", F.row_number().over(w) - 1)
-    if k is not None:
-        out = out.where(F.col("position") < k)
+    order, out = [F.desc("heavy"), F.asc("key"), F.asc("token")], draws(source, reps, seed, by).withColumn("heavy", F.col("weight") > 0)
+    if k is None:  # a whole vocabulary: ranges are sorted apart
+        out = numbered(out.select(*by, "rep", "token", "heavy", "key"), order, "line", (*by, "rep")).withColumn("position", F.col("line") - 1)
+    else:
+        out = out.withColumn("position", F.row_number().over(Window.partitionBy(*by, "rep").orderBy(*order)) - 1).where(F.col("position") < k)
     return out.select(*by, "rep", "token", "position")
 
 

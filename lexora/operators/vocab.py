@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexora.sources.files import saved
+
 
 def cloze_positive(responses: DataFrame) -> DataFrame:
     """(context, word, frequency, cloze_probability): answers by participants who gave any in the context."""
@@ -16,9 +18,9 @@ def cloze_positive(responses: DataFrame) -> DataFrame:
 def cloze_negative(frequencies: DataFrame, positive: DataFrame) -> DataFrame:
     """Negative answers get flipped ranks below the smallest positive probability: (1 - f / max f) * (min p - 1e-12), 0 where that has no meaning."""
     cap = positive.where("cloze_probability > 0").groupBy("context").agg((F.min("cloze_probability") - 1e-12).alias("_cap"))
-    top = F.max("frequency").over(Window.partitionBy("context"))
+    top = F.col("_top")
     p = F.when((F.col("_cap") > 0) & (top > 0), F.greatest(F.lit(0.0), 1 - F.col("frequency") / top) * F.col("_cap")).otherwise(0.0)
-    return frequencies.join(F.broadcast(cap), "context", "left").withColumn("cloze_probability", p).drop("_cap")
+    return with_total(frequencies, F.max("frequency"), "_top").join(cap, "context", "left").withColumn("cloze_probability", p).drop("_cap", "_top")
 
 
 def merge_cloze(df: DataFrame) -> DataFrame:
@@ -30,14 +32,14 @@ def merge_cloze(df: DataFrame) -> DataFrame:
 def restrict_cloze(df: DataFrame, max_words: int) -> DataFrame:
     """Words of at most max_words parts, repeats summed and counted, probabilities renormalised by context."""
     kept = df.where(F.size(F.split(F.trim("word"), r"\s+")) <= max_words).groupBy("context", "word").agg(F.sum("cloze_probability").alias("p"), F.count("*").alias("sources"))
-    return kept.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("context")))
+    return with_total(kept, F.sum("p"), "_t").withColumn("p", F.col("p") / F.col("_t")).drop("_t")
 
 
 def cloze_source(df: DataFrame) -> DataFrame:
     """(context, token, weight), normalised; a context without mass is an error. Tokens match exactly, neither trimmed nor lowered."""
-    total = F.sum("cloze_probability").over(Window.partitionBy("context"))
+    total = F.col("_t")
     bad = F.raise_error(F.concat(F.lit("no probability mass in "), F.col("context"))).cast("double")
-    return df.select("context", F.col("word").alias("token"), F.when(total > 0, F.col("cloze_probability") / F.when(total > 0, total)).otherwise(bad).alias("weight"))
+    return with_total(df, F.sum("cloze_probability"), "_t").select("context", F.col("word").alias("token"), F.when(total > 0, F.col("cloze_probability") / F.when(total > 0, total)).otherwise(bad).alias("weight"))
 
 
 def frequency_source(counts: DataFrame, required: DataFrame, *, background: int | None = None, cap: int | None = None, keep_zero: bool = False) -> DataFrame:
@@ -56,14 +58,13 @@ def frequency_source(counts: DataFrame, required: DataFrame, *, background: int
 
 def logprob_source(scores: DataFrame, top: int, required: DataFrame | None = None) -> DataFrame:
     """(context, token, weight): the top finite scores of a context and its required words, as a softmax."""
-    finite = scores.where(~F.isnan("logprob") & (F.abs("logprob") < float("inf")))
-    ranked = finite.withColumn("rk", F.row_number().over(Window.partitionBy("context").orderBy(F.desc("logprob"), "token")))
+    finite = scores.where(~F.isnan("logprob") & (F.abs("logprob") < float("inf"))).select("context", "token", "logprob")
+    rank = F.row_number().over(Window.partitionBy("context").orderBy(F.desc("logprob"), "token"))
+    kept = finite.withColumn("_rk", rank).where(F.col("_rk") <= top).drop("_rk")  # each task keeps `top` rows of a context
     if required is not None:
-        ranked = ranked.join(required.select("context", "token").distinct().withColumn("_r", F.lit(1)), ["context", "token"], "left")
-    kept = ranked.where((F.col("rk") <= top) | (F.col("_r") == 1) if required is not None else F.col("rk") <= top)
-    w = Window.partitionBy("context")
-    e = F.exp(F.col("logprob") - F.max("logprob").over(w))
-    return kept.withColumn("e", e).select("context", "token", (F.col("e") / F.sum("e").over(w)).alias("weight"))
+        kept = kept.unionByName(finite.join(required.select("context", "token").distinct(), ["context", "token"], "left_semi")).distinct()
+    best = with_total(kept, F.max("logprob"), "_m").withColumn("_e", F.exp(F.col("logprob") - F.col("_m")))
+    return with_total(best, F.sum("_e"), "_t").select("context", "token", (F.col("_e") / F.col("_t")).alias("weight"))
 
 
 def uniform_source(vocab: DataFrame, k: int) -> DataFrame:
@@ -80,16 +81,33 @@ def vocab_at_least(counts: DataFrame, targets: DataFrame) -> DataFrame:
     return numbered(kept.select("token", "count"), [F.desc("count"), F.asc("token")])
 
 
-def numbered(df: DataFrame, order: list, name: str = "line") -> DataFrame:
-    """df with 1-based numbers in the given order: ranges are sorted apart, and numbers offset by the rows of ranges before.
+def with_total(df: DataFrame, total: Column, name: str, by: tuple[str, ...] = ("context",)) -> DataFrame:
+    """df with an aggregate of its group: summed map-side and joined, so that a large group is in no single task."""
+    return attach(df, df.groupBy(*by).agg(total.alias(name)), by)
+
+
+def attach(df: DataFrame, groups: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """df with the other columns of groups, which has one row for each `by`; a null group meets itself."""
+    named = groups.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return df.join(named, on).drop(*[f"_of_{c}" for c in by])
+
+
+def numbered(df: DataFrame, order: list, name: str = "line", by: tuple[str, ...] = ()) -> DataFrame:
+    """df with 1-based numbers in the given order (within `by`): ranges are sorted apart, and numbers offset by the rows of ranges before.
 
-    df must be cheap or saved: Spark samples it once to find the ranges.
+    Spark samples df once to find the ranges. The sorted rows are saved with their places, as a second run of the
+    same plan may cut other ranges.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    inner = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    base = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inner.join(F.broadcast(base), "_p").withColumn(name, F.col("_k") + F.col("_b")).drop("_p", "_k", "_n", "_b")
+    keys = [F.col(c) for c in by]
+    ranged = saved(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    rows = ranged.withColumn("_p", F.shiftright("_m", 33))
+    parts = rows.groupBy("_p", *by).agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = parts.select("_p", *by, (before - F.col("_first") + 1).alias("_b"))
+    return attach(rows, base, ("_p", *by)).select(*df.columns, (F.col("_m") + F.col("_b")).alias(name))
 
 
 def bigram_scores(bigrams: DataFrame, unigrams: DataFrame) -> DataFrame:
@@ -144,7 +162,7 @@ def top_words(source: DataFrame, k: int, ties: bool = False) -> DataFrame:
 
 def word_position(source: DataFrame, words: DataFrame) -> DataFrame:
     """words (context, token) with their 0-based position by weight; null if absent."""
-    pos = source.select("context", "token", (F.row_number().over(Window.partitionBy("context").orderBy(F.desc("weight"), "token")) - 1).alias("position"))
+    pos = numbered(source.select("context", "token", "weight"), [F.desc("weight"), F.asc("token")], "_k", ("context",)).select("context", "token", (F.col("_k") - 1).alias("position"))
     return words.join(pos, ["context", "token"], "left")
 
 

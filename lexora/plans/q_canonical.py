@@ -50,7 +50,7 @@ def scales(spark, d):
     """Published rates: every third cell's rate is rounded to one digit, so that its counts can't be recovered."""
     cells = J.response_counts(study.trials(spark, d)).withColumn("_r", F.length(F.concat("trigger", "query")) % 3)
     pub = cells.select("context", "trigger", "query", F.when(C("_r") == 0, F.round("human_rate", 1)).otherwise(C("human_rate")).alias("rate"), F.when(C("_r") != 0, C("human_total")).alias("total"))
-    out = J.recovered(pub, study.dist(spark, d, 6).where("rk = 6").select(C("token").alias("trigger")).distinct())
+    out = J.recovered(pub, study.top(spark, d, 6).where("rk = 6").select(C("token").alias("trigger")).distinct())
     return J.canonical(out, scores(spark, d, "no_frame"), None, family="scales", dataset="scales", condition="base", human_file="published", score_file="counts")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexora.functions import stats as S
 from lexora.functions.text import uniform
 from lexora.operators import sampling, structures
+from lexora.operators.vocab import with_total
 
 from . import study
 from .study import query, u_sql
@@ -15,9 +16,9 @@ from .study import query, u_sql
 REPS = 20
 BOUNDARIES = (5, 10)
 
-#: SQL of draws with weights n (every seventh rank has none), as in sampling.sample_orderings.
+#: SQL of draws with weights n (words of a length that seven divides have none), as in sampling.sample_orderings.
 DRAWS = f"""
-WITH src AS (SELECT context, token, rk, CASE WHEN rk % 7 = 0 THEN 0.0 ELSE n::DOUBLE END AS weight FROM dist),
+WITH src AS (SELECT context, token, rk, CASE WHEN length(token) % 7 = 0 THEN 0.0 ELSE n::DOUBLE END AS weight FROM dist),
 reps AS (SELECT unnest(generate_series(0, {REPS - 1})) AS rep),
 keyed AS (SELECT s.*, rep, CASE WHEN weight > 0 THEN -ln({u_sql("context", "rep", "token")}) / weight ELSE -ln({u_sql("context", "rep", "token")}) END AS key FROM src s CROSS JOIN reps),
 pos AS (SELECT context, rep, token, row_number() OVER (PARTITION BY context, rep ORDER BY (weight > 0) DESC, key, token) - 1 AS position FROM keyed)
@@ -38,7 +39,7 @@ results AS (SELECT l.structure, l.set_boundary, t.context, t.trigger, t.query, t
 
 
 def source(spark, d):
-    return study.dist(spark, d).select("context", "token", "rk", F.expr("CASE WHEN rk % 7 = 0 THEN 0.0D ELSE CAST(n AS DOUBLE) END").alias("weight"))
+    return study.dist(spark, d).select("context", "token", F.expr("CASE WHEN length(token) % 7 = 0 THEN 0.0D ELSE CAST(n AS DOUBLE) END").alias("weight"))
 
 
 def positions(spark, d, k=None):
@@ -72,7 +73,7 @@ def e3(spark, d):
 
 @query("e4_set_from_ordering", DRAWS + "SELECT context, rep, count(*) AS size, min(token) AS first_token FROM pos WHERE position < 10 GROUP BY context, rep")
 def e4(spark, d):
-    return sampling.set_from_ordering(positions(spark, d), 10).groupBy("context", "rep").agg(F.count("*").alias("size"), F.min("token").alias("first_token"))
+    return sampling.set_from_ordering(positions(spark, d, 10), 10).groupBy("context", "rep").agg(F.count("*").alias("size"), F.min("token").alias("first_token"))
 
 
 @query("e5_random_size_sets", DRAWS + f""", sizes AS (SELECT context, rep, (2 + floor({u_sql("context", "rep", seed="7s")} * (count(*) - 1)))::INT AS size FROM pos GROUP BY context, rep)
@@ -92,7 +93,7 @@ keyed AS (SELECT *, -ln({u_sql("context", "trigger", "rep", "token")}) / weight
 SELECT context, trigger, rep, token, row_number() OVER (PARTITION BY context, trigger, rep ORDER BY key, token) - 1 AS position FROM keyed""")
 def e7(spark, d):
     shown = study.pairs(spark, d).select("context", "trigger").distinct()
-    words = study.dist(spark, d, 20).select("context", "token", F.col("n").cast("double").alias("weight"))
+    words = study.top(spark, d, 20).select("context", "token", F.col("n").cast("double").alias("weight"))
     return sampling.sample_orderings(shown.join(words, "context").where("token <> trigger"), 5, by=("context", "trigger"))
 
 
@@ -138,7 +139,7 @@ def f9(spark, d):
 
 def _scored_pairs(spark, d):
     s = study.scores(spark, d).select("context", "token", "logprob")
-    return study.pairs(spark, d).join(s.select("context", F.col("token").alias("query"), F.col("logprob").alias("lq")), ["context", "query"]).join(s.select("context", F.col("token").alias("trigger"), F.col("logprob").alias("lt")), ["context", "trigger"])
+    return F.broadcast(study.pairs(spark, d)).join(s.select("context", F.col("token").alias("query"), F.col("logprob").alias("lq")), ["context", "query"]).join(s.select("context", F.col("token").alias("trigger"), F.col("logprob").alias("lt")), ["context", "trigger"])
 
 
 #: SQL of estimates on positions cached up to 40, a missing one standing after all.
@@ -237,7 +238,7 @@ def f20(spark, d):
 SELECT context, count(*) AS n, sum(CASE WHEN neg = 1 AND p > 0 THEN ln(p) WHEN neg = 0 AND p < 1 THEN ln(1 - p) ELSE 0 END) AS log_likelihood FROM x GROUP BY context""")
 def f21(spark, d):
     w = Window.partitionBy("context")
-    p = study.dist(spark, d, 4).select("context", F.col("token").alias("query"), (F.col("n") / F.sum("n").over(w)).alias("p"))
+    p = study.top(spark, d, 4).select("context", F.col("token").alias("query"), (F.col("n") / F.sum("n").over(w)).alias("p"))
     q = F.when(F.col("neg") == 1, F.col("p")).otherwise(1 - F.col("p"))
     x = study.trials(spark, d).join(p, ["context", "query"], "left").fillna(0.0, ["p"])
     return x.groupBy("context").agg(F.count("*").alias("n"), F.sum(F.when(q > 0, F.log(q)).otherwise(0.0)).alias("log_likelihood"))
@@ -266,7 +267,7 @@ def f23(spark, d):
 def f24(spark, d):
     src = source(spark, d)
     asked = study.pairs(spark, d).select("context", F.col("query").alias("token")).distinct()
-    share = src.withColumn("direct", F.col("weight") / F.sum("weight").over(Window.partitionBy("context"))).select("context", "token", "direct")
+    share = with_total(src, F.sum("weight"), "all_weight").select("context", "token", (F.col("weight") / F.col("all_weight")).alias("direct"))
     found = positions(spark, d, 10).groupBy("context", "token").agg((F.count("*") / float(REPS)).alias("empirical"))
     return asked.join(share, ["context", "token"]).join(found, ["context", "token"], "left").fillna(0.0, ["empirical"]).select("context", F.col("token").alias("query"), "empirical", "direct")
 

@@ -9,6 +9,7 @@ from lexora.functions import stats as S
 from lexora.operators import agreement as A
 from lexora.operators import calibrate as G
 from lexora.operators import reports as R
+from lexora.operators.vocab import numbered
 
 from . import q_models as M
 from . import study
@@ -157,7 +158,7 @@ _AGREE = "WITH x AS (SELECT m.source, m.context, m.token, m.n::DOUBLE AS a, d.n:
 
 def _both(spark, d):
     own = study.dist(spark, d).select("context", "token", C("n").cast("double").alias("b"))
-    return study.model_counts(spark, d).select("source", "context", "token", C("n").cast("double").alias("a")).join(F.broadcast(own), ["context", "token"])
+    return study.model_counts(spark, d).select("source", "context", "token", C("n").cast("double").alias("a")).join(own, ["context", "token"])
 
 
 @query("h1_pearson", _AGREE + " SELECT source, context, count(*) AS n, CASE WHEN count(*) > 1 AND min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END AS r FROM x GROUP BY ALL")
@@ -235,8 +236,9 @@ j AS (SELECT hum.*, position FROM hum LEFT JOIN src USING (context, word))"""
 @query("h11_rank_vs_source", _H11 + ", o AS (SELECT context, corr(rank_a, rank_b) AS rho FROM (SELECT context, rank() OVER (PARTITION BY context ORDER BY human_position) AS rank_a, rank() OVER (PARTITION BY context ORDER BY position) AS rank_b FROM j WHERE position IS NOT NULL) GROUP BY context) SELECT context, count(*) AS n_human_words, count(position) AS n_overlap, any_value(rho) AS rho FROM j LEFT JOIN o USING (context) GROUP BY context")
 def h11(spark, d):
     n = responses(spark, d).groupBy("context", "word").agg(F.count("*").alias("n"))
-    hum = n.select("context", "word", (F.row_number().over(Window.partitionBy("context").orderBy(F.desc("n"), "word")) - 1).alias("human_position"))
-    j = hum.join(study.dist(spark, d).select("context", C("token").alias("word"), (C("rk") - 1).alias("position")), ["context", "word"], "left")
+    hum = numbered(n, [F.desc("n"), F.asc("word")], "k", ("context",)).select("context", "word", (C("k") - 1).alias("human_position"))
+    src = numbered(study.dist(spark, d), [F.desc("n"), F.asc("token")], "k", ("context",)).select("context", C("token").alias("word"), (C("k") - 1).alias("position"))
+    j = hum.join(src, ["context", "word"], "left")
     counts = j.groupBy("context").agg(F.count("*").alias("n_human_words"), F.count("position").alias("n_overlap"))
     rho = S.spearman(j.withColumns({"human_position": C("human_position").cast("double"), "position": C("position").cast("double")}), ["context"], "human_position", "position").select("context", "rho")
     return counts.join(rho, "context", "left")
@@ -391,7 +393,7 @@ def i17(spark, d):
 @query("i18_cells_with_rank", "SELECT context, trigger, query, avg(neg) AS mean, stddev_samp(neg) AS sd, any_value(rt) AS trigger_rank, any_value(rq) AS query_rank FROM trials GROUP BY context, trigger, query")
 def i18(spark, d):
     cell = study.trials(spark, d).groupBy(*R.CELL).agg(F.avg("neg").alias("mean"), F.stddev_samp("neg").alias("sd"))
-    ranks = study.dist(spark, d, 6).select("context", "token", "rk")
+    ranks = study.top(spark, d, 6).select("context", "token", "rk")
     return cell.join(ranks.select("context", C("token").alias("trigger"), C("rk").alias("trigger_rank")), ["context", "trigger"]).join(ranks.select("context", C("token").alias("query"), C("rk").alias("query_rank")), ["context", "query"])
 
 
@@ -429,10 +431,10 @@ def i23(spark, d):
 # ---------------------------------------------------------------- K: similarity
 
 
-@query("k1_cosine_neighbours", """WITH t AS (SELECT vec_id AS target, embedding AS te FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT target, vec_id, list_sum(list_transform(list_zip(te, embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (sqrt(list_sum(list_transform(te, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS cosine FROM t, embeddings WHERE vec_id <> target)
+@query("k1_cosine_neighbours", """WITH t AS (SELECT vec_id AS target, embedding AS te FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT target, vec_id, list_sum(list_transform(list_zip(te, embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (sqrt(list_sum(list_transform(te, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS cosine FROM t, embeddings WHERE vec_id <> target)
 SELECT target, vec_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(cosine, 9) DESC, vec_id) AS rk FROM s) WHERE rk <= 5""")
 def k1(spark, d):
     from lexora.operators.similarity import nearest
 
     e = study.table(spark, d, "embeddings").select("vec_id", "embedding")
-    return nearest(e, e.where("vec_id % 100 = 0").select(C("vec_id").alias("target"), C("embedding").alias("_t")), 5)
+    return nearest(e, e.where("vec_id % 50 = 0").select(C("vec_id").alias("target"), C("embedding").alias("_t")), 5)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexora.operators import trials as P
@@ -36,19 +35,12 @@ gbi AS (SELECT token, sum(count)::BIGINT AS count FROM bi GROUP BY token), guni
 want AS (SELECT DISTINCT query AS token FROM pairs UNION SELECT token FROM gbi WHERE token LIKE 'the %')"""
 
 
-def bigrams(spark, d):
-    """(context, token, count) of adjacent words of a document."""
-    nxt = F.lead("token").over(Window.partitionBy("doc_id").orderBy("pos"))
-    both = study.words(spark, d).withColumn("nxt", nxt).where("nxt is not null")
-    return both.select("context", F.concat_ws(" ", "token", "nxt").alias("token")).groupBy("context", "token").agg(F.count("*").alias("count"))
-
-
 def gbi(spark, d):
-    return bigrams(spark, d).groupBy("token").agg(F.sum("count").alias("count"))
+    return study.bigrams(spark, d).groupBy("token").agg(F.sum("count").alias("count"))
 
 
 def guni(spark, d):
-    return study.words(spark, d).groupBy("token").agg(F.count("*").alias("count"))
+    return study.unigrams(spark, d).groupBy("token").agg(F.sum("n").alias("count"))
 
 
 @query("a2_ranked_count_lookup", _GRAMS + " SELECT token, count FROM guni WHERE token IN (SELECT token FROM want) UNION ALL SELECT token, count FROM gbi WHERE token IN (SELECT token FROM want)")
@@ -86,18 +78,15 @@ def a5(spark, d):
     docs = study.documents(spark, d).select("doc_id", "lang")
     for lang in ("en", "fr", "de"):  # one folder for each result file, as a sink of one source makes
         docs.where(C("lang") == lang).write.option("header", True).csv(f"{base}/ordering_results_{lang}.csv")
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).schema("doc_id long, lang string").csv(base)
-    named = raw.withColumn("p", F.col("_metadata.file_path"))
-    out = named.select(F.regexp_extract("p", "/([a-z]+)_results_", 1).alias("structure"), F.regexp_extract("p", r"_results_([^/]+)\.csv", 1).alias("source"))
-    return out.where(C("source").isin("en", "fr")).groupBy("structure", "source").agg(F.count("*").alias("n"))
+    return files.collect_results(spark, base, ["ordering"], ["en", "fr"]).groupBy("structure", "source").agg(F.count("*").alias("n"))
 
 
 @query("a6_word_list", "SELECT context, count(*) AS n, min(token) AS first, max(rk) AS last_line FROM dist GROUP BY context")
 def a6(spark, d):
-    ordered = F.array_sort(F.collect_list(F.struct("rk", "token")))
-    lists = study.dist(spark, d).groupBy("context").agg(F.array_join(F.transform(ordered, lambda s: s["token"]), "\n").alias("text"))
-    rows = lists.select("context", F.posexplode(F.split("text", "\n")).alias("i", "token"))
-    return rows.groupBy("context").agg(F.count("*").alias("n"), F.min("token").alias("first"), F.max(C("i") + 1).cast("long").alias("last_line"))
+    path, order = files.scratch_path(spark, "vocab"), ["context", F.desc("n"), F.asc("token")]
+    ordered = study.dist(spark, d).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select("context", "token").write.partitionBy("context").text(path)
+    return files.read_vocab(spark, path).groupBy("context").agg(F.count("*").alias("n"), F.min("token").alias("first"), F.max("line").alias("last_line"))
 
 
 @query("a7_norm_lists", """WITH w AS (SELECT *, row_number() OVER (PARTITION BY context, trigger ORDER BY query) AS i FROM pairs)
@@ -140,7 +129,8 @@ def a10(spark, d):
 
 @query("a11_json_manifest", """SELECT context, '{"tokens":' || count(*) || ',"sources":{"head":' || sum((rk <= 10)::INT) || ',"tail":' || sum((rk > 10)::INT) || '},"first":"' || min(token) || '","last":"' || max(token) || '","budget":60}' AS record FROM dist GROUP BY context""")
 def a11(spark, d):
-    sel = study.dist(spark, d).withColumn("selection_source", F.when(C("rk") <= 10, "head").otherwise("tail"))
+    head = study.top(spark, d, 10).select("context", "token", F.lit("head").alias("selection_source"))
+    sel = study.dist(spark, d).join(F.broadcast(head), ["context", "token"], "left").fillna("tail", ["selection_source"])
     return files.manifest(sel, budget=60)
 
 
@@ -177,7 +167,8 @@ WHEN NOT EXISTS (SELECT 1 FROM sup s WHERE s.context = t.context AND s.token = t
 
 
 def _support(spark, d):
-    return study.dist(spark, d).where("rk not in (2, 5) and context <> 'de'").select("context", "token")
+    gone = study.top(spark, d, 5).where("rk in (2, 5)").select("context", "token")
+    return study.dist(spark, d).where("context <> 'de'").select("context", "token").join(F.broadcast(gone), ["context", "token"], "left_anti")
 
 
 @query("c5_support_filter", "WITH one AS (SELECT 1)" + _REASON + " SELECT context, coalesce(reason, 'kept') AS reason, count(*) AS n FROM marked GROUP BY ALL")
@@ -259,6 +250,7 @@ _RESP = "WITH resp AS (SELECT lang AS context, doc_id AS participant, regexp_ext
 _CLOZE = _RESP + """, people AS (SELECT context, count(DISTINCT participant) AS n FROM resp GROUP BY context), cloze AS (SELECT r.context, word, count(*) AS frequency, count(*) / any_value(p.n)::DOUBLE AS cloze_probability FROM resp r JOIN people p USING (context) GROUP BY r.context, word)"""
 
 
+@study.once("responses")
 def responses(spark, d):
     """Each document's first word as a participant's answer."""
     w = F.element_at(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), 1)
@@ -321,7 +313,7 @@ def d8(spark, d):
 
 @query("d9_logprob_source", "SELECT context, token, exp(logprob) / sum(exp(logprob)) OVER (PARTITION BY context) AS weight FROM scores s WHERE token IN (SELECT token FROM dist x WHERE x.context = s.context AND (x.rk <= 12 OR x.rk = 40))")
 def d9(spark, d):
-    return V.logprob_source(study.scores(spark, d), 12, study.dist(spark, d).where("rk = 40"))
+    return V.logprob_source(study.scores(spark, d), 12, study.top(spark, d, 40).where("rk = 40"))
 
 
 @query("d10_uniform_source", "SELECT context, count(*) AS n, least(1.0, 10 / count(*)::DOUBLE) AS p_set, 0.5 AS p_above FROM counts GROUP BY context")
@@ -396,4 +388,4 @@ def d20(spark, d):
 @query("d21_available_contexts", "SELECT context, count(*) AS scored FROM scores WHERE context <> 'fr' GROUP BY context HAVING count(*) >= 60")
 def d21(spark, d):
     s = study.scores(spark, d).where("not (context = 'fr' and n % 2 = 0)")
-    return V.available_contexts(s.unionByName(study.scores(spark, d).where("context = 'fr' and 1 = 0")), study.pairs(spark, d).select("context", C("query").alias("token")), 60)
+    return V.available_contexts(s, study.pairs(spark, d).select("context", C("query").alias("token")), 60)

@@ -11,16 +11,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexora.functions.text import uniform
+from lexora.operators.vocab import with_total
+from lexora.sources.files import saved
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
+#: Tables that the query being built has saved already, by name: each is made once in a call, however many views read it.
+_made: list[dict[str, DataFrame]] = []
+
+
 def query(name: str, sql: str | None = None):
     """Register a query, and the SQL over VIEWS and the driver's tables that it must equal."""
 
     def add(f):
-        QUERIES[name] = f
+        def call(spark, d):
+            _made.append({})
+            try:
+                return f(spark, d)
+            finally:
+                _made.pop()
+
+        QUERIES[name] = call
         if sql is not None:
             body = sql.strip()
             SQL[name] = VIEWS + (", " + body[5:] if body[:5].upper() == "WITH " else "\n" + body)
@@ -29,6 +42,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def once(name: str):
+    """Have a view saved by the first of a query's steps that reads it."""
+
+    def add(view):
+        def get(spark, d):
+            made = _made[-1] if _made else {}
+            if name not in made:
+                made[name] = saved(view(spark, d), name)
+            return made[name]
+
+        return get
+
+    return add
+
+
 def u_sql(*cols: str, seed: int | str = 7) -> str:
     """SQL of functions.text.uniform."""
     text = "concat_ws('|', '" + str(seed) + "', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
@@ -43,15 +71,14 @@ WITH words AS (
 ), counts AS (
   SELECT context, token, count(*) AS n FROM words WHERE length(token) >= 4 GROUP BY context, token
 ), dist AS (
-  SELECT context, token, n, rk FROM (
-    SELECT *, row_number() OVER (PARTITION BY context ORDER BY n DESC, token) AS rk FROM counts) WHERE rk <= 60
+  SELECT context, token, n, row_number() OVER (PARTITION BY context ORDER BY n DESC, token) AS rk FROM counts
 ), global_dist AS (
   SELECT token, sum(n)::BIGINT AS n FROM counts GROUP BY token
 ), pairs AS (
   SELECT a.context, a.token AS trigger, b.token AS query, a.rk AS rt, b.rk AS rq
   FROM dist a JOIN dist b ON a.context = b.context AND a.token <> b.token WHERE a.rk <= 6 AND b.rk <= 6
 ), users AS (
-  SELECT DISTINCT user_id FROM events WHERE user_id % 5 = 0
+  SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL
 ), trials AS (
   SELECT context, trigger, query, user_id, rt, rq,
          CASE WHEN {u_sql("context", "trigger", "query", "user_id")} < 0.2 + 0.4 * (rq < rt)::INT + 0.2 * (rq <= 3)::INT THEN 1 ELSE 0 END AS neg
@@ -59,8 +86,7 @@ WITH words AS (
 ), scores AS (
   SELECT context, token, n, ln(n / sum(n) OVER (PARTITION BY context)) AS logprob FROM dist
 ), model_counts AS (
-  SELECT w.source, w.context, w.token, count(*) AS n FROM words w JOIN dist d ON w.context = d.context AND w.token = d.token
-  GROUP BY w.source, w.context, w.token
+  SELECT source, context, token, count(*) AS n FROM words WHERE length(token) >= 4 GROUP BY source, context, token
 )"""
 
 
@@ -78,43 +104,67 @@ def words(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("lang").alias("context"), "source", "doc_id", F.posexplode(split).alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
 
 
+@once("unigrams")
+def unigrams(spark: SparkSession, d: str) -> DataFrame:
+    """(context, token, n) of words of any length."""
+    return words(spark, d).groupBy("context", "token").agg(F.count("*").alias("n"))
+
+
 def counts(spark: SparkSession, d: str) -> DataFrame:
-    return words(spark, d).where(F.length("token") >= 4).groupBy("context", "token").agg(F.count("*").alias("n"))
+    return unigrams(spark, d).where(F.length("token") >= 4)
+
 
+def dist(spark: SparkSession, d: str) -> DataFrame:
+    """The whole next-word distribution: (context, token, n)."""
+    return counts(spark, d)
 
-def dist(spark: SparkSession, d: str, top: int = 60) -> DataFrame:
+
+def top(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The k most frequent words of a context with their rank rk; a task keeps k rows of each."""
     w = Window.partitionBy("context").orderBy(F.desc("n"), "token")
-    return counts(spark, d).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= top)
+    return counts(spark, d).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
 def global_dist(spark: SparkSession, d: str) -> DataFrame:
-    return words(spark, d).where(F.length("token") >= 4).groupBy("token").agg(F.count("*").alias("n"))
+    return counts(spark, d).groupBy("token").agg(F.sum("n").alias("n"))
 
 
+@once("pairs")
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    top = dist(spark, d, 6)
-    a = top.select("context", F.col("token").alias("trigger"), F.col("rk").alias("rt"))
-    b = top.select("context", F.col("token").alias("query"), F.col("rk").alias("rq"))
+    """30 pairs for each language."""
+    best = top(spark, d, 6)
+    a = best.select("context", F.col("token").alias("trigger"), F.col("rk").alias("rt"))
+    b = best.select("context", F.col("token").alias("query"), F.col("rk").alias("rq"))
     return a.join(b, "context").where("trigger <> query")
 
 
 def users(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where("user_id % 5 = 0").select("user_id").distinct()
+    return table(spark, d, "events").where("user_id is not null").select("user_id").distinct()
 
 
+@once("trials")
 def trials(spark: SparkSession, d: str) -> DataFrame:
-    """The study's answers: every user is asked every pair, which is what a full design is."""
-    both = users(spark, d).crossJoin(F.broadcast(pairs(spark, d)))  # pairs: 30 for each language
+    """The study's answers: every user is asked every pair (30 for each language), which is what a full design is."""
+    asked = pairs(spark, d).agg(F.collect_list(F.struct("context", "trigger", "query", "rt", "rq")).alias("asked"))
+    each = users(spark, d).withColumn("pair", F.explode(asked.scalar())).select("user_id", "pair.*")
     p = 0.2 + 0.4 * (F.col("rq") < F.col("rt")).cast("int") + 0.2 * (F.col("rq") <= 3).cast("int")
     u = uniform(F.col("context"), F.col("trigger"), F.col("query"), F.col("user_id"))
-    return both.withColumn("neg", F.when(u < p, 1).otherwise(0)).select("context", "trigger", "query", "user_id", "rt", "rq", "neg")
+    return each.withColumn("neg", F.when(u < p, 1).otherwise(0)).select("context", "trigger", "query", "user_id", "rt", "rq", "neg")
 
 
+@once("scores")
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    total = F.sum("n").over(Window.partitionBy("context"))
-    return dist(spark, d).select("context", "token", "n", F.log(F.col("n") / total).alias("logprob"))
+    return with_total(dist(spark, d), F.sum("n"), "all_n").select("context", "token", "n", F.log(F.col("n") / F.col("all_n")).alias("logprob"))
 
 
 def model_counts(spark: SparkSession, d: str) -> DataFrame:
-    known = dist(spark, d).select("context", "token")
-    return words(spark, d).join(F.broadcast(known), ["context", "token"]).groupBy("source", "context", "token").agg(F.count("*").alias("n"))
+    return words(spark, d).where(F.length("token") >= 4).groupBy("source", "context", "token").agg(F.count("*").alias("n"))
+
+
+@once("bigrams")
+def bigrams(spark: SparkSession, d: str) -> DataFrame:
+    """(context, token, count) of adjacent words of a document, paired within its array before anything is shuffled."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
+    both = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))
+    rows = documents(spark, d).select(F.col("lang").alias("context"), w.alias("w")).where(F.size("w") > 1).select("context", F.explode(both).alias("p"))
+    return rows.select("context", F.concat_ws(" ", "p.a", "p.b").alias("token")).groupBy("context", "token").agg(F.count("*").alias("count"))

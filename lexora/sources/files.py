@@ -24,6 +24,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends there, and what reads it reads the same rows."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, required: Iterable[str], schema: str | None = None) -> DataFrame:
     """A CSV with a header; an error lists the missing columns before any work is done."""
     reader = spark.read.option("header", True)
@@ -45,11 +52,14 @@ def frequency_counts(tokens: DataFrame, unigrams: DataFrame, bigrams: DataFrame)
 def scan_ngrams(spark: SparkSession, path: str, policy: str = "letters_only", n: int = 1, prefixes: list[str] | None = None) -> DataFrame:
     """(token, count) over all years from lines token, year, match_count, volume_count; other lines are left out.
 
-    Shards lie in folders prefix2=..; with prefixes, only theirs are opened.
+    Shards lie in folders prefix2=..; with prefixes, only theirs are opened, and one without a shard is an error.
     """
     lines = spark.read.text(path)
     if prefixes is not None:
         lines = lines.where(F.col("prefix2").isin(*prefixes))
+        wanted = spark.createDataFrame([(p,) for p in prefixes], "prefix2 string")
+        if absent := [r["prefix2"] for r in wanted.join(shard_names(spark, path), "prefix2", "left_anti").collect()]:
+            raise ValueError(f"no shard for: {', '.join(sorted(absent))}")
     parts = F.split("value", "\t")
     word = POLICIES.get(policy, policy)
     pattern = "^" + " ".join([f"(?:{word})"] * n) + "$"
@@ -62,6 +72,11 @@ def shard_prefix(word: Column) -> Column:
     return F.rpad(F.substring(word, 1, 2), 2, "_")
 
 
+def shard_names(spark: SparkSession, path: str) -> DataFrame:
+    """The prefixes (column prefix2) that have a shard: names of folders alone, no file is opened."""
+    return spark.read.text(path).select(F.col("prefix2").cast("string").alias("prefix2")).distinct()
+
+
 def missing_shards(words: DataFrame, shards: DataFrame) -> DataFrame:
     """Wanted prefixes (column prefix2) that no shard has."""
     return words.select(shard_prefix(F.col("token")).alias("prefix2")).distinct().join(shards.select("prefix2").distinct(), "prefix2", "left_anti")
@@ -79,9 +94,20 @@ def collect_results(spark: SparkSession, path: str, structures: list[str] | None
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """(line, token) with 1-based line numbers; blank lines are counted but left out. The file is read whole, as its order is its meaning."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "token"))
-    return rows.select((F.col("line") + 1).cast("long").alias("line"), F.trim("token").alias("token")).where("token <> ''")
+    """(line, token) with 1-based line numbers, and the columns of partition folders; blank lines are counted but left out.
+
+    A folder's parts are one list, in order of their names. Large files are read in splits: a line's number is its
+    place in the split and the lines of the splits before.
+    """
+    lines = spark.read.text(path)
+    keys = [c for c in lines.columns if c != "value"]
+    at = [F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("_folder"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = saved(lines.select(*keys, *at, F.col("value").alias("token"), F.monotonically_increasing_id().alias("_m")), "vocab")
+    splits = rows.groupBy("_folder", "_file", "_start").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = Window.partitionBy("_folder").orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_first")).drop("_n", "_first")
+    numbered = rows.join(F.broadcast(splits), ["_folder", "_file", "_start"])
+    return numbered.select((F.col("_m") + F.col("_base")).alias("line"), F.trim("token").alias("token"), *keys).where("token <> ''")
 
 
 def parse_norms(texts: DataFrame, id_col: str = "doc", text_col: str = "text") -> DataFrame:

@@ -36,11 +36,7 @@ def rows(df):
     return cols, sorted(out, key=lambda r: tuple((x is not None, str(type(x)), round(x, 6) if isinstance(x, float) else x) for x in r))
 
 
-#: One query of each family here, all of them where the environment asks for it: the driver compares every one.
-SOME = ("a3_ngram_shard_scan", "b3_match_key", "c5_support_filter", "d15_budgeted_selection", "e1_weighted_ordering", "f14_experiment_sweep", "f18_threshold_structures", "g5_leave_group_out", "h2_spearman", "i20_diagnostics", "j9_study_focus", "k1_cosine_neighbours")
-
-
-@pytest.mark.parametrize("name", sorted(SQL) if os.environ.get("ALL_QUERIES") else SOME)
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, con, name):
     (a_cols, a), (b_cols, b) = rows(registry.queries()[name](spark, DATA).toPandas()), rows(con.sql(SQL[name]).df())
     assert a_cols == b_cols and len(a) == len(b)

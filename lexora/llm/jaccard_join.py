@@ -1,13 +1,14 @@
 """N-gram Jaccard join: documents link when their shingle sets are alike, found by prefix-tree joins.
 
-Sets are put in one global order, shingles known to be repeated last. Two sets that are alike enough share one of their first
-elements (the prefix), so only documents that share a prefix element can link. Documents so connected form a
+Sets are put in one global order, rare shingles first. Two sets that are alike enough share one of their first
+elements (the prefix), so only documents that share a prefix element can link; documents so connected form a
 cluster. In a cluster the ordered sets are stored in a prefix tree; each set walks it, sharing the overlap of
 common beginnings, and leaves a subtree as soon as what remains on either side cannot reach the needed overlap.
 
-Equal sets are one class from the start. A cluster too large for one task is not compared within itself: its
-documents, spread over all tasks, walk trees of a few of its members, first its smallest one, then, in blocks,
-all members that didn't link to it. What did link is connected already, so no link between components is lost.
+Equal sets are one class from the start. A cluster above one task's size is first held against one of its members
+(the pivot): what links to it is connected. Jaccard distance is a metric, so members further from the pivot than two
+link distances can't link to what is connected; all others are compared block by block, one tree for a block. No
+set, link or count passes through the driver but counts of rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunk_words, chunks, drop, fresh, gram_hashes, save, scramble, signed
@@ -26,22 +27,21 @@ from .components import components
 SHINGLE = 4
 #: Links from so many hundredths of the union on.
 PERCENT = 85
-#: Shingles known to be repeated, most frequent first, that are put last in the order; bounded, as all tasks hold them.
-REPEATED_ROWS = 2_000_000
-#: Share of a set, smallest hashes first, in which repeats are counted; the prefix is a smaller share.
-COUNTED_PERCENT = 25
-#: Documents of a cluster that one task compares, and shingles of tree members that are sent to all tasks at once.
-CLUSTER_DOCS = 250
-BLOCK_SHINGLES = 2_000_000
+#: Shingle hashes have so many bits.
+BITS = 56
+#: Shingles of a cluster, and of a block of a larger one, that one task compares; a longer set is a block by itself.
+BLOCK_SHINGLES = 150_000
+#: Rounds in which clusters above that are held against a pivot.
+ROUNDS = 3
 BROADCAST_ROWS = 500_000
 
 
 def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes (56 bits) of a document's word hashes; a shorter text is one shingle, no words none."""
+    """Sorted distinct shingle hashes (BITS bits) of a document's word hashes; a shorter text is one shingle, no words none."""
     if not len(h):
         return h
     grams = gram_hashes(h, size) if len(h) >= size else scramble(gram_hashes(h, len(h)) + np.uint64(len(h)))
-    return np.unique(grams >> np.uint64(8))
+    return np.unique(grams >> np.uint64(64 - BITS))
 
 
 def _sets(texts, size: int = SHINGLE):
@@ -56,43 +56,32 @@ def needed(a: int, b: int, percent: int = PERCENT) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _repeated(heads: DataFrame, first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Repeated shingles, sorted, with the rank of their frequency; only the order of elements depends on it, never a result.
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    return n - -(-percent * n // 100) + 1
 
-    Counted are the elements of smallest hash of one document of each class. If too many are repeated, the list
-    is cut at a frequency, found from a histogram.
-    """
-    rows = heads.join(first, "doc", "left_semi").select(F.explode("low").alias("s"))
-    counted = save(rows.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "counted")
-    room, floor = REPEATED_ROWS, 2
-    for r in sorted(counted.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["n"]):
-        room -= r["rows"]
-        if room < 0:
-            floor = r["n"] + 1
-            break
 
-    def packed(batches):
-        for batch in batches:
-            rank = np.minimum(np.log2(batch.column(1).to_numpy() + 1.0) * 8, 127).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()]), pa.array([rank.tobytes()])], names=["s", "rank"])
+def counted_below(percent: int) -> int:
+    """Hashes below this are counted and come first in the order: somewhat more of a set than its prefix."""
+    return int(min(1.0, 0.016 * (100 - percent)) * (1 << BITS))
 
-    parts = [(r["s"], r["rank"]) for r in counted.where(F.col("n") >= floor).mapInArrow(packed, "s binary, rank binary").toLocalIterator()]
-    drop(counted)
-    known, rank = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*parts) if parts else ((), ()), (np.uint64, np.uint8)))
-    order = np.argsort(known)
-    return known[order], rank[order]
 
+# ---------------------------------------------------------------- the tree
 
-def ordered(s: np.ndarray, repeated: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The set as order keys: rank of its frequency in the top bits, the hash below; sorted."""
-    known, rank = repeated
-    if not len(known) or not len(s):
-        return s
-    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-    return np.sort(s | (np.where(known[at] == s, rank[at], 0).astype(np.uint64) << np.uint64(56)))
 
+def local_order(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of a block's sets, sorted, and each one's place in the block's order, rare ones first."""
+    known, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    place = np.empty(len(known), np.int64)
+    place[np.lexsort((known, count))] = np.arange(len(known))
+    return known, place
 
-# ---------------------------------------------------------------- the tree
+
+def ordered(s: np.ndarray, known: np.ndarray, place: np.ndarray) -> list[int]:
+    """The set as places; elements that the block doesn't have are the rarest: negative numbers, which match nothing."""
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    have = known[at] == s if len(known) else np.zeros(len(s), bool)
+    found = np.sort(place[at[have]])
+    return list(range(len(found) - len(s), 0)) + found.tolist()
 
 
 class Tree:
@@ -107,13 +96,10 @@ class Tree:
         self.order = sorted((i for i in range(len(sets)) if sets[i]), key=lambda i: sets[i])
         self.entry: dict[int, list[int]] = {}
         for place, i in enumerate(self.order):
-            for x in sets[i][: self._prefix(len(sets[i]))]:
+            for x in sets[i][: prefix_length(len(sets[i]), percent)]:
                 self.entry.setdefault(x, []).append(place)
         self.root = self._node(0, len(self.order), 0)
 
-    def _prefix(self, n: int) -> int:
-        return n - -(-self.percent * n // 100) + 1
-
     def _node(self, lo: int, hi: int, at: int) -> tuple:
         """Of places lo to hi: (run, length after it, places that end here, children and their first places, smallest and largest set, smallest member)"""
         if lo == hi:
@@ -144,7 +130,7 @@ class Tree:
     def walk(self, query: list[int], skip) -> list[int]:
         """Members that link to the ordered query; skip(member, member) leaves one out, skip(None, smallest member) a subtree."""
         n = len(query)
-        able = sorted({p for x in query[: self._prefix(n)] for p in self.entry.get(x, ())}) if n else []
+        able = sorted({p for x in query[: prefix_length(n, self.percent)] for p in self.entry.get(x, ())}) if n else []
         if not able:
             return []
         own, found, stack = set(query), [], [(self.root, 0, 0, len(able))]
@@ -190,208 +176,245 @@ class Forest:
         return a != b
 
 
-def cluster_links(docs: list[int], sets: list[list[int]], percent: int = PERCENT) -> list[tuple[int, int]]:
+def cluster_links(docs: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """(document, smallest document) of every component of a cluster with links."""
-    tree, forest = Tree(sets, percent), Forest()
+    if len(docs) < 2:
+        return []
+    known, place = local_order(sets)
+    own = [ordered(s, known, place) for s in sets]
+    tree, forest = Tree(own, percent), Forest()
     for q, d in enumerate(docs):
-        for i in tree.walk(sets[q], lambda i, first, q=q, d=d: first >= q or (i is not None and forest.find(docs[i]) == forest.find(d))):
+        for i in tree.walk(own[q], lambda i, first, q=q, d=d: first >= q or (i is not None and forest.find(docs[i]) == forest.find(d))):
             forest.join(docs[i], d)
     return [(d, root) for d in docs if (root := forest.find(d)) != d]
 
 
+class Block:
+    """The tree of one block, walked by sets of another; what is known to be connected is not looked at again."""
+
+    def __init__(self, docs: list[int], sets: list[np.ndarray], percent: int):
+        self.docs, self.forest = docs, Forest()
+        self.known, self.place = local_order(sets)
+        self.tree = Tree([ordered(s, self.known, self.place) for s in sets], percent)
+
+    def links(self, doc: int, s: np.ndarray, near: int | None) -> list[tuple[int, int]]:
+        """New links of a walker; near: the pivot that it is known to link to."""
+        find = self.forest.find
+        if near is not None:
+            self.forest.join(doc, near)
+        mine = self.tree.walk(ordered(s, self.known, self.place), lambda i, first: i is not None and find(self.docs[i]) == find(doc))
+        return [(doc, self.docs[i]) for i in mine if self.forest.join(doc, self.docs[i])]
+
+
 # ---------------------------------------------------------------- Spark stages
 
-_HEADS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("low", pa.list_(pa.int64()))])
+_HEADS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("counted", pa.int64()), ("low", pa.list_(pa.int64()))])
 
 
-def _heads(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Saved table of every row's set size, signature and elements of smallest hash."""
+def _heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Saved table of every row's set size, signature, number of counted elements, and these with what its prefix may need beyond them."""
+    limit = np.uint64(counted_below(percent))
 
     def heads(batches):
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), {f.name: [] for f in _HEADS}
             for i, s in _sets(batch.column(1).to_pylist(), size):
-                n, mixed = len(s), scramble(s)
-                row = (ids[i], n, int(signed(mixed.sum(keepdims=True))[0]), int(signed(scramble(mixed + np.uint64(n)).sum(keepdims=True))[0]), signed(s[: -(-COUNTED_PERCENT * n // 100)]))
+                n, mixed, counted = len(s), scramble(s), int(np.searchsorted(s, limit))
+                row = (ids[i], n, int(signed(mixed.sum(keepdims=True))[0]), int(signed(scramble(mixed + np.uint64(n)).sum(keepdims=True))[0]), counted, signed(s[: max(counted, prefix_length(n, percent))]))
                 for name, value in zip(out, row):
                     out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=_HEADS)
 
-    return save(docs.select("doc", "text").mapInArrow(heads, "doc long, n long, sig1 long, sig2 long, low array<long>"), "heads")
+    return save(docs.select("doc", "text").mapInArrow(heads, "doc long, n long, sig1 long, sig2 long, counted long, low array<long>"), "heads")
 
 
-def _clusters(docs: DataFrame, first: DataFrame, repeated, percent: int, size: int = SHINGLE) -> DataFrame:
-    """Saved table (node, component): documents, one for each class, connected by shared prefix elements."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it is a saved table of few rows."""
+    return F.broadcast(df) if df.count() <= rows else df
 
-    def prefixes(batches):
-        for batch in batches:
-            ids, own, out = batch.column(0).to_pylist(), [], []
-            for i, s in _sets(batch.column(1).to_pylist(), size):
-                if len(s):
-                    own.append(ids[i])
-                    out.append(signed(ordered(s, repeated.value)[: len(s) - -(-percent * len(s) // 100) + 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc", "prefix"])
-
-    every = docs.where("doc is not null").select("doc", "text").mapInArrow(prefixes, "doc long, prefix array<long>")
-    rows = save(every.join(first, "doc", "left_semi").select("doc", F.explode("prefix").alias("s")), "prefixes")
-    shared = save(rows.groupBy("s").agg(F.min("doc").alias("b"), F.max("doc").alias("last")).where("b < last").select("s", "b"), "shared")
-    links = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "s").where("doc <> b").select(F.col("doc").alias("a"), "b")
-    out = components(links)
-    drop(rows, shared)
+
+def _prefixes(heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Saved table (doc, s): of each class's first document, the elements of its prefix that another class has too.
+
+    The order: counted elements by their number of classes, then all others by hash. Elements of one class alone
+    take their places at the front of the prefix, but match nothing.
+    """
+    limit = counted_below(percent)
+    first = classes.select(F.col("class").alias("doc"), "sig1", "sig2")
+    sets = heads.where("n > 0").join(small(first), ["doc", "sig1", "sig2"]).dropDuplicates(["sig1", "sig2"])
+    sets = save(sets.select("doc", F.xxhash64("doc", "sig1", "sig2").alias("set"), "n", "counted", "low"), "sets")
+    rows = sets.select("set", F.explode("low").alias("s"))
+    repeated = save(rows.groupBy("s").agg(F.count("*").alias("f")).where("f > 1"), "repeated")
+    hits = rows.join(small(repeated), "s").select("set", F.struct((F.col("s") >= limit).alias("later"), F.when(F.col("s") < limit, F.col("f")).otherwise(0).alias("f"), "s").alias("e"))
+    lists = hits.groupBy("set").agg(F.array_sort(F.collect_list("e")).alias("e"))  # no longer than one document's elements
+    alone = F.col("counted") - F.size(F.filter("e", lambda x: ~x["later"]))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    taken = F.greatest(F.lit(0), length - alone).cast("int")
+    out = save(sets.select("doc", "set", "n", "counted").join(lists, "set").select("doc", F.explode(F.slice("e", F.lit(1), taken)).alias("e")).select("doc", "e.s"), "prefixes")
+    drop(sets, repeated)
+    return out
+
+
+def _clusters(prefixes: DataFrame) -> DataFrame:
+    """Saved table (node, component): documents connected by shared prefix elements."""
+    shared = save(prefixes.groupBy("s").agg(F.min("doc").alias("b"), F.max("doc").alias("last")).where("b < last").select("s", "b"), "shared")
+    out = components(prefixes.join(small(shared), "s").where("doc <> b").select(F.col("doc").alias("a"), "b"))
+    drop(shared)
     return out
 
 
-_MEMBERS = pa.schema([("cluster", pa.int64()), ("large", pa.bool_()), ("doc", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_MEMBERS = pa.schema([("cluster", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
-def _members(docs: DataFrame, clusters: DataFrame, repeated, size: int = SHINGLE) -> DataFrame:
-    """Saved table (cluster, large, doc, keys) of the ordered sets of all clustered documents."""
+def _members(docs: DataFrame, clusters: DataFrame, size: int) -> DataFrame:
+    """Saved table (cluster, doc, n, keys) of the sets of all clustered documents, each distinct set of a document once."""
 
     def members(batches):
         for batch in batches:
-            ids, of, large = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            ids, of = (batch.column(i).to_pylist() for i in (0, 2))
             out = {f.name: [] for f in _MEMBERS}
             for i, s in _sets(batch.column(1).to_pylist(), size):
-                for name, value in zip(out, (of[i], large[i], ids[i], signed(ordered(s, repeated.value)))):
-                    out[name].append(value)
+                if len(s):
+                    for name, value in zip(out, (of[i], ids[i], len(s), signed(s))):
+                        out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=_MEMBERS)
 
-    sizes = clusters.groupBy("component").agg((F.count("*") > CLUSTER_DOCS).alias("large"))
-    of = save(clusters.join(sizes, "component").select(F.col("node").alias("doc"), F.col("component").alias("cluster"), "large"), "clustered")
-    of = F.broadcast(of) if of.count() <= BROADCAST_ROWS else of
-    return save(docs.join(of, "doc").select("doc", "text", "cluster", "large").mapInArrow(members, "cluster long, large boolean, doc long, keys array<long>"), "members")
+    of = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    return save(docs.join(small(of), "doc").select("doc", "text", "cluster").mapInArrow(members, "cluster long, doc long, n long, keys array<long>"), "members")
 
 
-def _small(members: DataFrame, percent: int) -> DataFrame:
+def _pairs(rows) -> pa.RecordBatch:
+    a, b = zip(*rows) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _set(keys) -> np.ndarray:
+    return keys.values.to_numpy(zero_copy_only=False)
+
+
+def _within(members: DataFrame, percent: int) -> DataFrame:
     """Links within clusters that one task compares."""
 
     def linked(batches):
         cluster, docs, sets = None, [], []
         for batch in batches:
             out = []
-            for c, d, k in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+            for c, d, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if c != cluster:
                     out += cluster_links(docs, sets, percent)
                     cluster, docs, sets = c, [], []
                 docs.append(d)
-                sets.append(k)
+                sets.append(_set(k))
             yield _pairs(out)
         yield _pairs(cluster_links(docs, sets, percent))
 
-    return members.repartition("cluster").sortWithinPartitions("cluster", "doc").mapInArrow(linked, "a long, b long")
-
-
-def _pairs(rows) -> pa.RecordBatch:
-    a, b = zip(*rows) if rows else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
+    return members.select("cluster", "doc", "keys").repartition("cluster").sortWithinPartitions("cluster", "doc").mapInArrow(linked, "a long, b long")
 
-class Chosen:
-    """Members of one large cluster that a task compares its rows with; what is known to be connected is not compared again."""
 
-    def __init__(self, pivot: int, docs: list[int], sets: list[list[int]], percent: int, forest: Forest):
-        self.pivot, self.docs, self.sets, self.percent, self.forest = pivot, docs, sets, percent, forest
-        self.every = Tree(sets, percent)
-        self.open, self.closed = docs, 0
-        self.rest = self.every
+def _across(jobs: DataFrame, percent: int) -> DataFrame:
+    """Links of jobs (cluster, part, walks, doc, keys, near): in each part, rows that don't walk are the tree, the others walk it."""
 
-    def links(self, doc: int, keys: list[int]) -> list[tuple[int, int]]:
-        """New links of a row. A row connected with the pivot walks a tree of those that aren't, rebuilt whenever half of it are."""
-        find = self.forest.find
-        mine = find(doc) == find(self.pivot)
-        docs, tree = (self.open, self.rest) if mine else (self.docs, self.every)
-        hits = tree.walk(keys, lambda i, first: i is not None and find(docs[i]) == find(doc))
-        out = [(doc, docs[i]) for i in hits if self.forest.join(doc, docs[i])]
-        if mine:
-            self.closed += len(out)
-            if 2 * self.closed > len(self.open):
-                left = [i for i, d in enumerate(self.docs) if find(d) != find(self.pivot)]
-                self.open, self.rest, self.closed = [self.docs[i] for i in left], Tree([self.sets[i] for i in left], self.percent), 0
-        return out
-
-
-def _against(members: DataFrame, chosen: DataFrame, percent: int) -> list[DataFrame]:
-    """Links of every member (cluster, doc, keys, near: known to link to the pivot) with those chosen (cluster, doc), whose sets go to all tasks in blocks of bounded size.
-
-    A cluster's name is its smallest document, which is its pivot.
-    """
-    out, trees = [], []
-    spark = members.sparkSession
-    rows = members.select("cluster", "doc", "keys", "near").sortWithinPartitions(F.desc("near"))
-
-    def block(sets) -> DataFrame:
-        held = spark.sparkContext.broadcast(sets)
+    def linked(batches):
+        part, docs, sets, block = None, [], [], None
+        for batch in batches:
+            out = []
+            for *p, walks, d, k, near in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), batch.column(5).to_pylist()):
+                if p != part:
+                    part, docs, sets, block = p, [], [], None
+                if not walks:
+                    docs.append(d)
+                    sets.append(_set(k))
+                    continue
+                block = block or Block(docs, sets, percent)
+                out += block.links(d, _set(k), near)
+            yield _pairs(out)
 
-        def linked(batches):
-            of: dict[int, tuple[list, list]] = {}
-            for c, d, k in held.value:
-                docs, keys = of.setdefault(c, ([], []))
-                docs.append(d)
-                keys.append(k.tolist())
-            forest = Forest()
-            made = {c: Chosen(c, docs, keys, percent, forest) for c, (docs, keys) in of.items()}
-            for batch in batches:
-                found = []
-                for c, d, k, near in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                    if near:
-                        forest.join(d, c)
-                    if c in made:
-                        found += made[c].links(d, k)
-                yield _pairs(found)
-
-        return save(rows.mapInArrow(linked, "a long, b long"), "links")
-
-    size = 0
-    for r in members.join(chosen, ["cluster", "doc"], "left_semi").select("cluster", "doc", "keys").toLocalIterator():
-        trees.append((r["cluster"], r["doc"], np.array(r["keys"], np.int64)))
-        size += len(r["keys"])
-        if size >= BLOCK_SHINGLES:
-            out.append(block(trees))
-            trees, size = [], 0
-    if trees:
-        out.append(block(trees))
+    rows = jobs.select("cluster", "part", "walks", "doc", "keys", "near")
+    return rows.repartition("cluster", "part").sortWithinPartitions("cluster", "part", "walks", F.col("near").isNull(), "doc").mapInArrow(linked, "a long, b long")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(cluster, blocks): how many blocks of BLOCK_SHINGLES a cluster's sets make."""
+    return members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+
+
+def _own_block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("doc", "n"), blocks).cast("int")
+
+
+def _against_pivots(members: DataFrame, percent: int) -> DataFrame:
+    """Saved table: members of large clusters with p, their cluster's pivot (its smallest document), near (they link to it) and mid (within two link distances)."""
+    pivots = members.join(members.groupBy("cluster").agg(F.min("doc").alias("doc")), ["cluster", "doc"]).dropDuplicates(["cluster"])
+    both = members.join(save(pivots.select("cluster", F.struct("doc", "keys", "n").alias("p")), "pivots"), "cluster")
+    shared = F.size(F.array_intersect("keys", "p.keys"))
+    union = F.col("n") + F.col("p.n") - shared
+    near, mid = 100 * shared >= percent * union, 100 * shared >= (2 * percent - 100) * union
+    return save(both.select("cluster", "doc", "n", "keys", F.col("p.doc").alias("p"), near.alias("near"), mid.alias("mid")), "measured")
+
+
+def _large(members: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame]:
+    """Links of clusters above one task's size that pivots and blocks show, and the members left, whose clusters fit a task."""
+    links, jobs, left, rest = [], [], [], members
+    for k in range(ROUNDS):
+        measured = _against_pivots(rest, percent)
+        links.append(measured.where("near and doc <> p").select(F.col("doc").alias("a"), F.col("p").alias("b")))
+        # What isn't near but within two link distances may link to what is: trees of the former, walked by the latter
+        mid = measured.where("mid and not near")
+        blocks = small(save(_blocks(mid), "blocks"))
+        trees = mid.join(blocks, "cluster").select("cluster", F.concat_ws(":", F.lit(f"mid{k}"), _own_block(F.col("blocks"))).alias("part"), F.lit(False).alias("walks"), "doc", "keys", F.lit(None).cast("long").alias("near"))
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        walkers = measured.where("near").join(blocks, "cluster").withColumn("block", every).select("cluster", F.concat_ws(":", F.lit(f"mid{k}"), "block").alias("part"), F.lit(True).alias("walks"), "doc", "keys", F.col("p").alias("near"))
+        jobs += [trees, walkers]
+        apart = measured.where("not near").select("cluster", "doc", "n", "keys")
+        sized = apart.join(small(save(_blocks(apart), "blocks")), "cluster")
+        left.append(sized.where("blocks = 1").drop("blocks"))
+        rest = save(sized.where("blocks > 1"), "apart")
+        if not rest.limit(1).count():
+            break
+        rest, sized = rest.drop("blocks"), rest
+    else:
+        # Every pair of blocks once: block i is a tree for the sets of all blocks up to it
+        own = _own_block(F.col("blocks"))
+        part = lambda i: F.concat_ws(":", F.lit("all"), i)
+        none = F.lit(None).cast("long").alias("near")
+        jobs.append(sized.select("cluster", part(own).alias("part"), F.lit(False).alias("walks"), "doc", "keys", none))
+        later = sized.withColumn("block", F.explode(F.sequence(own, F.col("blocks") - 1)))
+        jobs.append(later.select("cluster", part(F.col("block")).alias("part"), F.lit(True).alias("walks"), "doc", "keys", none))
+    return links + [_across(_union(jobs), percent)], _union(left)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
     return out
 
 
-def _large(members: DataFrame, percent: int) -> list[DataFrame]:
-    """Links that connect what is connected in clusters above one task's size."""
-    pivots = save(members.select("cluster", F.col("cluster").alias("doc")).distinct(), "pivots")
-    links = _against(members.withColumn("near", F.lit(False)), pivots, percent)
-    near = pivots.select("doc")
-    for part in links:
-        near = near.unionByName(part.select(F.col("a").alias("doc")))
-    near = save(near.distinct().withColumn("near", F.lit(True)), "near")
-    marked = members.join(F.broadcast(near) if near.count() <= BROADCAST_ROWS else near, "doc", "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    return links + _against(marked, marked.where("not near").select("cluster", "doc"), percent)
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest id reachable by links, its own included).
 
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct shingles of
     `size` words, of a shorter text its whole sequence. Null, empty and blank texts have no shingle and link with nothing. Rows that
-    repeat an id are one document; rows of a null id have no component.
+    repeat an id are one document; rows of a null id have no component. percent: above 50.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    heads = _heads(own, size)
+    heads = _heads(own, size, percent)
     classes = save(heads.where("n > 0 and doc is not null").groupBy("sig1", "sig2").agg(F.min("doc").alias("class")), "classes")
-    first = classes.select(F.col("class").alias("doc")).distinct()
-    first = F.broadcast(first) if classes.count() <= BROADCAST_ROWS else first
-    repeated = spark.sparkContext.broadcast(_repeated(heads, first))
-    clusters = _clusters(own, first, repeated, percent, size)
-    members = _members(own, clusters, repeated, size)
-    links = [_small(members.where("not large"), percent)]
-    if members.where("large").limit(1).count():
-        links += _large(members.where("large"), percent)
-    all_links = links[0]
-    for more in links[1:]:
-        all_links = all_links.unionByName(more)
+    prefixes = _prefixes(heads, classes, percent)
+    clusters = _clusters(prefixes)
+    members = _members(own.where("doc is not null"), clusters, size)
+    sized = members.join(small(save(_blocks(members), "blocks")), "cluster")
+    within, links = sized.where("blocks = 1").drop("blocks"), []
+    large = save(sized.where("blocks > 1").drop("blocks"), "large")
+    if large.limit(1).count():
+        links, left = _large(large, percent)
+        within = within.unionByName(left.select(*within.columns))
+    found = components(_union([_within(within, percent), *links])).withColumnRenamed("node", "class")
     # a document may stand for more than one class if its id is repeated
     same = heads.where("n > 0 and doc is not null").join(classes, ["sig1", "sig2"]).select("doc", "n", "class")
-    found = components(all_links).withColumnRenamed("node", "class")
     placed = same.join(found, "class", "left").select("doc", F.coalesce("component", "class").alias("component"))
     placed = placed.groupBy("doc").agg(F.min("component").alias("component"))
+    drop(prefixes, members, large)
     return heads.select("doc", "n").join(placed, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 

@@ -118,27 +118,43 @@ def components_expected(sets):
     return {d: find(d) for d in ids}
 
 
-@pytest.mark.parametrize(("limit", "block"), [(250, 2_000_000), (10, 3_000)])
-def test_jaccard_join(spark, monkeypatch, limit, block):
+def near_copies(n, seed):
     import random
 
-    monkeypatch.setattr(jaccard_join, "CLUSTER_DOCS", limit)
-    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
-    r, base = random.Random(6), prose(150, 7).split()
+    r, base = random.Random(seed), prose(150, 7).split()
     rows = [x for x in odd_rows() if x[0] is not None and x[0] != 8]
-    for i in range(60):
+    for i in range(n):
         w = list(base)
         for _ in range(r.randrange(8)):
             w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
         rows.append((300 + i, " ".join(w)))
-    sets = sets_of(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("block", "rounds", "rows"), [(150_000, 3, 500_000), (2_000, 1, 500_000), (1_000, 2, 0), (600, 9, 500_000)])
+def test_jaccard_join(spark, monkeypatch, block, rounds, rows):
+    """In one task, and in clusters cut into blocks of a few documents, with few and many pivots."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", rows)
+    docs = near_copies(60, 6)
+    sets = sets_of(docs)
     want = components_expected(sets)
-    got = jaccard_join.digest(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
-    assert len(got) == len(rows)
+    got = jaccard_join.digest(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(docs)
     for x in got:
         assert (x.n_shingles, x.component_id) == (len(sets[x.doc_id]), want[x.doc_id])
 
 
+def test_jaccard_keeps_first_with_odd_columns(spark):
+    docs = [(d, t, "x", 1) for d, t in near_copies(10, 3)] + [(None, prose(150, 7), "x", 2), (None, None, "x", 3)]
+    df = spark.createDataFrame(docs, SCHEMA + ", gone string, cluster int")
+    out = jaccard_join.keep_first(df)
+    want = components_expected(sets_of([(d, t) for d, t, *_ in docs if d is not None]))
+    assert out.columns == df.columns
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in out.collect()) == sorted([(True, d) for d, *_ in docs if d is not None and want[d] == d] + [(False, 0)] * 2)
+
+
 def test_jaccard_null_id_and_empty(spark):
     got = jaccard_join.digest(spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e")], SCHEMA)).collect()
     assert {(x.doc_id, x.component_id) for x in got} == {(None, None), (1, 1)}
@@ -148,11 +164,12 @@ def test_jaccard_null_id_and_empty(spark):
 def test_tree_finds_all_links():
     r = np.random.default_rng(8)
     base = np.arange(40)
-    sets = [np.unique(np.where(r.random(40) < 0.06, r.integers(100, 140, 40), base)).tolist() for _ in range(60)]
-    tree = jaccard_join.Tree(sets)
+    sets = [np.unique(np.where(r.random(40) < 0.06, r.integers(100, 140, 40), base)) for _ in range(60)]
+    known, place = jaccard_join.local_order(sets[:40])
+    tree = jaccard_join.Tree([jaccard_join.ordered(s, known, place) for s in sets[:40]])
     for q in sets:
-        want = [i for i, s in enumerate(sets) if 100 * len(set(q) & set(s)) >= 85 * len(set(q) | set(s))]
-        assert sorted(tree.walk(q, lambda i, first: False)) == want
+        want = [i for i, s in enumerate(sets[:40]) if 100 * len(set(q.tolist()) & set(s.tolist())) >= 85 * len(set(q.tolist()) | set(s.tolist()))]
+        assert sorted(tree.walk(jaccard_join.ordered(q, known, place), lambda i, first: False)) == want
 
 
 def test_components(spark):

@@ -1,9 +1,12 @@
 """Quality rules, toxicity, decontamination, PII, licenses and the pipeline."""
 
+import hashlib
+import os
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexora.llm import common, decontaminate, jaccard_join, license_scan, pii, quality, toxicity
@@ -206,15 +209,50 @@ def test_pseudonyms_link_documents(spark):
     assert pii.digest(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def canonical_expected(text):
+    """The canonical text step by step in plain Python."""
+    lines = [x for x in (text or "").lower().split("\n") if not re.search(license_scan.COPYRIGHT, x)]
+    plain = "".join(c if c.isalnum() else " " for c in "\n".join(lines))
+    plain = " ".join(plain.split())
+    for a, b in license_scan.SPELLINGS:
+        plain = plain.replace(a, b)
+    return plain
+
+
 def test_licenses(spark):
-    mit = license_scan.KNOWN[0][1]
-    rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("LICENSE", "LICENCE")), (2, "text\n  released under the MIT Licence\nmore"), (3, None), (4, ""), (5, "a license of my own"), (6, mit + " and more")]
+    """Whole licenses are found whatever their case, punctuation, copyright lines and spelling; held against plain Python."""
+    known = dict((t, lic) for lic, t in license_scan.KNOWN_TEXTS)
+    mit = license_scan.KNOWN_TEXTS[0][1]
+    rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("LICENSE", "LICENCE")), (2, "text\n  released under the MIT Licence\nmore"), (3, None), (4, ""), (5, "a license of my own"), (6, mit + " and more"), (6, mit), (6, mit), (None, mit.replace(", ", ",\n  ")), (7, prose(40_000, 4) + "\nLicensed under CC BY-NC 4.0."), (8, "This work is licensed under the GNU General Public License, version 3.")]
+    rows += [(100 + i, f"(c) {2000 + i} Someone\nAll rights reserved.\n\n** {t.replace('.', '. ').swapcase()} **") for i, t in enumerate(known)]
     df = spark.createDataFrame([(*r, "d") for r in rows], SCHEMA + ", digest string")
-    for most in (100_000, 0):
-        got = {r.doc_id: r for r in license_scan.scan(df, max_lookup=most).collect()}
-        assert [got[i].license for i in range(1, 7)] == ["MIT", None, None, None, None, None]
-        assert got[2].notices == ["MIT"] and got[5].notices == [] and got[3]._digest is None
+    want = {hashlib.sha256(canonical_expected(t).encode()).hexdigest(): lic for t, lic in known.items()}
+    few = license_scan.known_notices(spark).where("license in ('MIT', 'GPL-3.0', 'CC-BY-NC-4.0')").limit(1_000)
+    for notices in (None, few):
+        got = license_scan.scan(df, notices=notices).collect()
+        assert len(got) == len(rows) and got[0].digest == "d"
+        for r in got:
+            own = canonical_expected(r.text)
+            assert r._digest == (hashlib.sha256(own.encode()).hexdigest() if own else None), r.doc_id
+            assert r.license == want.get(r._digest)
+        by = {r.doc_id: r for r in got}
+        assert by[1].license == "MIT" and by[None].license == "MIT" and sorted(str(r.license) for r in got if r.doc_id == 6) == ["MIT", "MIT", "None"]
+        assert by[2].notices == ["MIT"] and by[5].notices == [] and by[7].notices == ["CC-BY-NC-4.0"] and by[8].notices == ["GPL-3.0"]
+        assert all(by[100 + i].license == lic for i, lic in enumerate(known.values()))
     assert license_scan.digest(df.limit(0)).count() == 0
+    own = license_scan.digests(spark.createDataFrame([("House", "the house rules"), ("Void", "!")], "license string, text string"))
+    assert [r.license for r in license_scan.scan(spark.createDataFrame([(1, "THE HOUSE... RULES!")], SCHEMA), own, max_lookup=0, notices=own.limit(0)).collect()] == ["House"]
+
+
+@pytest.mark.skipif(not os.path.isdir(license_scan.COMMON_LICENSES), reason="no license texts on this system")
+def test_digests_of_long_licenses(spark):
+    files = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    rows = []
+    for i, (name, lic) in enumerate(files.items()):
+        with open(f"{license_scan.COMMON_LICENSES}/{name}", encoding="utf-8") as f:
+            rows += [(i, "Copyright 2024 Someone Else\n" + " ".join(f"\n{x}" if x.strip() else "\n" for x in f.read().split("\n")).replace('"', "'"), lic)]
+    got = license_scan.scan(spark.createDataFrame(rows, SCHEMA + ", want string")).collect()
+    assert len(got) == len(files) and all(r.license == r.want for r in got)
 
 
 def test_pipeline_stages(spark, tmp_path):

@@ -49,15 +49,31 @@ def clip(p: Column, low: float = FLOOR, high: float = 1 - FLOOR) -> Column:
 
 
 def binom_ll(p: Column, yes: Column, total: Column) -> Column:
-    """yes ln p + (total - yes) ln(1 - p), p clipped; null for counts or probabilities that aren't valid."""
+    """yes ln p + (total - yes) ln(1 - p), p clipped; counts or probabilities that aren't valid, or not there, are an error."""
     q = clip(p)
     valid = (yes >= 0) & (yes <= total) & (p >= 0) & (p <= 1)
-    return F.when(valid, yes * F.log(q) + (total - yes) * F.log1p(-q))
+    return F.when(valid, yes * F.log(q) + (total - yes) * F.log1p(-q)).otherwise(error("counts must be within 0 to total, and a probability within 0 to 1"))
+
+
+def error(why: str) -> Column:
+    return F.raise_error(F.lit(why)).cast("double")
+
+
+def finite(x: Column, name: str) -> Column:
+    """x; null stays null, infinite values and NaN are an error."""
+    x = x.cast("double")
+    return F.when(x.isNull() | (F.abs(x) < float("inf")), x).otherwise(error(f"{name} must be finite"))
+
+
+def positive(s: Column) -> Column:
+    """A scale; one that isn't a finite number above zero is an error."""
+    s = s.cast("double")
+    return F.when((s > 0) & (s < float("inf")), s).otherwise(error("a scale must be finite and above zero"))
 
 
 def p_set(lp_q: Column, theta: Column, s: Column) -> Column:
     """Probability that a query's Gumbel score passes the threshold."""
-    z = F.greatest(F.lit(-745.0), F.least(F.lit(50.0), (lp_q - theta) / s))
+    z = F.greatest(F.lit(-745.0), F.least(F.lit(50.0), (finite(lp_q, "a score") - finite(theta, "a threshold")) / positive(s)))
     return -F.expm1(-F.exp(z))
 
 
@@ -68,14 +84,19 @@ def sigmoid(z: Column) -> Column:
 
 
 def p_order(lp_q: Column, lp_t: Column, s: Column) -> Column:
-    return sigmoid((lp_q - lp_t) / s)
+    return sigmoid((finite(lp_q, "a score") - finite(lp_t, "a score")) / positive(s))
 
 
 def structure_probs(lp_q: Column, lp_t: Column, theta: Column, s: Column) -> dict[str, Column]:
-    """set, ordering, conjunction, disjunction; conjunction = ordering x P(either passes the threshold)."""
+    """set, ordering, conjunction, disjunction; conjunction = ordering x P(either passes the threshold).
+
+    Scores and thresholds must be finite and scales positive; a null gives null.
+    """
+    lp_q, lp_t, theta, s = finite(lp_q, "a score"), finite(lp_t, "a score"), finite(theta, "a threshold"), positive(s)
     hi, lo = F.greatest(lp_q, lp_t), F.least(lp_q, lp_t)
     rate = hi / s + F.log1p(F.exp((lo - hi) / s)) - theta / s
     either = -F.expm1(-F.exp(F.greatest(F.lit(-745.0), F.least(F.lit(50.0), rate))))
-    inside, above = p_set(lp_q, theta, s), p_order(lp_q, lp_t, s)
+    inside = -F.expm1(-F.exp(F.greatest(F.lit(-745.0), F.least(F.lit(50.0), (lp_q - theta) / s))))
+    above = sigmoid((lp_q - lp_t) / s)
     conj = F.greatest(F.lit(0.0), F.least(F.lit(1.0), above * either))
     return {"set": inside, "ordering": above, "conjunction": conj, "disjunction": F.greatest(F.lit(0.0), F.least(F.lit(1.0), inside + above - conj))}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexora.functions.stats import binom_ll, clip, structure_probs
+from lexora.sources.files import saved
 
 C = F.col
 
@@ -35,16 +36,16 @@ def grid_sums(df: DataFrame, low: float, high: float, points: int, target: str,
     return g.groupBy(fold, "i", "theta").agg(F.sum(binom_ll(p, C("yes"), C("total"))).alias("ll"), F.sum("total").alias("n"))
 
 
-def fit_threshold(df: DataFrame, target: str, s: float, low: float, high: float, *, points: int = 65, rounds: int = 3) -> tuple[float, float]:
-    """(theta, log-likelihood) over all rows: a grid, then finer grids within the winning cell. One row comes back each round."""
-    best = (low, float("-inf"))
+def fit_threshold(df: DataFrame, target: str, s: float, low: float, high: float, *, points: int = 65, rounds: int = 3) -> tuple[float, float, bool]:
+    """(theta, log-likelihood, whether theta lies at an end of the range) over all rows: a grid, then finer grids within the winning cell. One row comes back each round."""
+    ends, best = (low, high), (low, float("-inf"), True)
     for _ in range(rounds):
         top = grid_sums(df.withColumn("fold", F.lit(0)), low, high, points, target, s).orderBy(F.desc("ll"), "theta").first()
         if top is None:
             break
         width = (high - low) / (points - 1)
-        best = (top["theta"], top["ll"])
-        low, high = best[0] - width, best[0] + width
+        best = (top["theta"], top["ll"], any(abs(top["theta"] - x) < 1e-9 for x in ends))
+        low, high = max(ends[0], best[0] - width), min(ends[1], best[0] + width)
     return best
 
 
@@ -71,31 +72,46 @@ def fold_intercepts(df: DataFrame) -> DataFrame:
 
 
 def group_folds(df: DataFrame, k: int, family: str = "family", group: str = "group") -> DataFrame:
-    """df with fold: the index of its group among the sorted groups of its family, mod k."""
-    groups = df.select(family, group).distinct().withColumn("fold", (F.row_number().over(Window.partitionBy(family).orderBy(group)) - 1) % k)
+    """df with fold: the index of its group among the sorted groups of its family, mod k.
+
+    An error unless k is 2 at least and each family has k groups. A group of two families must get one fold.
+    """
+    if k < 2:
+        raise ValueError("there must be two folds at least")
+    own = Window.partitionBy(family)
+    groups = df.select(family, group).distinct().withColumn("fold", (F.row_number().over(own.orderBy(group)) - 1) % k).withColumn("_n", F.count("*").over(own))
+    few = F.raise_error(F.concat(F.lit("fewer groups than folds in "), C(family).cast("string"))).cast("int")
+    told = Window.partitionBy(group)
+    groups = groups.withColumns({"_low": F.min("fold").over(told), "_high": F.max("fold").over(told)})
+    twice = F.raise_error(F.concat(F.lit("two folds for the group "), C(group).cast("string"))).cast("int")
+    groups = groups.withColumn("fold", F.when(C("_n") < k, few).when(C("_low") < C("_high"), twice).otherwise(C("fold"))).drop("_n", "_low", "_high")
     return df.join(F.broadcast(groups), [family, group])
 
 
 def fit_threshold_scale(df: DataFrame, low: float, high: float, *, s_low: float = 0.1, s_high: float = 20.0, points: int = 17, rounds: int = 3, target: str = "set") -> DataFrame:
-    """(fold, theta, scale, ll): both parameters by a grid over threshold and log scale on all other folds, refined around the best of all folds together."""
-    t_low, t_high, out = low, high, None
-
-    l_low, l_high = math.log(s_low), math.log(s_high)
+    """(fold, theta, scale, ll, theta_at_bound, scale_at_bound): both parameters of each fold by all other folds alone.
+
+    A grid over threshold and log scale, then finer grids two cells around each fold's own best, so that rows held
+    out steer nothing. ll is the log-likelihood of the training rows; the flags tell that a parameter lies at an end
+    of its range. A round is one pass over the rows, with each fold's grid exploded where a row is; folds are few.
+    """
+    l_low, l_high, n = math.log(s_low), math.log(s_high), points - 1
+    box = df.select("fold").distinct().select("fold", *[F.lit(float(v)).alias(k) for k, v in (("t0", low), ("t1", high), ("l0", l_low), ("l1", l_high))])
     for r in range(rounds):
-        tw, lw = (t_high - t_low) / (points - 1), (l_high - l_low) / (points - 1)
-        g = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points * points - 1))))
-        g = g.withColumns({"theta": t_low + F.floor(C("i") / points) * tw, "scale": F.exp(l_low + (C("i") % points) * lw)})
-        p = structure_probs(C("lq"), C("lt"), C("theta"), C("scale"))[target]
-        sums = g.groupBy("fold", "i", "theta", "scale").agg(F.sum(binom_ll(p, C("yes"), C("total"))).alias("ll"))
-        total = sums.groupBy("i").agg(F.sum("ll").alias("all_ll"), F.first("theta").alias("t"), F.first("scale").alias("sc"))
-        rest = sums.join(F.broadcast(total), "i").withColumn("train", C("all_ll") - C("ll"))
-        out = rest.groupBy("fold").agg(F.max_by(F.struct("theta", "scale", C("train").alias("ll")), F.struct("train", -C("i"))).alias("b")).select("fold", "b.*")
+        train = df.withColumnRenamed("fold", "_own").join(F.broadcast(box), C("_own") != C("fold"))
+        g = train.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points * points - 1))))
+        theta, log_scale = C("t0") + F.floor(C("i") / points) * ((C("t1") - C("t0")) / n), C("l0") + (C("i") % points) * ((C("l1") - C("l0")) / n)
+        g = g.withColumns({"theta": theta, "log_scale": log_scale})
+        p = structure_probs(C("lq"), C("lt"), C("theta"), F.exp("log_scale"))[target]
+        sums = g.groupBy("fold", "i", "theta", "log_scale").agg(F.sum(binom_ll(p, C("yes"), C("total"))).alias("ll"))
+        best = sums.groupBy("fold").agg(F.max_by(F.struct("theta", "log_scale", "ll"), F.struct("ll", -C("i"))).alias("b")).select("fold", "b.*")
         if r + 1 < rounds:
-            best = total.orderBy(F.desc("all_ll"), "i").first()
-            if best is None:
-                break
-            t_low, t_high = best["t"] - 2 * tw, best["t"] + 2 * tw
-            l_low, l_high = max(math.log(s_low), math.log(best["sc"]) - 2 * lw), min(math.log(s_high), math.log(best["sc"]) + 2 * lw)
-    return out
-
-
+            box = saved(best.join(box, "fold").select(
+                "fold",
+                F.greatest(F.lit(float(low)), C("theta") - 2 * (C("t1") - C("t0")) / n).alias("t0"),
+                F.least(F.lit(float(high)), C("theta") + 2 * (C("t1") - C("t0")) / n).alias("t1"),
+                F.greatest(F.lit(l_low), C("log_scale") - 2 * (C("l1") - C("l0")) / n).alias("l0"),
+                F.least(F.lit(l_high), C("log_scale") + 2 * (C("l1") - C("l0")) / n).alias("l1"),
+            ), "box")
+    at = lambda c, a, b: (F.abs(C(c) - a) < 1e-9) | (F.abs(C(c) - b) < 1e-9)
+    return best.select("fold", "theta", F.exp("log_scale").alias("scale"), "ll", at("theta", low, high).alias("theta_at_bound"), at("log_scale", l_low, l_high).alias("scale_at_bound"))

@@ -55,8 +55,14 @@ def filter_contexts(df: DataFrame, names: list[str] | None = None, first: int |
     return df
 
 
-def keep_available(trials: DataFrame, source: DataFrame) -> DataFrame:
-    return trials.join(source.select("context").distinct(), "context", "left_semi")
+def keep_available(trials: DataFrame, source: DataFrame) -> tuple[DataFrame, int]:
+    """Trials of contexts that the source has, and how many were dropped; an error if none is left."""
+    known = source.select("context").distinct().withColumn("_known", F.lit(1))
+    marked = trials.join(known, "context", "left")
+    n = marked.agg(F.count("*").alias("all"), F.count("_known").alias("kept")).first()
+    if not n["kept"]:
+        raise ValueError("no trial's context is in the source")
+    return marked.where("_known = 1").drop("_known"), n["all"] - n["kept"]
 
 
 def support(df: DataFrame, word: str = "token") -> DataFrame:
@@ -96,9 +102,14 @@ def missing_trials(trials: DataFrame, words: DataFrame, boundaries: list[int], s
     return marked.where("reason is not null").withColumn("set_boundary", F.explode(F.array(*[F.lit(b) for b in boundaries])))
 
 
-def pair_grid(trials: DataFrame) -> DataFrame:
-    """Distinct (context, trigger, query) of two different, non-empty words."""
-    return trials.where("trigger <> '' and query <> '' and trigger <> query").select("context", "trigger", "query").distinct()
+def pair_grid(trials: DataFrame, per_context: int | None = None) -> DataFrame:
+    """Distinct (context, trigger, query) of two different, non-empty words; with per_context, another number of pairs in a context is an error."""
+    grid = trials.where("trigger <> '' and query <> '' and trigger <> query").select("context", "trigger", "query").distinct()
+    if per_context is not None:
+        wrong = grid.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") != per_context).orderBy("context").limit(5).collect()
+        if wrong:
+            raise ValueError(f"not {per_context} pairs: {', '.join(str((r['context'], r['n'])) for r in wrong)}")
+    return grid
 
 
 def human_words(trials: DataFrame) -> DataFrame:

@@ -51,6 +51,8 @@ def frequency_source(counts: DataFrame, required: DataFrame, *, background: int
     if not keep_zero or background is not None:
         need = need.where("weight > 0")
     if background is None:
+        if not need.where("weight > 0").limit(1).count():
+            raise ValueError("no required token has a count")
         return need
     top = counts.where("count > 0").orderBy(*order).limit(background).select("token", F.col("count").alias("weight"))
     return top.unionByName(need.join(top.select("token"), "token", "left_anti"))

@@ -65,7 +65,7 @@ def everything(spark, d):
 
 _PUB = """, pub AS (SELECT context, trigger, query, human_yes, human_total, CASE WHEN length(trigger || query) % 3 = 0 THEN round(human_rate, 1) ELSE human_rate END AS human_rate, length(trigger || query) % 3 = 0 AS lost, trigger IN (SELECT token FROM dist WHERE rk = 6) AS ex FROM obs)"""
 
-_RULES = "empty_text version rate count_status exact_counts rate_only_counts trigger_score query_score frame_score frame_applies provenance unique_key".split()
+_RULES = "empty_text version rate count_status exact_counts rate_only_counts trigger_score query_score frame_score frame_applies provenance unique_key column_order".split()
 
 
 @query("j1_canonical_validation", f"SELECT unnest({_RULES!r}) AS rule, 0::BIGINT + least(0, (SELECT count(*) FROM documents)) AS violations")
@@ -84,10 +84,12 @@ def j4(spark, d):
     return J.response_counts(study.trials(spark, d))
 
 
-@query("j5_validated_join", "SELECT 0 AS left_repeats, (SELECT count(*) FROM (SELECT lang FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY lang HAVING count(*) > 1)) AS right_repeats, 0 AS left_only, 0 AS right_only")
+@query("j5_validated_join", "SELECT (SELECT count(*) FROM (SELECT DISTINCT lang FROM documents)) AS joined, 0 AS left_repeats, (SELECT count(*) FROM (SELECT lang FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY lang HAVING count(*) > 1)) AS right_repeats, 0 AS left_only, 0 AS right_only")
 def j5(spark, d):
     docs = study.documents(spark, d)
-    return J.join_faults(docs.select("lang").distinct(), docs.select("lang", "source").distinct(), ["lang"])
+    joined = J.checked_join(docs.select("lang").distinct(), docs.groupBy("lang").agg(F.count("*").alias("n")), ["lang"])
+    faults = J.join_faults(docs.select("lang").distinct(), docs.select("lang", "source").distinct(), ["lang"])
+    return faults.crossJoin(F.broadcast(joined.agg(F.count("*").alias("joined"))))  # one row each
 
 
 @query("j6_candidate_agreement", "SELECT context, trigger, query, upper(trigger) AS scored_trigger, query || 's' AS scored_query FROM pairs WHERE rq = 3")

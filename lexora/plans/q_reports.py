@@ -68,10 +68,20 @@ sums AS (SELECT fold, i, theta, sum({_ll(_p("theta", "1.0")["set"])}) AS ll FROM
 best AS (SELECT fold, max_by(theta, (all_ll - ll, -i))::DOUBLE AS theta FROM sums JOIN tot USING (i) GROUP BY fold)"""
 
 
-@query("g4_fit_threshold", _GRID + " SELECT max_by(theta, (all_ll, -i))::DOUBLE AS theta, max(all_ll) AS ll FROM (SELECT DISTINCT i, theta FROM sums) JOIN tot USING (i)")
+def _grid_rounds(rounds=3, points=65, low=-12.0, high=0.0):
+    """SQL of a one-parameter fit: each round's grid lies within the winning cell of the one before."""
+    out = f"b0 AS (SELECT {low}::DOUBLE AS lo, {high}::DOUBLE AS hi)"
+    for r in range(rounds):
+        out += f""", t{r} AS (SELECT i, lo + i * ((hi - lo) / {points - 1}) AS theta, (hi - lo) / {points - 1} AS w FROM b{r}, (SELECT unnest(generate_series(0, {points - 1})) AS i)),
+l{r} AS (SELECT i, theta, w, sum({_ll(_p("theta", "1.0")["set"])}) AS ll FROM obs, t{r} GROUP BY ALL), w{r} AS (SELECT max_by(theta, (ll, -i)) AS theta, max(ll) AS ll, any_value(w) AS w FROM l{r}),
+b{r + 1} AS (SELECT greatest({low}, theta - w) AS lo, least({high}, theta + w) AS hi FROM w{r})"""
+    return out
+
+
+@query("g4_fit_threshold", _OBS + ", " + _grid_rounds() + " SELECT theta, ll, (abs(theta + 12) < 1e-9 OR abs(theta) < 1e-9)::INT AS at_bound FROM w2")
 def g4(spark, d):
-    sums = G.grid_sums(observations(spark, d).withColumn("fold", F.lit(0)), -12.0, 0.0, 65, "set", 1.0)
-    return sums.agg(F.max_by("theta", F.struct("ll", -C("i"))).alias("theta"), F.max("ll").alias("ll"))
+    theta, ll, at_bound = G.fit_threshold(observations(spark, d), "set", 1.0, -12.0, 0.0)
+    return spark.createDataFrame([(theta, ll, int(at_bound))], "theta double, ll double, at_bound int")
 
 
 _CV = _GRID + f", pred AS (SELECT f.*, theta, {_p('theta', '1.0')['set']} AS p FROM folds f JOIN best USING (fold))"
@@ -109,14 +119,30 @@ def g10(spark, d):
     return observations(spark, d).groupBy("family").agg(F.avg(G.item_score(C("yes") / C("total"), p)).alias("score"))
 
 
-@query("g11_fit_threshold_scale")
+def _box_rounds(rows, rounds=3, points=17, low=-12.0, high=0.0, s_low=0.1, s_high=20.0):
+    """SQL of a two-parameter fit of each fold by the other folds of `rows`, each round two cells around the fold's own best."""
+    n, out = points - 1, f"x0 AS (SELECT DISTINCT fold, {low}::DOUBLE AS t0, {high}::DOUBLE AS t1, ln({s_low}) AS l0, ln({s_high}) AS l1 FROM {rows})"
+    for r in range(rounds):
+        out += f""", y{r} AS (SELECT x.fold, i, t0 + (i // {points}) * ((t1 - t0) / {n}) AS theta, l0 + (i % {points}) * ((l1 - l0) / {n}) AS ls, lq, lt, yes, total FROM {rows} o JOIN x{r} x ON o.fold <> x.fold, (SELECT unnest(generate_series(0, {points * points - 1})) AS i)),
+z{r} AS (SELECT fold, i, theta, ls, sum({_ll(_p("theta", "exp(ls)")["set"])}) AS ll FROM y{r} GROUP BY ALL), v{r} AS (SELECT fold, max_by(theta, (ll, -i)) AS theta, max_by(ls, (ll, -i)) AS ls, max(ll) AS ll FROM z{r} GROUP BY fold),
+x{r + 1} AS (SELECT v.fold, greatest({low}, theta - 2 * (t1 - t0) / {n}) AS t0, least({high}, theta + 2 * (t1 - t0) / {n}) AS t1, greatest(ln({s_low}), ls - 2 * (l1 - l0) / {n}) AS l0, least(ln({s_high}), ls + 2 * (l1 - l0) / {n}) AS l1 FROM v{r} v JOIN x{r} USING (fold))"""
+    return out + f""", fitted AS (SELECT fold, theta, exp(ls) AS scale, ll, (abs(theta - {low}) < 1e-9 OR abs(theta - {high}) < 1e-9)::INT AS theta_at_bound, (abs(ls - ln({s_low})) < 1e-9 OR abs(ls - ln({s_high})) < 1e-9)::INT AS scale_at_bound FROM v{rounds - 1})"""
+
+
+def _flags(df):
+    return df.withColumns({c: C(c).cast("int") for c in ("theta_at_bound", "scale_at_bound")})
+
+
+@query("g11_fit_threshold_scale", _OBS + ", twice AS (SELECT obs.*, fold FROM obs, (SELECT unnest([0, 1]) AS fold)), " + _box_rounds("twice") + " SELECT theta, scale, ll, theta_at_bound, scale_at_bound FROM fitted WHERE fold = 0")
 def g11(spark, d):
-    return G.fit_threshold_scale(observations(spark, d).withColumn("fold", F.lit(0)).unionByName(observations(spark, d).withColumn("fold", F.lit(1))), -12.0, 0.0)
+    """All rows train: each of two folds holds all of them."""
+    twice = observations(spark, d).withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1))))
+    return _flags(G.fit_threshold_scale(twice, -12.0, 0.0)).where("fold = 0").drop("fold")
 
 
-@query("g12_fold_parameters")
+@query("g12_fold_parameters", _OBS + ", " + _box_rounds("folds") + " SELECT * FROM fitted JOIN (SELECT fold, ((SELECT sum(yes) FROM folds) - sum(yes)) / ((SELECT sum(total) FROM folds) - sum(total)) AS intercept FROM folds GROUP BY fold) USING (fold)")
 def g12(spark, d):
-    return G.fit_threshold_scale(folded(spark, d), -12.0, 0.0).join(G.fold_intercepts(folded(spark, d)), "fold")
+    return _flags(G.fit_threshold_scale(folded(spark, d), -12.0, 0.0)).join(G.fold_intercepts(folded(spark, d)), "fold")
 
 
 @query("g13_correlation_table", _CV + " SELECT family, corr(lq, yes / total) AS r_query, corr(p, yes / total) AS r_set FROM pred GROUP BY family")

@@ -159,7 +159,7 @@ def c3(spark, d):
 
 @query("c4_keep_available", "SELECT context, count(*) AS n FROM trials WHERE context IN (SELECT context FROM dist WHERE n > 50) GROUP BY context")
 def c4(spark, d):
-    return P.keep_available(study.trials(spark, d), study.dist(spark, d).where("n > 50")).groupBy("context").agg(F.count("*").alias("n"))
+    return P.keep_available(study.trials(spark, d), study.dist(spark, d).where("n > 50"))[0].groupBy("context").agg(F.count("*").alias("n"))
 
 
 _REASON = """, sup AS (SELECT context, token FROM dist WHERE rk NOT IN (2, 5) AND context <> 'de'), marked AS (SELECT t.*, CASE WHEN context NOT IN (SELECT context FROM sup) THEN 'context_missing'
@@ -198,7 +198,7 @@ def c9(spark, d):
 
 @query("c10_pair_grid", "SELECT DISTINCT context, trigger, query FROM trials")
 def c10(spark, d):
-    return P.pair_grid(study.trials(spark, d))
+    return P.pair_grid(study.trials(spark, d), 30)
 
 
 _HKEY = "CASE WHEN length(t) <= 3 THEN t WHEN t LIKE '%ies' AND length(t) > 4 THEN t[:-4] || 'y' WHEN regexp_matches(t, '(ss|sh|ch|x|z)es$') THEN t[:-3] WHEN t LIKE '%s' AND NOT regexp_matches(t, '(ss|us|is)$') THEN t[:-2] ELSE t END"

@@ -90,8 +90,9 @@ def test_threshold_is_recovered(spark):
     rows = [(i % 8, -8 + 0.5 * i, -6 + 0.3 * i) for i in range(16)]
     df = spark.createDataFrame(rows, "fold int, lq double, lt double").withColumn("total", F.lit(10_000))
     df = df.withColumn("yes", F.round(stats.p_set(F.col("lq"), F.lit(-3.0), F.lit(1.0)) * 10_000).cast("long"))
-    theta, _ = calibrate.fit_threshold(df, "set", 1.0, -18.0, 9.5)
-    assert abs(theta + 3) < 0.01
+    theta, _, at_bound = calibrate.fit_threshold(df, "set", 1.0, -18.0, 9.5)
+    assert abs(theta + 3) < 0.01 and not at_bound
+    assert calibrate.fit_threshold(df, "set", 1.0, 0.0, 9.5)[2]
     cv = calibrate.logo_cv(df, "set", 1.0, -6.0, 0.0, points=121)
     assert cv.count() == 16 and cv.where("abs(theta + 3) > 0.051").count() == 0
 
@@ -162,3 +163,88 @@ def test_classification_of_nothing(spark):
 def test_histogram_closes_last_bin(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (2.0,)], "v double")
     assert [(r.bin, r.n) for r in reports.histogram(df, "v", 4).orderBy("bin").collect()] == [(0, 1), (1, 0), (2, 1), (3, 1)]
+
+
+@pytest.mark.parametrize("bad", [{"s": 0.0}, {"s": -1.0}, {"s": float("inf")}, {"s": float("nan")}, {"q": float("nan")}, {"t": float("inf")}, {"theta": float("-inf")}])
+def test_threshold_models_reject_what_is_not_finite(spark, bad):
+    v = {"q": -1.0, "t": -2.0, "theta": -1.5, "s": 1.0} | bad
+    q, t, theta, s = (F.lit(v[k]) for k in ("q", "t", "theta", "s"))
+    with pytest.raises(PySparkException, match="finite"):
+        spark.range(1).select(*[p.alias(k) for k, p in stats.structure_probs(q, t, theta, s).items()]).collect()
+
+
+@pytest.mark.parametrize(("yes", "total", "p"), [(-1, 3, 0.5), (4, 3, 0.5), (1, 3, 1.5), (None, 3, 0.5)])
+def test_invalid_counts_are_an_error(spark, yes, total, p):
+    with pytest.raises(PySparkException, match="counts"):
+        one(spark, stats.binom_ll(F.lit(p), F.lit(yes), F.lit(total)))
+
+
+def test_group_folds_guards(spark):
+    df = spark.createDataFrame([("a", "g1"), ("a", "g2"), ("b", "g0"), ("b", "g1")], "family string, group string")
+    with pytest.raises(PySparkException, match="fewer groups"):
+        calibrate.group_folds(df, 3).collect()
+    with pytest.raises(PySparkException, match="two folds for the group g1"):
+        calibrate.group_folds(df, 2).collect()
+    with pytest.raises(ValueError, match="two folds"):
+        calibrate.group_folds(df, 1)
+
+
+def test_held_out_rows_do_not_steer_a_fold(spark):
+    rows = [(f, -8 + 0.5 * i, -6 + 0.3 * i, 100, y) for f in (0, 1) for i, y in enumerate([5, 10, 20, 40, 60, 80, 90, 95] if f else [95, 5, 80, 20, 60, 40, 90, 10])]
+    df = spark.createDataFrame(rows, "fold int, lq double, lt double, total int, yes int")
+    changed = df.withColumn("yes", F.when(F.col("fold") == 0, 100 - F.col("yes")).otherwise(F.col("yes")))
+    a, b = ({r.fold: (r.theta, r.scale) for r in calibrate.fit_threshold_scale(x, -12.0, 0.0).collect()} for x in (df, changed))
+    assert a[0] == b[0] and a[1] != b[1]
+
+
+def canonical_rows(spark):
+    cells = spark.createDataFrame([("c", "t", "q", 1, 2, 0.5)], "context string, trigger string, query string, human_yes long, human_total long, human_rate double")
+    names = [f"{w}_{p} {k}" for w in ("trigger", "query") for p, k in (("logprob_sum", "double"), ("logprob_mean", "double"), ("token_count", "int"), ("tokenization_mode", "string"))]
+    scores = spark.createDataFrame([("c", "t", "q", "say ", -1.0, -1.0, 1, "word", -2.0, -1.0, 2, "word", "m", "r")], "context string, trigger string, query string, generation_prompt string, " + ", ".join(names) + ", model_name string, model_revision string")
+    return canonical.canonical(cells, scores, None, family="f", dataset="d", condition="b", human_file="h", score_file="s")
+
+
+def test_canonical_table(spark):
+    good = canonical_rows(spark)
+    broken = lambda df: {r.rule for r in canonical.validate(df).where("violations > 0").collect()}
+    assert broken(good) == set() and canonical.combine(good).columns[:35] == list(canonical.COLUMNS)
+    assert canonical.COLUMNS[16:24] == ("trigger_logprob_sum", "query_logprob_sum", "trigger_logprob_mean", "query_logprob_mean", "trigger_token_count", "query_token_count", "trigger_tokenization_mode", "query_tokenization_mode")
+    assert broken(good.withColumn("trigger_logprob_sum", F.lit(None).cast("double"))) == {"trigger_score"}
+    assert broken(good.select(*reversed(good.columns))) == {"column_order"}
+    with pytest.raises(ValueError, match="unique_key"):
+        canonical.combine(good, good)
+
+
+def test_shards_contexts_and_grids_must_be_there(spark, tmp_path):
+    spark.createDataFrame([("th", "the\t2000\t3\t1")], "prefix2 string, value string").write.partitionBy("prefix2").text(str(tmp_path / "s"))
+    assert files.scan_ngrams(spark, str(tmp_path / "s"), prefixes=["th"]).first()["count"] == 3
+    with pytest.raises(ValueError, match="no shard for: zz"):
+        files.scan_ngrams(spark, str(tmp_path / "s"), prefixes=["th", "zz"])
+    t = spark.createDataFrame([("c", "t", "q", 1), ("d", "t", "q", 0)], "context string, trigger string, query string, neg int")
+    kept, dropped = trials.keep_available(t, t.where("context = 'c'"))
+    assert (kept.count(), dropped) == (1, 1)
+    with pytest.raises(ValueError, match="context"):
+        trials.keep_available(t, t.limit(0))
+    with pytest.raises(ValueError, match="not 2 pairs"):
+        trials.pair_grid(t, 2)
+    words = spark.createDataFrame([("a", 0)], "token string, count long")
+    with pytest.raises(ValueError, match="no required token"):
+        vocab.frequency_source(words, words.select("token"))
+
+
+def test_numbers_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(None if i % 3 == 0 else f"c{i % 3}", i * 37 % 101) for i in range(101)], "context string, v int")
+    for n in (1, 5):
+        got = vocab.numbered(df.repartition(n), [F.asc("v")], "line", ("context",)).collect()
+        assert len(got) == 101
+        for c in (None, "c1", "c2"):
+            own = sorted((r.v, r.line) for r in got if r.context == c)
+            assert [k for _, k in own] == list(range(1, len(own) + 1))
+    assert vocab.with_total(df, F.sum("v"), "t").count() == 101
+
+
+def test_vocab_lines_of_many_parts(spark, tmp_path):
+    words = [f"w{i:03d}" if i % 7 else "" for i in range(200)]
+    spark.createDataFrame([(i, "c", w) for i, w in enumerate(words)], "i int, context string, token string").repartitionByRange(4, "i").sortWithinPartitions("i").select("context", "token").write.partitionBy("context").text(str(tmp_path / "v"))
+    got = {r.line: (r.token, r.context) for r in files.read_vocab(spark, str(tmp_path / "v")).collect()}
+    assert got == {i + 1: (w, "c") for i, w in enumerate(words) if w}

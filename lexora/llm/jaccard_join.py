@@ -29,8 +29,9 @@ SHINGLE = 4
 PERCENT = 85
 #: Shingle hashes have so many bits.
 BITS = 56
-#: Shingles of a cluster, and of a block of a larger one, that one task compares; a longer set is a block by itself.
+#: Shingles and documents of a cluster, and of a block of a larger one, that one task compares; a longer set is a block by itself.
 BLOCK_SHINGLES = 150_000
+BLOCK_DOCS = 500
 #: Rounds in which clusters above that are held against a pivot.
 ROUNDS = 3
 BROADCAST_ROWS = 500_000
@@ -245,7 +246,8 @@ def _prefixes(heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     sets = save(sets.select("doc", F.xxhash64("doc", "sig1", "sig2").alias("set"), "n", "counted", "low"), "sets")
     rows = sets.select("set", F.explode("low").alias("s"))
     repeated = save(rows.groupBy("s").agg(F.count("*").alias("f")).where("f > 1"), "repeated")
-    hits = rows.join(small(repeated), "s").select("set", F.struct((F.col("s") >= limit).alias("later"), F.when(F.col("s") < limit, F.col("f")).otherwise(0).alias("f"), "s").alias("e"))
+    # Merged at every size, so that work and disk grow in proportion, and Spark can split what a common shingle makes large
+    hits = rows.join(repeated.hint("merge"), "s").select("set", F.struct((F.col("s") >= limit).alias("later"), F.when(F.col("s") < limit, F.col("f")).otherwise(0).alias("f"), "s").alias("e"))
     lists = hits.groupBy("set").agg(F.array_sort(F.collect_list("e")).alias("e"))  # no longer than one document's elements
     alone = F.col("counted") - F.size(F.filter("e", lambda x: ~x["later"]))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -334,8 +336,8 @@ def _across(jobs: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """(cluster, blocks): how many blocks of BLOCK_SHINGLES a cluster's sets make."""
-    return members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    """(cluster, blocks): how many blocks a cluster's sets make."""
+    return members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"))
 
 
 def _own_block(blocks: Column) -> Column:

@@ -2,19 +2,21 @@
 
 The reference is the corpus itself, so a shard of it is made of what can match: a window of WINDOW words belongs
 to the smallest hash among its runs of GRAM words (its anchor), equal windows to equal anchors. Consecutive
-windows with one anchor form a segment. Segments go by anchor to shards:
-
-* an anchor found once matches nothing;
-* equal segments need one comparison, by their hash: the first document keeps its copy;
-* distinct segments of one anchor are laid into a suffix automaton in order of (document, place). While it grows,
-  the length of the new state's suffix link is the matching statistic: the longest suffix seen before;
-* an anchor with very many distinct segments is split into single windows, compared by hash.
-
-Repeats within a document are found where the document is. Nothing is broadcast but a counted list of anchors.
+windows with one anchor form a segment. An anchor found once matches nothing; the distinct segments of every other
+anchor are a shard of the reference, laid into a suffix automaton in order of (document, place). While it grows, the
+length of the new state's suffix link is the matching statistic: the longest suffix seen before. So a segment's
+windows are told apart into those that an earlier one has and those that are new; where the segment is copied as a
+whole, all its windows are in its first document.
+
+Shards are sent to tasks by anchor and not to all executors, as they grow with the corpus. An anchor with over
+SHARD_SEGMENTS distinct segments would be too large for one task; there every window is an anchor of its own, and
+equal windows have equal hashes. Repeats within a document are found where the document is.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,12 +25,14 @@ from pyspark.sql import functions as F
 from .common import _power, chunk_words, chunks, drop, gram_hashes, save, scramble, signed
 
 WINDOW = 20
-GRAM = 5
-#: Distinct segments of an anchor from which it is split into windows.
-SPLIT_AT = 200
+GRAM = 8
+#: Distinct segments of an anchor that one automaton holds.
+SHARD_SEGMENTS = 2_000
 #: Anchors that are sent to all executors; more are joined by key.
 BROADCAST_ROWS = 500_000
 _INDEX = np.uint64((1 << 24) - 1)
+#: A place is a segment's number in its row, below 40 bits that tell the rows of one id apart.
+SEGMENT_BITS = 23
 
 
 def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM):
@@ -107,10 +111,20 @@ def _per_document(batch, columns):
             yield first + i, raw, starts[own] - at[i], ends[own] - at[i], h[own]
 
 
+def tag(raw: bytes) -> int:
+    """The upper bits of a row's places, from its text: rows of one id and one text are alike in all that follows."""
+    return int.from_bytes(blake2b(raw, digest_size=5).digest(), "big") << SEGMENT_BITS
+
+
+def segment_of(place: int, own: int) -> int | None:
+    """The number of a segment in the row tagged `own`; None for a place of another row of the same id."""
+    return place - own if place >> SEGMENT_BITS == own >> SEGMENT_BITS else None
+
+
 def _anchors(batches):
     for batch in batches:
         ids, docs, gs, xs, at = batch.column(0).to_pylist(), [], [], [], []
-        for row, _, _, _, h in _per_document(batch, 1):
+        for row, raw, _, _, h in _per_document(batch, 1):
             _, _, g, x = segments(h)
             if len(g):
                 # of a document's equal segments the first stands for all
@@ -118,11 +132,11 @@ def _anchors(batches):
                 docs.append(ids[row])
                 gs.append(g[keep])
                 xs.append(x[keep])
-                at.append(keep.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(gs, pa.list_(pa.int64())), pa.array(xs, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))], names=["doc", "g", "x", "seg"])
+                at.append(keep.astype(np.int64) + tag(raw))
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(gs, pa.list_(pa.int64())), pa.array(xs, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int64()))], names=["doc", "g", "x", "at"])
 
 
-_PARTS = pa.schema([("g", pa.int64()), ("window", pa.int64()), ("doc", pa.int64()), ("seg", pa.int32()), ("bit", pa.int32()), ("text", pa.binary())])
+_PARTS = pa.schema([("g", pa.int64()), ("x", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("text", pa.binary()), ("windows", pa.list_(pa.int64()))])
 
 
 def _parts(batches):
@@ -131,51 +145,46 @@ def _parts(batches):
         out = {f.name: [] for f in _PARTS}
         ids, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for row, raw, starts, ends, h in _per_document(batch, 1):
-            first, count, g, _ = segments(h)
-            grams = None
+            first, count, g, x = segments(h)
+            own, grams = tag(raw), None
             for w in wanted[row]:
-                k = w["seg"]
-                if k >= len(first):  # another row of the same id
+                k = segment_of(w["at"], own)
+                if k is None:
                     continue
                 a, n = int(first[k]), int(count[k])
                 if w["split"]:
                     grams = signed(gram_hashes(h, WINDOW)) if grams is None else grams
-                    rows = [(int(g[k]), int(grams[a + i]), ids[row], k, i, None) for i in range(n)]
-                else:
-                    rows = [(int(g[k]), None, ids[row], k, None, raw[starts[a] : ends[a + n + WINDOW - 2]])]
-                for r in rows:
-                    for name, value in zip(out, r):
-                        out[name].append(value)
+                found = (None, grams[a : a + n]) if w["split"] else (raw[starts[a] : ends[a + n + WINDOW - 2]], None)
+                for name, value in zip(out, (int(g[k]), int(x[k]), ids[row], w["at"], *found)):
+                    out[name].append(value)
         yield pa.RecordBatch.from_pydict(out, schema=_PARTS)
 
 
 def _automata(batches):
-    """Rows sorted by (g, doc, seg) in; (doc, seg, bits) of segments with a window in an earlier one out."""
+    """Rows (g, x, doc, at, text) sorted by (g, doc, at) in; (g, x, first, bits) of every segment out, bits for windows that an earlier one has."""
     key, rows = None, []
 
     def done():
-        if len(rows) < 2:
-            return []
-        return [(doc, seg, bits) for (doc, seg, _), bits in zip(rows, earlier_windows([t.split() for _, _, t in rows])) if bits]
+        return [(key, x, doc, bits) for (x, doc, _), bits in zip(rows, earlier_windows([t.split() for _, _, t in rows]))] if rows else []
 
     for batch in batches:
         out = []
-        for g, doc, seg, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for g, x, doc, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4))):
             if g != key:
                 out += done()
                 key, rows = g, []
-            rows.append((doc, seg, text))
-        yield _marks(out)
-    yield _marks(done())
+            if not rows or rows[-1][:2] != (x, doc):  # rows that repeat an id and a text give a segment more than once
+                rows.append((x, doc, text))
+        yield _told(out)
+    yield _told(done())
 
 
-def _marks(rows):
-    cols = list(zip(*rows)) or [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], names=["doc", "seg", "bits"])
+def _told(rows):
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [[]] * 4)], names=["g", "x", "first", "bits"])
 
 
-def removed_words(h: np.ndarray, marks: list) -> np.ndarray:
-    """Which words are covered by a window that starts earlier: marked ones, and repeats within the document."""
+def removed_words(h: np.ndarray, marks: list, own: int) -> np.ndarray:
+    """Which words are covered by a window that starts earlier: marked ones of the row tagged `own`, and repeats within the document."""
     gone = np.zeros(len(h), bool)
     n = len(h) - WINDOW + 1
     if n < 1:
@@ -183,8 +192,9 @@ def removed_words(h: np.ndarray, marks: list) -> np.ndarray:
     hit = np.zeros(n, bool)
     first, count, _, _ = segments(h)
     for m in marks:
-        if m["seg"] < len(first):
-            a, c = int(first[m["seg"]]), int(count[m["seg"]])
+        k = segment_of(m["at"], own)
+        if k is not None:
+            a, c = int(first[k]), int(count[k])
             hit[a : a + c] |= True if m["bits"] < 0 else (m["bits"] >> np.arange(c)) & 1 == 1
     grams = gram_hashes(h, WINDOW)
     order = np.argsort(grams, kind="stable")
@@ -201,7 +211,7 @@ def _cut(batches):
         ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         out = {c: [] for c in ("doc_id", "n_words", "n_removed", "spans", "kept")}
         for row, raw, starts, ends, h in _per_document(batch, 1):
-            gone = removed_words(h, marks[row] or [])
+            gone = removed_words(h, marks[row] or [], tag(raw))
             words = raw.split()
             edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
             out["doc_id"].append(ids[row])
@@ -216,32 +226,30 @@ _CUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 
 def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Saved tables: marks (doc, seg, bits; -1 for all windows) found by segment hash, and wanted (doc, seg, split) that need a closer look."""
-    own = save(docs.where("doc is not null").mapInArrow(_anchors, "doc long, g array<long>, x array<long>, seg array<int>"), "anchors")
+    """Saved tables: rows (doc, at, g, x) of all segments whose anchor is repeated, and known (g, x, first, split): each distinct one with its first (document, place)."""
+    own = save(docs.where("doc is not null").mapInArrow(_anchors, "doc long, g array<long>, x array<long>, at array<long>"), "anchors")
     twice = save(own.select(F.explode("g").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "repeated")
-    rows = own.select("doc", F.explode(F.arrays_zip("g", "x", "seg")).alias("s")).select("doc", "s.g", "s.x", "s.seg")
+    rows = own.select("doc", F.explode(F.arrays_zip("g", "x", "at")).alias("s")).select("doc", "s.g", "s.x", "s.at")
     rows = save(rows.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, "g"), "rows")
     drop(own, twice)
-    first = save(rows.groupBy("g", "x").agg(F.min("doc").alias("first")), "first")
-    many = first.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    known = save(first.join(many, "g", "left").select("g", "x", "first", F.coalesce("n", F.lit(1)).alias("n")), "known")
-    drop(first)
-    # Exchanged on both sides by (g, x), so that Spark can split what a common passage makes large
-    met = save(rows.join(known, ["g", "x"]).where("doc > first or n > 1").select("doc", "seg", (F.col("doc") > F.col("first")).alias("later"), (F.col("n") > SPLIT_AT).alias("split")), "met")
-    drop(rows, known)
-    return met.where("later").select("doc", "seg", F.lit(-1).cast("long").alias("bits")), met.where("not later").select("doc", "seg", "split")
-
-
-def _looked_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Marks of the segments that differ from others of their anchor."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("seg", "split")).alias("wanted"))
-    parts = save(docs.join(lists, "doc").select("doc", "text", "wanted").mapInArrow(_parts, "g long, window long, doc long, seg int, bit int, text binary"), "parts")
-    whole = parts.where("text is not null").select("g", "doc", "seg", "text").repartition("g").sortWithinPartitions("g", "doc", "seg")
-    marks = whole.mapInArrow(_automata, "doc long, seg int, bits long")
-    split = parts.where("text is null").select("g", "window", "doc", "seg", "bit")
-    first = save(split.groupBy("g", "window").agg(F.min("doc").alias("first")), "windows")
-    later = split.join(first, ["g", "window"]).where("doc > first")
-    return marks.unionByName(later.select("doc", "seg", F.expr("shiftleft(1L, bit)").alias("bits")))
+    first = save(rows.groupBy("g", "x").agg(F.min(F.struct("doc", "at")).alias("first")), "first")
+    many = first.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_SEGMENTS).select("g", F.lit(True).alias("split"))
+    return rows, first.join(save(many, "many"), "g", "left").select("g", "x", "first", F.coalesce("split", F.lit(False)).alias("split"))
+
+
+def _told_apart(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Saved table (g, x, first, bits): of each distinct segment, its first document and the windows that start earlier still."""
+    lists = known.select("first.doc", F.struct("first.at", "split").alias("w")).groupBy("doc").agg(F.collect_list("w").alias("wanted"))
+    parts = save(docs.join(lists, "doc").select("doc", "text", "wanted").mapInArrow(_parts, "g long, x long, doc long, at long, text binary, windows array<long>"), "parts")
+    whole = parts.where("text is not null").drop("windows").repartition("g").sortWithinPartitions("g", "doc", "at").mapInArrow(_automata, "g long, x long, first long, bits long")
+    split = parts.where("text is null").select("g", "x", "doc", "at", F.posexplode("windows").alias("i", "w"))
+    at = F.struct("doc", "at", "i")
+    earliest = split.groupBy("w").agg(F.min(at).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("w", "earliest")
+    found = split.join(save(earliest, "windows"), "w", "left").withColumn("bit", F.when(at > F.col("earliest"), F.expr("shiftleft(1L, i)")).otherwise(0))
+    bits = found.groupBy("g", "x", F.col("doc").alias("first")).agg(F.bit_or("bit").alias("bits"))
+    out = save(whole.unionByName(bits), "told")
+    drop(parts)
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -250,12 +258,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A word is removed if it is covered by a window of WINDOW words whose sequence also starts earlier: in a
     smaller doc_id, or earlier in the document. Windows are judged on the input. Null and empty texts have no
     words. Rows of a null id are compared with nothing but themselves; of rows that repeat an id, each is
-    compared with other ids and with itself.
+    compared with other ids and with itself, and loses words of its own text alone.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    marks, wanted = _repeated(own)
-    marks = marks.unionByName(_looked_at(own, wanted))
-    lists = marks.groupBy("doc").agg(F.collect_list(F.struct("seg", "bits")).alias("marks"))
+    rows, known = _repeated(own)
+    told = _told_apart(own, known).groupBy("g", "x").agg(F.min("first").alias("first"), F.bit_or("bits").alias("bits"))
+    # Exchanged on both sides by (g, x), so that Spark can split what a common passage makes large
+    marks = rows.join(told, ["g", "x"]).select("doc", "at", F.when(F.col("doc") > F.col("first"), -1).otherwise(F.col("bits")).alias("bits")).where("bits <> 0")
+    lists = marks.groupBy("doc").agg(F.collect_list(F.struct("at", "bits")).alias("marks"))
     kind = "doc_id long, n_words long, n_removed long, spans array<struct<first:long,end:long>>, kept string"
     return own.join(lists, "doc", "left").select("doc", "text", "marks").mapInArrow(_cut, kind)
 

@@ -40,6 +40,24 @@ def test_substring_dedup(spark):
             assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id], r.doc_id
 
 
+def test_substring_splits_anchors_of_many_segments(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", 3)
+    base = prose(60, 21)
+    rows = [(i, f"{prose(25, 600 + i)} {' '.join(base.split()[i : i + 30])} {prose(22, 900 + i)}") for i in range(25)] + [(40, base), (41, base + " " + base)]
+    want = substring_expected(rows)
+    for r in substring_dedup.digest(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect():
+        assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id], r.doc_id
+
+
+def test_substring_keeps_rows_of_one_id_apart(spark):
+    """A text that repeats nowhere stays, whatever other rows of its id lose."""
+    a, b, c = prose(60, 31), prose(60, 32), prose(60, 34)
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (5, c), (5, c), (6, c), (None, a), (None, prose(60, 33))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    removed = sorted((r.doc_id or 0, r.n_removed) for r in got)
+    assert removed == [(0, 0), (0, 0), (1, 0), (2, 0), (2, 60), (3, 60), (3, 60), (5, 0), (5, 0), (6, 60)]
+
+
 def test_substring_empty_table(spark):
     assert substring_dedup.digest(spark.createDataFrame([], SCHEMA)).count() == 0
 

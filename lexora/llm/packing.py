@@ -1,15 +1,14 @@
 """Packing by non-negative least squares over shallow combinations of lengths.
 
-A document's ids are cut into full windows, a body of whole units and a tail shorter than a unit:
-
-* full windows are sequences of their own;
-* bodies: combinations of at most DEPTH lengths that fill a window exactly are enumerated, their repeat counts
-  are fitted to the histogram of body lengths by non-negative least squares and rounded down; bodies left over
-  are laid end to end, cut where a window ends;
-* tails follow greedily by length, each whole, and one last sequence is left partly filled.
-
-Only histograms reach the driver: at most UNITS + UNIT numbers. What a piece's place depends on is its rank
-among the pieces of its length, which is its rank in its task plus the number in the tasks before.
+A document's ids are full windows, sequences of their own, and a rest shorter than a window, which stays whole where
+it can. Rests have lengths in units, rounded up. Combinations of at most DEPTH lengths that fill a window are
+enumerated, their repeat counts are fitted to the histogram of lengths by non-negative least squares and rounded
+down: so most rests get their places. Rounding leaves a small gap at the end of each such sequence; as many rests as
+the gaps will hold, and those that the plan has no place for, fill the gaps greedily in order, cut where a gap ends,
+and go on in sequences of their own.
+
+Only sums by length reach the driver: UNITS numbers of pieces and of tokens. A piece's place depends on its rank among the
+pieces of its length, which is its rank in its task plus the number in the tasks before.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
@@ -27,211 +26,185 @@ from .encoding import encoder
 WINDOW = 4096
 UNIT = 64
 UNITS = WINDOW // UNIT
-DEPTH = 3
+DEPTH = 8
 END_ID = 2
-
-FULL, BODY, TAIL = 0, 1, 2
+#: Rows that one window function's group holds when places are summed up, and table rows that are sent to all executors.
+BLOCK = 50_000
+BROADCAST_ROWS = 500_000
 
 
-# ---------------------------------------------------------------- the plan, from two histograms
+# ---------------------------------------------------------------- the plan, from a histogram
 
 
 def combinations(units: int = UNITS, depth: int = DEPTH) -> list[tuple[int, ...]]:
-    """Descending lengths, at least two and at most depth, that add up to units."""
+    """Descending lengths, at most depth of them, that add up to units."""
 
     def down(left: int, most: int, depth: int):
         if not left:
             yield ()
-        elif depth:
+        elif most * depth >= left:
             for x in range(min(left, most), 0, -1):
                 for rest in down(left - x, x, depth - 1):
                     yield (x, *rest)
 
-    return [c for c in down(units, units - 1, depth)]
+    return list(down(units, units, depth))
+
+
+def counts_of(combos: list[tuple[int, ...]], units: int = UNITS) -> np.ndarray:
+    """Matrix (units, combos): how often a combination holds a length."""
+    a = np.zeros((units, len(combos)), np.float32)
+    flat = np.concatenate([np.array(c, np.int64) for c in combos])
+    np.add.at(a, (flat - 1, np.repeat(np.arange(len(combos)), [len(c) for c in combos])), 1)
+    return a
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|: the active-set method, on normal equations."""
-    gram, target = a.T @ a, a.T @ b
-    x = np.zeros(a.shape[1])
-    free = np.zeros(a.shape[1], bool)
-    tolerance = 1e-9 * max(1.0, np.abs(target).max(initial=0))
+    """x >= 0 that minimises |a x - b|: the active-set method; only the chosen columns are solved for."""
+    x, free = np.zeros(a.shape[1]), np.zeros(0, np.int64)
+    tolerance = 1e-6 * max(1.0, float(np.abs(b).max(initial=0)))
     for _ in range(rounds):
-        gradient = np.where(free, -np.inf, target - gram @ x)
+        gradient = a.T @ (b - a[:, free] @ x[free]).astype(a.dtype)
+        gradient[free] = -np.inf
         best = int(np.argmax(gradient))
         if gradient[best] <= tolerance:
             break
-        free[best] = True
-        while True:
-            k = np.flatnonzero(free)
-            goal = np.linalg.lstsq(gram[np.ix_(k, k)], target[k], rcond=None)[0]
-            if (goal > 0).all():
-                x[:] = 0
-                x[k] = goal
-                break
+        free = np.append(free, best)
+        while len(free):
+            goal = np.linalg.lstsq(a[:, free].astype(float), b, rcond=None)[0]
             low = goal <= 0
-            step = (x[k][low] / np.maximum(x[k][low] - goal[low], 1e-300)).min()
-            x[k] += min(1.0, step) * (goal - x[k])
-            x[k[(x[k] <= 1e-12) | (low & (x[k] <= tolerance))]] = 0
-            drop = free & (x <= 0)
-            drop[best] &= step <= 0
-            if not drop.any():
-                drop[k[low]] = True
-                x[k[low]] = 0
-            free &= ~drop
-            if not free.any():
+            if not low.any():
+                x[free] = goal
                 break
+            step = (x[free][low] / np.maximum(x[free][low] - goal[low], 1e-300)).min()
+            x[free] += step * (goal - x[free])
+            gone = low & (x[free] <= 1e-9)
+            if not gone.any():
+                gone = low
+            x[free[gone]] = 0
+            free = free[~gone]
     return x
 
 
-def plan(bodies: np.ndarray, tails: np.ndarray, first: int) -> dict:
-    """Places of pieces by length and rank. bodies[u], tails[t]: numbers of pieces; first: sequence ids used so far.
+def plan(pieces: np.ndarray, tokens: np.ndarray, first: int) -> tuple[list[tuple], np.ndarray, int]:
+    """Places of rests by length and rank. pieces[u], tokens[u]: rests of u units and their tokens; first: sequence ids used so far.
 
-    slots[u]: rows (rank from, rank to, sequence of the first, offset in units); ranks after them go into the
-    stream of left-over bodies. runs[t]: rows (rank from, rank to, sequence of the first, offset, pieces a sequence).
+    Returns rows (size, rank from, rank to, sequence of the first, slot), for each length how many rests have a
+    place, and the sequence ids used then. Rests of as many tokens as rounding leaves in the gaps get none.
     """
-    left = bodies.astype(np.int64).copy()
-    used = np.zeros_like(left)
-    slots: dict[int, list] = {u: [] for u in range(1, UNITS)}
-    sequence = first
+    slack = float((pieces * np.arange(len(pieces)) * UNIT - tokens).sum())
+    share = 1 - min(1.0, 1.02 * slack / max(1.0, tokens.sum() + slack))
+    left = np.floor(pieces * share).astype(np.int64)
+    used, slots, sequence = np.zeros(len(pieces), np.int64), [], first
     combos = combinations()
-    a = np.zeros((UNITS, len(combos)))
-    for j, c in enumerate(combos):
-        np.add.at(a[:, j], list(c), 1)
-    repeats = np.floor(nnls(a[1:], bodies[1:].astype(float)) + 1e-6).astype(np.int64)
-    for j in np.argsort(-repeats, kind="stable"):
-        need = a[:, j].astype(np.int64)
+    repeats = np.floor(nnls(counts_of(combos), left[1:].astype(float)) + 1e-6).astype(np.int64)
+    for j in np.argsort(-repeats, kind="stable")[: np.count_nonzero(repeats)]:
+        need = np.bincount(combos[j], minlength=len(pieces))
         times = int(min(repeats[j], (left[need > 0] // need[need > 0]).min()))
         if times <= 0:
             continue
-        offset = 0
-        for u in combos[j]:
-            slots[u].append((int(used[u]), int(used[u]) + times, sequence, offset))
+        for slot, u in enumerate(combos[j]):
+            slots.append((u, int(used[u]), int(used[u]) + times, sequence, slot))
             used[u] += times
-            offset += u
         left -= need * times
         sequence += times
-    lengths = np.arange(UNITS)
-    stream = np.concatenate([[0], np.cumsum(left * lengths)])[:-1]
-    total = int((left * lengths).sum())
-    stream_first = sequence
-    sequence += total // UNITS
-    at = total % UNITS * UNIT
-    runs: dict[int, list] = {t: [] for t in range(1, UNIT)}
-    for t in range(UNIT - 1, 0, -1):
-        count, done = int(tails[t]), 0
-        while count > done:
-            if at + t > WINDOW:
-                sequence, at = sequence + 1, 0
-            fit = (WINDOW - at) // t
-            if at or count - done < fit:
-                n = min(fit, count - done)
-                runs[t].append((done, done + n, sequence, at, fit))
-                at += n * t
-            else:  # whole sequences at once; the last of them stays open for shorter tails
-                n = (count - done) // fit * fit
-                runs[t].append((done, done + n, sequence, 0, fit))
-                sequence += n // fit - 1
-                at = fit * t
-            done += n
-    return {"slots": slots, "stream": stream, "stream_first": stream_first, "used": used, "runs": runs, "first": first}
+    return slots, used, sequence
 
 
 # ---------------------------------------------------------------- pieces
 
-CUTS = "doc_id long, doc_tokens long, kind int, size int, start long, task int, nth long, crc binary"
-_CUTS = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("kind", pa.int32()), ("size", pa.int32()), ("start", pa.int64()), ("task", pa.int32()), ("nth", pa.int64()), ("crc", pa.binary())])
+_CUTS = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("size", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("task", pa.int32()), ("nth", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Every document's pieces: kind, size (units of a body, tokens of a tail), the rank in its task among its size, and crc32 values (of each unit of a body)."""
+    """Every document's full windows (size 0) and its rest (size: units, rounded up; with its ids), and each one's rank in its task among its size."""
 
     def pieces(batches):
         from pyspark import TaskContext
 
-        enc, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros((3, max(UNITS, UNIT) + 1), np.int64)
+        enc, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(UNITS + 1, np.int64)
         for batch in batches:
             rows: dict[str, list] = {f.name: [] for f in _CUTS}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.append(enc.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
-                n = len(ids)
-                whole = n // WINDOW
-                units = (n - whole * WINDOW) // UNIT
-                body = whole * WINDOW + units * UNIT
-                own = [(FULL, 0, i * WINDOW, WINDOW, WINDOW) for i in range(whole)]
-                own += [(BODY, units, whole * WINDOW, units * UNIT, UNIT)] * (units > 0) + [(TAIL, n - body, body, n - body, UNIT)] * (n > body)
-                for kind, size, start, length, step in own:
-                    crc = [zlib.crc32(ids[at : min(at + step, start + length)].tobytes()) for at in range(start, start + length, step)]
-                    for name, value in zip(rows, (doc, n, kind, size, start, task, int(seen[kind, size]), np.array(crc, "<u4").tobytes())):
+                for start in range(0, len(ids), WINDOW):
+                    own = ids[start : start + WINDOW].tobytes()
+                    n = len(own) // 4
+                    size = 0 if n == WINDOW else -(-n // UNIT)
+                    for name, value in zip(rows, (doc, len(ids), size, start, n, task, int(seen[size]), zlib.crc32(own), own if size else None)):
                         rows[name].append(value)
-                    seen[kind, size] += 1
+                    seen[size] += 1
             yield pa.RecordBatch.from_pydict(rows, schema=_CUTS)
         enc.release()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, CUTS)
-
-
-def joined_crc(parts: np.ndarray) -> int:
-    """crc32 of units laid end to end, from the crc32 of each: appending n bytes is linear in the value before."""
-    zeros = bytes(4 * UNIT)
-    shift = zlib.crc32(zeros)
-    out = int(parts[0])
-    for x in parts[1:].tolist():
-        out = zlib.crc32(zeros, out) ^ shift ^ x
-    return out
-
-
-def places(rows: dict, p: dict) -> list[tuple]:
-    """(doc_id, start, length, crc, doc_tokens, sequence, offset) of each piece; a body in the stream may become more than one."""
-    out = []
-    for doc, n, kind, size, start, crc, rank in zip(*(rows[c] for c in ("doc_id", "doc_tokens", "kind", "size", "start", "crc", "rank"))):
-        parts = np.frombuffer(crc, "<u4")
-        if kind == FULL:
-            out.append((doc, start, WINDOW, int(parts[0]), n, rank, 0))
-        elif kind == TAIL:
-            lo, _, seq, at, fit = next(r for r in p["runs"][size] if r[0] <= rank < r[1])
-            k = rank - lo
-            out.append((doc, start, size, int(parts[0]), n, seq + k // fit, at + k % fit * size))
-        elif rank < p["used"][size]:
-            lo, _, seq, at = next(r for r in p["slots"][size] if r[0] <= rank < r[1])
-            out.append((doc, start, size * UNIT, joined_crc(parts), n, seq + rank - lo, at * UNIT))
-        else:
-            at = int(p["stream"][size]) + (rank - int(p["used"][size])) * size
-            done = 0
-            while done < size:
-                seq, offset = divmod(at + done, UNITS)
-                take = min(size - done, UNITS - offset)
-                out.append((doc, start + done * UNIT, take * UNIT, joined_crc(parts[done : done + take]), n, p["stream_first"] + seq, offset * UNIT))
-                done += take
-    return out
-
-
-PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    kind = "doc_id long, doc_tokens long, size int, start long, length long, task int, nth long, crc long, ids binary"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, kind)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _stretched(df: DataFrame, order: str, length: Column) -> DataFrame:
+    """df with lo and hi: rows laid end to end in order of a dense number, by sums of blocks and sums within blocks."""
+    rows = df.withColumns({"_block": F.floor(F.col(order) / BLOCK), "_n": length})
+    blocks = rows.groupBy("_block").agg(F.sum("_n").alias("_all"))
+    base = blocks.select("_block", (F.sum("_all").over(Window.orderBy("_block")) - F.col("_all")).alias("_base"))
+    hi = F.col("_base") + F.sum("_n").over(Window.partitionBy("_block").orderBy(order))
+    return rows.join(base, "_block").withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("_n")).drop("_block", "_n", "_base")
+
+
+def _in_buckets(df: DataFrame) -> DataFrame:
+    """A row for each stretch of WINDOW numbers that lo to hi touches."""
+    return df.where("lo < hi").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / WINDOW), F.floor((F.col("hi") - 1) / WINDOW))))
+
+
+PACKED = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID) -> DataFrame:
-    """One row for each piece of docs (doc_id, text) with its place.
+    """One row for each piece of docs (doc_id, text) with its place: the columns PACKED.
 
-    Null and empty texts have the end id alone. Rows that repeat a doc_id are packed each for itself. Sequence
-    ids are dense from 0, offsets in a sequence gapless from 0; all sequences hold 4096 tokens but those that end
-    with tails (short of a window by less than the next tail) and the last. An empty table gives no rows.
+    Null and empty texts have the end id alone. Rows that repeat a doc_id, and those of a null one, are packed each
+    for itself. Sequence ids are dense from 0, offsets in a sequence gapless from 0. All sequences are full but the
+    last, and those whose gaps outlast the rests meant for them. An empty table gives no rows.
     """
+    spark = docs.sparkSession
     cuts = save(cut(docs, tokenizer, end_id), "cuts")
-    by_task = cuts.groupBy("kind", "size", "task").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("kind", "size").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    by_task = cuts.groupBy("size", "task").agg(F.count("*").alias("n"), F.sum("length").alias("tokens"))
+    before = Window.partitionBy("size").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = save(by_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases")
-    hist = np.zeros((3, max(UNITS, UNIT) + 1), np.int64)
-    for r in base.groupBy("kind", "size").agg(F.sum("n").alias("n")).collect():
-        hist[r["kind"], r["size"]] = r["n"]
-    p = plan(hist[BODY][:UNITS], hist[TAIL][:UNIT], int(hist[FULL].sum()))
-
-    def placed(batches):
-        for batch in batches:
-            cols = list(zip(*places(batch.to_pydict(), p))) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in PACKED.split(", ")])
-
-    ranked = cuts.join(base.select("kind", "size", "task", "base"), ["kind", "size", "task"])
-    return ranked.withColumn("rank", F.col("base") + F.col("nth")).drop("base", "nth", "task").mapInArrow(placed, PACKED)
+    pieces, tokens = np.zeros(UNITS + 1, np.int64), np.zeros(UNITS + 1, np.int64)
+    for r in base.groupBy("size").agg(F.sum("n").alias("n"), F.sum("tokens").alias("t")).collect():
+        pieces[r["size"]], tokens[r["size"]] = r["n"], r["t"]
+    full, pieces[0], tokens[0] = int(pieces[0]), 0, 0
+    slots, used, sequence = plan(pieces, tokens, full)
+    ranked = cuts.join(_small(base.select("size", "task", "base")), ["size", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
+    whole = ranked.where("size = 0").select("doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # Rests with a place; the table of places is as small as the plan
+    table = spark.createDataFrame(slots, "of int, lo long, hi long, first long, slot int")
+    placed = ranked.join(F.broadcast(table), (F.col("size") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    own = Window.partitionBy("sequence_id")
+    placed = placed.select("doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "slot")
+    placed = save(placed.withColumns({"offset": F.sum("length").over(own.orderBy("slot")) - F.col("length"), "filled": F.sum("length").over(own)}), "placed")
+    # All others, numbered length by length, longest first
+    left, numbers = pieces - used, np.zeros(UNITS + 1, np.int64)
+    numbers[:-1] = left[::-1].cumsum()[::-1][1:]
+    firsts = spark.createDataFrame([(u, int(used[u]), int(numbers[u])) for u in range(1, UNITS + 1)], "size int, used long, number long")
+    rest = ranked.join(F.broadcast(firsts), "size").where("rank >= used").select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("number") + F.col("rank") - F.col("used")).alias("number"))
+    rest = _stretched(rest, "number", F.col("length"))
+    gaps = placed.where("slot = 0").select("sequence_id", "filled")
+    gaps = save(_stretched(gaps.withColumn("number", F.col("sequence_id") - full), "number", WINDOW - F.col("filled")), "gaps").select("sequence_id", "filled", "lo", "hi")
+    end = gaps.agg(F.max("hi").alias("hi")).first()["hi"] or 0
+    more = max(0, -(-int((left * np.arange(UNITS + 1) * UNIT).sum()) // WINDOW))  # as many as there can be need for
+    at = F.lit(end) + F.col("id") * WINDOW
+    gaps = gaps.unionByName(spark.range(more).select((F.lit(sequence) + F.col("id")).alias("sequence_id"), F.lit(0).cast("long").alias("filled"), at.alias("lo"), (at + WINDOW).alias("hi")))
+    theirs = _in_buckets(gaps).select("bucket", "sequence_id", "filled", F.col("lo").alias("g_lo"), F.col("hi").alias("g_hi"))
+    lo, hi = F.greatest("lo", "g_lo"), F.least("hi", "g_hi")
+    met = _in_buckets(rest).join(theirs, "bucket").withColumns({"from": lo, "to": hi}).where((F.col("from") < F.col("to")) & (F.col("bucket") == F.floor(F.col("from") / WINDOW)))
+    length = F.col("to") - F.col("from")
+    crc = F.crc32(F.substring("ids", (4 * (F.col("from") - F.col("lo")) + 1).cast("int"), (4 * length).cast("int")))
+    filling = met.select("doc_id", (F.col("start") + F.col("from") - F.col("lo")).alias("start"), length.alias("length"), crc.alias("ids_crc32"), "doc_tokens", "sequence_id", (F.col("filled") + F.col("from") - F.col("g_lo")).alias("offset"))
+    return whole.unionByName(placed.select(*PACKED)).unionByName(filling)
 
 
 def padding(packed: DataFrame) -> DataFrame:

@@ -81,20 +81,37 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), path).count() == 0
 
 
-def test_plan_places_all():
+def test_packing_keeps_rests_whole_and_sequences_full(spark):
+    """Many rests of mixed lengths: most are placed whole by the plan, hardly a token is padding, and every id is in one piece."""
+    r = np.random.default_rng(5)
+    path = encoding.tokenizer_path("word_bpe_49k.json")
+    rows = [(i, "word " * int(n)) for i, n in enumerate(r.gamma(1.5, 350, 3000))] + [(7, "again"), (None, "no id"), (None, None), (5000, "long " * 20_000)]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(4), path)
+    assert (line := packing.padding(got).first()).padding < 0.01 * line.tokens
+    pdf = got.toPandas()
+    whole = Tokenizer.from_file(path)
+    assert pdf.length.sum() == line.tokens == sum(len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    for _, own in pdf.sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 4096
+    assert pdf.sequence_id.nunique() == pdf.sequence_id.max() + 1
+    pieces = pdf[pdf.doc_id.notna() & (pdf.doc_id < 3000) & (pdf.doc_id != 7) & (pdf.doc_tokens < 4096)].groupby("doc_id").size()
+    assert (pieces == 1).mean() > 0.9
+
+
+def test_plan_gives_each_rest_one_place():
     r = np.random.default_rng(1)
-    bodies, tails = r.integers(0, 300, packing.UNITS), r.integers(0, 300, packing.UNIT)
-    bodies[0] = tails[0] = 0
-    p = packing.plan(bodies, tails, 3)
-    full = {}
-    for u in range(1, packing.UNITS):
-        rows = {"doc_id": [0] * bodies[u], "doc_tokens": [0] * bodies[u], "kind": [packing.BODY] * bodies[u], "size": [u] * bodies[u], "start": [0] * bodies[u], "crc": [bytes(4 * u)] * bodies[u], "rank": list(range(bodies[u]))}
-        for _, _, length, _, _, seq, off in packing.places(rows, p):
-            full.setdefault(seq, []).append((off, length))
-    for seq, parts in full.items():
-        parts.sort()
-        assert [o for o, _ in parts] == [0, *np.cumsum([n for _, n in parts]).tolist()[:-1]]
-        assert sum(n for _, n in parts) == packing.WINDOW or seq == max(full)
+    pieces = r.integers(0, 300, packing.UNITS + 1)
+    pieces[0] = 0
+    slots, used, after = packing.plan(pieces, pieces * np.arange(packing.UNITS + 1) * packing.UNIT - pieces * 20, 3)
+    ranks, filled = {}, {}
+    for size, lo, hi, first, slot in slots:
+        for k in range(lo, hi):
+            assert (size, k) not in ranks
+            ranks[size, k] = True
+            filled[first + k - lo] = filled.get(first + k - lo, 0) + size
+    assert set(filled) == set(range(3, after)) and set(filled.values()) == {packing.UNITS}
+    assert all(used[u] == sum(s == u for s, _ in ranks) <= pieces[u] for u in range(1, packing.UNITS + 1))
+    assert used.sum() > 0.8 * pieces.sum()
 
 
 def test_nnls():

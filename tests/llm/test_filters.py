@@ -158,6 +158,45 @@ def test_decontamination_hits_every_accepted_overlap(spark):
     assert found == {(d, d // 100) for d, _ in docs if d % 100 != 99}
 
 
+def overlaps_expected(docs, items):
+    """Every document against every item along every diagonal."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    found = set()
+    for d, t in docs:
+        a = split(t)
+        for i, x in items:
+            b = split(x)
+            n = len(b)
+            w = min(n, decontaminate.WINDOW)
+            least = -(-decontaminate.MATCH_PERCENT * w // 100) if n >= decontaminate.SPAN else n
+            if d is None or n < decontaminate.SHORTEST:
+                continue
+            for diagonal in range(-n, len(a)):
+                equal = [0 <= j + diagonal < len(a) and a[j + diagonal] == b[j] for j in range(n)]
+                if any(sum(equal[k : k + w]) >= least for k in range(n - w + 1)):
+                    found.add((d, i))
+                    break
+    return found
+
+
+def test_decontamination_equals_brute_force(spark):
+    from random import Random
+
+    r = Random(11)
+    items = [(i, " ".join(prose(n, 700 + i).split())) for i, n in enumerate((3, 5, 7, 11, 12, 14, 20, 33, 60))] + [(90, None), (91, "")]
+    docs = []
+    for k in range(160):
+        w = r.choice(items[:9])[1].split()
+        w = w[r.randrange(len(w) // 3 + 1) :] if r.random() < 0.3 else w
+        for _ in range(r.randrange(1 + len(w) // 4)):
+            w[r.randrange(len(w))] = f"other{r.randrange(99)}"
+        docs.append((k % 150, f"{prose(r.randrange(30), k)} {' '.join(w)} {prose(r.randrange(30), k + 500)}"))
+    docs += [(500, prose(20_000, 9) + " " + items[7][1]), (501, None), (502, ""), (None, items[8][1])]
+    found = {(x.doc, x.item) for x in decontaminate.overlaps(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == overlaps_expected(docs, items) and len(found) > 60
+    assert decontaminate.overlaps(spark.createDataFrame(docs[:3], SCHEMA), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
 def test_large_sides_are_joined_by_key(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     item = prose(40, 77)

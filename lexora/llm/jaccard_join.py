@@ -32,6 +32,8 @@ BITS = 56
 #: Shingles and documents of a cluster, and of a block of a larger one, that one task compares; a longer set is a block by itself.
 BLOCK_SHINGLES = 150_000
 BLOCK_DOCS = 500
+#: Documents that one task sends through a block's tree.
+WALKERS = 2_000
 #: Rounds in which clusters above that are held against a pivot.
 ROUNDS = 3
 BROADCAST_ROWS = 500_000
@@ -340,7 +342,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"))
 
 
-def _own_block(blocks: Column) -> Column:
+def _own_block(blocks: str) -> Column:
     return F.pmod(F.xxhash64("doc", "n"), blocks).cast("int")
 
 
@@ -362,11 +364,14 @@ def _large(members: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame
         links.append(measured.where("near and doc <> p").select(F.col("doc").alias("a"), F.col("p").alias("b")))
         # What isn't near but within two link distances may link to what is: trees of the former, walked by the latter
         mid = measured.where("mid and not near")
-        blocks = small(save(_blocks(mid), "blocks"))
-        trees = mid.join(blocks, "cluster").select("cluster", F.concat_ws(":", F.lit(f"mid{k}"), _own_block(F.col("blocks"))).alias("part"), F.lit(False).alias("walks"), "doc", "keys", F.lit(None).cast("long").alias("near"))
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        walkers = measured.where("near").join(blocks, "cluster").withColumn("block", every).select("cluster", F.concat_ws(":", F.lit(f"mid{k}"), "block").alias("part"), F.lit(True).alias("walks"), "doc", "keys", F.col("p").alias("near"))
-        jobs += [trees, walkers]
+        groups = measured.where("near").groupBy("cluster").agg(F.ceil(F.count("*") / WALKERS).cast("int").alias("groups"))
+        blocks = small(save(_blocks(mid).join(groups, "cluster"), "blocks"))
+        part = lambda i, j, name=f"mid{k}": F.concat_ws(":", F.lit(name), i, j).alias("part")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        trees = mid.join(blocks, "cluster").withColumn("to", every("groups"))
+        jobs.append(trees.select("cluster", part(_own_block("blocks"), F.col("to")), F.lit(False).alias("walks"), "doc", "keys", F.lit(None).cast("long").alias("near")))
+        walkers = measured.where("near").join(blocks, "cluster").withColumn("to", every("blocks"))
+        jobs.append(walkers.select("cluster", part(F.col("to"), _own_block("groups")), F.lit(True).alias("walks"), "doc", "keys", F.col("p").alias("near")))
         apart = measured.where("not near").select("cluster", "doc", "n", "keys")
         sized = apart.join(small(save(_blocks(apart), "blocks")), "cluster")
         left.append(sized.where("blocks = 1").drop("blocks"))
@@ -375,13 +380,13 @@ def _large(members: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame
             break
         rest, sized = rest.drop("blocks"), rest
     else:
-        # Every pair of blocks once: block i is a tree for the sets of all blocks up to it
-        own = _own_block(F.col("blocks"))
-        part = lambda i: F.concat_ws(":", F.lit("all"), i)
-        none = F.lit(None).cast("long").alias("near")
-        jobs.append(sized.select("cluster", part(own).alias("part"), F.lit(False).alias("walks"), "doc", "keys", none))
-        later = sized.withColumn("block", F.explode(F.sequence(own, F.col("blocks") - 1)))
-        jobs.append(later.select("cluster", part(F.col("block")).alias("part"), F.lit(True).alias("walks"), "doc", "keys", none))
+        # Every pair of blocks once: block i is a tree for the sets of block j, up to its own
+        own, none = _own_block("blocks"), F.lit(None).cast("long").alias("near")
+        part = lambda i, j: F.concat_ws(":", F.lit("all"), i, j).alias("part")
+        trees = sized.withColumn("to", F.explode(F.sequence(F.lit(0), own)))
+        jobs.append(trees.select("cluster", part(own, F.col("to")), F.lit(False).alias("walks"), "doc", "keys", none))
+        walkers = sized.withColumn("to", F.explode(F.sequence(own, F.col("blocks") - 1)))
+        jobs.append(walkers.select("cluster", part(F.col("to"), own), F.lit(True).alias("walks"), "doc", "keys", none))
     return links + [_across(_union(jobs), percent)], _union(left)
 
 

@@ -153,6 +153,7 @@ def near_copies(n, seed):
 def test_jaccard_join(spark, monkeypatch, block, rounds, rows):
     """In one task, and in clusters cut into blocks of a few documents, with few and many pivots."""
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard_join, "WALKERS", max(5, block // 100))
     monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", rows)
     docs = near_copies(60, 6)

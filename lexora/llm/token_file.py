@@ -1,9 +1,10 @@
 """Token-id output: ids of all documents one after another, document boundaries in Elias-Fano code.
 
 A written table has one row for each block of whole documents. Its columns are block key (shard, block), the
-documents' ids, the counts, the concatenated token ids (16 bits each if the vocabulary allows, else 32) and the
-boundaries: n non-decreasing numbers up to u take about n * (2 + log2(u / n)) bits, against 64 n in a table of
-offsets. Every SAMPLE-th one of the upper bits is recorded, so that select needs to look at few bytes.
+counts, the concatenated token ids (16 bits each if the vocabulary allows, else 32), the boundaries, and the
+documents' ids less the first: n non-decreasing numbers up to u take about n * (2 + log2(u / n)) bits, against 64 n
+in a table of offsets. Every SAMPLE-th one of the upper bits is recorded, so that select needs to look at few bytes.
+Reading asks select alone; nothing is unpacked.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,28 +66,23 @@ def ef_select(i: int, low: int, lows: bytes, upper: bytes, samples: bytes) -> in
     return ((place - i) << low) | (part & ((1 << low) - 1))
 
 
-def ef_decode(n: int, low: int, lows: bytes, upper: bytes) -> np.ndarray:
-    """All n numbers."""
-    if not n:
-        return np.zeros(0, np.int64)
-    place = np.flatnonzero(np.unpackbits(np.frombuffer(upper, np.uint8), bitorder="little"))[:n]
-    high = (place - np.arange(n)) << low
-    if not low:
-        return high
-    bits = np.unpackbits(np.frombuffer(lows, np.uint8), bitorder="little", count=n * low).reshape(n, low)
-    return high | (bits.astype(np.int64) << np.arange(low)).sum(1)
+# ---------------------------------------------------------------- writing
 
+_EF = "struct<low:int,lows:binary,upper:binary,samples:binary>"
+SCHEMA = f"shard int, block long, n_docs long, n_nulls long, n_tokens long, first_doc long, docs {_EF}, width int, ids binary, ends {_EF}"
 
-# ---------------------------------------------------------------- writing
 
-SCHEMA = "shard int, block long, n_docs long, n_tokens long, doc_ids array<long>, width int, ids binary, low int, lows binary, upper binary, samples binary"
+def _coded(values: np.ndarray) -> dict:
+    return dict(zip(("low", "lows", "upper", "samples"), ef_encode(values)))
 
 
 def _block(shard: int, number: int, docs: list, parts: list[np.ndarray], width: int) -> dict:
-    ends = np.cumsum([len(p) for p in parts])
-    low, lows, upper, samples = ef_encode(ends)
+    """A block's row; documents come by ascending id, nulls first."""
+    ends, known = np.cumsum([len(p) for p in parts]), np.array([d for d in docs if d is not None], np.int64)
+    beyond = known.view(np.uint64) - known[:1].view(np.uint64)  # modulo 2 ** 64, so that negative ids do too
     ids = np.concatenate(parts).astype("<u2" if width == 16 else "<u4").tobytes()
-    return {"shard": shard, "block": number, "n_docs": len(docs), "n_tokens": int(ends[-1]), "doc_ids": docs, "width": width, "ids": ids, "low": low, "lows": lows, "upper": upper, "samples": samples}
+    first = int(known[0]) if len(known) else None
+    return {"shard": shard, "block": number, "n_docs": len(docs), "n_nulls": len(docs) - len(known), "n_tokens": int(ends[-1]), "first_doc": first, "docs": _coded(beyond), "width": width, "ids": ids, "ends": _coded(ends)}
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
@@ -120,7 +115,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, b
     ordered.mapInArrow(blocks, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("width", pa.int32()), ("ids", pa.binary()), ("low", pa.int32()), ("lows", pa.binary()), ("upper", pa.binary()), ("samples", pa.binary())])
+_CODE = pa.struct([("low", pa.int32()), ("lows", pa.binary()), ("upper", pa.binary()), ("samples", pa.binary())])
+_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n_docs", pa.int64()), ("n_nulls", pa.int64()), ("n_tokens", pa.int64()), ("first_doc", pa.int64()), ("docs", _CODE), ("width", pa.int32()), ("ids", pa.binary()), ("ends", _CODE)])
 
 
 # ---------------------------------------------------------------- reading
@@ -141,25 +137,35 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def documents(blocks: DataFrame) -> DataFrame:
-    """Each document of read()'s blocks: doc_id, start, n_tokens, ids_crc32."""
+    """Each document of read()'s blocks: doc_id, start, n_tokens, ids_crc32, its places by select."""
 
     def parse(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], "<u2" if r["width"] == 16 else "<u4").astype("<u4")
-                ends = ef_decode(r["n_docs"], r["low"], r["lows"], r["upper"])
-                starts = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["base"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                start, out = 0, []
+                for i in range(r["n_docs"]):
+                    ids = tokens_at(r, i, start)
+                    out.append((doc_at(r, i), r["base"] + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    start += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return blocks.mapInArrow(parse, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokens_at(block: pd.Series | dict, i: int) -> np.ndarray:
-    """The ids of a block's i-th document, by two selects."""
-    code = (block["low"], block["lows"], block["upper"], block["samples"])
-    first = ef_select(i - 1, *code) if i else 0
-    return np.frombuffer(block["ids"], "<u2" if block["width"] == 16 else "<u4")[first : ef_select(i, *code)]
+def _selected(code: dict, i: int) -> int:
+    return ef_select(i, code["low"], code["lows"], code["upper"], code["samples"])
+
+
+def tokens_at(block: dict, i: int, start: int | None = None) -> np.ndarray:
+    """The ids of a block's i-th document, by two selects, or by one from a known start."""
+    if start is None:
+        start = _selected(block["ends"], i - 1) if i else 0
+    return np.frombuffer(block["ids"], "<u2" if block["width"] == 16 else "<u4")[start : _selected(block["ends"], i)]
+
+
+def doc_at(block: dict, i: int) -> int | None:
+    """The id of a block's i-th document."""
+    return None if i < block["n_nulls"] else block["first_doc"] + _selected(block["docs"], i - block["n_nulls"])
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -17,7 +17,7 @@ from .common import _BYTE, _power, chunks, fresh, scramble, words_of
 
 #: Documents that the model is fitted to: those labelled rows whose hash of doc_id is smallest, each to its whole length.
 SAMPLE_DOCS = 6_000
-#: Features of them that are held at once; a sample of longer texts is cut down to fewer documents, never to parts.
+#: Features of them that the driver holds: the sample ends, in order of hashes, before the document that would exceed them.
 SAMPLE_FEATURES = 10_000_000
 #: A feature takes part if its documents' labels are too uneven for chance: log-likelihood ratio above 2 ln(features) + EVIDENCE.
 EVIDENCE = 6.0
@@ -115,15 +115,19 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, sample_docs: in
                     own = np.flatnonzero(of == i) if len(raws) == 1 else slice(*np.searchsorted(of, [i, i + 1]))
                     s = sentence[own]
                     out.append((int(pdf["toxic"].iloc[first + i]), words[own].astype("<i4").tobytes(), (s - s[0] if len(s) else s).astype("<i4").tobytes()))
-            yield pd.DataFrame(out, columns=["toxic", "words", "sentences"])
+            yield pd.DataFrame(out, columns=["toxic", "words", "sentences"]).assign(doc_id=list(pdf["doc_id"]), text_key=list(pdf["text_key"]))
 
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = marks.where(usable).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").drop("doc_id").mapInPandas(bags, "toxic int, words binary, sentences binary")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").withColumn("text_key", F.xxhash64("text"))
+    rows = rows.mapInPandas(bags, "toxic int, words binary, sentences binary, doc_id long, text_key long")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").select("toxic", "words", "sentences")  # the same sample in the same order, whatever the partitions
     words, sentence, doc, toxic, base, size, seen = [], [], [], [], 0, 0, set()
     for t, w, s in ((r["toxic"], r["words"], r["sentences"]) for r in rows.toLocalIterator()):
         w, s = np.frombuffer(w, "<i4"), np.frombuffer(s, "<i4").astype(np.int64)
-        if not len(w) or size + len(w) > SAMPLE_FEATURES or (key := hash(w.tobytes())) in seen:
+        if size + len(w) > SAMPLE_FEATURES:
+            break
+        if not len(w) or (key := hash(w.tobytes())) in seen:
             continue  # copies would make all of a text's words look telling
         seen.add(key)
         n = int(s.max()) + 1
@@ -161,7 +165,8 @@ def score_texts(texts, w: np.ndarray, bias: float) -> pd.DataFrame:
 def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "text") -> DataFrame:
     """docs with one more column toxicity: struct (score, sentences: offending sentences' spans and scores).
 
-    Null and empty texts, and texts without a word, get the score of an empty sentence.
+    Null and empty texts, and texts without a word, get the score of an empty sentence. Rows are scored each for
+    itself, so ids may repeat or be null, and copies get the same score; an empty table stays empty.
     """
     held = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), float(model[1])))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])

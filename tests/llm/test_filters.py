@@ -158,6 +158,52 @@ def test_decontamination_hits_every_accepted_overlap(spark):
     assert found == {(d, d // 100) for d, _ in docs if d % 100 != 99}
 
 
+def toxicity_expected(text, w, bias):
+    """Noisy-or over sentences, word by word in plain Python; only a word's hash comes from the operator."""
+    def index(word, k=None):
+        raw = word.encode()
+        if k is None:
+            h = int(common.words_of(raw)[2][0])
+        else:
+            own = sum(int(common._BYTE[raw[i]]) * int(common._power("up", i + 1)[i]) for i in range(k)) + k
+            h = int(common.scramble(np.array([own % 2**64], np.uint64))[0])
+        return h % toxicity.DIMENSIONS
+
+    none, any_word = 1.0, False
+    for sentence in re.split(r"[.!?\n]", text or ""):
+        plain = "".join(c.lower() if c.isalnum() or ord(c) >= 128 else " " for c in sentence).split()
+        if plain:
+            any_word = True
+            z = bias + sum(w[index(x)] + sum(w[index(x, k)] for k in toxicity.PREFIXES if len(x.encode()) > k) for x in plain)
+            none *= 1 - 1 / (1 + np.exp(-z))
+    return 1 - none if any_word else 1 / (1 + np.exp(-bias))
+
+
+def test_toxicity_scores_equal_a_plain_version():
+    r = np.random.default_rng(3)
+    w, bias = r.normal(0, 0.3, toxicity.DIMENSIONS), -1.5
+    texts = ["one two. three four! five", "a", "", None, "...", "Words, of ALL kinds? 12ab insulting\nlines; here", prose(3_000, 5).replace("7 ", ". ")[:9000], "same same"] * 2
+    got = toxicity.score_texts(texts, w, bias)
+    assert np.allclose(got.score, [toxicity_expected(t, w, bias) for t in texts], atol=1e-9)
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Null ids, repeated rows, long texts and a column of the operator's own name; the model doesn't depend on partitions."""
+    import zlib
+
+    docs = [(i, prose(8, i) + ". " + ("you grumb. " if i % 4 == 0 else "") + prose(8, 900 + i)) for i in range(200)] + [(None, "you grumb"), (None, None), (7, prose(8, 7)), (7, prose(8, 7)), (600, prose(20_000, 2))]
+    df = spark.createDataFrame([(*r, "t") for r in docs], SCHEMA + ", toxicity string")
+    lab = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    usable = ~toxicity.held_out(F.col("doc_id"))
+    (w, bias), (w2, bias2) = (toxicity.train(x, lab, usable) for x in (df.repartition(1), df.repartition(7)))
+    assert bias == bias2 and (w == w2).all()
+    out = toxicity.with_scores(df, (w, bias))
+    assert out.columns == ["doc_id", "text", "toxicity", "_toxicity"] and out.count() == len(docs)
+    got = toxicity.digest(df, lab).collect()
+    assert {r.doc_id: r.held_out for r in got} == {d: d is not None and zlib.crc32(str(d).encode()) % 3 == 1 for d, _ in docs}
+    assert sorted(len({r.score for r in got if r.doc_id == d}) for d in (7, 600)) == [1, 2]
+
+
 def overlaps_expected(docs, items):
     """Every document against every item along every diagonal."""
     split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())

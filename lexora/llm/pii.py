@@ -129,25 +129,58 @@ def iban(key: bytes, text: str) -> str | None:
 
 
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
-#: The order of year, month and day by separator.
-ORDERS = {"-": "ymd", "/": "mdy", ".": "dmy"}
+#: The orders of year, month and day that a separator stands for; the later ones where the first gives no day of the calendar.
+ORDERS = {"-": ("ymd", "dmy", "mdy"), "/": ("mdy", "dmy"), ".": ("dmy", "mdy")}
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
-def day(key: bytes, text: str) -> str | None:
-    sep = next(c for c in text if not c.isdigit())
-    parts = text.split(sep)
-    order = ORDERS[sep]
-    named = dict(zip(order, map(int, parts)))
+def _days(keep: Callable[[date], bool]) -> tuple[list[date], dict[date, int]]:
+    every = (FIRST_DAY + timedelta(days=k) for k in range((LAST_DAY - FIRST_DAY).days + 1))
+    kept = [d for d in every if keep(d)]
+    return kept, {d: k for k, d in enumerate(kept)}
+
+
+#: Days that a date may become: all; those above the 12th, which no other order of day and month can mean; those outside May, whose name has no short form.
+DAYS = {"date": _days(lambda d: True), "late": _days(lambda d: d.day > 12), "short": _days(lambda d: d.month != 5)}
+
+
+def _moved(key: bytes, kind: str, y: int, m: int, d: int) -> date | None:
+    """The pseudonym of a day within its kind; None if it isn't one of them."""
+    days, at = DAYS[kind]
     try:
-        d = date(named["y"], named["m"], named["d"])
+        place = at.get(date(y, m, d))
     except ValueError:
         return None
-    if not FIRST_DAY <= d <= LAST_DAY:
+    return None if place is None else days[permute(key, kind, place, len(days))]
+
+
+def day(key: bytes, text: str) -> str | None:
+    sep = next(c for c in text if not c.isdigit())
+    parts = text.split(sep)
+    orders = [o for o in ORDERS[sep] if len(parts[o.index("y")]) == 4]
+    for k, order in enumerate(orders):
+        named = dict(zip(order, map(int, parts)))
+        new = _moved(key, "late" if k else "date", named["y"], named["m"], named["d"])
+        if new:
+            padded = all(len(x) >= 2 for x in parts)
+            show = {"y": f"{new.year:04d}", "m": f"{new.month:02d}" if padded else str(new.month), "d": f"{new.day:02d}" if padded else str(new.day)}
+            return sep.join(show[x] for x in order)
+    return None
+
+
+def named_day(key: bytes, text: str) -> str | None:
+    """Dates with an English month, in full or of three letters, before or after the day."""
+    name = re.search("[A-Za-z]+", text)[0]
+    month = next(m for m in MONTHS if m.lower().startswith(name.lower()))
+    first, second = re.findall("[0-9]+", text)
+    kind = "short" if len(name) < len(month) else "date"
+    new = _moved(key, kind, int(second), MONTHS.index(month) + 1, int(first))
+    if new is None:
         return None
-    new = FIRST_DAY + timedelta(days=permute(key, "date", (d - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1))
-    padded = all(len(p) >= 2 for p in parts)
-    show = {"y": f"{new.year:04d}", "m": f"{new.month:02d}" if padded else str(new.month), "d": f"{new.day:02d}" if padded else str(new.day)}
-    return sep.join(show[x] for x in order)
+    shown = MONTHS[new.month - 1][: 3 if kind == "short" else None]
+    shown = shown.upper() if name.isupper() else shown.lower() if name.islower() else shown
+    numbers = iter((f"{new.day:02d}" if len(first) == 2 else str(new.day), f"{new.year:04d}"))
+    return re.sub("[0-9]+", lambda m: next(numbers), text.replace(name, shown))
 
 
 def email(key: bytes, text: str) -> str:
@@ -178,13 +211,15 @@ def secret(key: bytes, text: str) -> str:
 
 
 _LEFT, _RIGHT = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
+_NAMES = "|".join(f"{m}|{m[:3]}" if m[3:] else m for m in MONTHS)
 #: kind: (pattern, format). Earlier ones win where two begin at the same place.
 KINDS: dict[str, tuple[str, Callable]] = {
     "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", email),
     "iban": (_LEFT + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _RIGHT, iban),
     "access_key": (_LEFT + r"AKIA[A-Z0-9]{16}" + _RIGHT, access_key),
     "secret": (r"(?i:(?:password|passwd|secret|token|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?)(?![A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}\.)(?=[_./+=-]*[A-Za-z0-9])(?P<own>[A-Za-z0-9_./+=-]{7,}[A-Za-z0-9_/+=-])", secret),
-    "date": (_LEFT + r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?!\.?[0-9A-Za-z])", day),
+    "date": (_LEFT + r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?!\.?[0-9A-Za-z])", day),
+    "named_date": (_LEFT + rf"(?:[0-9]{{1,2}} (?i:{_NAMES})\.? [0-9]{{4}}|(?i:{_NAMES})\.? [0-9]{{1,2}},? [0-9]{{4}})" + _RIGHT, named_day),
     "ip4": (r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])", ip4),
     "social": (_LEFT + r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-)" + _RIGHT, social),
     "card": (_LEFT + r"[0-9]{4}(?:[ -]?[0-9]{4}){2}(?:[ -]?[0-9]{1,4}){1,2}" + _RIGHT, card),
@@ -221,7 +256,9 @@ def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: bytes = DEFAUL
     """docs with pseudonyms in text_col, and one more column: places, an array of (kind, start, end) in the old text.
 
     Null stays null, empty stays empty, both without places. Values that fail their format's validation (Luhn,
-    mod 97, calendar, number ranges) stay as they are.
+    mod 97, calendar, number ranges) stay as they are, and so do an e-mail's host and a number's country code. Rows
+    are changed each for itself, so ids may repeat or be null, and copies stay copies; an empty table stays empty.
+    `key` decides on the permutations: DEFAULT_KEY is public, and is for tests and checks alone.
     """
     place = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("places", T.ArrayType(place))])

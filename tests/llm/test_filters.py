@@ -266,6 +266,48 @@ def test_permutation_and_formats():
     assert places[0]["kind"] == "secret" and "608866bb6ce40206" not in new
 
 
+def test_dates_in_every_order():
+    """A date stays a date of its format, equal ones stay equal and different ones different; no date is left in clear."""
+    from datetime import date
+
+    forms = {
+        "{y:04d}-{m:02d}-{d:02d}": "date", "{m:02d}/{d:02d}/{y:04d}": "date", "{m}/{d}/{y:04d}": "date", "{d:02d}.{m:02d}.{y:04d}": "date",
+        "{d} {month} {y:04d}": "named_date", "{month} {d:02d}, {y:04d}": "named_date", "{d} {short} {y:04d}": "named_date",
+    }
+    late = {"{d:02d}/{m:02d}/{y:04d}": "date", "{d}-{m}-{y:04d}": "date", "{m:02d}.{d:02d}.{y:04d}": "date"}
+    days = [date(2020, 12, 31), date(1999, 5, 13), date(2024, 2, 29), date(2001, 3, 4), date(1960, 11, 12)]
+    for form, kind in {**forms, **late}.items():
+        seen = {}
+        for x in days:
+            if form in late and x.day <= 12:
+                continue
+            month = pii.MONTHS[x.month - 1]
+            text = form.format(y=x.year, m=x.month, d=x.day, month=month, short=month[:3])
+            new, places = pii.replace(f"on {text} we", b"k")
+            assert [p["kind"] for p in places] == [kind] and text not in new, (text, new)
+            own = new[3:-3]
+            assert re.sub("[0-9]+", "9", re.sub("[A-Za-z]+", "a", own)) == re.sub("[0-9]+", "9", re.sub("[A-Za-z]+", "a", text))
+            assert pii.replace(own, b"k")[1], own  # a date again
+            seen[own] = text
+        assert len(seen) == len({t for t in seen.values()})
+    for size_kind in ("late", "short"):
+        size = len(pii.DAYS[size_kind][0])
+        assert len({pii.permute(b"k", size_kind, i, size) for i in range(0, size, 37)}) == len(range(0, size, 37))
+    for text in ("31/31/2020", "2020-13-13", "30 February 2020", "Feb 30, 2021", "1 Mayor 2020"):
+        assert pii.replace(f"x {text} y", b"k") == (f"x {text} y", []), text
+    same = [pii.replace(t, b"k")[0] for t in ("31/12/2020", "31/12/2020 x")]
+    assert same[1].startswith(same[0])
+
+
+def test_pseudonyms_of_odd_rows(spark):
+    rows = [(1, "card 4111 1111 1111 1111"), (1, "card 4111 1111 1111 1111"), (None, "card 4111 1111 1111 1111"), (5, prose(30_000, 3) + " 10.1.2.3"), (6, None)]
+    out = pii.pseudonymise(spark.createDataFrame([(*r, "r") for r in rows], SCHEMA + ", replaced string"))
+    got = out.collect()
+    assert out.columns == ["doc_id", "text", "replaced", "places"] and len(got) == len(rows)
+    assert len({r.text for r in got if r.text and r.text.startswith("card")}) == 1
+    assert {(r.doc_id, r.text) for r in got} == {(d, pii.replace(t, pii.DEFAULT_KEY)[0]) for d, t in rows}
+
+
 def test_secrets_are_replaced_whole():
     from random import Random
 

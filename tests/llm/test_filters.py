@@ -419,3 +419,33 @@ def test_pipeline_drops_near_copies_by_five_words_and_80_percent(spark):
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(far))], SCHEMA)
     assert sorted(r.doc_id for r in P.jaccard_join_stage(spark, df, "").collect()) == [1, 3]
     assert all(r.component_id == r.doc_id for r in jaccard_join.digest(df).collect())
+
+
+def pipeline_input(spark, path, docs, items):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, counts int, gone string, sequence_id int").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, repeated and null ids, nulls everywhere, extra columns with the operators' own names."""
+    import corpus_pipeline as P
+
+    row = lambda d, t: (d, t, None, "s", None, 1, "g", 2)
+    texts = [".\n".join(prose(45, 20 * i + k) for k in range(3)) for i in range(12)]
+    docs = [row(i, t) for i, t in enumerate(texts)] + [row(3, texts[3]), row(4, prose(150, 777)), row(None, prose(150, 778)), row(None, None), row(50, ""), row(51, None), row(52, texts[0])]
+    for name, own, items in (("none", [], []), ("no_items", docs, []), ("all", docs, [(1, None), (2, " ".join(texts[5].split()[20:60]))])):
+        sf = pipeline_input(spark, tmp_path / name, own, items)
+        now, left = common.table(spark, sf, "documents"), []
+        for stage, f in P.STAGES[:-1]:
+            now = common.save(f(spark, now, sf), stage)
+            assert now.columns == ["doc_id", "text", "lang", "source", "n_chars", "counts", "gone", "sequence_id"]
+            left.append(sorted((r.doc_id is not None, r.doc_id or 0) for r in now.collect()))
+        packed = P.STAGES[-1][1](spark, now, sf).toPandas()
+        if not own:
+            assert left == [[]] * 4 and packed.empty
+            continue
+        ids = sorted([(True, i) for i in range(12)] + [(True, 3), (True, 4), (False, 0)])
+        assert left[0] == left[1] == sorted([*ids, (True, 52)]) and left[2] == ids
+        assert left[3] == ([x for x in ids if x != (True, 5)] if items else ids)
+        assert len(packed) >= len(left[3]) and packed.sequence_id.nunique() == packed.sequence_id.max() + 1

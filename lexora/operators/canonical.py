@@ -208,9 +208,11 @@ def score_candidates(manifest: DataFrame, scorer: Callable[[str, list[str]], lis
     """Manifest rows with sums, means and token counts of both candidates and their difference on unframed rows.
 
     Each distinct prompt and candidate is scored once. `scorer(prompt, candidates)` gives token log-probabilities;
-    a prompt with many candidates is dealt out in blocks, so no group is larger than a block.
+    a prompt's candidates are dealt by hash into groups of about `block`, however many it has.
     """
-    pairs = scoring_pairs(manifest).withColumn("_b", F.pmod(F.xxhash64("candidate"), F.lit(block)))
+    pairs = scoring_pairs(manifest)
+    sizes = pairs.groupBy("generation_prompt").agg(F.ceil(F.count("*") / block).alias("_groups"))
+    pairs = pairs.join(sizes, "generation_prompt").withColumn("_b", F.pmod(F.xxhash64("candidate"), F.col("_groups"))).drop("_groups")
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         tokens = scorer(pdf["generation_prompt"].iloc[0], list(pdf["candidate"]))

@@ -10,15 +10,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, targets: DataFrame, n: int, *, max_targets: int = 100_000) -> DataFrame:
+#: Bytes of target vectors that are sent to all executors at once.
+BLOCK_BYTES = 64 << 20
+
+
+def nearest(vectors: DataFrame, targets: DataFrame, n: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(target, vec_id, cosine): the n best vectors for each target (target, _t), itself left out.
 
-    Targets are a stated set of queries; they are sent to all executors in blocks of max_targets, and each task
-    keeps its n best of a target before the shuffle.
+    Targets are a stated set of queries; they are sent to all executors in blocks of about block_bytes, counted from
+    the vectors' lengths, and each task keeps its n best of a target before the shuffle.
     """
     scaled = vectors.select("vec_id", F.col("embedding").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    rows = targets.count()
-    parts = max(1, -(-rows // max_targets))
+    size = targets.agg(F.sum(8 * F.size("_t") + 64).alias("bytes")).first()["bytes"] or 0
+    parts = max(1, -(-size // block_bytes))
     out = None
     for i in range(parts):
         block = targets.where(F.pmod(F.xxhash64("target"), F.lit(parts)) == i) if parts > 1 else targets

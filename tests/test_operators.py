@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lexora.functions import stats, text
-from lexora.operators import agreement, calibrate, canonical, reports, sampling, structures, trials, vocab
+from lexora.operators import agreement, calibrate, canonical, reports, sampling, similarity, structures, trials, vocab
 from lexora.sources import files
 
 
@@ -248,3 +248,18 @@ def test_vocab_lines_of_many_parts(spark, tmp_path):
     spark.createDataFrame([(i, "c", w) for i, w in enumerate(words)], "i int, context string, token string").repartitionByRange(4, "i").sortWithinPartitions("i").select("context", "token").write.partitionBy("context").text(str(tmp_path / "v"))
     got = {r.line: (r.token, r.context) for r in files.read_vocab(spark, str(tmp_path / "v")).collect()}
     assert got == {i + 1: (w, "c") for i, w in enumerate(words) if w}
+
+
+def test_neighbours_do_not_depend_on_blocks(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    t = df.where("vec_id % 10 = 0").selectExpr("vec_id AS target", "embedding AS _t")
+    a, b = ({(r.target, r.vec_id, round(r.cosine, 9)) for r in similarity.nearest(df, t, 4, block_bytes=n).collect()} for n in (1 << 20, 200))
+    assert a == b and len(a) == 24
+
+
+def test_candidates_are_scored_in_bounded_groups(spark):
+    rows = [("p", f"c{i}", f"d{i}") for i in range(90)]
+    m = spark.createDataFrame(rows, "generation_prompt string, query string, trigger string").withColumns({"score_trigger": F.lit(True), "score_query": F.lit(True)})
+    out = canonical.score_candidates(m, lambda prompt, cs: [[-float(len(cs))] for _ in cs], block=10)
+    got = out.select(F.max(-F.col("query_logprob_sum")).alias("most"), F.count("*").alias("n")).first()
+    assert got.n == 90 and got.most < 40

@@ -109,6 +109,13 @@ def test_line_dedup_keeps_texts_of_one_id_apart(spark):
     assert {(r.doc_id, r.text, r.n_dropped) for r in got if r.doc_id in (None, 9)} == {(None, "mine", 1), (None, "clean\nlines", 0), (9, "mine", 1), (9, "short", 0), (9, None, 0)}
 
 
+def test_line_dedup_of_long_texts_and_repeated_rows(spark):
+    rows = [(i, f"own {i}\ncommon") for i in range(6)] + [(7, "\n".join(f"line {k}" if k % 3 else "Common " for k in range(30_000))), (8, "x" * 2_000_000 + "\ncommon"), (9, "common"), (9, "common"), (9, "common\nonce")]
+    got = line_dedup.drop_common_lines(spark.createDataFrame(rows, SCHEMA).repartition(4), min_docs=5).collect()
+    expected = [(d, "\n".join(x for x in t.split("\n") if x.strip().lower() != "common"), sum(x.strip().lower() == "common" for x in t.split("\n"))) for d, t in rows]
+    assert sorted((r.doc_id, r.text, r.n_dropped) for r in got) == sorted(expected)
+
+
 def sets_of(rows):
     out = {}
     low = str.maketrans(line_dedup.UPPER, line_dedup.UPPER.lower())

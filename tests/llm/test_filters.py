@@ -41,6 +41,25 @@ def test_counts():
         assert got.loc[i, "n_echoes"] == sum(a == b for a, b in zip(w, w[1:]))
 
 
+def test_quality_of_odd_rows(spark):
+    """Repeated rows, null ids, ties and a long text: each row is judged for itself, copies alike, and the digest keeps all rows."""
+    rows = odd_rows() + [(20, prose(60, 9)), (20, prose(60, 9)), (20, prose(60, 10) + " ***" * 70), (21, prose(25, 3) + " " + prose(25, 4))]
+    got = quality.digest(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for d, t in rows:
+        n, chars, symbols, dup, repeated = counts_expected(t)
+        want.setdefault(d, []).append((n, chars, symbols, dup, repeated, n < 50 or 100 * repeated > 50 * n))
+    for d in want:
+        own = [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got if r.doc_id == d]
+        assert sorted(own) == sorted(want[d])
+    assert not any(r.kept for r in got if r.base_failed) and [r.kept for r in got if r.doc_id == 21] == [True]
+    by_votes = {}
+    for r in got:
+        by_votes.setdefault((r.votes, r.base_failed), set()).add((r.kept, r.posterior))
+    assert all(len(x) == 1 for x in by_votes.values())
+
+
 def em_expected(patterns, rounds):
     """The same EM document by document, in plain Python."""
     docs = [p for p, n in patterns for _ in range(n)]

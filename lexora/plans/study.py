@@ -5,6 +5,7 @@ Languages are contexts, sources play models, users answer trials. VIEWS is the S
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,8 +19,8 @@ QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
-#: Tables that the query being built has saved already, by name: each is made once in a call, however many views read it.
-_made: list[dict[str, DataFrame]] = []
+#: Tables that the query being built in a thread has saved already: each is made once in a call, however many views read it.
+_building = threading.local()
 
 
 def query(name: str, sql: str | None = None):
@@ -27,11 +28,11 @@ def query(name: str, sql: str | None = None):
 
     def add(f):
         def call(spark, d):
-            _made.append({})
+            _building.made = {}
             try:
                 return f(spark, d)
             finally:
-                _made.pop()
+                del _building.made
 
         QUERIES[name] = call
         if sql is not None:
@@ -47,10 +48,10 @@ def once(name: str):
 
     def add(view):
         def get(spark, d):
-            made = _made[-1] if _made else {}
-            if name not in made:
-                made[name] = saved(view(spark, d), name)
-            return made[name]
+            made = getattr(_building, "made", {})
+            if (name, d) not in made:
+                made[name, d] = saved(view(spark, d), name)
+            return made[name, d]
 
         return get
 

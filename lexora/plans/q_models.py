@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexora.functions import stats as S
 from lexora.functions.text import uniform
 from lexora.operators import sampling, structures
-from lexora.operators.vocab import with_total
+from lexora.operators.vocab import numbered, with_total
 
 from . import study
 from .study import query, u_sql
@@ -256,8 +256,9 @@ def f22(spark, d):
 fit AS (SELECT context, rq, avg(neg) AS p FROM h WHERE k <= n // 2 AND rq < rt GROUP BY context, rq), x AS (SELECT h.context, CASE WHEN h.rq < h.rt THEN f.p ELSE 0 END AS p, neg FROM h LEFT JOIN fit f USING (context, rq) WHERE k > n // 2)
 SELECT context, count(*) AS n, avg(CASE WHEN CASE WHEN neg = 1 THEN p ELSE 1 - p END > 0 THEN ln(CASE WHEN neg = 1 THEN p ELSE 1 - p END) ELSE ln(1e-10) END) AS log_likelihood FROM x WHERE p IS NOT NULL GROUP BY context""")
 def f23(spark, d):
-    cell = Window.partitionBy("context", "trigger", "query")
-    h = study.trials(spark, d).withColumn("u", uniform(F.col("user_id"), seed="half")).withColumn("k", F.row_number().over(cell.orderBy("u", "user_id"))).withColumn("n", F.count("*").over(cell))
+    cell = ("context", "trigger", "query")
+    h = numbered(study.trials(spark, d).withColumn("u", uniform(F.col("user_id"), seed="half")), [F.asc("u"), F.asc("user_id")], "k", cell)
+    h = with_total(h, F.count("*"), "n", cell)
     fit = h.where("k <= floor(n / 2) and rq < rt").groupBy("context", "rq").agg(F.avg("neg").alias("fitted"))
     x = h.where("k > floor(n / 2)").join(fit, ["context", "rq"], "left").withColumn("p", F.expr("CASE WHEN rq < rt THEN fitted ELSE 0.0D END")).where("p is not null")
     return x.groupBy("context").agg(F.count("*").alias("n"), F.avg(S.loglik(F.col("p"), F.col("neg"))).alias("log_likelihood"))

@@ -416,9 +416,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if large.limit(1).count():
         links, left = _large(large, percent)
         within = within.unionByName(left.select(*within.columns))
+    # a document is in more than one class if its id is repeated; it links them
+    same = save(heads.where("n > 0 and doc is not null").join(classes, ["sig1", "sig2"]).select("doc", "class"), "same")
+    links.append(same.groupBy("doc").agg(F.max("class").alias("a"), F.min("class").alias("b"), F.collect_set("class").alias("all")).where("a <> b").select(F.explode("all").alias("a"), "b"))
     found = components(_union([_within(within, percent), *links])).withColumnRenamed("node", "class")
-    # a document may stand for more than one class if its id is repeated
-    same = heads.where("n > 0 and doc is not null").join(classes, ["sig1", "sig2"]).select("doc", "n", "class")
     placed = same.join(found, "class", "left").select("doc", F.coalesce("component", "class").alias("component"))
     placed = placed.groupBy("doc").agg(F.min("component").alias("component"))
     drop(prefixes, members, large)

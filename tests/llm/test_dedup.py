@@ -181,6 +181,14 @@ def test_jaccard_keeps_first_with_odd_columns(spark):
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in out.collect()) == sorted([(True, d) for d, *_ in docs if d is not None and want[d] == d] + [(False, 0)] * 2)
 
 
+def test_jaccard_rows_of_one_id_are_one_document(spark):
+    """Texts that share an id link what each of them links to."""
+    a, b = prose(40, 51), prose(40, 52)
+    rows = [(1, a), (2, b), (2, prose(40, 53)), (5, a), (5, b), (6, b + " x"), (7, prose(40, 54))]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, 1), (2, 1), (5, 1), (6, 1), (7, 7)}
+
+
 def test_jaccard_null_id_and_empty(spark):
     got = jaccard_join.digest(spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e")], SCHEMA)).collect()
     assert {(x.doc_id, x.component_id) for x in got} == {(None, None), (1, 1)}

@@ -65,7 +65,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 def counted_below(percent: int) -> int:
     """Hashes below this are counted and come first in the order: somewhat more of a set than its prefix."""
-    return int(min(1.0, 0.016 * (100 - percent)) * (1 << BITS))
+    return int(min(1.0, 0.013 * (100 - percent)) * (1 << BITS))
 
 
 # ---------------------------------------------------------------- the tree
@@ -405,9 +405,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     repeat an id are one document; rows of a null id have no component. percent: above 50.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    heads = _heads(own, size, percent)
+    full = _heads(own, size, percent)
+    heads = save(full.select("doc", "n", "sig1", "sig2"), "slim")
     classes = save(heads.where("n > 0 and doc is not null").groupBy("sig1", "sig2").agg(F.min("doc").alias("class")), "classes")
-    prefixes = _prefixes(heads, classes, percent)
+    prefixes = _prefixes(full, classes, percent)
+    drop(full)
     clusters = _clusters(prefixes)
     members = _members(own.where("doc is not null"), clusters, size)
     sized = members.join(small(save(_blocks(members), "blocks")), "cluster")

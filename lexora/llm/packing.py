@@ -29,7 +29,7 @@ UNITS = WINDOW // UNIT
 DEPTH = 8
 END_ID = 2
 #: Rows that one window function's group holds when places are summed up, and table rows that are sent to all executors.
-BLOCK = 50_000
+BLOCK = 5_000
 BROADCAST_ROWS = 500_000
 
 

@@ -190,15 +190,17 @@ def removed_words(h: np.ndarray, marks: list, own: int) -> np.ndarray:
     if n < 1:
         return gone
     hit = np.zeros(n, bool)
-    first, count, _, _ = segments(h)
+    first, count, _, _ = segments(h) if marks else (None,) * 4
     for m in marks:
         k = segment_of(m["at"], own)
         if k is not None:
             a, c = int(first[k]), int(count[k])
             hit[a : a + c] |= True if m["bits"] < 0 else (m["bits"] >> np.arange(c)) & 1 == 1
     grams = gram_hashes(h, WINDOW)
-    order = np.argsort(grams, kind="stable")
-    hit[order[1:][grams[order[1:]] == grams[order[:-1]]]] = True
+    values = np.sort(grams)
+    if (values[1:] == values[:-1]).any():
+        order = np.argsort(grams, kind="stable")
+        hit[order[1:][grams[order[1:]] == grams[order[:-1]]]] = True
     cover = np.zeros(len(h) + 1, np.int64)
     at = np.flatnonzero(hit)
     np.add.at(cover, at, 1)
@@ -211,7 +213,7 @@ def _cut(batches):
         ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         out = {c: [] for c in ("doc_id", "n_words", "n_removed", "spans", "kept")}
         for row, raw, starts, ends, h in _per_document(batch, 1):
-            gone = removed_words(h, marks[row] or [], tag(raw))
+            gone = removed_words(h, marks[row] or [], tag(raw) if marks[row] else 0)
             words = raw.split()
             edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
             out["doc_id"].append(ids[row])

@@ -96,30 +96,33 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _block_words(b: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    space = _SPACE[b]
+def _block_words(b: np.ndarray, at: int, gaps: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    space = gaps[b]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[b] * _power("up", len(b)))))
+    total = np.concatenate(([np.uint64(0)], np.cumsum(letters[b] * _power("up", len(b)))))
     return starts + at, ends + at, scramble((total[ends] - total[starts]) * _power("down", len(b))[starts])
 
 
-def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts, byte ends and 64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of a UTF-8 text, in blocks cut between words."""
+def words_of(raw: bytes, gaps: np.ndarray = _SPACE, letters: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts, byte ends and 64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of a UTF-8 text, in blocks cut between words.
+
+    gaps marks other bytes that part words; letters gives bytes that count as equal one value.
+    """
     b = np.frombuffer(raw, dtype=np.uint8)
     parts, at = [], 0
     while at < len(b):
         end = min(at + BLOCK, len(b))
         if end < len(b):
-            gap = np.flatnonzero(_SPACE[b[at:end]])
+            gap = np.flatnonzero(gaps[b[at:end]])
             if len(gap):
                 end = at + int(gap[-1]) + 1
             else:  # one word longer than a block
-                rest = np.flatnonzero(_SPACE[b[end:]])
+                rest = np.flatnonzero(gaps[b[end:]])
                 end = end + int(rest[0]) if len(rest) else len(b)
-        parts.append(_block_words(b[at:end], at))
+        parts.append(_block_words(b[at:end], at, gaps, letters))
         at = end
     if not parts:
         none = np.zeros(0, np.int64)

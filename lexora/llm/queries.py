@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, license_scan, line_dedup, packing, pii, quality, substring_dedup, token_file, toxicity
+from . import chat, collocations, decontaminate, jaccard_join, license_scan, line_dedup, packing, periodic, pii, quality, substring_dedup, token_file, toxicity
 from .common import table
 from .encoding import tokenizer_path
 
@@ -51,8 +51,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(spark, table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    registered = (op1_substring_dedup, op2_toxicity, op3_decontamination, op4_token_file, op5_packing, op6_quality_rules, op7_pii, op8_jaccard_join, op9_line_dedup, op10_license_scan)
+    registered = (op1_substring_dedup, op2_toxicity, op3_decontamination, op4_token_file, op5_packing, op6_quality_rules, op7_pii, op8_jaccard_join, op9_line_dedup, op10_license_scan, op11_chat_format, op12_periodic_runs, op13_collocations)
     return {f.__name__: f for f in registered}
 
 

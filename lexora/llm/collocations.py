@@ -125,20 +125,36 @@ def slices(raw: bytes, seed: np.uint64, limit: int | None = None):
         at, width = at + int(block.starts[block.own]), limit
 
 
-def tally(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """An index of each distinct phrase and the number of its occurrences."""
-    if not len(hashes[0]):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    mixed = hashes[0]
+def mix(hashes: list[np.ndarray]) -> np.ndarray:
+    out = hashes[0]
     for h in hashes[1:]:
-        mixed = scramble(mixed + (h >> np.uint64(1)) + (h << np.uint64(63)) + np.uint64(len(hashes)))
+        out = scramble(out + (h >> np.uint64(1)) + (h << np.uint64(63)) + np.uint64(len(hashes)))
+    return out
+
+
+def grouped(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal phrases stand together, and where each group of them starts."""
+    mixed = mix(hashes)
     order = np.argsort(mixed)
-    new = np.ones(len(order), bool)
-    new[1:] = False
+    first = _changes(hashes, order)
+    if len(hashes) > 1 and len(first) != len(_changes([mixed], order)):  # two phrases with one mixed hash
+        order = np.lexsort(hashes)
+        first = _changes(hashes, order)
+    return order, first
+
+
+def _changes(hashes: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(order), bool)
+    new[:1] = True
     for h in hashes:
         h = h[order]
         new[1:] |= h[1:] != h[:-1]
-    first = np.flatnonzero(new)
+    return np.flatnonzero(new)
+
+
+def tally(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An index of each distinct phrase and the number of its occurrences."""
+    order, first = grouped(hashes)
     return order[first], np.diff(np.append(first, len(order)))
 
 
@@ -154,20 +170,71 @@ def within(bits: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def _rows(k: int, hashes: list[np.ndarray], counts: np.ndarray, **more) -> pa.RecordBatch:
+def _rows(k: int, hashes: list[np.ndarray], counts: np.ndarray, phrases: list) -> pa.RecordBatch:
     n = len(counts)
     held = [h.view(np.int64) for h in hashes] + [np.zeros(n, np.int64)] * (LONGEST - len(hashes))
-    return pa.RecordBatch.from_pydict({"k": pa.array(np.full(n, k, np.int8)), **{f"h{j + 1}": pa.array(h) for j, h in enumerate(held)}, "n": pa.array(counts.astype(np.int64))} | more)
+    return pa.RecordBatch.from_pydict({"k": pa.array(np.full(n, k, np.int8)), **{f"h{j + 1}": pa.array(h) for j, h in enumerate(held)}, "n": pa.array(counts.astype(np.int64)), "phrase": pa.array(phrases, pa.string())})
+
+
+def count_short(buckets: int):
+    """A task's counts of words, pairs, and (k = 0) words in all, one row for a chunk, size and bucket of hashes: far fewer rows than phrases."""
+
+    def count(batches):
+        for lang, block in blocks(batches):
+            yield packed(0, lang, np.zeros(1, np.int64), [np.zeros(1, np.uint64)], np.array([block.own]))
+            for k in (1, 2):
+                _, hashes = block.grams(k)
+                index, counts = tally(hashes)
+                if len(index):
+                    hashes = [h[index] for h in hashes]
+                    bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    yield packed(k, lang, bucket[order], [h[order] for h in hashes], counts[order])
+
+    return count
+
+
+def packed(k: int, lang: str, bucket: np.ndarray, hashes: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+    """Rows (bucket, k, lang, h1, h2, n) of entries sorted by bucket: the bytes of each bucket's hashes and counts."""
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+
+    def cut(values: np.ndarray) -> pa.Array:
+        offsets = np.append(edges, len(bucket)) * 8
+        return pa.Array.from_buffers(pa.large_binary(), len(edges), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+    n = len(edges)
+    columns = {"bucket": pa.array(bucket[edges]), "k": pa.array(np.full(n, k, np.int8)), "lang": pa.array([lang] * n, pa.string())}
+    return pa.RecordBatch.from_pydict(columns | {"h1": cut(hashes[0]), "h2": cut(hashes[-1]), "n": cut(counts.astype(np.int64))})
 
 
-def count_short(batches):
-    """Words with their language, pairs, and (k = 0) each language's words in all."""
-    for lang, block in blocks(batches):
-        yield _rows(0, [], np.array([block.own]), lang=pa.array([lang], pa.string()))
-        for k in (1, 2):
-            _, hashes = block.grams(k)
-            index, counts = tally(hashes)
-            yield _rows(k, [h[index] for h in hashes], counts, lang=pa.array([lang if k == 1 else None], pa.string()).take(pa.array(np.zeros(len(index), np.int64))))
+def merged(min_count: int):
+    """Counts (k, lang, h1, h2, f) of min_count at least, from packed rows sorted by bucket, size and language."""
+
+    def told(key, parts) -> pa.RecordBatch:
+        h1, h2, n = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*parts), ("<u8", "<u8", "<i8")))
+        hashes = [h1, h2][: max(key[0], 1)]
+        order, first = grouped(hashes)
+        f = np.add.reduceat(n[order], first)
+        hit = (f >= min_count) | (key[0] == 0)
+        at = order[first[hit]]
+        none = np.zeros(len(at), np.int64)
+        hashes = [h[at].view(np.int64) for h in hashes] + [none] * (2 - len(hashes))
+        return pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), key[0], np.int8)), "lang": pa.array([key[1]] * len(at), pa.string()), "h1": pa.array(hashes[0]), "h2": pa.array(hashes[1]), "f": pa.array(f[hit])})
+
+    def merge(batches):
+        key, parts = None, []
+        for batch in batches:
+            columns = [batch.column(c) for c in ("bucket", "k", "lang", "h1", "h2", "n")]
+            for bucket, k, lang, *data in zip(*(c.to_pylist() for c in columns)):
+                if key != (k, lang, bucket):
+                    if key is not None:
+                        yield told(key, parts)
+                    key, parts = (k, lang, bucket), []
+                parts.append(data)
+        if key is not None:
+            yield told(key, parts)
+
+    return merge
 
 
 def counter(k: int, bits: dict[str, np.ndarray]):
@@ -188,7 +255,7 @@ def counter(k: int, bits: dict[str, np.ndarray]):
                 hashes = [h[hit] for h in hashes]
                 index, counts = tally(hashes)
                 phrases = [block.phrase(int(i), size) for i in at[hit[index]]] if k == 4 else [None] * len(index)
-                yield _rows(size, [h[index] for h in hashes], counts, phrase=pa.array(phrases, pa.string()))
+                yield _rows(size, [h[index] for h in hashes], counts, phrases)
 
     return count
 
@@ -239,10 +306,23 @@ def thresholds(pairs: DataFrame, size: int) -> DataFrame:
     return pairs.select("lang").distinct().join(reached.groupBy("lang").agg(F.max("mill").alias("mill")), "lang", "left").select("lang", (F.coalesce("mill", F.lit(0)) * 1000).alias("theta"))
 
 
-def _counted(rows: DataFrame, label: str, min_count: int, *values: Column) -> DataFrame:
-    keys = [c for c in (*KEYS, "lang") if c in rows.columns]
-    counted = rows.groupBy(*keys).agg(F.sum("n").alias("f"), *values)
-    return save(counted.where((F.col("k") == 0) | (F.col("f") >= min_count)), label)
+def short_counts(texts: DataFrame, min_count: int) -> DataFrame:
+    """Saved counts (k, lang, h1, h2, f) of words and pairs found min_count times, and (k = 0) of all words.
+
+    Tasks count chunks of text before anything is shuffled, so a word or pair, however frequent, is one entry a chunk.
+    Pairs are spread by the hash of both words over buckets whose number follows the shuffle partitions.
+    """
+    spark = texts.sparkSession
+    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.mapInArrow(count_short(buckets), "bucket long, k tinyint, lang string, h1 binary, h2 binary, n binary")
+    sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "k", "lang")
+    counted = sorted_rows.mapInArrow(merged(min_count), "k tinyint, lang string, h1 long, h2 long, f long")
+    return save(counted, "short")
+
+
+def long_counts(rows: DataFrame, label: str, min_count: int, *values: Column) -> DataFrame:
+    keys = [c for c in KEYS if c in rows.columns]
+    return save(rows.groupBy(*keys).agg(F.sum("n").alias("f"), *values).where(F.col("f") >= min_count), label)
 
 
 def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", top: int = TOP, min_count: int = MIN_COUNT, covered: int = COVERED, frontier: int = FRONTIER) -> DataFrame:
@@ -254,11 +334,11 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     without a phrase of min_count occurrences, gives no rows.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    short = _counted(texts.mapInArrow(count_short, f"{KINDS}, lang string").drop("h3", "h4"), "short", min_count)
+    short = short_counts(texts, min_count)
     words = short.where("k = 1").select("lang", "h1", "f")
-    pairs = short.where("k = 2").select("h1", "h2", "f").join(words.withColumnRenamed("f", "f1"), "h1").join(named(words, "f2", "h2"), "h2")
+    pairs = short.where("k = 2").select("lang", "h1", "h2", "f").join(named(words, "f1", "h1"), "h1").join(named(words, "f2", "h2"), "h2")
     pairs = save(pairs.select("lang", "h1", "h2", "f", "f1", "f2", worst(F.col("f"), (F.col("f1"), F.col("f2"))).alias("w"), score(F.col("f"), F.col("f1"), F.col("f")).alias("bound")), "pairs")
-    totals = save(short.where("k = 0").select("lang", F.col("f").alias("n")), "totals")
+    totals = save(short.where("k = 0").groupBy("lang").agg(F.sum("f").alias("n")), "totals")
 
     every, left, size = None, pairs.select("lang").distinct(), frontier * top
     while True:
@@ -294,7 +374,7 @@ def expand(texts: DataFrame, words: DataFrame, pairs: DataFrame, theta: DataFram
     two = pairs.join(theta, "lang")
     held2 = two.where("w.score >= theta")
     bits = bit_tables({"grow2": two.where("bound >= theta").select("h1", "h2"), "held2": held2.select("h1", "h2")})
-    threes = _counted(texts.mapInArrow(counter(3, bits), f"{KINDS}, phrase string").drop("h4"), "threes", min_count)
+    threes = long_counts(texts.mapInArrow(counter(3, bits), f"{KINDS}, phrase string").drop("h4"), "threes", min_count)
 
     scored = threes.join(words.join(theta, "lang").withColumnRenamed("f", "f1"), "h1").join(named(pairs, "f12", "h1", "h2"), ["h1", "h2"])
     scored = scored.join(named(pairs, "f23", "h2", "h3"), ["h2", "h3"]).join(named(words, "f3", "h3"), "h3")
@@ -303,7 +383,7 @@ def expand(texts: DataFrame, words: DataFrame, pairs: DataFrame, theta: DataFram
     held3, grow3 = scored.where("w.score >= theta"), scored.where("bound >= theta")
     rest2 = grow3.select(c("h2").alias("h1"), c("h3").alias("h2"))
     bits = bit_tables({"held2": held2.select("h1", "h2"), "grow3": grow3.select("h1", "h2", "h3"), "held3": held3.select("h1", "h2", "h3"), "rest2": rest2})
-    longer = _counted(texts.mapInArrow(counter(4, bits), f"{KINDS}, phrase string"), "longer", min_count, F.min("phrase").alias("phrase"))
+    longer = long_counts(texts.mapInArrow(counter(4, bits), f"{KINDS}, phrase string"), "longer", min_count, F.min("phrase").alias("phrase"))
 
     triples = threes.select("h1", "h2", "h3", "f").unionByName(longer.where("k = 3").select("h1", "h2", "h3", "f")).groupBy("h1", "h2", "h3").agg(F.max("f").alias("f"))
     fours = longer.where("k = 4").select("h1", "h2", "h3", "h4", "f")

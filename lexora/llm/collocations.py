@@ -42,8 +42,9 @@ NO_LANG = "und"
 FRONTIER = 2
 #: Bits of one table of prefixes: 2 MB each, three at a time.
 BITS = 1 << 24
-#: Bytes of text whose phrases a task counts before it hands them on.
+#: Bytes of text whose phrases a task counts at once, and counts that it holds before it hands them on.
 CHUNK = 12 << 20
+ENTRIES = 2_000_000
 
 _BREAK = np.zeros(256, bool)
 _BREAK[list(BREAKS)] = True
@@ -177,61 +178,83 @@ def _rows(k: int, hashes: list[np.ndarray], counts: np.ndarray, phrases: list) -
 
 
 def count_short(buckets: int):
-    """A task's counts of words, pairs, and (k = 0) words in all, one row for a chunk, size and bucket of hashes: far fewer rows than phrases."""
+    """A task's counts of words, pairs, and (k = 0) each language's words in all: rows of packed entries, a bucket of hashes each.
+
+    A word's entry is (hash, seed of its language), a pair's (hash, hash).
+    """
 
     def count(batches):
+        held: dict[int, list[tuple]] = {1: [], 2: []}
+        size, totals = 0, {}
         for lang, block in blocks(batches):
-            yield packed(0, lang, np.zeros(1, np.int64), [np.zeros(1, np.uint64)], np.array([block.own]))
+            totals[lang] = totals.get(lang, 0) + block.own
             for k in (1, 2):
                 _, hashes = block.grams(k)
                 index, counts = tally(hashes)
-                if len(index):
-                    hashes = [h[index] for h in hashes]
-                    bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
-                    yield packed(k, lang, bucket[order], [h[order] for h in hashes], counts[order])
+                second = hashes[1][index] if k == 2 else np.full(len(index), seed_of(lang))
+                held[k].append((hashes[0][index], second, counts))
+                size += len(index)
+            if size > ENTRIES:
+                yield from packed(held, buckets)
+                held, size = {1: [], 2: []}, 0
+        yield from packed(held, buckets)
+        for lang, n in totals.items():
+            seed = np.array([seed_of(lang)])
+            yield _packed_rows([0], 0, lang, *([x.tobytes()] for x in (seed, seed, np.array([n]))))
 
     return count
 
 
-def packed(k: int, lang: str, bucket: np.ndarray, hashes: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
-    """Rows (bucket, k, lang, h1, h2, n) of entries sorted by bucket: the bytes of each bucket's hashes and counts."""
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+def packed(held: dict[int, list[tuple]], buckets: int):
+    """Rows (bucket, k, lang, h1, h2, n) of entries (h1, h2, n): the bytes of each bucket's hashes and counts."""
+    for k, entries in held.items():
+        if entries:
+            h1, h2, n = (np.concatenate(x) for x in zip(*entries))
+            bucket = (mix([h1, h2][:k]) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+            cut = lambda x: [x[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+            yield _packed_rows(bucket[order][edges[:-1]].tolist(), k, None, cut(h1[order]), cut(h2[order]), cut(n[order].astype(np.int64)))
 
-    def cut(values: np.ndarray) -> pa.Array:
-        offsets = np.append(edges, len(bucket)) * 8
-        return pa.Array.from_buffers(pa.large_binary(), len(edges), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
-    n = len(edges)
-    columns = {"bucket": pa.array(bucket[edges]), "k": pa.array(np.full(n, k, np.int8)), "lang": pa.array([lang] * n, pa.string())}
-    return pa.RecordBatch.from_pydict(columns | {"h1": cut(hashes[0]), "h2": cut(hashes[-1]), "n": cut(counts.astype(np.int64))})
+def _packed_rows(bucket: list[int], k: int, lang: str | None, h1: list[bytes], h2: list[bytes], n: list[bytes]) -> pa.RecordBatch:
+    size = len(bucket)
+    columns = {"bucket": pa.array(bucket, pa.int32()), "k": pa.array([k] * size, pa.int8()), "lang": pa.array([lang] * size, pa.string())}
+    return pa.RecordBatch.from_pydict(columns | {c: pa.array(x, pa.binary()) for c, x in (("h1", h1), ("h2", h2), ("n", n))})
 
 
 def merged(min_count: int):
-    """Counts (k, lang, h1, h2, f) of min_count at least, from packed rows sorted by bucket, size and language."""
-
-    def told(key, parts) -> pa.RecordBatch:
-        h1, h2, n = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*parts), ("<u8", "<u8", "<i8")))
-        hashes = [h1, h2][: max(key[0], 1)]
-        order, first = grouped(hashes)
-        f = np.add.reduceat(n[order], first)
-        hit = (f >= min_count) | (key[0] == 0)
-        at = order[first[hit]]
-        none = np.zeros(len(at), np.int64)
-        hashes = [h[at].view(np.int64) for h in hashes] + [none] * (2 - len(hashes))
-        return pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), key[0], np.int8)), "lang": pa.array([key[1]] * len(at), pa.string()), "h1": pa.array(hashes[0]), "h2": pa.array(hashes[1]), "f": pa.array(f[hit])})
+    """Counts (k, lang, h1, h2, f) of min_count at least from packed rows in the order of k; totals pass. What is held is merged again and again, so it grows with a bucket's distinct entries alone."""
+
+    def summed(k: int, parts: list[tuple]) -> tuple:
+        h1, h2, n = (np.concatenate(x) for x in zip(*parts))
+        order, first = grouped([h1, h2][:k])
+        return h1[order[first]], h2[order[first]], np.add.reduceat(n[order], first) if len(first) else n
+
+    def told(k: int, parts: list[tuple]) -> pa.RecordBatch:
+        h1, h2, f = summed(k, parts)
+        hit = f >= min_count
+        n = int(hit.sum())
+        return pa.RecordBatch.from_pydict({"k": pa.array(np.full(n, k, np.int8)), "lang": pa.nulls(n, pa.string()), "h1": pa.array(h1[hit].view(np.int64)), "h2": pa.array(h2[hit].view(np.int64)), "f": pa.array(f[hit])})
 
     def merge(batches):
-        key, parts = None, []
+        key, parts, size = None, [], 0
         for batch in batches:
-            columns = [batch.column(c) for c in ("bucket", "k", "lang", "h1", "h2", "n")]
-            for bucket, k, lang, *data in zip(*(c.to_pylist() for c in columns)):
-                if key != (k, lang, bucket):
-                    if key is not None:
+            for k, lang, *data in zip(*(batch.column(c).to_pylist() for c in ("k", "lang", "h1", "h2", "n"))):
+                h1, h2, n = (np.frombuffer(x, kind) for x, kind in zip(data, ("<u8", "<u8", "<i8")))
+                if k == 0:
+                    yield pa.RecordBatch.from_pydict({"k": pa.array([0], pa.int8()), "lang": pa.array([lang], pa.string()), "h1": pa.array(h1.view(np.int64)), "h2": pa.array([0], pa.int64()), "f": pa.array(n)})
+                    continue
+                if k != key:
+                    if parts:
                         yield told(key, parts)
-                    key, parts = (k, lang, bucket), []
-                parts.append(data)
-        if key is not None:
+                    key, parts, size = k, [], 0
+                parts.append((h1, h2, n))
+                size += len(n)
+                if size > ENTRIES:
+                    parts = [summed(k, parts)]
+                    size = len(parts[0][2]) // 2  # at least as much again comes before the next merge
+        if parts:
             yield told(key, parts)
 
     return merge
@@ -307,17 +330,15 @@ def thresholds(pairs: DataFrame, size: int) -> DataFrame:
 
 
 def short_counts(texts: DataFrame, min_count: int) -> DataFrame:
-    """Saved counts (k, lang, h1, h2, f) of words and pairs found min_count times, and (k = 0) of all words.
+    """Saved counts (k, lang, h1, h2, f) of words and pairs found min_count times, and (k = 0) of each language's words in all.
 
     Tasks count chunks of text before anything is shuffled, so a word or pair, however frequent, is one entry a chunk.
-    Pairs are spread by the hash of both words over buckets whose number follows the shuffle partitions.
+    Entries go to shuffle partitions by the hash of the word, or of both words, packed into one row a partition.
     """
-    spark = texts.sparkSession
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.mapInArrow(count_short(buckets), "bucket long, k tinyint, lang string, h1 binary, h2 binary, n binary")
-    sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "k", "lang")
-    counted = sorted_rows.mapInArrow(merged(min_count), "k tinyint, lang string, h1 long, h2 long, f long")
-    return save(counted, "short")
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.mapInArrow(count_short(partitions), "bucket int, k tinyint, lang string, h1 binary, h2 binary, n binary")
+    rows = rows.repartitionById(partitions, "bucket").sortWithinPartitions("k")
+    return save(rows.mapInArrow(merged(min_count), "k tinyint, lang string, h1 long, h2 long, f long"), "short")
 
 
 def long_counts(rows: DataFrame, label: str, min_count: int, *values: Column) -> DataFrame:
@@ -335,10 +356,11 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).cast("string").alias("text"))
     short = short_counts(texts, min_count)
-    words = short.where("k = 1").select("lang", "h1", "f")
-    pairs = short.where("k = 2").select("lang", "h1", "h2", "f").join(named(words, "f1", "h1"), "h1").join(named(words, "f2", "h2"), "h2")
+    totals = save(short.where("k = 0").groupBy("lang", F.col("h1").alias("seed")).agg(F.sum("f").alias("n")), "totals")
+    words = save(short.where("k = 1").select("h1", F.col("h2").alias("seed"), "f").join(totals, "seed").select("lang", "h1", "f"), "words")
+    pairs = short.where("k = 2").select("h1", "h2", "f").join(words.withColumnRenamed("f", "f1"), "h1").join(named(words, "f2", "h2"), "h2")
     pairs = save(pairs.select("lang", "h1", "h2", "f", "f1", "f2", worst(F.col("f"), (F.col("f1"), F.col("f2"))).alias("w"), score(F.col("f"), F.col("f1"), F.col("f")).alias("bound")), "pairs")
-    totals = save(short.where("k = 0").groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+    drop(short)
 
     every, left, size = None, pairs.select("lang").distinct(), frontier * top
     while True:
@@ -352,10 +374,10 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
         left, size = status.where("not settled").select("lang"), size * 4
         if left.limit(1).count() == 0:
             break
-    drop(short, pairs)
+    drop(words, pairs)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return best.join(totals.drop("seed"), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def named(counts: DataFrame, name: str, *hashes: str) -> DataFrame:

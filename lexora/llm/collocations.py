@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, as_bytes, drop, save, scramble, words_of
+from .common import as_bytes, drop, save, scramble, words_of
 
 #: Bytes that end a piece, and those that part its words.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -43,16 +43,11 @@ FRONTIER = 2
 #: Bits of one table of prefixes: 2 MB each, three at a time.
 BITS = 1 << 24
 #: Bytes of text whose phrases a task counts at once, and counts that it holds before it hands them on.
-CHUNK = 12 << 20
-ENTRIES = 2_000_000
+CHUNK = 5 << 20
+ENTRIES = 1_000_000
 
-_BREAK = np.zeros(256, bool)
-_BREAK[list(BREAKS)] = True
-_GAP = _BREAK.copy()
-_GAP[list(SPACES)] = True
-_LETTER = _BYTE.copy()
-_LETTER[0x41:0x5B] = _BYTE[0x61:0x7B]
-_LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
+#: A-Z lower-cased, every break a new line, every space a blank.
+_PLAIN = bytes.maketrans(BREAKS + SPACES + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * len(BREAKS) + b" " * len(SPACES) + b"abcdefghijklmnopqrstuvwxyz")
 
 KEYS = ["k", "h1", "h2", "h3", "h4"]
 KINDS = "k tinyint, h1 long, h2 long, h3 long, h4 long, n long"
@@ -65,10 +60,11 @@ class Block:
     """Words of one language's texts: hashes, pieces, and how many of them start a phrase here (the others start one in the next block)."""
 
     def __init__(self, raw: bytes, seed: np.uint64):
-        self.raw = raw
-        self.starts, self.ends, h = words_of(raw, _GAP, _LETTER)
+        self.raw = raw = raw.translate(_PLAIN)
+        self.starts, self.ends, h = words_of(raw)
         self.h = scramble(h ^ seed)
-        self.piece = np.cumsum(_BREAK[np.frombuffer(raw, np.uint8)], dtype=np.int32)[self.starts] if len(h) else np.zeros(0, np.int32)
+        breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x0A)
+        self.piece = np.searchsorted(breaks, self.starts).astype(np.int32)
         self.own = len(h)
 
     def grams(self, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -79,7 +75,7 @@ class Block:
         return at, [self.h[at + j] for j in range(k)]
 
     def phrase(self, at: int, k: int) -> str:
-        return b" ".join(self.raw[self.starts[i] : self.ends[i]] for i in range(at, at + k)).translate(_LOWER).decode("utf-8", "replace")
+        return b" ".join(self.raw[self.starts[i] : self.ends[i]] for i in range(at, at + k)).decode("utf-8", "replace")
 
 
 def seed_of(lang: str) -> np.uint64:
@@ -112,7 +108,7 @@ def slices(raw: bytes, seed: np.uint64, limit: int | None = None):
     at, width = 0, limit
     while True:
         end = min(at + width, len(raw))
-        while end < len(raw) and not _GAP[raw[end]]:
+        while end < len(raw) and raw[end] not in BREAKS + SPACES:
             end += 1
         block = Block(raw[at:end], seed)
         if end < len(raw):

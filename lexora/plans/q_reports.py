@@ -22,16 +22,24 @@ C = F.col
 # ---------------------------------------------------------------- G: calibration
 
 _OBS = """WITH sp AS (SELECT p.context, trigger, query, q.logprob AS lq, t.logprob AS lt FROM pairs p JOIN scores q ON q.context = p.context AND q.token = query JOIN scores t ON t.context = p.context AND t.token = trigger),
-obs AS (SELECT sp.context AS family, sp.trigger AS "group", sp.query AS item, lq, lt, sum(neg)::BIGINT AS yes, count(*) AS total FROM sp JOIN trials t USING (context, trigger, query) GROUP BY ALL),
-folds AS (SELECT *, (dense_rank() OVER (PARTITION BY family ORDER BY "group") - 1) % 3 AS fold FROM obs)"""
+obs AS MATERIALIZED (SELECT sp.context AS family, CASE WHEN rt % 2 = 1 THEN 'odd' ELSE 'even' END AS dataset, CASE WHEN rq <= 3 THEN 'frequent' ELSE 'rare' END AS condition, sp.trigger AS "group", sp.query AS item, lq, lt,
+CASE WHEN rt % 2 = 1 THEN lq + 0.5 * lt END AS x, CASE WHEN sp.context IN ('de', 'en') THEN 'exact' ELSE 'rate_only' END AS status, sum(neg)::BIGINT AS yes, count(*) AS total, sum(neg) / count(*) AS rate FROM sp JOIN trials t USING (context, trigger, query) GROUP BY ALL),
+folds AS MATERIALIZED (SELECT *, (dense_rank() OVER (PARTITION BY family, dataset ORDER BY "group") - 1) % 3 AS fold FROM obs)"""
 
 
+@study.once("observations")
 def observations(spark, d):
-    n = study.trials(spark, d).groupBy("context", "trigger", "query").agg(F.sum("neg").alias("yes"), F.count("*").alias("total"))
-    out = M._scored_pairs(spark, d).join(n, ["context", "trigger", "query"])
-    return out.select(C("context").alias("family"), C("trigger").alias("group"), C("query").alias("item"), "lq", "lt", "yes", "total")
+    """Answers by (family, dataset, group, item) = (language, triggers of odd or even rank, trigger, query), with both scores and a framed one for half of them."""
+    n = study.trials(spark, d).groupBy("context", "trigger", "query", "rt", "rq").agg(F.sum("neg").alias("yes"), F.count("*").alias("total"))
+    out = M._scored_pairs(spark, d).select("context", "trigger", "query", "lq", "lt").join(n, ["context", "trigger", "query"])
+    odd = C("rt") % 2 == 1
+    return out.select(
+        C("context").alias("family"), F.when(odd, "odd").otherwise("even").alias("dataset"), F.when(C("rq") <= 3, "frequent").otherwise("rare").alias("condition"), C("trigger").alias("group"), C("query").alias("item"), "lq", "lt",
+        F.when(odd, C("lq") + 0.5 * C("lt")).alias("x"), F.when(C("context").isin("de", "en"), "exact").otherwise("rate_only").alias("status"), "yes", "total", (C("yes") / C("total")).alias("rate"),
+    )
 
 
+@study.once("folded")
 def folded(spark, d):
     return G.group_folds(observations(spark, d), 3)
 
@@ -63,112 +71,176 @@ def g3(spark, d):
     return G.bounds(observations(spark, d), 1.0)
 
 
-_GRID = _OBS + f""", g AS (SELECT f.*, i, -12.0 + i * (12.0 / 64) AS theta FROM folds f CROSS JOIN (SELECT unnest(generate_series(0, 64)) AS i)),
-sums AS (SELECT fold, i, theta, sum({_ll(_p("theta", "1.0")["set"])}) AS ll FROM g GROUP BY ALL), tot AS (SELECT i, sum(ll) AS all_ll FROM sums GROUP BY i),
-best AS (SELECT fold, max_by(theta, (all_ll - ll, -i))::DOUBLE AS theta FROM sums JOIN tot USING (i) GROUP BY fold)"""
+_ENDS = ("(SELECT min(least(lq, lt)) - 10 FROM obs)", "(SELECT max(greatest(lq, lt)) + 10 FROM obs)")
+_SCALE_ENDS = ("(SELECT min(lq) - 10 FROM obs)", "(SELECT max(lq) + 10 FROM obs)")
+_KEY = 'family, dataset, "group"'
 
 
-def _grid_rounds(rounds=3, points=65, low=-12.0, high=0.0):
-    """SQL of a one-parameter fit: each round's grid lies within the winning cell of the one before."""
-    out = f"b0 AS (SELECT {low}::DOUBLE AS lo, {high}::DOUBLE AS hi)"
+def _item(p):
+    q = f"greatest(1e-10, least(1 - 1e-10, {p}))"
+    return f"(rate * ln({q}) + (1 - rate) * ln(1 - {q}))"
+
+
+def _fit_sql(rows, score, weight, *, folds="", family="family", ends=_ENDS, scales=(1.0, 1.0), shape=(33, 1), rounds=4):
+    """SQL of G.fit: CTEs that end in `fitted`."""
+    low, high = ends
+    points, ps = shape
+    margin, n, m = (1 if ps == 1 else 2), points - 1, max(ps - 1, 1)
+    f = folds + ", " if folds else ""
+    box = "t0, t1, l0, l1"
+    out = f"b0 AS MATERIALIZED (SELECT DISTINCT {f}{low}::DOUBLE AS t0, {high}::DOUBLE AS t1, ln({scales[0]}) AS l0, ln({scales[1]}) AS l1 FROM {rows})"
     for r in range(rounds):
-        out += f""", t{r} AS (SELECT i, lo + i * ((hi - lo) / {points - 1}) AS theta, (hi - lo) / {points - 1} AS w FROM b{r}, (SELECT unnest(generate_series(0, {points - 1})) AS i)),
-l{r} AS (SELECT i, theta, w, sum({_ll(_p("theta", "1.0")["set"])}) AS ll FROM obs, t{r} GROUP BY ALL), w{r} AS (SELECT max_by(theta, (ll, -i)) AS theta, max(ll) AS ll, any_value(w) AS w FROM l{r}),
-b{r + 1} AS (SELECT greatest({low}, theta - w) AS lo, least({high}, theta + w) AS hi FROM w{r})"""
-    return out
+        out += f""",
+g{r} AS MATERIALIZED (SELECT *, t0 + (i // {ps}) * ((t1 - t0) / {n}) AS theta, l0 + (i % {ps}) * ((l1 - l0) / {m}) AS ls FROM (SELECT DISTINCT {box} FROM b{r}), (SELECT unnest(generate_series(0, {points * ps - 1})) AS i)),
+a{r} AS MATERIALIZED (SELECT {box}, i, {family}, sum({score}) AS v, sum({weight}) AS n FROM {rows}, g{r} GROUP BY ALL),
+m{r} AS (SELECT {box}, i, sum(v / n) AS s, count(*) AS f FROM a{r} GROUP BY ALL)"""
+        if folds:
+            keys = ", ".join(dict.fromkeys([*folds.split(", "), *family.split(", ")]))
+            out += f""",
+o{r} AS (SELECT {keys}, {box}, i, sum({score}) AS v, sum({weight}) AS n FROM {rows} JOIN b{r} USING ({folds}) JOIN g{r} USING ({box}) GROUP BY ALL),
+d{r} AS (SELECT {folds}, {box}, i, sum(CASE WHEN a.n > o.n THEN (a.v - o.v) / (a.n - o.n) ELSE 0 END - a.v / a.n) AS c, sum((a.n <= o.n)::INT) AS gone FROM o{r} o JOIN a{r} a USING ({box}, i, {family}) GROUP BY ALL),
+q{r} AS (SELECT *, (s + c) / (f - gone) AS obj FROM d{r} JOIN m{r} USING ({box}, i) JOIN g{r} USING ({box}, i))"""
+        else:
+            out += f", q{r} AS (SELECT *, s / f AS obj FROM m{r} JOIN g{r} USING ({box}, i))"
+        out += f""",
+w{r} AS MATERIALIZED (SELECT {f}{box}, max_by(theta, (obj, -i)) AS theta, max_by(ls, (obj, -i)) AS ls, max(obj) AS obj FROM q{r} GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT {f}greatest({low}, theta - {margin} * (t1 - t0) / {n}) AS t0, least({high}, theta + {margin} * (t1 - t0) / {n}) AS t1, greatest(ln({scales[0]}), ls - {margin} * (l1 - l0) / {m}) AS l0, least(ln({scales[1]}), ls + {margin} * (l1 - l0) / {m}) AS l1 FROM w{r})"""
+    near = lambda x, a, b, t: f"(abs({x} - ({a})) <= {t} OR abs({x} - ({b})) <= {t})::INT"
+    return out + f""",
+fitted AS MATERIALIZED (SELECT {f}theta, exp(ls) AS scale, obj AS objective, {near('theta', low, high, f'greatest(1e-6, 1e-5 * ({high} - {low}))')} AS theta_at_bound, {near('ls', f'ln({scales[0]})', f'ln({scales[1]})', '1e-5')} AS scale_at_bound FROM w{rounds - 1})"""
+
+
+def _box_sql(rows, folds=""):
+    return _fit_sql(rows, _item(_p("theta", "exp(ls)")["set"]), "1", folds=folds, family="family, dataset", ends=_SCALE_ENDS, scales=(0.1, 20.0), shape=(17, 17), rounds=3)
+
+
+def _four(theta, s):
+    """SQL columns p_ and ll_ of the four structures."""
+    p = _p(theta, s)
+    conj = f"greatest(0, least(1, {p['ordering']} * {p['either']}))"
+    every = {"set": p["set"], "ordering": p["ordering"], "conjunction": conj, "disjunction": f"greatest(0, least(1, {p['set']} + {p['ordering']} - {conj}))"}
+    return ", ".join([*(f"{v} AS p_{k}" for k, v in every.items()), *(f"{_ll(v)} AS ll_{k}" for k, v in every.items())])
+
+
+def _ends(rows):
+    ends = G.bounds(rows, 1.0)
+    return ends.select("low").scalar(), ends.select("high").scalar()
+
+
+def _flags(df):
+    return df.withColumns({c: C(c).cast("int") for c in df.columns if c.endswith("at_bound")})
 
 
-@query("g4_fit_threshold", _OBS + ", " + _grid_rounds() + " SELECT theta, ll, (abs(theta + 12) < 1e-9 OR abs(theta) < 1e-9)::INT AS at_bound FROM w2")
+@query("g4_fit_threshold", _OBS + ", " + _fit_sql("obs", _ll(_p("theta", "1.0")["set"]), "total") + " SELECT theta, objective, theta_at_bound AS at_bound FROM fitted")
 def g4(spark, d):
-    theta, ll, at_bound = G.fit_threshold(observations(spark, d), "set", 1.0, -12.0, 0.0)
-    return spark.createDataFrame([(theta, ll, int(at_bound))], "theta double, ll double, at_bound int")
+    rows = observations(spark, d)
+    return _flags(G.fit_threshold(rows, "set", 1.0, *_ends(rows)))
 
 
-_CV = _GRID + f", pred AS (SELECT f.*, theta, {_p('theta', '1.0')['set']} AS p FROM folds f JOIN best USING (fold))"
+_INTERCEPTS = f"""intercepts AS (SELECT {_KEY}, (SELECT count(*) FROM obs) - count(*) AS train_rows, count(*) AS test_rows, ((SELECT sum(total) FROM obs) - sum(total))::BIGINT AS train_responses, sum(total)::BIGINT AS test_responses,
+((SELECT sum(yes) FROM obs) - sum(yes)) / ((SELECT sum(total) FROM obs) - sum(total)) AS intercept FROM obs GROUP BY ALL)"""
+_LOGO = f"""{_OBS}, {_fit_sql("obs", _ll(_p("theta", "1.0")["set"]), "total", folds=_KEY)}, {_INTERCEPTS},
+pred AS MATERIALIZED (SELECT *, {_ll("baseline")} AS ll_baseline FROM (SELECT o.*, theta, theta_at_bound AS at_bound, intercept AS baseline, {_four("theta", "1.0")} FROM obs o JOIN fitted USING ({_KEY}) JOIN intercepts USING ({_KEY})))"""
+_P = [f"{a}_{k}" for a in ("p", "ll") for k in G.STRUCTURES]
 
 
+@study.once("predictions")
 def predictions(spark, d):
-    return G.logo_cv(folded(spark, d), "set", 1.0, -12.0, 0.0)
+    return G.logo_cv(observations(spark, d), "set", 1.0)
 
 
-@query("g5_leave_group_out", _CV + ' SELECT family, "group", item, fold, theta, p FROM pred')
+@query("g5_leave_group_out", _LOGO + f" SELECT {_KEY}, item, theta, at_bound, baseline, ll_baseline, {', '.join(_P)} FROM pred")
 def g5(spark, d):
-    return predictions(spark, d).select("family", "group", "item", "fold", "theta", "p")
+    return _flags(predictions(spark, d)).select(*G.KEY, "item", "theta", "at_bound", "baseline", "ll_baseline", *_P)
 
 
-@query("g6_training_intercept", _OBS + " SELECT fold, ((SELECT sum(yes) FROM folds) - sum(yes)) / ((SELECT sum(total) FROM folds) - sum(total)) AS intercept FROM folds GROUP BY fold")
+@query("g6_training_intercept", f"{_OBS}, {_INTERCEPTS} SELECT * FROM intercepts")
 def g6(spark, d):
-    return G.fold_intercepts(folded(spark, d))
+    return G.intercepts(observations(spark, d))
 
 
-@query("g7_heldout_summary", _CV + f", x AS (SELECT *, {_ll('p')} AS ll, yes / total AS rate FROM pred) SELECT coalesce(family, 'ALL') AS family, count(*) AS items, sum(total)::BIGINT AS responses, corr(p, rate) AS r, sum(ll) AS ll, sum(ll) / sum(total) AS mean_ll FROM x GROUP BY GROUPING SETS ((), (family))")
+_RANK = "rank() OVER (PARTITION BY scope, structure ORDER BY {0}) + (count(*) OVER (PARTITION BY scope, structure, {0}) - 1) / 2"
+
+
+@query("g7_heldout_summary", f"""{_LOGO}, long AS ({" UNION ALL ".join(f"SELECT family, dataset, condition, total, rate, ll_baseline, '{k}' AS structure, p_{k} AS p, ll_{k} AS ll FROM pred" for k in G.STRUCTURES)}),
+scoped AS (SELECT 'overall' AS scope_type, 'all' AS scope, * FROM long UNION ALL SELECT 'condition', concat_ws('::', family, dataset, condition), * FROM long),
+ranked AS (SELECT *, {_RANK.format("p")} AS rp, {_RANK.format("rate")} AS rr FROM scoped)
+SELECT scope_type, scope, structure, count(*) AS items, sum(total)::BIGINT AS responses, CASE WHEN count(*) > 1 AND min(p) < max(p) AND min(rate) < max(rate) THEN corr(p, rate) END AS r, CASE WHEN count(*) > 1 AND min(p) < max(p) AND min(rate) < max(rate) THEN corr(rp, rr) END AS rho,
+sum(ll) AS ll, sum(ll) / sum(total) AS mean_ll, sum(ll_baseline) AS baseline_ll, sum(ll_baseline) / sum(total) AS baseline_mean_ll, (sum(ll) - sum(ll_baseline)) / sum(total) AS delta_mean_ll FROM ranked GROUP BY ALL""")
 def g7(spark, d):
-    x = predictions(spark, d).withColumns({"ll": S.binom_ll(C("p"), C("yes"), C("total")), "rate": C("yes") / C("total")})
-    both = x.withColumn("family", F.explode(F.array(F.lit("ALL"), "family")))
-    return both.groupBy("family").agg(F.count("*").alias("items"), F.sum("total").alias("responses"), S.pearson(C("p"), C("rate")).alias("r"), F.sum("ll").alias("ll"), (F.sum("ll") / F.sum("total")).alias("mean_ll"))
+    return G.heldout_summary(predictions(spark, d))
 
 
-@query("g9_group_folds", _OBS + ' SELECT family, "group", item, fold FROM folds')
+@query("g9_group_folds", _OBS + f" SELECT {_KEY}, item, fold FROM folds")
 def g9(spark, d):
-    return folded(spark, d).select("family", "group", "item", "fold")
+    return folded(spark, d).select(*G.KEY, "item", "fold")
 
 
-@query("g10_item_score", _OBS + f", x AS (SELECT family, yes / total AS rate, greatest(1e-10, least(1 - 1e-10, {_p('-3', '1.5')['set']})) AS p FROM obs) SELECT family, avg(rate * ln(p) + (1 - rate) * ln(1 - p)) AS score FROM x GROUP BY family")
+@query("g10_item_score", _OBS + f", x AS (SELECT family, rate, greatest(1e-10, least(1 - 1e-10, {_p('-3', '1.5')['set']})) AS p FROM obs) SELECT family, avg(rate * ln(p) + (1 - rate) * ln(1 - p)) AS score FROM x GROUP BY family")
 def g10(spark, d):
     p = S.p_set(C("lq"), F.lit(-3.0), F.lit(1.5))
-    return observations(spark, d).groupBy("family").agg(F.avg(G.item_score(C("yes") / C("total"), p)).alias("score"))
+    return observations(spark, d).groupBy("family").agg(F.avg(G.item_score(C("rate"), p)).alias("score"))
 
 
-def _box_rounds(rows, rounds=3, points=17, low=-12.0, high=0.0, s_low=0.1, s_high=20.0):
-    """SQL of a two-parameter fit of each fold by the other folds of `rows`, each round two cells around the fold's own best."""
-    n, out = points - 1, f"x0 AS (SELECT DISTINCT fold, {low}::DOUBLE AS t0, {high}::DOUBLE AS t1, ln({s_low}) AS l0, ln({s_high}) AS l1 FROM {rows})"
-    for r in range(rounds):
-        out += f""", y{r} AS (SELECT x.fold, i, t0 + (i // {points}) * ((t1 - t0) / {n}) AS theta, l0 + (i % {points}) * ((l1 - l0) / {n}) AS ls, lq, lt, yes, total FROM {rows} o JOIN x{r} x ON o.fold <> x.fold, (SELECT unnest(generate_series(0, {points * points - 1})) AS i)),
-z{r} AS (SELECT fold, i, theta, ls, sum({_ll(_p("theta", "exp(ls)")["set"])}) AS ll FROM y{r} GROUP BY ALL), v{r} AS (SELECT fold, max_by(theta, (ll, -i)) AS theta, max_by(ls, (ll, -i)) AS ls, max(ll) AS ll FROM z{r} GROUP BY fold),
-x{r + 1} AS (SELECT v.fold, greatest({low}, theta - 2 * (t1 - t0) / {n}) AS t0, least({high}, theta + 2 * (t1 - t0) / {n}) AS t1, greatest(ln({s_low}), ls - 2 * (l1 - l0) / {n}) AS l0, least(ln({s_high}), ls + 2 * (l1 - l0) / {n}) AS l1 FROM v{r} v JOIN x{r} USING (fold))"""
-    return out + f""", fitted AS (SELECT fold, theta, exp(ls) AS scale, ll, (abs(theta - {low}) < 1e-9 OR abs(theta - {high}) < 1e-9)::INT AS theta_at_bound, (abs(ls - ln({s_low})) < 1e-9 OR abs(ls - ln({s_high})) < 1e-9)::INT AS scale_at_bound FROM v{rounds - 1})"""
+@query("g11_fit_threshold_scale", _OBS + ", " + _box_sql("obs") + " SELECT * FROM fitted")
+def g11(spark, d):
+    rows = observations(spark, d)
+    ends = rows.agg((F.min("lq") - 10).alias("low"), (F.max("lq") + 10).alias("high"))
+    return _flags(G.fit_threshold_scale(rows, ends.select("low").scalar(), ends.select("high").scalar()))
 
 
-def _flags(df):
-    return df.withColumns({c: C(c).cast("int") for c in ("theta_at_bound", "scale_at_bound")})
+_CV = f"""{_OBS}, {_box_sql("folds", "fold")},
+means AS (SELECT family, dataset, fold, (sum(sum(rate)) OVER w - sum(rate)) / (sum(count(*)) OVER w - count(*)) AS intercept FROM folds GROUP BY family, dataset, fold WINDOW w AS (PARTITION BY family, dataset)),
+pred AS MATERIALIZED (SELECT o.*, theta, scale, intercept, {_four("theta", "scale")} FROM folds o JOIN fitted USING (fold) JOIN means USING (family, dataset, fold))"""
 
 
-@query("g11_fit_threshold_scale", _OBS + ", twice AS (SELECT obs.*, fold FROM obs, (SELECT unnest([0, 1]) AS fold)), " + _box_rounds("twice") + " SELECT theta, scale, ll, theta_at_bound, scale_at_bound FROM fitted WHERE fold = 0")
-def g11(spark, d):
-    """All rows train: each of two folds holds all of them."""
-    twice = observations(spark, d).withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1))))
-    return _flags(G.fit_threshold_scale(twice, -12.0, 0.0)).where("fold = 0").drop("fold")
+@query("g12_fold_parameters", _CV + f""", size AS (SELECT fold, count(*) AS test_rows, count(DISTINCT ({_KEY})) AS test_groups FROM folds GROUP BY fold)
+SELECT fitted.*, (SELECT count(*) FROM folds) - test_rows AS train_rows, test_rows, (SELECT count(DISTINCT ({_KEY})) FROM folds) - test_groups AS train_groups, test_groups FROM fitted JOIN size USING (fold)""")
+def g12(spark, d):
+    return _flags(G.cv_predictions(folded(spark, d))[1])
 
 
-@query("g12_fold_parameters", _OBS + ", " + _box_rounds("folds") + " SELECT * FROM fitted JOIN (SELECT fold, ((SELECT sum(yes) FROM folds) - sum(yes)) / ((SELECT sum(total) FROM folds) - sum(total)) AS intercept FROM folds GROUP BY fold) USING (fold)")
-def g12(spark, d):
-    return _flags(G.fit_threshold_scale(folded(spark, d), -12.0, 0.0)).join(G.fold_intercepts(folded(spark, d)), "fold")
+@study.once("cv")
+def cv(spark, d):
+    return G.cv_predictions(folded(spark, d))[0]
 
 
-@query("g13_correlation_table", _CV + " SELECT family, corr(lq, yes / total) AS r_query, corr(p, yes / total) AS r_set FROM pred GROUP BY family")
-def g13(spark, d):
-    rate = C("yes") / C("total")
-    return predictions(spark, d).groupBy("family").agg(S.pearson(C("lq"), rate, 3).alias("r_query"), S.pearson(C("p"), rate, 3).alias("r_set"))
+@query("g12_fold_predictions", _CV + f" SELECT {_KEY}, item, fold, theta, scale, intercept, {', '.join(_P)} FROM pred")
+def g12_predictions(spark, d):
+    return cv(spark, d).select(*G.KEY, "item", "fold", "theta", "scale", "intercept", *_P)
+
+
+#: Fixed order of the tables' rows.
+_ROWS = [f"{lang}-{kind}" for lang in ("de", "en", "es", "fr") for kind in ("odd", "even")]
 
 
-_SCORES = _CV + f", long AS (SELECT family, 'set' AS model, {_ll('p')} AS ll, total FROM pred UNION ALL SELECT family, 'half', {_ll('0.5')}, total FROM pred)"
+def _r(c):
+    return f"CASE WHEN count({c}) > 2 AND min({c}) < max({c}) AND min(rate) < max(rate) THEN corr({c}, rate) END"
+
+
+_TABLE = f"""{_CV}, named AS (SELECT family || '-' || dataset AS analysis_id, * FROM pred), correlations AS (SELECT analysis_id, count(*) AS n, CASE WHEN count(DISTINCT status) = 1 THEN min(status) END AS status,
+CASE WHEN count(x) = count(*) THEN {_r('x')} END AS r_x_but_not_y, {_r('lq')} AS r_no_frame, {', '.join(f"{_r('p_' + k)} AS r_{k}" for k in G.STRUCTURES)}, list_position([{', '.join(f"'{x}'" for x in _ROWS)}], analysis_id)::BIGINT AS position FROM named GROUP BY analysis_id)"""
+
+
+@query("g13_correlation_table", _TABLE + " SELECT * FROM correlations")
+def g13(spark, d):
+    return G.correlation_table(cv(spark, d), _ROWS)
 
 
-def _score_long(spark, d):
-    rows = F.array(F.struct(F.lit("set").alias("model"), C("p")), F.struct(F.lit("half").alias("model"), F.lit(0.5).alias("p")))
-    x = predictions(spark, d).select("family", "yes", "total", F.explode(rows).alias("m"))
-    return x.select("family", "m.model", S.binom_ll(C("m.p"), C("yes"), C("total")).alias("ll"), "total")
+_SCORES = f"""{_TABLE}, long AS ({" UNION ALL ".join(f"SELECT analysis_id, status, rate, yes, total, intercept AS base, '{k}' AS model, {c} AS p FROM named" for k, c in (("intercept", "intercept"), *((k, f"p_{k}") for k in G.STRUCTURES)))}),
+score_table AS (SELECT *, response_ll / responses AS response_score FROM (SELECT analysis_id, model, count(*) AS n, avg({_item("p")}) AS item_score, avg({_item("p")}) - avg({_item("base")}) AS delta_item_score,
+CASE WHEN bool_and(status = 'exact') THEN sum({_ll("p")}) END AS response_ll, CASE WHEN bool_and(status = 'exact') THEN sum(total)::BIGINT END AS responses FROM long GROUP BY ALL))"""
 
 
-@query("g14_score_table", _SCORES + " SELECT family, model, count(*) AS n, sum(ll) / sum(total) AS score FROM long GROUP BY ALL")
+@query("g14_score_table", _SCORES + " SELECT * FROM score_table")
 def g14(spark, d):
-    return _score_long(spark, d).groupBy("family", "model").agg(F.count("*").alias("n"), (F.sum("ll") / F.sum("total")).alias("score"))
+    return G.score_table(cv(spark, d))
 
 
-@query("g15_widen_scores", _SCORES + " SELECT family, sum(ll) FILTER (WHERE model = 'set') / sum(total) FILTER (WHERE model = 'set') AS score_set, sum(ll) FILTER (WHERE model = 'half') / sum(total) FILTER (WHERE model = 'half') AS score_half FROM long GROUP BY family")
+@query("g15_widen_scores", _SCORES + f""" SELECT correlations.*, {", ".join(f"max(t.{c}) FILTER (WHERE model = '{k}') AS {k}_{c}" for k in G.STRUCTURES for c in ("item_score", "response_score"))}
+FROM correlations JOIN score_table t USING (analysis_id) GROUP BY ALL""")
 def g15(spark, d):
-    wide = g14(spark, d).groupBy("family").pivot("model", ["set", "half"]).agg(F.first("score"))
-    return wide.select("family", C("set").alias("score_set"), C("half").alias("score_half"))
+    return G.widen_scores(g13(spark, d), g14(spark, d))
 
 
 @query("g16_single_value", "SELECT lang, count(DISTINCT source) AS n_values, CASE WHEN count(DISTINCT source) = 1 THEN min(source) END AS value FROM documents GROUP BY lang")

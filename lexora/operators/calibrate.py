@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +36,11 @@ def item_score(rate: Column, p: Column) -> Column:
     return rate * F.log(q) + (1 - rate) * F.log1p(-q)
 
 
-def vector_sums(df: DataFrame, keys: Sequence[str], vector: str, size: int, *more: Column) -> DataFrame:
-    """By keys: sums, an array of `size` numbers added element by element, and further aggregates. Spark adds them up in each task before rows move."""
-    names = [f"_v{i}" for i in range(size)]
-    out = df.groupBy(*keys).agg(*[F.sum(F.get(vector, F.lit(i))).alias(n) for i, n in enumerate(names)], *more)
-    return out.select(*[c for c in out.columns if c not in names], F.array(*names).alias("sums"))
+def vector_sums(df: DataFrame, keys: Sequence[str], vector: str, *more: Column) -> DataFrame:
+    """By keys: sums, an array added element by element, and further aggregates. Spark adds arrays up in each task before rows move."""
+    rows = df.withColumn("_vector", array_to_vector(vector))
+    out = rows.groupBy(*keys).agg(Summarizer.sum(C("_vector")).alias("_sum"), *more)
+    return out.withColumn("sums", vector_to_array("_sum")).drop("_sum")
 
 
 def _at(box: Column, i: Column, shape: tuple[int, int]) -> tuple[Column, Column]:
@@ -76,15 +78,15 @@ def fit(df: DataFrame, score: Callable[[Column, Column], Column], weight: Column
 
     for r in range(rounds):
         every = boxes.select("box").distinct().agg(F.collect_list("box")).scalar()
-        total = saved(vector_sums(vectors(df.withColumn("box", F.explode(every))), ["box", *family], "v", size, F.sum("w").alias("n")), "totals")
+        total = saved(vector_sums(vectors(df.withColumn("box", F.explode(every))), ["box", *family], "v", F.sum("w").alias("n")), "totals")
         means = total.select("box", F.transform("sums", lambda x: x / C("n")).alias("v"))
-        means = vector_sums(means, ["box"], "v", size, F.count("*").alias("families")).withColumnRenamed("sums", "means")
+        means = vector_sums(means, ["box"], "v", F.count("*").alias("families")).withColumnRenamed("sums", "means")
         if folds:
-            own = vector_sums(vectors(df.join(boxes.select(*folds, "box"), [*folds])), list(dict.fromkeys([*folds, "box", *family])), "v", size, F.sum("w").alias("n"))
+            own = vector_sums(vectors(df.join(boxes.select(*folds, "box"), [*folds])), list(dict.fromkeys([*folds, "box", *family])), "v", F.sum("w").alias("n"))
             both = own.join(total.select("box", *family, C("sums").alias("all"), C("n").alias("all_n")), ["box", *family])
             left = C("all_n") - C("n")
             change = F.zip_with("sums", "all", lambda o, a: F.when(left > 0, (a - o) / F.when(left > 0, left)).otherwise(0.0) - a / C("all_n"))
-            own = vector_sums(both.select(*folds, "box", change.alias("v"), F.when(left > 0, 0).otherwise(1).alias("gone")), [*folds, "box"], "v", size, F.sum("gone").alias("gone"))
+            own = vector_sums(both.select(*folds, "box", change.alias("v"), F.when(left > 0, 0).otherwise(1).alias("gone")), [*folds, "box"], "v", F.sum("gone").alias("gone"))
             none = F.raise_error(F.lit("a fold leaves no rows to train on")).cast("double")
             count = F.when(C("families") > C("gone"), C("families") - C("gone")).otherwise(none)
             scored = own.join(means, "box").select(*folds, "box", F.zip_with("means", "sums", lambda m, c: (m + c) / count).alias("o"))

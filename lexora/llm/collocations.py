@@ -43,8 +43,10 @@ FRONTIER = 2
 #: Bits of one table of prefixes: 2 MB each, three at a time.
 BITS = 1 << 24
 #: Bytes of text whose phrases a task counts at once, and counts that it holds before it hands them on.
-CHUNK = 5 << 20
+CHUNK = 3 << 20
 ENTRIES = 1_000_000
+#: Rows of a batch whose texts are copied at once.
+ROWS = 2_000
 
 #: A-Z lower-cased, every break a new line, every space a blank.
 _PLAIN = bytes.maketrans(BREAKS + SPACES + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * len(BREAKS) + b" " * len(SPACES) + b"abcdefghijklmnopqrstuvwxyz")
@@ -84,7 +86,7 @@ def seed_of(lang: str) -> np.uint64:
 
 def blocks(batches):
     """(lang, Block) of all texts. A text longer than a chunk is cut between words; a block then starts with the words whose phrases the one before could not complete."""
-    for batch in batches:
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
         texts: dict[str, list[bytes]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
             texts.setdefault(lang, []).append(as_bytes(text.as_py()))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexora.sources.files import saved
+
 FLOOR = 1e-10
 
 
@@ -20,15 +22,22 @@ def pearson(x: Column, y: Column, min_n: int = 2) -> Column:
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """df with ranks within keys, ties averaged.
 
-    Values are counted first, and ranks given to distinct values: a group's window holds its distinct values alone.
+    Values are counted first, so a run of ties is one row wherever its rows are. The distinct values are then sorted by
+    ranges: a rank is the rows of ranges before, plus those before it in its own range. No task holds a group's values.
+    The ranges are saved with their places, as a second run of the same plan may cut others.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_ties"))
-    before = Window.partitionBy(*keys).orderBy(F.col(value)).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.select(*keys, F.col(value).alias("_value"), (F.coalesce(F.sum("_ties").over(before), F.lit(0)) + (F.col("_ties") + 1) / 2).alias(name), *[F.col(k).alias(f"_{k}") for k in keys]).drop(*keys)
-    on = df[value].eqNullSafe(ranked["_value"])
-    for k in keys:
-        on = on & df[k].eqNullSafe(ranked[f"_{k}"])
-    return df.join(ranked, on).drop("_value", *[f"_{k}" for k in keys])
+    order = [*keys, value]
+    ranged = saved(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()), "ranks")
+    before = F.sum("_ties").over(Window.partitionBy("_range", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = ranged.groupBy("_range", *keys).agg(F.sum("_ties").alias("_size"))
+    offset = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("_range").alias("_r"), F.coalesce(offset, F.lit(0)).alias("_offset"), *[F.col(k).alias(f"_{k}") for k in keys])
+    same = lambda a, b: [a[k].eqNullSafe(b[f"_{k}"]) for k in keys]
+    placed = ranged.withColumn("_before", F.coalesce(before, F.lit(0)))
+    placed = placed.join(sizes, [placed["_range"] == sizes["_r"], *same(placed, sizes)])
+    ranked = placed.select(F.col(value).alias("_value"), (F.col("_offset") + F.col("_before") + (F.col("_ties") + 1) / 2).alias(name), *[ranged[k].alias(f"_{k}") for k in keys])
+    return df.join(ranked, [df[value].eqNullSafe(ranked["_value"]), *same(df, ranked)]).drop("_value", *[f"_{k}" for k in keys])
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, *, min_n: int = 2, more: list[Column] = ()) -> DataFrame:

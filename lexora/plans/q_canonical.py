@@ -109,7 +109,8 @@ def j8(spark, d):
     return J.provenance(scores(spark, d, "no_frame"), ["model_name", "model_revision", "context"])
 
 
-@query("j9_study_focus", _SCORED + " SELECT context || '::' || trigger || '::' || query AS item_id, human_yes, human_total, q.logprob AS query_logprob_sum, t.logprob AS trigger_logprob_sum, q.logprob - 1 AS x_but_not_y_logprob_sum FROM obs o JOIN scores q USING (context) JOIN scores t USING (context) WHERE q.token = query AND t.token = trigger")
+@query("j9_study_focus", _SCORED + """, asked AS MATERIALIZED (SELECT context, trigger AS token FROM pairs UNION SELECT context, query FROM pairs), few AS MATERIALIZED (SELECT s.context, s.token, s.logprob FROM scores s SEMI JOIN asked USING (context, token))
+SELECT o.context || '::' || trigger || '::' || query AS item_id, human_yes, human_total, q.logprob AS query_logprob_sum, t.logprob AS trigger_logprob_sum, q.logprob - 1 AS x_but_not_y_logprob_sum FROM obs o JOIN few q ON q.context = o.context AND q.token = query JOIN few t ON t.context = o.context AND t.token = trigger""")
 def j9(spark, d):
     return focus(spark, d).select("item_id", "human_yes", "human_total", "query_logprob_sum", "trigger_logprob_sum", "x_but_not_y_logprob_sum")
 

@@ -90,11 +90,77 @@ def test_threshold_is_recovered(spark):
     rows = [(i % 8, -8 + 0.5 * i, -6 + 0.3 * i) for i in range(16)]
     df = spark.createDataFrame(rows, "fold int, lq double, lt double").withColumn("total", F.lit(10_000))
     df = df.withColumn("yes", F.round(stats.p_set(F.col("lq"), F.lit(-3.0), F.lit(1.0)) * 10_000).cast("long"))
-    theta, _, at_bound = calibrate.fit_threshold(df, "set", 1.0, -18.0, 9.5)
-    assert abs(theta + 3) < 0.01 and not at_bound
-    assert calibrate.fit_threshold(df, "set", 1.0, 0.0, 9.5)[2]
-    cv = calibrate.logo_cv(df, "set", 1.0, -6.0, 0.0, points=121)
-    assert cv.count() == 16 and cv.where("abs(theta + 3) > 0.051").count() == 0
+    df = df.withColumns({"family": F.lit("f"), "dataset": F.lit("d"), "group": F.col("fold"), "rate": F.col("yes") / F.col("total")})
+    fitted = lambda low, high: calibrate.fit_threshold(df, "set", 1.0, F.lit(low), F.lit(high)).first()
+    assert abs(fitted(-18.0, 9.5)["theta"] + 3) < 0.01 and not fitted(-18.0, 9.5)["at_bound"]
+    assert fitted(0.0, 9.5)["at_bound"] and fitted(-18.0, -3.0 - 1e-4)["at_bound"]
+    cv = calibrate.logo_cv(df, "set", 1.0)
+    assert cv.count() == 16 and cv.where("abs(theta + 3) > 0.01").count() == 0
+    with pytest.raises(ValueError):
+        calibrate.fit_threshold(df, "ordering", 1.0, F.lit(-6.0), F.lit(0.0))
+
+
+def likelihood(rows, theta):
+    """Mean over families of summed log-likelihoods by responses, in plain Python. rows: (family, dataset, group, lq, lt, yes, total)."""
+    by = {}
+    for family, _, _, lq, _, yes, total in rows:
+        p = min(1 - 1e-10, max(1e-10, -math.expm1(-math.exp(lq - theta))))
+        ll, n = by.get(family, (0.0, 0))
+        by[family] = ll + yes * math.log(p) + (total - yes) * math.log1p(-p), n + total
+    return sum(ll / n for ll, n in by.values()) / len(by)
+
+
+def study_rows():
+    """Two families and two datasets with groups of the same names; one family has a single group."""
+    rows = []
+    for i in range(24):
+        family, dataset, group = ("a", "ab"[i % 2], f"g{i % 3}") if i < 18 else ("b", "a", "g0")
+        rows.append((family, dataset, group, -6 + 0.3 * i, -4.0, (i * 37) % 90 + 5, 100 + i))
+    return rows
+
+
+def test_one_fold_a_group_of_its_family_and_dataset(spark):
+    rows = study_rows()
+    df = spark.createDataFrame(rows, "family string, dataset string, group string, lq double, lt double, yes long, total long").withColumn("rate", F.col("yes") / F.col("total"))
+    got = {(r["family"], r["dataset"], r["group"]): (r["theta"], r["baseline"]) for r in calibrate.logo_cv(df, "set", 1.0).collect()}
+    assert len(got) == len({r[:3] for r in rows}) == 7
+    low, high = min(min(r[3:5]) for r in rows) - 10, max(max(r[3:5]) for r in rows) + 10
+    for key, (theta, baseline) in got.items():
+        train = [r for r in rows if r[:3] != key]
+        assert baseline == pytest.approx(sum(r[5] for r in train) / sum(r[6] for r in train))
+        best = max(likelihood(train, low + i * (high - low) / 4000) for i in range(4001))
+        assert likelihood(train, theta) >= best - 1e-7
+
+
+def test_leave_one_group_out_needs_two_groups(spark):
+    df = spark.createDataFrame([("a", "d", "g", -1.0, -2.0, 1, 2), ("a", "d", "g", -2.0, -1.0, 1, 2)], "family string, dataset string, group string, lq double, lt double, yes long, total long").withColumn("rate", F.lit(0.5))
+    with pytest.raises(PySparkException, match="no rows to train on"):
+        calibrate.logo_cv(df, "set", 1.0).collect()
+
+
+def test_tables_reject_unknown_rows_and_mixed_statuses(spark):
+    names = [f"p_{k}" for k in calibrate.STRUCTURES]
+    df = spark.createDataFrame([("a", "d", "exact"), ("a", "d", "rate_only")], "family string, dataset string, status string").withColumns({c: F.rand(1) for c in [*names, "rate", "lq", "x"]})
+    with pytest.raises(PySparkException, match="count status"):
+        calibrate.correlation_table(df, ["a-d"]).collect()
+    with pytest.raises(PySparkException, match="unknown table row"):
+        calibrate.correlation_table(df.where("status = 'exact'"), ["b-d"]).collect()
+
+
+def test_response_scores_need_exact_counts_in_every_row(spark):
+    df = spark.createDataFrame([("a", "d", "exact"), ("a", "d", "rate_only"), ("a", "e", "exact")], "family string, dataset string, status string")
+    df = df.withColumns({f"p_{k}": F.lit(0.5) for k in calibrate.STRUCTURES} | {"intercept": F.lit(0.25), "rate": F.lit(0.5), "yes": F.lit(1), "total": F.lit(2)})
+    got = {(r["analysis_id"], r["model"]): r for r in calibrate.score_table(df).collect()}
+    assert len(got) == 10 and got["a-d", "set"]["response_ll"] is None and got["a-e", "set"]["response_score"] == pytest.approx(math.log(0.5))
+    assert got["a-d", "set"]["delta_item_score"] == pytest.approx(math.log(0.5) - 0.5 * math.log(0.25 * 0.75)) and got["a-d", "intercept"]["delta_item_score"] == 0
+
+
+def test_a_run_of_ties_over_several_ranges_has_one_rank(spark):
+    rows = [("a", float(v)) for v in [*range(50), *[50] * 4_000, *range(51, 101)]] + [("b", 1.0), (None, 2.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {(r["k"], r["v"]): r["r"] for r in stats.average_rank(df, ["k"], "v", "r").distinct().collect()}
+    assert got["a", 0.0] == 1 and got["a", 50.0] == 50 + 4_001 / 2 and got["a", 51.0] == 4_051 and got["a", 100.0] == 4_100 and got["b", 1.0] == 1 and got[None, 2.0] == 1.5
+    assert len(got) == 103
 
 
 def test_correlation_guards(spark):
@@ -180,20 +246,20 @@ def test_invalid_counts_are_an_error(spark, yes, total, p):
 
 
 def test_group_folds_guards(spark):
-    df = spark.createDataFrame([("a", "g1"), ("a", "g2"), ("b", "g0"), ("b", "g1")], "family string, group string")
+    df = spark.createDataFrame([("a", "d", "g1"), ("a", "d", "g2"), ("b", "d", "g0"), ("b", "d", "g1"), ("b", "e", "g1"), ("b", "e", "g9")], "family string, dataset string, group string")
     with pytest.raises(PySparkException, match="fewer groups"):
         calibrate.group_folds(df, 3).collect()
-    with pytest.raises(PySparkException, match="two folds for the group g1"):
-        calibrate.group_folds(df, 2).collect()
+    folds = {tuple(r)[:3]: r["fold"] for r in calibrate.group_folds(df, 2).collect()}  # one name in three datasets is three groups
+    assert folds["a", "d", "g1"] == 0 and folds["b", "d", "g1"] == 1 and folds["b", "e", "g1"] == 0 and len(folds) == 6
     with pytest.raises(ValueError, match="two folds"):
         calibrate.group_folds(df, 1)
 
 
 def test_held_out_rows_do_not_steer_a_fold(spark):
-    rows = [(f, -8 + 0.5 * i, -6 + 0.3 * i, 100, y) for f in (0, 1) for i, y in enumerate([5, 10, 20, 40, 60, 80, 90, 95] if f else [95, 5, 80, 20, 60, 40, 90, 10])]
-    df = spark.createDataFrame(rows, "fold int, lq double, lt double, total int, yes int")
-    changed = df.withColumn("yes", F.when(F.col("fold") == 0, 100 - F.col("yes")).otherwise(F.col("yes")))
-    a, b = ({r.fold: (r.theta, r.scale) for r in calibrate.fit_threshold_scale(x, -12.0, 0.0).collect()} for x in (df, changed))
+    rows = [("a", "d", f, -8 + 0.5 * i, -6 + 0.3 * i, y / 100) for f in (0, 1) for i, y in enumerate([5, 10, 20, 40, 60, 80, 90, 95] if f else [95, 5, 80, 20, 60, 40, 90, 10])]
+    df = spark.createDataFrame(rows, "family string, dataset string, fold int, lq double, lt double, rate double")
+    changed = df.withColumn("rate", F.when(F.col("fold") == 0, 1 - F.col("rate")).otherwise(F.col("rate")))
+    a, b = ({r.fold: (r.theta, r.scale) for r in calibrate.fit_threshold_scale(x, F.lit(-12.0), F.lit(0.0), folds=["fold"]).collect()} for x in (df, changed))
     assert a[0] == b[0] and a[1] != b[1]
 
 

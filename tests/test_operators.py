@@ -329,3 +329,34 @@ def test_candidates_are_scored_in_bounded_groups(spark):
     out = canonical.score_candidates(m, lambda prompt, cs: [[-float(len(cs))] for _ in cs], block=10)
     got = out.select(F.max(-F.col("query_logprob_sum")).alias("most"), F.count("*").alias("n")).first()
     assert got.n == 90 and got.most < 40
+
+
+def test_neighbours_equal_brute_force_and_skip_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 16)) * 4
+    x = np.concatenate([centres[i % 12] + r.normal(size=16) * 0.2 for i in range(600)]).reshape(600, 16)
+    x[7] = x[8] = x[9]  # equal cosines go by id
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, [0.0] * 16), (901, None), (902, [1.0] * 3), (903, [float("nan")] * 16), (904, [None] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    targets = df.where("vec_id % 50 = 9 or vec_id >= 900").select(F.col("vec_id").alias("target"), F.col("embedding").alias("_t"))
+    got = sorted((q["target"], -round(q["cosine"], 9), q["vec_id"]) for q in similarity.nearest(df, targets, 4, pivots=8, sample=200).collect())
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = []
+    for t in range(9, 600, 50):
+        cosine = np.round(unit @ unit[t], 9)
+        want += sorted((t, -c, i) for i, c in enumerate(cosine.tolist()) if i != t)[:4]
+    assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in sorted(want)]
+    points = similarity.pivots_of(df, 16, 8, 200)
+    own = similarity.distance(unit @ points.T)
+    block = own.argmin(axis=1) * similarity.RINGS + np.minimum((own.min(axis=1) * similarity.RINGS / 2).astype(int), similarity.RINGS - 1)
+    asked = np.arange(9, 600, 50)
+    least = np.array([-sorted(c for a, c, _ in want if a == t)[-1] for t in asked])
+    compared = sum(len(similarity.wanted(own[asked], int(b), least)) * int((block == b).sum()) for b in np.unique(block))
+    assert compared < 0.1 * len(asked) * 600
+
+
+def test_neighbours_of_no_targets(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert similarity.nearest(df, df.where("false").select(F.col("vec_id").alias("target"), F.col("embedding").alias("_t")), 3).count() == 0

@@ -84,7 +84,7 @@ def half_vs_source(responses: DataFrame, source: DataFrame, seed: str = "half")
     """(half, context, n, rho): each half's shares over the source's words, 0 where absent."""
     h = halves(responses.select("context", "participant", "word").distinct(), ["context"], "participant", seed)
     size = h.groupBy("context", "half").agg(F.countDistinct("participant").alias("people"))
-    share = h.groupBy("context", "half", "word").agg(F.count("*").alias("n")).join(F.broadcast(size), ["context", "half"]).select("context", "half", "word", (C("n") / C("people")).alias("p"))
+    share = h.groupBy("context", "half", "word").agg(F.count("*").alias("n")).join(size, ["context", "half"]).select("context", "half", "word", (C("n") / C("people")).alias("p"))
     words = source.groupBy("context", C("token").alias("word")).agg(F.max("weight").alias("weight")).withColumn("half", F.explode(F.array(F.lit(1), F.lit(2))))
     return spearman(words.join(share, ["context", "half", "word"], "left").fillna(0.0, ["p"]), ["half", "context"], "p", "weight")
 

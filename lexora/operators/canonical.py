@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexora.functions.text import fingerprint
+
 C = F.col
 VERSION = "1.1"
 
@@ -139,7 +142,7 @@ def recovered(cells: DataFrame, excluded: DataFrame) -> DataFrame:
     """Published rates with totals to counts: exact where round(rate * total) gives the rate again (1e-10), else rate only; with a three-way inclusion label."""
     yes = F.round(C("rate") * C("total"))
     exact = C("total").isNotNull() & (F.abs(yes / F.when(C("total") > 0, C("total")) - C("rate")) <= 1e-10)
-    out = cells.join(F.broadcast(excluded.select("trigger", F.lit(True).alias("_x"))), "trigger", "left")
+    out = cells.join(excluded.select("trigger", F.lit(True).alias("_x")), "trigger", "left")
     label = F.when(C("_x"), "excluded").when(exact, "included").otherwise("included_rate_only")
     return out.select("context", "trigger", "query", F.when(exact, yes.cast("long")).alias("human_yes"), F.when(exact, C("total")).alias("human_total"), C("rate").alias("human_rate"), F.when(exact, "exact").otherwise("rate_only").alias("human_count_status"), label.alias("analysis_inclusion_status"))
 
@@ -168,7 +171,7 @@ def analysis_units(df: DataFrame) -> DataFrame:
 
 def build_manifest(pairs: DataFrame, prompts: DataFrame, family: str) -> DataFrame:
     """Two frames of each pair (context, trigger, query): the bare prompt with both candidates, and "<trigger> but not" with the query alone."""
-    both = pairs.join(F.broadcast(prompts), "context")
+    both = pairs.join(prompts, "context")
     frames = F.array(F.struct(F.lit("no_frame").alias("generation_frame"), F.concat(F.rtrim("prompt"), F.lit(" ")).alias("generation_prompt"), F.lit(True).alias("score_trigger")), F.struct(F.lit("x_but_not_y").alias("generation_frame"), F.concat(F.rtrim("prompt"), F.lit(" "), "trigger", F.lit(" but not ")).alias("generation_prompt"), F.lit(False).alias("score_trigger")))
     out = both.select("context", "trigger", "query", F.explode(frames).alias("f")).select("context", "trigger", "query", "f.*")
     item = F.concat_ws("::", "context", "trigger", "query")
@@ -195,19 +198,60 @@ def scoring_pairs(manifest: DataFrame) -> DataFrame:
     return manifest.select("generation_prompt", F.explode(roles).alias("candidate")).where("candidate is not null").distinct()
 
 
-def pending(manifest: DataFrame, done: DataFrame, version: str) -> DataFrame:
-    """Manifest rows not scored yet; an error if scores are of another version, repeated, or of unknown rows."""
-    known = done.join(manifest.select("source_row_id"), "source_row_id", "left_semi")
-    f = done.agg(F.count("*").alias("n"), F.countDistinct("source_row_id").alias("d"), F.sum((C("manifest_version") != version).cast("int")).alias("other")).first()
-    if f["n"] != f["d"] or f["other"] or known.count() != f["n"]:
-        raise ValueError(f"scores don't belong to this manifest: {f.asDict()}")
+def pending(manifest: DataFrame, done: DataFrame, version: str, settings: str) -> DataFrame:
+    """Manifest rows not scored yet. done holds source_row_id, manifest_version, manifest_sha256 and settings of each scored row.
+
+    An error if scores are of another version, of a manifest with another fingerprint, of other settings, repeated, or
+    of unknown rows; one job checks all of it.
+    """
+    sha = fingerprint(manifest).select("sha256").scalar()
+    known = manifest.select("source_row_id", F.lit(True).alias("_known"))
+    n = lambda wrong: F.coalesce(F.sum(wrong.cast("int")), F.lit(0))
+    f = done.join(known, "source_row_id", "left").withColumn("_sha", sha).agg(
+        (F.count("*") - F.countDistinct("source_row_id")).alias("repeated"),
+        n(~C("manifest_version").eqNullSafe(version)).alias("other_version"),
+        n(~C("manifest_sha256").eqNullSafe(C("_sha"))).alias("other_manifest"),
+        n(~C("settings").eqNullSafe(settings)).alias("other_settings"),
+        n(C("_known").isNull()).alias("unknown"),
+    ).first().asDict()
+    if any(f.values()):
+        raise ValueError(f"scores don't belong to this manifest: {f}")
     return manifest.join(done.select("source_row_id"), "source_row_id", "left_anti")
 
 
-def score_candidates(manifest: DataFrame, scorer: Callable[[str, list[str]], list[list[float]]], *, block: int = 256) -> DataFrame:
-    """Manifest rows with sums, means and token counts of both candidates and their difference on unframed rows.
+def resume_scoring(manifest: DataFrame, scorer: Callable, path: str, version: str, settings: str, *, parts: int = 8) -> DataFrame:
+    """All scores of the manifest from the log at path, after scoring what is pending in `parts` parts by hash of the row's id.
 
-    Each distinct prompt and candidate is scored once. `scorer(prompt, candidates)` gives token log-probabilities;
+    A part is one write: its files are staged and appear together when it is committed, with the manifest's fingerprint
+    and the settings in each row. So a run that stops loses its current part alone, and one that is repeated scores
+    nothing twice; a log of another manifest or other settings is an error before anything is scored.
+    """
+    spark = manifest.sparkSession
+
+    def log() -> DataFrame | None:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+    done = log()
+    left = manifest if done is None else pending(manifest, done, version, settings)
+    sha = fingerprint(manifest).select("sha256").scalar()
+    own = F.pmod(F.xxhash64("source_row_id"), F.lit(parts))
+    todo = {r["part"] for r in left.select(own.alias("part")).distinct().collect()}
+    for part in sorted(todo):
+        scored = score_candidates(left.where(own == part), scorer)
+        scored.withColumns({"manifest_sha256": sha, "settings": F.lit(settings)}).write.mode("append").parquet(path)
+        left = pending(manifest, log(), version, settings)
+    return log()
+
+
+def token_scores(manifest: DataFrame, scorer: Callable[[str, list[str]], list[list]], *, block: int = 256) -> DataFrame:
+    """(generation_prompt, candidate, position, token, logprob): a row for each token of each distinct prompt and candidate, scored once.
+
+    `scorer(prompt, candidates)` gives each candidate's tokens as (token, log-probability), or log-probabilities alone;
     a prompt's candidates are dealt by hash into groups of about `block`, however many it has.
     """
     pairs = scoring_pairs(manifest)
@@ -215,20 +259,33 @@ def score_candidates(manifest: DataFrame, scorer: Callable[[str, list[str]], lis
     pairs = pairs.join(sizes, "generation_prompt").withColumn("_b", F.pmod(F.xxhash64("candidate"), F.col("_groups"))).drop("_groups")
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = scorer(pdf["generation_prompt"].iloc[0], list(pdf["candidate"]))
-        return pd.DataFrame({"generation_prompt": pdf["generation_prompt"], "candidate": pdf["candidate"], "logprobs": [list(map(float, t)) for t in tokens]})
+        prompt, candidates = pdf["generation_prompt"].iloc[0], list(pdf["candidate"])
+        rows = []
+        for candidate, tokens in zip(candidates, scorer(prompt, candidates), strict=True):
+            for i, t in enumerate(tokens):
+                token, logprob = t if isinstance(t, tuple) else (None, t)
+                rows.append((prompt, candidate, i, token, float(logprob)))
+        return pd.DataFrame(rows, columns=["generation_prompt", "candidate", "position", "token", "logprob"])
+
+    return pairs.groupBy("generation_prompt", "_b").applyInPandas(score, "generation_prompt string, candidate string, position int, token string, logprob double")
+
 
-    done = pairs.groupBy("generation_prompt", "_b").applyInPandas(score, "generation_prompt string, candidate string, logprobs array<double>")
-    return joined_scores(manifest, done)
+def score_candidates(manifest: DataFrame, scorer: Callable[[str, list[str]], list[list]], *, block: int = 256) -> DataFrame:
+    """Manifest rows with token arrays, sums, means and token counts of both candidates and their difference on unframed rows."""
+    tokens = token_scores(manifest, scorer, block=block)
+    in_order = F.sort_array(F.collect_list(F.struct("position", "token", "logprob")))  # of one candidate
+    done = tokens.groupBy("generation_prompt", "candidate").agg(in_order.alias("tokens"))
+    return joined_scores(manifest, done.select("generation_prompt", "candidate", "tokens", C("tokens.logprob").alias("logprobs")))
 
 
 def joined_scores(manifest: DataFrame, done: DataFrame) -> DataFrame:
-    """Scores (generation_prompt, candidate, logprobs) joined to both roles of the manifest's rows."""
+    """Scores (generation_prompt, candidate, logprobs, and tokens if there) joined to both roles of the manifest's rows."""
     total = F.aggregate("logprobs", F.lit(0.0), lambda s, x: s + x)
-    done = done.select("generation_prompt", "candidate", total.alias("s"), F.size("logprobs").alias("n"))
-    role = lambda r: done.select("generation_prompt", C("candidate").alias(r), C("s").alias(f"{r}_logprob_sum"), (C("s") / C("n")).alias(f"{r}_logprob_mean"), C("n").alias(f"{r}_token_count"))
+    more = ["tokens"] if "tokens" in done.columns else []
+    done = done.select("generation_prompt", "candidate", total.alias("s"), F.size("logprobs").alias("n"), *more)
+    role = lambda r: done.select("generation_prompt", C("candidate").alias(r), C("s").alias(f"{r}_logprob_sum"), (C("s") / C("n")).alias(f"{r}_logprob_mean"), C("n").alias(f"{r}_token_count"), *[C(c).alias(f"{r}_{c}") for c in more])
     out = manifest.join(role("query"), ["generation_prompt", "query"], "left").join(role("trigger"), ["generation_prompt", "trigger"], "left")
-    names = [f"trigger_{x}" for x in ("logprob_sum", "logprob_mean", "token_count")]
+    names = [f"trigger_{x}" for x in ("logprob_sum", "logprob_mean", "token_count", *more)]
     out = out.withColumns({c: F.when(C("score_trigger"), C(c)) for c in names})
     return out.withColumn("difference", C("query_logprob_sum") - C("trigger_logprob_sum"))
 
@@ -236,7 +293,7 @@ def joined_scores(manifest: DataFrame, done: DataFrame) -> DataFrame:
 def invalidate(scores: DataFrame, settings: DataFrame, fields: list[str]) -> DataFrame:
     """Scores whose context's recorded settings are all equal to the current ones (context, fields)."""
     now = settings.select("context", *[C(f).alias(f"_{f}") for f in fields])
-    out = scores.join(F.broadcast(now), "context")
+    out = scores.join(now, "context")
     for f in fields:
         out = out.where(C(f).eqNullSafe(C(f"_{f}")))
     return out.select(*scores.columns)

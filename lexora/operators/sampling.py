@@ -50,7 +50,7 @@ def set_from_ordering(positions: DataFrame, size: int | Column) -> DataFrame:
 def sample_random_sets(source: DataFrame, reps: int, seed: int = 7) -> DataFrame:
     """Sets of a size that is uniform from 2 to the number of tokens, drawn for each repetition."""
     sizes = source.groupBy("context").agg(F.count("*").alias("_n"))
-    out = sample_orderings(source, reps, seed).join(F.broadcast(sizes), "context")
+    out = sample_orderings(source, reps, seed).join(sizes, "context")
     size = (F.lit(2) + F.floor(uniform(F.col("context"), F.col("rep"), seed=f"{seed}s") * (F.col("_n") - 1))).cast("int")
     return out.withColumn("size", size).where("position < size").drop("_n")
 

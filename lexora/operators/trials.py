@@ -51,7 +51,7 @@ def filter_contexts(df: DataFrame, names: list[str] | None = None, first: int |
         df = df.where(F.col("context").isin(*names))
     if first is not None:
         head = df.groupBy("context").agg(F.min(row).alias("_first")).orderBy("_first", "context").limit(first)
-        df = df.join(F.broadcast(head.select("context")), "context", "left_semi")
+        df = df.join(head.select("context"), "context", "left_semi")
     return df
 
 

@@ -12,7 +12,7 @@ def cloze_positive(responses: DataFrame) -> DataFrame:
     """(context, word, frequency, cloze_probability): answers by participants who gave any in the context."""
     people = responses.groupBy("context").agg(F.countDistinct("participant").alias("_n"))
     words = responses.groupBy("context", "word").agg(F.count("*").alias("frequency"))
-    return words.join(F.broadcast(people), "context").select("context", "word", "frequency", (F.col("frequency") / F.col("_n")).alias("cloze_probability"))
+    return words.join(people, "context").select("context", "word", "frequency", (F.col("frequency") / F.col("_n")).alias("cloze_probability"))
 
 
 def cloze_negative(frequencies: DataFrame, positive: DataFrame) -> DataFrame:

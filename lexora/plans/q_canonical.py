@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from lexora.functions import text as T
 from lexora.operators import canonical as J
 
 from . import q_models as M
@@ -149,17 +152,23 @@ def j15(spark, d):
 def j16(spark, d):
     m = manifest(spark, d)
     done = m.where("generation_frame = 'no_frame' and group_id = 'en'").select("source_row_id", "manifest_version")
-    return J.pending(m, done, "1.1").select("source_row_id")
+    done = done.withColumns({"manifest_sha256": T.fingerprint(m).select("sha256").scalar(), "settings": F.lit("sum")})
+    return J.pending(m, done, "1.1", "sum").select("source_row_id")
 
 
 @query("j17_score_candidates", _SCORED + " SELECT context || '::' || trigger || '::' || query || '|' || frame AS source_row_id, -ln(1 + length(query)) - length(generation_prompt) / 100.0 AS query_logprob_sum, CASE WHEN st THEN -ln(1 + length(trigger)) - length(generation_prompt) / 100.0 END AS trigger_logprob_sum, CASE WHEN st THEN ln(1 + length(trigger)) - ln(1 + length(query)) END AS difference FROM man")
 def j17(spark, d):
-    import math
+    return J.score_candidates(manifest(spark, d), length_scorer).select("source_row_id", "query_logprob_sum", "trigger_logprob_sum", "difference")
+
+
+def length_scorer(prompt, candidates):
+    return [[(c, -math.log(1 + len(c))), ("<end>", -len(prompt) / 100.0)] for c in candidates]
 
-    def scorer(prompt, candidates):
-        return [[-math.log(1 + len(c)), -len(prompt) / 100.0] for c in candidates]
 
-    return J.score_candidates(manifest(spark, d), scorer).select("source_row_id", "query_logprob_sum", "trigger_logprob_sum", "difference")
+@query("j17_token_scores", _SCORED + """, c AS (SELECT generation_prompt, query AS candidate FROM man UNION SELECT generation_prompt, trigger FROM man WHERE st)
+SELECT generation_prompt, candidate, 0 AS position, candidate AS token, -ln(1 + length(candidate)) AS logprob FROM c UNION ALL SELECT generation_prompt, candidate, 1, '<end>', -length(generation_prompt) / 100.0 FROM c""")
+def j17_tokens(spark, d):
+    return J.token_scores(manifest(spark, d), length_scorer)
 
 
 @query("j18_invalidate", "SELECT context, count(*) AS n FROM scores WHERE context <> 'fr' GROUP BY context")

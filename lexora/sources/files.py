@@ -106,7 +106,7 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     splits = rows.groupBy("_folder", "_file", "_start").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     before = Window.partitionBy("_folder").orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_first")).drop("_n", "_first")
-    numbered = rows.join(F.broadcast(splits), ["_folder", "_file", "_start"])
+    numbered = rows.join(splits, ["_folder", "_file", "_start"])
     return numbered.select((F.col("_m") + F.col("_base")).alias("line"), F.trim("token").alias("token"), *keys).where("token <> ''")
 
 

@@ -331,6 +331,60 @@ def test_candidates_are_scored_in_bounded_groups(spark):
     assert got.n == 90 and got.most < 40
 
 
+def small_manifest(spark, n=40):
+    rows = [(f"r{i}", "1.1", f"p{i % 3} ", f"q{i}", f"t{i}", i % 2 == 0) for i in range(n)]
+    return spark.createDataFrame(rows, "source_row_id string, manifest_version string, generation_prompt string, query string, trigger string, score_trigger boolean").withColumn("score_query", F.lit(True))
+
+
+def test_token_scores_add_up(spark):
+    m = small_manifest(spark)
+    scorer = lambda prompt, cs: [[(c[0], -1.0), (c[1:], -float(c[1:]))] for c in cs]
+    tokens = canonical.token_scores(m, scorer)
+    assert tokens.count() == 2 * (40 + 20) and {tuple(r) for r in tokens.where("candidate = 'q7'").collect()} == {("p1 ", "q7", 0, "q", -1.0), ("p1 ", "q7", 1, "7", -7.0)}
+    row = canonical.score_candidates(m, scorer).where("source_row_id = 'r6'").first()
+    assert row["query_logprob_sum"] == -7 and row["trigger_token_count"] == 2 and row["difference"] == 0 and [t["token"] for t in row["query_tokens"]] == ["q", "6"]
+    framed = canonical.score_candidates(m, scorer).where("source_row_id = 'r7'").first()
+    assert framed["trigger_logprob_sum"] is None and framed["trigger_tokens"] is None
+
+
+def test_scoring_stops_between_parts_and_resumes(spark, tmp_path):
+    m, path, seen = small_manifest(spark), str(tmp_path / "log"), spark.sparkContext.accumulator(0)
+
+    def scorer(prompt, candidates):
+        seen.add(len(candidates))
+        return [[-1.0] for _ in candidates]
+
+    parts = sorted({r[0] for r in m.select(F.pmod(F.xxhash64("source_row_id"), F.lit(4))).collect()})
+    first = m.where(F.pmod(F.xxhash64("source_row_id"), F.lit(4)) == parts[0]).count()
+    calls, real = [], canonical.score_candidates
+
+    def once(*args):
+        if calls:
+            raise RuntimeError("lost")
+        calls.append(1)
+        return real(*args)
+
+    with pytest.MonkeyPatch.context() as patch, pytest.raises(RuntimeError, match="lost"):
+        patch.setattr(canonical, "score_candidates", once)
+        canonical.resume_scoring(m, scorer, path, "1.1", "s", parts=4)
+    assert spark.read.parquet(path).count() == first
+    out = canonical.resume_scoring(m, scorer, path, "1.1", "s", parts=4)
+    assert out.count() == 40 == out.select("source_row_id").distinct().count() and seen.value == 60
+    assert canonical.resume_scoring(m, scorer, path, "1.1", "s", parts=4).count() == 40 and seen.value == 60
+    for manifest, version, settings, why in ((m, "1.1", "t", "'other_settings': 40"), (m, "1.0", "s", "'other_version': 40"), (m.withColumn("query", F.lit("x")), "1.1", "s", "'other_manifest': 40"), (small_manifest(spark, 39), "1.1", "s", "'unknown': 1")):
+        with pytest.raises(ValueError, match=why):
+            canonical.resume_scoring(manifest, scorer, path, version, settings)
+
+
+def test_repeated_scores_are_an_error(spark):
+    m = small_manifest(spark, 3)
+    sha = text.fingerprint(m).first()["sha256"]
+    done = spark.createDataFrame([("r1", "1.1", sha, "s")] * 2, "source_row_id string, manifest_version string, manifest_sha256 string, settings string")
+    with pytest.raises(ValueError, match="'repeated': 1"):
+        canonical.pending(m, done, "1.1", "s")
+    assert canonical.pending(m, done.distinct(), "1.1", "s").count() == 2
+
+
 def test_neighbours_equal_brute_force_and_skip_blocks(spark):
     import numpy as np
 

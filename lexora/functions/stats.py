@@ -19,12 +19,16 @@ def pearson(x: Column, y: Column, min_n: int = 2) -> Column:
     return F.when(varied, F.covar_pop(a, b) / F.when(varied, sx * sy))
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """df with ranks within keys, ties averaged.
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> list[Column]:
+    return [a[k].eqNullSafe(b[f"_{k}"]) for k in keys]
+
+
+def value_places(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values as (_value, _ties, _below, _<key>...): rows with the value, and rows of the group with smaller ones.
 
     Values are counted first, so a run of ties is one row wherever its rows are. The distinct values are then sorted by
-    ranges: a rank is the rows of ranges before, plus those before it in its own range. No task holds a group's values.
-    The ranges are saved with their places, as a second run of the same plan may cut others.
+    ranges: what lies below is the rows of ranges before, plus those before it in its own range. No task holds a group's
+    values. The ranges are saved with their places, as a second run of the same plan may cut others.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_ties"))
     order = [*keys, value]
@@ -33,11 +37,29 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
     sizes = ranged.groupBy("_range", *keys).agg(F.sum("_ties").alias("_size"))
     offset = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(F.col("_range").alias("_r"), F.coalesce(offset, F.lit(0)).alias("_offset"), *[F.col(k).alias(f"_{k}") for k in keys])
-    same = lambda a, b: [a[k].eqNullSafe(b[f"_{k}"]) for k in keys]
     placed = ranged.withColumn("_before", F.coalesce(before, F.lit(0)))
-    placed = placed.join(sizes, [placed["_range"] == sizes["_r"], *same(placed, sizes)])
-    ranked = placed.select(F.col(value).alias("_value"), (F.col("_offset") + F.col("_before") + (F.col("_ties") + 1) / 2).alias(name), *[ranged[k].alias(f"_{k}") for k in keys])
-    return df.join(ranked, [df[value].eqNullSafe(ranked["_value"]), *same(df, ranked)]).drop("_value", *[f"_{k}" for k in keys])
+    placed = placed.join(sizes, [placed["_range"] == sizes["_r"], *_same(placed, sizes, keys)])
+    return placed.select(F.col(value).alias("_value"), "_ties", (F.col("_offset") + F.col("_before")).alias("_below"), *[ranged[k].alias(f"_{k}") for k in keys])
+
+
+def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """df with ranks within keys, ties averaged; no task holds a group's values."""
+    places = value_places(df, keys, value)
+    ranked = places.select("_value", (F.col("_below") + (F.col("_ties") + 1) / 2).alias(name), *[f"_{k}" for k in keys])
+    return df.join(ranked, [df[value].eqNullSafe(ranked["_value"]), *_same(df, ranked, keys)]).drop("_value", *[f"_{k}" for k in keys])
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """(keys..., name): the median of the values that aren't null, by selection: a group's middle rows are those whose places, known from counts over ranges, hold its middle.
+
+    Groups without a value have no row. No task holds a group's values.
+    """
+    places = value_places(df.where(F.col(value).isNotNull()), keys, value)
+    sizes = places.groupBy(*[F.col(f"_{k}").alias(k) for k in keys]).agg(F.sum("_ties").alias("_n"))
+    low, high = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
+    holds = lambda i: (F.col("_below") <= i) & (i < F.col("_below") + F.col("_ties"))
+    middle = sizes.join(places, _same(sizes, places, keys)).where(holds(low) | holds(high))
+    return middle.groupBy(*keys).agg(((F.min("_value") + F.max("_value")) / 2).alias(name))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, *, min_n: int = 2, more: list[Column] = ()) -> DataFrame:

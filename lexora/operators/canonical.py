@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexora.functions.stats import finite
 from lexora.functions.text import fingerprint
 
 C = F.col
@@ -112,10 +113,23 @@ def select_scores(scores: DataFrame, family: str, frame: str) -> DataFrame:
     return own
 
 
-def provenance(df: DataFrame, fields: list[str]) -> DataFrame:
-    """(field, n_values, value): every field must have one non-empty value."""
-    aggs = [F.struct(F.lit(c).alias("field"), F.countDistinct(C(c)).alias("n_values"), F.min(C(c).cast("string")).alias("value")) for c in fields]
-    return df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+def provenance(df: DataFrame, fields: list[str], *, revision: str | None = None, path: str | None = None, scores: tuple[str, ...] = ()) -> DataFrame:
+    """(field, n_values, value, fault) in one pass. fault is null where all is well.
+
+    A field must have one non-empty value ("values"). The revision's value must stand in the path's ("path"), in every
+    row that has both. A score, whose n_values counts values that aren't finite, must be finite in every row ("finite").
+    """
+    x = lambda c: F.trim(C(c).cast("string"))
+    n = lambda wrong: F.coalesce(F.sum(wrong.cast("long")), F.lit(0))
+    one = {c: (F.countDistinct(x(c)), F.min(x(c))) for c in fields}
+    rows = [F.struct(F.lit(c).alias("field"), k.alias("n_values"), v.alias("value"), F.when((k != 1) | (v == ""), "values").alias("fault")) for c, (k, v) in one.items()]
+    if revision and path:
+        outside = n(~x(path).contains(x(revision)))
+        rows.append(F.struct(F.lit(path).alias("field"), F.countDistinct(x(path)).alias("n_values"), F.min(x(path)).alias("value"), F.when(outside > 0, "path").alias("fault")))
+    for c in scores:
+        bad = n(~F.coalesce(F.abs(C(c).cast("double")) < float("inf"), F.lit(False)))
+        rows.append(F.struct(F.lit(c).alias("field"), bad.alias("n_values"), F.lit(None).cast("string").alias("value"), F.when(bad > 0, "finite").alias("fault")))
+    return df.agg(F.array(*rows).alias("a")).select(F.explode("a").alias("r")).select("r.*")
 
 
 def canonical(cells: DataFrame, plain: DataFrame, framed: DataFrame | None, *, family: str, dataset: str, condition: str, human_file: str, score_file: str) -> DataFrame:
@@ -158,38 +172,135 @@ def combine(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def analysis_units(df: DataFrame) -> DataFrame:
-    """Included rows of rate-only scales averaged to one unit per (dataset, trigger, query); exact rows and other families one unit per row."""
+def analysis_units(df: DataFrame, expected: dict[str, int] | None = None) -> DataFrame:
+    """Included rows of rate-only scales averaged to one unit per (dataset, trigger, query); exact rows and other families one unit per row.
+
+    Errors: an exact count that repeats within a unit, rates or scores that aren't finite, and with expected (units by
+    dataset) any other number of units or an unknown dataset.
+    """
     kept = df.where(F.coalesce(C("analysis_inclusion_status"), F.lit("included")) != "excluded")
-    unit = F.when(C("human_count_status") == "exact", C("item_id")).otherwise(F.concat_ws("::", "dataset", "trigger", "query"))
+    exact = C("human_count_status") == "exact"
+    unit = F.when(exact, C("item_id")).otherwise(F.concat_ws("::", "dataset", "trigger", "query"))
     one = lambda c: F.when(F.count("*") == 1, F.min(c))
-    return kept.withColumn("unit_id", unit).groupBy("dataset_family", "dataset", "unit_id").agg(F.count("*").alias("rows"), F.avg("human_rate").alias("rate"), one("human_yes").alias("yes"), one("human_total").alias("total"), F.avg("query_logprob_mean").alias("query_score"), F.min("group_id").alias("cv_group_id"))
+    rows = F.when((F.count("*") > 1) & F.max(exact), F.raise_error(F.lit("an exact count repeats within a unit")).cast("long")).otherwise(F.count("*"))
+    out = kept.withColumn("unit_id", unit).groupBy("dataset_family", "dataset", "unit_id").agg(rows.alias("rows"), F.avg(finite(C("human_rate"), "a rate")).alias("rate"), one("human_yes").alias("yes"), one("human_total").alias("total"), F.avg(finite(C("query_logprob_mean"), "a score")).alias("query_score"), F.min("group_id").alias("cv_group_id"))
+    if expected is not None:
+        found = {r["dataset"]: r["n"] for r in out.groupBy("dataset").agg(F.count("*").alias("n")).limit(len(expected) + 1).collect()}
+        if found != expected:
+            raise ValueError(f"units by dataset: expected {expected}, found {found}")
+    return out
 
 
 # ---------------------------------------------------------------- manifests and scoring
 
 
+#: The manifest's columns in order, its key, and conditions whose unframed prompts must be the same.
+MANIFEST = (
+    "manifest_version", "dataset_family", "dataset", "condition", "item_id", "group_id", "context_id", "generation_frame", "generation_prompt", "trigger", "query",
+    "analysis_inclusion_status", "source_row_id", "prompt_provenance", "score_trigger", "score_query",
+)
+MANIFEST_KEY = ("dataset_family", "dataset", "condition", "item_id", "generation_frame")
+MATCHED = (("ESI", "Eonly"), ("Estrong", "Eonlystrong"))
+
+
+def _manifest(rows: DataFrame, **columns: Column | str) -> DataFrame:
+    """rows in the manifest's columns, from columns or fixed texts; triggers are scored in the unframed frame alone."""
+    fixed = {"manifest_version": VERSION, "analysis_inclusion_status": "included", "generation_frame": "no_frame", "score_query": F.lit(True)} | columns
+    fixed.setdefault("score_trigger", F.lit(fixed["generation_frame"] == "no_frame") if isinstance(fixed["generation_frame"], str) else fixed["generation_frame"] == "no_frame")
+    return rows.select(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in ((k, fixed[k]) for k in MANIFEST)])
+
+
 def build_manifest(pairs: DataFrame, prompts: DataFrame, family: str) -> DataFrame:
     """Two frames of each pair (context, trigger, query): the bare prompt with both candidates, and "<trigger> but not" with the query alone."""
     both = pairs.join(prompts, "context")
-    frames = F.array(F.struct(F.lit("no_frame").alias("generation_frame"), F.concat(F.rtrim("prompt"), F.lit(" ")).alias("generation_prompt"), F.lit(True).alias("score_trigger")), F.struct(F.lit("x_but_not_y").alias("generation_frame"), F.concat(F.rtrim("prompt"), F.lit(" "), "trigger", F.lit(" but not ")).alias("generation_prompt"), F.lit(False).alias("score_trigger")))
+    frames = F.array(F.struct(F.lit("no_frame").alias("frame"), F.concat(F.rtrim("prompt"), F.lit(" ")).alias("text")), F.struct(F.lit("x_but_not_y").alias("frame"), F.concat(F.rtrim("prompt"), F.lit(" "), "trigger", F.lit(" but not ")).alias("text")))
     out = both.select("context", "trigger", "query", F.explode(frames).alias("f")).select("context", "trigger", "query", "f.*")
     item = F.concat_ws("::", "context", "trigger", "query")
-    return out.select(F.lit("1.1").alias("manifest_version"), F.lit(family).alias("dataset_family"), item.alias("item_id"), C("context").alias("group_id"), "generation_frame", "generation_prompt", "trigger", "query", "score_trigger", F.lit(True).alias("score_query"), F.concat_ws("|", item, "generation_frame").alias("source_row_id"))
+    return _manifest(out, dataset_family=family, dataset=family, condition="base", item_id=item, group_id=C("context"), context_id=C("context"), generation_frame=C("frame"), generation_prompt=C("text"), trigger=C("trigger"), query=C("query"), source_row_id=F.concat_ws("|", item, "frame"), prompt_provenance="two_frames")
+
+
+def scale_manifest(prompts: DataFrame, family: str, *, framed: bool = False) -> DataFrame:
+    """One row of each prompt (dataset, item_id, scale_id, context_text, boundary_text, trigger, query, has_suite, prompt_source).
+
+    Unframed, the prompt is the context and the text moved to its end, and both candidates are scored; framed, it is
+    the context (which ends in "but not") and one space, and the query alone is. Rows wait for the exact filter, with
+    or without a suite; a missing text counts as empty, a missing has_suite as false.
+    """
+    text = lambda c: F.coalesce(C(c).cast("string"), F.lit(""))
+    suite = F.when(F.coalesce(C("has_suite"), F.lit(False)), "pending_suite_available").otherwise("pending_no_suite")
+    item = F.concat(C("item_id"), F.lit("::x_but_not_y")) if framed else C("item_id").cast("string")
+    prompt = F.concat(F.rtrim(text("context_text")), F.lit(" ")) if framed else F.concat(text("context_text"), text("boundary_text"))
+    return _manifest(prompts, dataset_family=family, dataset=C("dataset"), condition="scalar_inference", item_id=item, group_id=F.concat_ws("::", "dataset", "scale_id"), context_id=C("item_id").cast("string"), generation_frame="x_but_not_y" if framed else "no_frame", generation_prompt=prompt, trigger=F.trim("trigger"), query=F.trim("query"), analysis_inclusion_status=suite, source_row_id=F.concat_ws("|", item, F.lit(family)), prompt_provenance=C("prompt_source"))
+
+
+def condition_manifest(tables: dict[str, DataFrame], family: str, reuse: dict[str, str] = {b: a for a, b in MATCHED}) -> DataFrame:
+    """Rows of all conditions from their tables (item_id, trigger, query, prompt); a condition named in reuse takes the prompts of the other one by item_id.
+
+    An item without a prompt there is an error when the rows are made.
+    """
+    out = None
+    for condition, rows in sorted(tables.items()):
+        if source := reuse.get(condition):
+            known = tables[source].select("item_id", C("prompt").alias("_prompt"))
+            none = F.raise_error(F.concat(F.lit(f"no prompt of {source} for an item of {condition}: "), C("item_id").cast("string"))).cast("string")
+            rows = rows.select("item_id", "trigger", "query").join(known, "item_id", "left").withColumn("prompt", F.coalesce("_prompt", none))
+        item = F.concat_ws("::", F.lit(condition), C("item_id").cast("string"))
+        part = _manifest(rows, dataset_family=family, dataset=family, condition=condition, item_id=item, group_id=C("item_id").cast("string"), context_id=item, generation_prompt=C("prompt"), trigger=F.trim("trigger"), query=F.trim("query"), source_row_id=F.concat_ws("|", item, F.lit(family)), prompt_provenance=f"reused_from_{source}" if source else "own_prompt")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def combined_manifest(*parts: DataFrame) -> DataFrame:
+    """All parts in order of the key, after an error for any violated rule."""
+    out = parts[0].select(*MANIFEST)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*MANIFEST))
+    if wrong := validate_manifest(out).where("violations > 0").orderBy("rule").collect():
+        raise ValueError(f"not a manifest: {', '.join(str((r['rule'], r['violations'])) for r in wrong)}")
+    return out.orderBy(*MANIFEST_KEY)
+
+
+def condition_faults(df: DataFrame, matched: tuple[tuple[str, str], ...] = MATCHED) -> DataFrame:
+    """(left, right, group_id, fault) of groups that one of two matched conditions lacks ("coverage"), or whose unframed prompt or candidates differ ("differs"); nulls equal each other."""
+    told = F.struct("generation_prompt", "trigger", "query")
+    out = None
+    for a, b in matched:
+        side = lambda name: df.where((C("condition") == name) & (C("generation_frame") == "no_frame")).select("dataset_family", "dataset", "group_id", told.alias(f"_{name}"))  # noqa: E731, B023
+        both = side(a).join(side(b), ["dataset_family", "dataset", "group_id"], "full")
+        fault = F.when(C(f"_{a}").isNull() | C(f"_{b}").isNull(), "coverage").when(~C(f"_{a}").eqNullSafe(C(f"_{b}")), "differs")
+        part = both.select(F.lit(a).alias("left"), F.lit(b).alias("right"), "group_id", fault.alias("fault")).where("fault is not null")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def validate_manifest(df: DataFrame) -> DataFrame:
-    """(rule, violations): versions, frames, flags, candidates, prompts, and unique keys."""
+def validate_manifest(df: DataFrame, matched: tuple[tuple[str, str], ...] = MATCHED) -> DataFrame:
+    """(rule, violations): empty values, versions, frames, flags, candidates, prompts, unique keys, and matched conditions."""
+    framed = C("generation_frame") == "x_but_not_y"
+    last = F.element_at(F.split("generation_prompt", "\n"), -1)
     checks = {
+        "empty": F.greatest(*[F.coalesce(F.trim(C(c)) == "", F.lit(True)).cast("int") for c in MANIFEST if not c.startswith("score_")]) == 1,
         "version": ~C("manifest_version").isin("1.0", "1.1"),
         "frame": ~C("generation_frame").isin("no_frame", "x_but_not_y"),
+        "old_version_frame": (C("manifest_version") == "1.0") & framed,
         "same_candidates": C("trigger") == C("query"),
         "prompt_end": ~C("generation_prompt").rlike(r"\s$"),
-        "flags": (C("generation_frame") == "x_but_not_y") & C("score_trigger"),
-        "answer_line": F.element_at(F.split("generation_prompt", "\n"), -1).rlike(r"(?i)\bonly\b"),
+        "query_flag": ~C("score_query"),
+        "flags": C("score_trigger") == framed,
+        "answer_line": C("condition").isin(*[c for p in matched for c in p]) & last.rlike(r"(?i)\bonly\b"),
     }
-    sums = df.agg(*[F.coalesce(F.sum(F.coalesce(v, F.lit(True)).cast("long")), F.lit(0)).alias(k) for k, v in checks.items()], (F.count("*") - F.countDistinct("source_row_id")).alias("unique_key"))
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), C(k).alias("violations")) for k in (*checks, "unique_key")])).alias("r")).select("r.*")
+    wrong = {k: F.coalesce(F.sum(F.coalesce(v, F.lit(True)).cast("long")), F.lit(0)) for k, v in checks.items()}
+    sums = df.agg(*[v.alias(k) for k, v in wrong.items()], F.greatest(F.count_if(C("manifest_version") == "1.0") * F.count_if(C("manifest_version") == "1.1"), F.lit(0)).cast("boolean").cast("long").alias("one_version"))
+    long = sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), C(k).alias("violations")) for k in (*checks, "one_version")])).alias("r")).select("r.*")
+    twice = df.groupBy(*MANIFEST_KEY).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("violations")).select(F.lit("unique_key").alias("rule"), "violations")
+    apart = condition_faults(df, matched).agg(F.count("*").alias("violations")).select(F.lit("matched_conditions").alias("rule"), "violations")
+    return long.unionByName(twice).unionByName(apart)
+
+
+def manifest_summary(df: DataFrame) -> DataFrame:
+    """One row of eight counts: rows, families, datasets, conditions, frames, prompts, distinct prompt-candidate pairs, and rows that wait for a filter."""
+    names = {"families": "dataset_family", "datasets": "dataset", "conditions": "condition", "frames": "generation_frame", "prompts": "generation_prompt"}
+    counts = df.agg(F.count("*").alias("rows"), *[F.countDistinct(c).alias(k) for k, c in names.items()], F.count_if(C("analysis_inclusion_status").startswith("pending")).alias("pending"))
+    return counts.crossJoin(F.broadcast(scoring_pairs(df).agg(F.count("*").alias("pairs"))))  # one row each
 
 
 def scoring_pairs(manifest: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexora.functions.text import uniform
-from lexora.operators.vocab import numbered
+from lexora.operators.vocab import attach, numbered
+from lexora.sources.files import saved
 
 
 def race_key(weight: Column, u: Column) -> Column:
@@ -24,13 +25,39 @@ def draws(source: DataFrame, reps: int, seed: int = 7, by: tuple[str, ...] = ("c
     return rep.withColumn("key", race_key(F.col("weight"), uniform(*[F.col(c) for c in by], F.col("rep"), F.col("token"), seed=seed)))
 
 
-def sample_orderings(source: DataFrame, reps: int, seed: int = 7, *, k: int | None = None, by: tuple[str, ...] = ("context",)) -> DataFrame:
+def pilot_bounds(source: DataFrame, reps: int, k: int, seed: int = 7, by: tuple[str, ...] = ("context",), factor: int = 4) -> DataFrame:
+    """(by..., bounds): for each repetition the k-th smallest key among the factor * k heaviest tokens of positive weight.
+
+    Keys depend on values alone, so a pilot's race is a part of the whole one, and its k-th key is never below the
+    whole one's. Contexts with fewer than k such tokens have no row.
+    """
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("weight"), "token"))
+    pilot = source.where("weight > 0").withColumn("_rank", rank).where(F.col("_rank") <= factor * k).drop("_rank")
+    place = F.row_number().over(Window.partitionBy(*by, "rep").orderBy("key", "token"))
+    last = draws(pilot, reps, seed, by).withColumn("_place", place).where(F.col("_place") == k)
+    return last.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "key"))), lambda x: x["key"]).alias("bounds"))
+
+
+def within_pilot(source: DataFrame, reps: int, k: int, seed: int = 7, by: tuple[str, ...] = ("context",), factor: int = 4) -> DataFrame:
+    """Draws that can be among the first k: keys up to the pilot's bound, and every draw of contexts that come out short.
+
+    The bounds are saved, so that their size is known when Spark plans their join.
+    """
+    bounds = saved(pilot_bounds(source, reps, k, seed, by, factor), "pilot")
+    out = draws(attach(source, bounds, by, "left"), reps, seed, by)
+    bound = F.col("bounds")[F.col("rep")]
+    return out.where(bound.isNull() | ((F.col("weight") > 0) & (F.col("key") <= bound))).drop("bounds")
+
+
+def sample_orderings(source: DataFrame, reps: int, seed: int = 7, *, k: int | None = None, by: tuple[str, ...] = ("context",), pilot: int = 4) -> DataFrame:
     """(by..., rep, token, position): positive weights first by the race, then the others; the first k positions if given.
 
-    With k, Spark keeps k rows of each (context, repetition) per task before the shuffle; without, no task holds
-    more of an ordering than its range.
+    With k, draws beyond the bound of a pilot (of pilot * k tokens; 0: none) go before anything is sorted, and Spark
+    keeps k rows of each (context, repetition) per task before the shuffle. Without k, no task holds more of an
+    ordering than its range.
     """
-    order, out = [F.desc("heavy"), F.asc("key"), F.asc("token")], draws(source, reps, seed, by).withColumn("heavy", F.col("weight") > 0)
+    made = within_pilot(source, reps, k, seed, by, pilot) if k is not None and pilot else draws(source, reps, seed, by)
+    order, out = [F.desc("heavy"), F.asc("key"), F.asc("token")], made.withColumn("heavy", F.col("weight") > 0)
     if k is None:  # a whole vocabulary: ranges are sorted apart
         out = numbered(out.select(*by, "rep", "token", "heavy", "key"), order, "line", (*by, "rep")).withColumn("position", F.col("line") - 1)
     else:

@@ -10,6 +10,8 @@ from lexora.functions.stats import loglik
 #: name: (needs a trigger, uses samples)
 STRUCTURES = {"set": (False, True), "ordering": (True, True), "conjunction": (True, True), "disjunction": (True, True), "always_negate": (False, False), "never_negate": (False, False)}
 DEFAULT = ("set", "ordering", "conjunction", "disjunction")
+#: The regions that each structure negates (see reports.region).
+NEGATED = {"set": ("A", "B"), "ordering": ("B", "D"), "conjunction": ("B",), "disjunction": ("A", "B", "D")}
 
 
 def structures(names: list[str] | None = None, baselines: bool = False) -> list[str]:
@@ -79,3 +81,22 @@ def marginal_likelihood(counts: DataFrame, keys: list[str], low: float = 0.501,
     grid = grid.withColumn("ll", ll)
     top = grid.groupBy(*keys).agg(F.max("ll").alias("top"), F.max_by("accuracy", "ll").alias("best_accuracy"))
     return grid.join(top, keys).groupBy(*keys).agg((F.max("top") + F.log(F.sum(F.exp(F.col("ll") - F.col("top")))) - F.log(F.lit(float(n)))).alias("marginal"), F.max("best_accuracy").alias("best_accuracy"))
+
+
+def query_gradation(halves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fitted, likelihood) of halves (context, region, query_rank, half, neg): half 1 fits, half 2 tests; the disjunction is fitted on half 2, as in the study.
+
+    fitted: (structure, context, query_rank, total, p), the rate of "no" by query rank in the regions that the structure
+    negates. likelihood: (structure, context, n, log_likelihood), the mean over test answers; outside its regions a
+    structure says 0, and answers whose rank has no fitted rate are left out. Answers are counted before anything else,
+    so all later steps work on a few counts for each context.
+    """
+    n = halves.groupBy("context", "region", "query_rank", "half", "neg").agg(F.count("*").alias("n"))
+    applies = lambda s: F.col("region").isin(*NEGATED[s])
+    each = F.array(*[F.struct(F.lit(s).alias("structure"), applies(s).alias("applies"), F.lit(2 if s == "disjunction" else 1).alias("fits")) for s in DEFAULT])
+    rows = n.withColumn("_s", F.explode(each)).select("*", "_s.*").drop("_s")
+    keys = ["structure", "context", "query_rank"]
+    fitted = rows.where("applies and half = fits").groupBy(*keys).agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("neg")) / F.sum("n")).alias("p"))
+    x = rows.where("half = 2").join(fitted.select(*keys, F.col("p").alias("_p")), keys, "left").withColumn("p", F.when(F.col("applies"), F.col("_p")).otherwise(0.0)).where("p is not null")
+    mean = F.sum(F.col("n") * loglik(F.col("p"), F.col("neg"))) / F.sum("n")
+    return fitted, x.groupBy("structure", "context").agg(F.sum("n").alias("n"), mean.alias("log_likelihood"))

@@ -88,13 +88,13 @@ def with_total(df: DataFrame, total: Column, name: str, by: tuple[str, ...] = ("
     return attach(df, df.groupBy(*by).agg(total.alias(name)), by)
 
 
-def attach(df: DataFrame, groups: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def attach(df: DataFrame, groups: DataFrame, by: tuple[str, ...], how: str = "inner") -> DataFrame:
     """df with the other columns of groups, which has one row for each `by`; a null group meets itself."""
     named = groups.withColumnsRenamed({c: f"_of_{c}" for c in by})
     on = F.lit(True)
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    return df.join(named, on).drop(*[f"_of_{c}" for c in by])
+    return df.join(named, on, how).drop(*[f"_of_{c}" for c in by])
 
 
 def numbered(df: DataFrame, order: list, name: str = "line", by: tuple[str, ...] = ()) -> DataFrame:
@@ -124,15 +124,22 @@ def background_bigrams(scored: DataFrame, n: int) -> DataFrame:
     return top.withColumn("background_rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("count"), "token")))
 
 
-def select_bigrams(required: DataFrame, family: DataFrame, background: DataFrame, budget: int, core: int) -> DataFrame:
-    """Per context up to budget tokens: required, then family (context, token, score), then background; a token counts for its first source."""
+def select_bigrams(required: DataFrame, family: DataFrame, background: DataFrame, budget: int, core: int, exact: bool = True) -> DataFrame:
+    """Per context budget tokens: required, then family (context, token, score), then background; a token counts for its first source.
+
+    A context with more required tokens than the budget is an error, and with exact one that comes out short as well.
+    """
     contexts = required.select("context").distinct()
     null = F.lit(None).cast("double")
     a = required.select("context", "token", F.lit(0).alias("_s"), null.alias("_o"))
     b = family.select("context", "token", F.lit(1).alias("_s"), (-F.col("score")).alias("_o"))
     c = contexts.crossJoin(F.broadcast(background.select("token", "background_rank"))).select("context", "token", F.lit(2).alias("_s"), F.col("background_rank").cast("double").alias("_o"))
     first = a.unionByName(b).unionByName(c).groupBy("context", "token").agg(F.min(F.struct("_s", "_o")).alias("f")).select("context", "token", "f._s", "f._o")
-    ranked = first.withColumn("_k", F.row_number().over(Window.partitionBy("context").orderBy("_s", "_o", "token"))).where(F.col("_k") <= budget)
+    sizes = first.groupBy("context").agg(F.count_if(F.col("_s") == 0).alias("_required"), F.count("*").alias("_all"))
+    wrong = lambda why: F.raise_error(F.concat(F.lit(why), F.col("context"))).cast("int")
+    checked = F.when(F.col("_required") > budget, wrong("more required tokens than the budget in ")).when(F.lit(exact) & (F.col("_all") < budget), wrong("fewer tokens than the budget in ")).otherwise(budget)
+    first = attach(first, sizes.select("context", checked.alias("_budget")), ("context",))
+    ranked = first.withColumn("_k", F.row_number().over(Window.partitionBy("context").orderBy("_s", "_o", "token"))).where((F.col("_k") <= budget) & (F.col("_k") <= F.col("_budget")))
     source = F.when(F.col("_s") == 0, "required").when(F.col("_s") == 1, "family").when(F.col("_o") <= core, "background_core").otherwise("background_overflow")
     return ranked.select("context", "token", source.alias("selection_source"), F.col("_k").alias("line_no"))
 

@@ -107,9 +107,13 @@ def j7(spark, d):
     return J.select_scores(both, "study", "x_but_not_y").groupBy("context").agg(F.count("*").alias("n"))
 
 
-@query("j8_single_provenance", "SELECT 'model_name' AS field, 1 AS n_values, 'counts' AS value UNION ALL SELECT 'model_revision', 1, 'r1' UNION ALL SELECT 'context', count(DISTINCT context), min(context) FROM pairs")
+@query("j8_single_provenance", """SELECT 'model_name' AS field, 1 AS n_values, 'counts' AS value, NULL AS fault UNION ALL SELECT 'model_revision', 1, 'r1', NULL UNION ALL SELECT 'context', count(DISTINCT context), min(context), CASE WHEN count(DISTINCT context) > 1 THEN 'values' END FROM pairs
+UNION ALL SELECT 'model_path', count(DISTINCT rq = 1), CASE WHEN bool_or(rq = 1) THEN 'models/other' ELSE 'models/r1' END, CASE WHEN bool_or(rq = 1) THEN 'path' END FROM pairs UNION ALL SELECT 'query_logprob_sum', 0, NULL, NULL UNION ALL SELECT 'planted', count(*) FILTER (WHERE rq = 1), NULL, CASE WHEN bool_or(rq = 1) THEN 'finite' END FROM pairs""")
 def j8(spark, d):
-    return J.provenance(scores(spark, d, "no_frame"), ["model_name", "model_revision", "context"])
+    best = study.pairs(spark, d).select("context", "trigger", "query", (C("rq") == 1).alias("best"))
+    x = scores(spark, d, "no_frame").join(best, ["context", "trigger", "query"])
+    x = x.withColumns({"model_path": F.concat(F.lit("models/"), F.when(C("best"), "other").otherwise(C("model_revision"))), "planted": F.when(C("best"), float("nan")).otherwise(C("query_logprob_sum"))})
+    return J.provenance(x, ["model_name", "model_revision", "context"], revision="model_revision", path="model_path", scores=("query_logprob_sum", "planted"))
 
 
 @query("j9_study_focus", _SCORED + """, asked AS MATERIALIZED (SELECT context, trigger AS token FROM pairs UNION SELECT context, query FROM pairs), few AS MATERIALIZED (SELECT s.context, s.token, s.logprob FROM scores s SEMI JOIN asked USING (context, token))
@@ -138,9 +142,58 @@ def j13(spark, d):
     return manifest(spark, d).select("item_id", "generation_frame", "generation_prompt", "trigger", "query", C("score_trigger").cast("int").alias("score_trigger"))
 
 
-@query("j14_manifest_validation", "SELECT unnest(['version', 'frame', 'same_candidates', 'prompt_end', 'flags', 'answer_line', 'unique_key']) AS rule, 0::BIGINT + least(0, (SELECT count(*) FROM documents)) AS violations")
+def _items(spark, d):
+    """Pairs of the three best triggers as items of scales and conditions."""
+    return study.pairs(spark, d).where("rt <= 3").withColumn("item_id", F.concat_ws("::", "context", "trigger", "query"))
+
+
+def condition_rows(spark, d):
+    items, prompt = _items(spark, d), lambda tail: F.concat(F.lit("A: in "), "context", F.lit(f"?\nB: {tail} "))
+    own = {c: items.withColumn("prompt", prompt(tail)) for c, tail in (("ESI", "we have"), ("Eweak", "some have"), ("Estrong", "all have"))}
+    return J.condition_manifest(own | {c: items for c in ("Eonly", "Eonlystrong")}, "conditions")
+
+
+def scale_rows(spark, d, framed):
+    text = [C("context").alias("dataset"), C("trigger").alias("scale_id"), F.concat(F.lit("In "), "context", F.lit(" we have"), *([F.lit(" "), "trigger", F.lit(" but not")] if framed else [])).alias("context_text"), F.lit(" ").alias("boundary_text"), (C("rq") <= 3).alias("has_suite"), F.lit("corpus").alias("prompt_source")]
+    return J.scale_manifest(_items(spark, d).select("item_id", "trigger", "query", *text), "scales", framed=framed)
+
+
+_MANIFESTS = _SCORED + """, it AS (SELECT context || '::' || trigger || '::' || query AS item, * FROM pairs WHERE rt <= 3),
+tails AS (SELECT * FROM (VALUES ('ESI', 'we have'), ('Eweak', 'some have'), ('Estrong', 'all have'), ('Eonly', 'we have'), ('Eonlystrong', 'all have')) AS v(condition, tail)),
+every AS (SELECT 'study' AS dataset_family, 'base' AS condition, context || '::' || trigger || '::' || query AS item_id, frame AS generation_frame, generation_prompt, trigger, query, st::INT AS score_trigger, context AS group_id, 'included' AS status FROM man
+UNION ALL SELECT 'scales', 'scalar_inference', item, 'no_frame', 'In ' || context || ' we have ', trigger, query, 1, context || '::' || trigger, CASE WHEN rq <= 3 THEN 'pending_suite_available' ELSE 'pending_no_suite' END FROM it
+UNION ALL SELECT 'scales', 'scalar_inference', item || '::x_but_not_y', 'x_but_not_y', 'In ' || context || ' we have ' || trigger || ' but not ', trigger, query, 0, context || '::' || trigger, CASE WHEN rq <= 3 THEN 'pending_suite_available' ELSE 'pending_no_suite' END FROM it
+UNION ALL SELECT 'conditions', condition, condition || '::' || item, 'no_frame', 'A: in ' || context || '?' || chr(10) || 'B: ' || tail || ' ', trigger, query, 1, item, 'included' FROM it CROSS JOIN tails)"""
+
+
+def manifests(spark, d):
+    return [manifest(spark, d), scale_rows(spark, d, False), scale_rows(spark, d, True), condition_rows(spark, d)]
+
+
+@query("j13_combined_manifest", _MANIFESTS + " SELECT dataset_family, condition, item_id, generation_frame, generation_prompt, trigger, query, score_trigger, group_id, status FROM every")
+def j13_combined(spark, d):
+    return J.combined_manifest(*manifests(spark, d)).select("dataset_family", "condition", "item_id", "generation_frame", "generation_prompt", "trigger", "query", C("score_trigger").cast("int").alias("score_trigger"), "group_id", C("analysis_inclusion_status").alias("status"))
+
+
+@query("j14_manifest_validation", _MANIFESTS + """, n AS (SELECT count(*) FILTER (WHERE dataset_family = 'study' AND group_id = 'en') AS ends, count(*) FILTER (WHERE dataset_family = 'study' AND generation_frame = 'x_but_not_y' AND group_id = 'de') AS flags, count(*) FILTER (WHERE condition = 'Eweak' AND group_id LIKE 'es::%') AS twice, count(*) FILTER (WHERE condition = 'Eonly' AND group_id LIKE 'fr::%') AS gone,
+count(*) FILTER (WHERE condition = 'Estrong' AND group_id LIKE 'de::%') AS barred, count(*) FILTER (WHERE dataset_family = 'scales' AND group_id LIKE 'es::%') AS same FROM every)
+SELECT unnest(['empty', 'version', 'frame', 'old_version_frame', 'same_candidates', 'prompt_end', 'query_flag', 'flags', 'answer_line', 'one_version', 'unique_key', 'matched_conditions']) AS rule, unnest([0, 0, 0, 0, same, ends, 0, flags, barred, 0, twice, gone + barred]) AS violations FROM n""")
 def j14(spark, d):
-    return J.validate_manifest(manifest(spark, d))
+    """Faults are planted in each part, so that the rules have something to find."""
+    study_rows, scale, framed, cond = manifests(spark, d)
+    study_rows = study_rows.withColumns({"generation_prompt": F.when(C("group_id") == "en", F.rtrim("generation_prompt")).otherwise(C("generation_prompt")), "score_trigger": C("score_trigger") | (C("group_id") == "de")})
+    both = scale.unionByName(framed)
+    both = both.withColumn("query", F.when(C("group_id").startswith("es::"), C("trigger")).otherwise(C("query")))
+    cond = cond.where(~((C("condition") == "Eonly") & C("group_id").startswith("fr::")))
+    cond = cond.unionByName(cond.where((C("condition") == "Eweak") & C("group_id").startswith("es::")))
+    cond = cond.withColumn("generation_prompt", F.when((C("condition") == "Estrong") & C("group_id").startswith("de::"), F.concat("generation_prompt", F.lit("only "))).otherwise(C("generation_prompt")))
+    return J.validate_manifest(study_rows.unionByName(both).unionByName(cond))
+
+
+@query("j15_manifest_summary", _MANIFESTS + """ SELECT count(*) AS rows, count(DISTINCT dataset_family) AS families, 2 + (SELECT count(DISTINCT context) FROM pairs) AS datasets, count(DISTINCT condition) AS conditions, count(DISTINCT generation_frame) AS frames, count(DISTINCT generation_prompt) AS prompts, count(*) FILTER (WHERE status LIKE 'pending%') AS pending,
+(SELECT count(*) FROM (SELECT generation_prompt, query FROM every UNION SELECT generation_prompt, trigger FROM every WHERE score_trigger = 1)) AS pairs FROM every""")
+def j15_summary(spark, d):
+    return J.manifest_summary(J.combined_manifest(*manifests(spark, d)))
 
 
 @query("j15_scoring_pairs", _SCORED + " SELECT generation_prompt, query AS candidate FROM man UNION SELECT generation_prompt, trigger FROM man WHERE st")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexora.functions import stats as S
 from lexora.functions.text import uniform
 from lexora.operators import sampling, structures
+from lexora.operators.reports import region
 from lexora.operators.vocab import numbered, with_total
 
 from . import study
@@ -252,16 +253,28 @@ def f22(spark, d):
     return structures.marginal_likelihood(agree, ["context"])
 
 
-@query("f23_query_gradation", f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY context, trigger, query ORDER BY {u_sql("user_id", seed="half")}, user_id) AS k, count(*) OVER (PARTITION BY context, trigger, query) AS n FROM trials),
-fit AS (SELECT context, rq, avg(neg) AS p FROM h WHERE k <= n // 2 AND rq < rt GROUP BY context, rq), x AS (SELECT h.context, CASE WHEN h.rq < h.rt THEN f.p ELSE 0 END AS p, neg FROM h LEFT JOIN fit f USING (context, rq) WHERE k > n // 2)
-SELECT context, count(*) AS n, avg(CASE WHEN CASE WHEN neg = 1 THEN p ELSE 1 - p END > 0 THEN ln(CASE WHEN neg = 1 THEN p ELSE 1 - p END) ELSE ln(1e-10) END) AS log_likelihood FROM x WHERE p IS NOT NULL GROUP BY context""")
-def f23(spark, d):
+_GRADED = f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY context, trigger, query ORDER BY {u_sql("user_id", seed="half")}, user_id) AS k, count(*) OVER (PARTITION BY context, trigger, query) AS n FROM trials),
+m AS (SELECT h.*, CASE WHEN k <= n // 2 THEN 1 ELSE 2 END AS half, structure, CASE structure WHEN 'set' THEN rq <= 3 WHEN 'ordering' THEN rq < rt WHEN 'conjunction' THEN rq <= 3 AND rq < rt ELSE rq <= 3 OR rq < rt END AS applies FROM h CROSS JOIN (SELECT unnest(['set', 'ordering', 'conjunction', 'disjunction']) AS structure)),
+fit AS (SELECT structure, context, rq, count(*) AS total, avg(neg) AS p FROM m WHERE applies AND half = CASE WHEN structure = 'disjunction' THEN 2 ELSE 1 END GROUP BY ALL)"""
+
+
+def graded(spark, d):
     cell = ("context", "trigger", "query")
     h = numbered(study.trials(spark, d).withColumn("u", uniform(F.col("user_id"), seed="half")), [F.asc("u"), F.asc("user_id")], "k", cell)
     h = with_total(h, F.count("*"), "n", cell)
-    fit = h.where("k <= floor(n / 2) and rq < rt").groupBy("context", "rq").agg(F.avg("neg").alias("fitted"))
-    x = h.where("k > floor(n / 2)").join(fit, ["context", "rq"], "left").withColumn("p", F.expr("CASE WHEN rq < rt THEN fitted ELSE 0.0D END")).where("p is not null")
-    return x.groupBy("context").agg(F.count("*").alias("n"), F.avg(S.loglik(F.col("p"), F.col("neg"))).alias("log_likelihood"))
+    half = F.when(F.expr("k <= n div 2"), 1).otherwise(2)
+    return structures.query_gradation(h.select("context", region(F.col("rq"), F.col("rt")).alias("region"), F.col("rq").alias("query_rank"), half.alias("half"), "neg"))
+
+
+@query("f23_query_gradation", _GRADED + """, x AS (SELECT m.structure, m.context, CASE WHEN applies THEN fit.p ELSE 0 END AS p, neg FROM m LEFT JOIN fit USING (structure, context, rq) WHERE half = 2)
+SELECT structure, context, count(*) AS n, avg(CASE WHEN CASE WHEN neg = 1 THEN p ELSE 1 - p END > 0 THEN ln(CASE WHEN neg = 1 THEN p ELSE 1 - p END) ELSE ln(1e-10) END) AS log_likelihood FROM x WHERE p IS NOT NULL GROUP BY ALL""")
+def f23(spark, d):
+    return graded(spark, d)[1]
+
+
+@query("f23_graded_rates", _GRADED + " SELECT structure, context, rq AS query_rank, total, p FROM fit")
+def f23_rates(spark, d):
+    return graded(spark, d)[0]
 
 
 @query("f24_inclusion_check", DRAWS + f", q AS (SELECT DISTINCT context, query FROM pairs) SELECT q.context, q.query, count(position) / {REPS}.0 AS empirical, max(d.weight) / max(t.total) AS direct FROM q JOIN src d ON d.context = q.context AND d.token = q.query JOIN (SELECT context, sum(weight) AS total FROM src GROUP BY context) t ON t.context = q.context LEFT JOIN pos p ON p.context = q.context AND p.token = q.query AND position < 10 GROUP BY q.context, q.query")

@@ -9,6 +9,7 @@ from lexora.functions import stats as S
 from lexora.operators import agreement as A
 from lexora.operators import calibrate as G
 from lexora.operators import reports as R
+from lexora.operators import trials
 from lexora.operators.vocab import numbered
 
 from . import q_models as M
@@ -378,7 +379,7 @@ def i1(spark, d):
 
 @query("i2_ll_rollup", _RES + ", one AS (SELECT source, structure, count(*) AS n, avg(average) AS mean FROM bc GROUP BY ALL) SELECT source, structure, n, mean FROM one UNION ALL SELECT source, 'ALL', count(*), avg(mean) FROM one GROUP BY source")
 def i2(spark, d):
-    one, two = R.ll_rollup(by_context(spark, d))
+    one, two = R.ll_rollup(R.context_means(M.results(spark, d)))
     return one.select("source", "structure", C("context_count").alias("n"), C("mean_log_likelihood").alias("mean")).unionByName(two.select("source", F.lit("ALL").alias("structure"), C("structure_count").alias("n"), C("overall").alias("mean")))
 
 
@@ -414,6 +415,20 @@ def i7(spark, d):
     return R.cells(M.results(spark, d), "max")
 
 
+@query("i7_human_cells", LONG + " SELECT context, trigger, query, avg(p) AS human_rate FROM (SELECT context, trigger, query, set_boundary, avg(neg) AS p FROM results WHERE structure = 'ordering' GROUP BY ALL) GROUP BY ALL")
+def i7_human(spark, d):
+    return R.human_cells(M.results(spark, d))
+
+
+@query("i8_ordered_matrix", """WITH cell AS (SELECT context, trigger, query, rt, rq, avg(neg) AS p FROM trials WHERE rt + rq <> 7 GROUP BY ALL),
+rows AS (SELECT context, trigger, row_number() OVER (PARTITION BY context ORDER BY min(rt), trigger) AS "row" FROM cell GROUP BY context, trigger), cols AS (SELECT c.context, c.query, row_number() OVER (PARTITION BY c.context ORDER BY max(logprob) DESC NULLS LAST, c.query) AS "column" FROM cell c LEFT JOIN scores s ON s.context = c.context AND s.token = c.query GROUP BY c.context, c.query)
+SELECT rows.context, "row", "column", rows.trigger, cols.query, p FROM rows JOIN cols USING (context) LEFT JOIN cell ON cell.context = rows.context AND cell.trigger = rows.trigger AND cell.query = cols.query""")
+def i8_ordered(spark, d):
+    rate = study.trials(spark, d).where("rt + rq <> 7").groupBy(*R.CELL, "rt").agg(F.avg("neg").alias("p"))
+    asked = study.scores(spark, d).join(rate.select("context", C("query").alias("token")).distinct(), ["context", "token"], "right").select("context", C("token").alias("query"), "logprob")
+    return R.ordered_matrix(rate, R.axis(rate, "trigger", "appearance", "rt"), R.axis(asked, "query", "base", "logprob"), "p")
+
+
 @query("i8_matrix", "SELECT context || '-' || rt AS trigger, " + ", ".join(f"avg(neg) FILTER (WHERE rq = {k}) AS q{k}" for k in range(1, 7)) + " FROM trials GROUP BY context, rt")
 def i8(spark, d):
     rate = study.trials(spark, d).groupBy(F.concat_ws("-", "context", "rt").alias("trigger"), F.concat(F.lit("q"), "rq").alias("q")).agg(F.avg("neg").alias("p"))
@@ -477,15 +492,30 @@ def i15(spark, d):
     return R.mean_se(M.results(spark, d), ["structure", "set_boundary"])
 
 
-@query("i16_region_summary", _RES + ", rg AS (SELECT r.*, CASE WHEN p.rq <= 3 AND p.rq < p.rt THEN 'A' WHEN p.rq <= 3 THEN 'B' WHEN p.rq < p.rt THEN 'C' ELSE 'D' END AS region FROM res r JOIN pairs p USING (context, trigger, query)) SELECT source, structure, avg(log_likelihood) AS ll, avg(log_likelihood) FILTER (WHERE region IN ('A', 'D')) AS ll_critical, count(DISTINCT (context, trigger, query)) AS cells, count(DISTINCT (context, trigger, query)) FILTER (WHERE region IN ('A', 'D')) AS critical_cells, avg(negation_probability) FILTER (WHERE region = 'A') AS p_a, avg(negation_probability) FILTER (WHERE region = 'D') AS p_d FROM rg GROUP BY ALL")
+_REGIONS = _RES + """, cellr AS (SELECT context, trigger, query, CASE WHEN rq <= 3 AND rq > rt THEN 'A' WHEN rq <= 3 THEN 'B' WHEN rq > rt THEN 'C' ELSE 'D' END AS region FROM pairs),
+rg AS (SELECT r.*, region FROM res r JOIN cellr USING (context, trigger, query))"""
+
+
+def regions(spark, d):
+    t = study.trials(spark, d)
+    return R.modal_regions(t.withColumn("region", R.region(C("rq"), C("rt"))))
+
+
+@query("i16_region_summary", _REGIONS + """ SELECT source, structure, context, avg(log_likelihood) AS ll, avg(log_likelihood) FILTER (WHERE region IN ('A', 'D')) AS ll_critical, count(DISTINCT (context, trigger, query)) AS cells, count(DISTINCT (context, trigger, query)) FILTER (WHERE region IN ('A', 'D')) AS critical_cells,
+30 - count(DISTINCT (context, trigger, query)) AS missing_cells, 6 - count(DISTINCT (context, trigger, query)) FILTER (WHERE region IN ('A', 'D')) AS missing_critical FROM rg WHERE NOT (context = 'fr' AND trigger > query) GROUP BY ALL""")
 def i16(spark, d):
-    named = study.pairs(spark, d).select(*R.CELL, R.region(C("rq"), C("rt")).alias("region"))
-    return R.region_summary(M.results(spark, d).join(F.broadcast(named), R.CELL))
+    results = M.results(spark, d).where("not (context = 'fr' and trigger > query)")
+    return R.region_summary(results, regions(spark, d))
+
+
+@query("i16_region_means", _REGIONS + " SELECT source, structure, coalesce(context, 'ALL') AS context, region, avg(negation_probability) AS p FROM rg GROUP BY GROUPING SETS ((source, structure, region), (source, structure, region, context))")
+def i16_means(spark, d):
+    return R.region_means(M.results(spark, d), regions(spark, d))
 
 
 @query("i17_context_spread", _RES + " SELECT context, max(average) - min(average) AS spread FROM bc GROUP BY context")
 def i17(spark, d):
-    return R.context_spread(by_context(spark, d))
+    return R.context_spread(R.context_means(M.results(spark, d)))
 
 
 @query("i18_cells_with_rank", "SELECT context, trigger, query, avg(neg) AS mean, stddev_samp(neg) AS sd, any_value(rt) AS trigger_rank, any_value(rq) AS query_rank FROM trials GROUP BY context, trigger, query")
@@ -503,9 +533,21 @@ def i19(spark, d):
 _POISSON = "0" + "".join(f" + (u >= {e!r})::INT" for e in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253))
 
 
-@query("i20_diagnostics", _RES + f", mi AS (SELECT count(*) AS m FROM trials WHERE rq = 2), mm AS (SELECT structure, context, avg(log_likelihood) AS m FROM res GROUP BY ALL), bt AS (SELECT structure, b, sum(w * m) / nullif(sum(w), 0) AS mean FROM (SELECT *, {_POISSON} AS w FROM (SELECT mm.*, b, {u_sql('context', 'b', seed='boot')} AS u FROM mm CROSS JOIN (SELECT unnest(generate_series(1, 200)) AS b))) GROUP BY structure, b), ci AS (SELECT structure, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM bt GROUP BY structure) SELECT structure, count(*) AS rows, sum((log_likelihood < -23)::INT)::BIGINT AS floor_rows, avg((negation_probability <= 0)::INT) AS zero_rate, any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high, avg((log_likelihood < -23)::INT) AS floor_rate, count(*) / (count(*) + (SELECT m FROM mi))::DOUBLE AS coverage FROM res JOIN ci USING (structure) GROUP BY structure")
+_DIAG = _RES + f""", lost AS (SELECT * FROM (SELECT context, set_boundary, CASE WHEN context = 'fr' THEN 'context_missing' WHEN context = 'en' AND rq = 2 THEN 'query_missing' WHEN context = 'en' AND rt = 2 THEN 'trigger_missing' END AS reason FROM trials CROSS JOIN (SELECT unnest([5, 10]) AS set_boundary)) WHERE reason IS NOT NULL),
+means AS (SELECT source, structure, context, avg(log_likelihood) AS m FROM res GROUP BY ALL), weights AS (SELECT context, b, {_POISSON} AS w FROM (SELECT context, b, {u_sql('context', 'b', seed='boot')} AS u FROM (SELECT DISTINCT context FROM means) CROSS JOIN (SELECT unnest(generate_series(1, 1000)) AS b))),
+boot AS (SELECT source, structure, b, sum(w * m) / nullif(sum(w), 0) AS mean FROM means JOIN weights USING (context) GROUP BY ALL), ci AS (SELECT source, structure, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM boot GROUP BY ALL),
+by_bound AS (SELECT source, structure, min(n) AS boundary_rows_min, max(n) AS boundary_rows_max FROM (SELECT source, structure, set_boundary, count(*) AS n FROM res GROUP BY ALL) GROUP BY ALL),
+base AS (SELECT source, structure, count(*) AS rows, count(DISTINCT set_boundary) AS boundaries, count(DISTINCT context) AS contexts, avg(log_likelihood) AS mean, median(log_likelihood) AS median, coalesce(stddev_samp(log_likelihood), 0) AS std, min(log_likelihood) AS min, max(log_likelihood) AS max, sum((log_likelihood < -23)::INT)::BIGINT AS floor_rows, sum((negation_probability <= 0)::INT)::BIGINT AS zero_rows FROM res GROUP BY ALL),
+gone AS (SELECT count(*) AS missing_rows, count(DISTINCT set_boundary) AS missing_boundaries, count(DISTINCT context) AS missing_contexts, count(*) FILTER (WHERE reason = 'context_missing') AS missing_context_rows, count(*) FILTER (WHERE reason = 'query_missing') AS missing_query_rows, count(*) FILTER (WHERE reason = 'trigger_missing') AS missing_trigger_rows FROM lost)"""
+
+
+@query("i20_diagnostics", _DIAG + " SELECT *, floor_rows / rows AS floor_rate, zero_rows / rows AS zero_rate, boundary_rows_max - boundary_rows_min AS boundary_rows_range, (boundary_rows_max > boundary_rows_min)::INT AS imbalanced, rows / (rows + missing_rows) AS coverage FROM base JOIN by_bound USING (source, structure) JOIN ci USING (source, structure) CROSS JOIN gone")
 def i20(spark, d):
-    return R.diagnostics(M.results(spark, d), study.trials(spark, d).where("rq = 2"))
+    from lexora.operators.structures import DEFAULT
+
+    known = study.top(spark, d, 6).where("context <> 'fr' and not (context = 'en' and rk = 2)")
+    missing = trials.missing_trials(study.trials(spark, d), known, list(M.BOUNDARIES), list(DEFAULT))
+    return R.diagnostics(M.results(spark, d), missing)
 
 
 @query("i21_likelihoods_long", LONG + " SELECT structure, context, avg(log_likelihood) AS ll FROM results GROUP BY ALL")
@@ -521,7 +563,7 @@ def i22(spark, d):
     return M.logical(spark, d).groupBy("context", "rq").agg(F.avg("m_set").alias("set_share"), F.avg("m_ordering").alias("ordering_share"))
 
 
-@query("i23_histogram", "WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events), n AS (SELECT least(floor((value - lo) / ((hi - lo) / 28)), 27)::INT AS bin, count(*) AS n FROM events, e GROUP BY 1) SELECT b.bin, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(0, 27)) AS bin) b LEFT JOIN n USING (bin)")
+@query("i23_histogram", "WITH e AS (SELECT min(value) AS lo, max(value) AS hi, avg(value) AS mean, sum((value > 0)::INT)::BIGINT AS positive FROM events), n AS (SELECT least(floor((value - lo) / ((hi - lo) / 28)), 27)::INT AS bin, count(*) AS n FROM events, e GROUP BY 1) SELECT b.bin, coalesce(n, 0) AS n, mean, positive FROM (SELECT unnest(generate_series(0, 27)) AS bin) b CROSS JOIN e LEFT JOIN n USING (bin)")
 def i23(spark, d):
     return R.histogram(study.table(spark, d, "events"), "value", 28)
 

@@ -346,16 +346,28 @@ def d14(spark, d):
     return V.background_bigrams(d13(spark, d), 50)
 
 
-@query("d15_budgeted_selection", _BACK + """, req AS (SELECT DISTINCT context, query AS token FROM pairs), fam AS (SELECT p.context, s.token, s.score FROM (SELECT DISTINCT context, trigger FROM pairs) p JOIN sc s ON split_part(s.token, ' ', 1) = p.trigger),
+_BUDGET = _BACK + """, req AS (SELECT DISTINCT context, query AS token FROM pairs), fam AS (SELECT p.context, s.token, s.score FROM (SELECT DISTINCT context, trigger FROM pairs) p JOIN sc s ON split_part(s.token, ' ', 1) = p.trigger),
 u AS (SELECT context, token, 0 AS s, NULL::DOUBLE AS o FROM req UNION ALL SELECT context, token, 1, -score FROM fam UNION ALL SELECT context, token, 2, background_rank FROM (SELECT DISTINCT context FROM req), back),
 f AS (SELECT context, token, min(s) AS s, min_by(o, s) AS o FROM u GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY s, o, token) AS line_no FROM f)
-SELECT context, token, CASE s WHEN 0 THEN 'required' WHEN 1 THEN 'family' ELSE CASE WHEN o <= 10 THEN 'background_core' ELSE 'background_overflow' END END AS selection_source, line_no FROM k WHERE line_no <= 2000""")
+SELECT context, token, CASE s WHEN 0 THEN 'required' WHEN 1 THEN 'family' ELSE CASE WHEN o <= 10 THEN 'background_core' ELSE 'background_overflow' END END AS selection_source, line_no FROM k WHERE line_no <= """
+
+
+@query("d15_budgeted_selection", _BUDGET + "2000")
 def d15(spark, d):
+    return _selection(spark, d, 2000, exact=False)
+
+
+@query("d15_exact_budget", _BUDGET + "50")
+def d15_exact(spark, d):
+    return _selection(spark, d, 50)
+
+
+def _selection(spark, d, budget, exact=True):
     scored = d13(spark, d)
     need = study.pairs(spark, d).select("context", C("query").alias("token")).distinct()
     first = study.pairs(spark, d).select("context", C("trigger").alias("w1")).distinct()
     family = scored.withColumn("w1", F.substring_index("token", " ", 1)).join(F.broadcast(first), "w1").select("context", "token", "score")
-    return V.select_bigrams(need, family, V.background_bigrams(scored, 50), 2000, 10)
+    return V.select_bigrams(need, family, V.background_bigrams(scored, 50), budget, 10, exact)
 
 
 @query("d16_vocab_union", "SELECT token, max(n) AS count, row_number() OVER (ORDER BY token) AS line FROM counts GROUP BY token")

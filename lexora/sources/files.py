@@ -73,8 +73,8 @@ def shard_prefix(word: Column) -> Column:
 
 
 def shard_names(spark: SparkSession, path: str) -> DataFrame:
-    """The prefixes (column prefix2) that have a shard: names of folders alone, no file is opened."""
-    return spark.read.text(path).select(F.col("prefix2").cast("string").alias("prefix2")).distinct()
+    """The prefixes (column prefix2) that have a shard, from the listing alone: a file's content is a column that isn't read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("prefix2").cast("string").alias("prefix2")).distinct()
 
 
 def missing_shards(words: DataFrame, shards: DataFrame) -> DataFrame:

@@ -414,3 +414,118 @@ def test_neighbours_equal_brute_force_and_skip_blocks(spark):
 def test_neighbours_of_no_targets(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert similarity.nearest(df, df.where("false").select(F.col("vec_id").alias("target"), F.col("embedding").alias("_t")), 3).count() == 0
+
+
+def test_pilot_changes_no_row_and_short_contexts_keep_all(spark):
+    rows = [("big", f"w{i}", float(1 + i % 50)) for i in range(900)] + [("big", f"z{i}", 0.0) for i in range(100)] + [("short", f"s{i}", float(i < 3)) for i in range(12)]
+    src = spark.createDataFrame(rows, "context string, token string, weight double").repartition(5)
+    got = lambda pilot: {(r.context, r.rep, r.token): r.position for r in sampling.sample_orderings(src, 6, k=8, pilot=pilot).collect()}
+    assert got(0) == got(4) == got(1) and len(got(4)) == 2 * 6 * 8
+    kept = {r.context: r.n for r in sampling.within_pilot(src, 6, 8).groupBy("context").agg(F.count("*").alias("n")).collect()}
+    assert kept["short"] == 6 * 12  # three tokens race, so no bound: all of the context goes on
+    assert kept["big"] < 6 * 1000 / 4
+
+
+def test_exact_median(spark):
+    rows = [("a", float(i % 7)) for i in range(40)] + [("b", 1.0), ("b", 4.0), ("c", None), (None, 2.0), (None, 2.0), (None, 9.0), ("d", 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    want = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert {r.g: r.median for r in stats.exact_median(df, ["g"], "v").collect()} == {k: v for k, v in want.items() if v is not None}
+
+
+@pytest.mark.parametrize(("rq", "rt", "name"), [(2, 1, "A"), (1, 2, "B"), (3, 6, "B"), (5, 4, "C"), (4, 5, "D")])
+def test_regions(spark, rq, rt, name):
+    """A: inside and below the trigger, where the set negates and the ordering doesn't; D: outside and above, the other way round."""
+    assert one(spark, reports.region(F.lit(rq), F.lit(rt))) == name
+    inside, above = rq <= 3, rq < rt
+    assert (name in structures.NEGATED["set"], name in structures.NEGATED["ordering"]) == (inside, above)
+
+
+def test_region_reports(spark):
+    cell = ("c", "t", "q")
+    trials = spark.createDataFrame([(*cell, "B"), (*cell, "A"), (*cell, None), ("c", "t", "r", "D"), ("c", "t", "r", "D"), ("c", "t", "r", "A")], "context string, trigger string, query string, region string")
+    modal = reports.modal_regions(trials)
+    assert {(r.query, r.region) for r in modal.collect()} == {("q", "A"), ("r", "D")}
+    res = spark.createDataFrame([("m", "set", "c", "t", "q", -1.0, 0.2), ("m", "set", "c", "t", "r", -3.0, 0.4), ("m", "set", "c", "t", "none", -5.0, 0.9), ("m", "set", "e", "t", "q", -2.0, 0.1)], "source string, structure string, context string, trigger string, query string, log_likelihood double, negation_probability double")
+    got = {r.context: r for r in reports.region_summary(res, modal, 30, 6).collect()}
+    assert (got["c"].ll, got["c"].ll_critical, got["c"].cells, got["c"].critical_cells, got["c"].missing_cells, got["c"].missing_critical) == (-3.0, -2.0, 3, 2, 27, 4)
+    assert got["e"].ll_critical is None and got["e"].missing_critical == 6
+    assert {(r.context, r.region): r.p for r in reports.region_means(res, modal).collect()} == {("ALL", "A"): 0.2, ("ALL", "D"): 0.4, ("c", "A"): 0.2, ("c", "D"): 0.4}
+
+
+def test_bootstrap_is_the_plain_one(spark):
+    import hashlib
+
+    import numpy as np
+
+    means = {f"c{i}": float(i * i % 11) for i in range(9)}
+    uniforms = lambda c, b: (int(hashlib.md5(f"boot|{c}|{b}".encode()).hexdigest()[:7], 16) + 0.5) / 2**28
+    edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    drawn = []
+    for b in range(1, 201):
+        w = np.array([sum(uniforms(c, b) >= e for e in edges) for c in means])
+        drawn.append((w * np.array(list(means.values()))).sum() / w.sum())
+    df = spark.createDataFrame([("s", c, m) for c, m in means.items()], "structure string, context string, m double").repartition(4)
+    r = reports.bootstrap_interval(df, ["structure"], "context", "m", 200).first()
+    assert np.allclose([r.ci_low, r.ci_high], np.quantile(drawn, [0.025, 0.975]))
+
+
+def test_ordered_matrix_and_human_cells(spark):
+    cells = spark.createDataFrame([("c", "b", "x", 2, 0.5), ("c", "a", "y", 1, 0.1)], "context string, trigger string, query string, rank int, p double")
+    rows, base = reports.axis(cells, "trigger", "appearance", "rank"), reports.axis(cells, "query", "base", "p")
+    got = [(r.row, r.column, r.p) for r in reports.ordered_matrix(cells, rows, base, "p").orderBy("row", "column").collect()]
+    assert got == [(1, 1, None), (1, 2, 0.1), (2, 1, 0.5), (2, 2, None)]
+    assert [r.word for r in reports.axis(cells, "trigger", "alphabet").orderBy("place").collect()] == ["a", "b"]
+    res = spark.createDataFrame([("ordering", 5, "c", "t", "q", 1), ("ordering", 10, "c", "t", "q", 0), ("set", 5, "c", "t", "q", 1)], "structure string, set_boundary int, context string, trigger string, query string, neg int")
+    assert reports.human_cells(res).first()["human_rate"] == 0.5
+    assert reports.human_cells(res.where("structure = 'set'")).first()["human_rate"] == 1.0
+
+
+def test_gradation_fits_each_structure_in_its_regions(spark):
+    rows = [("c", "A", 2, 1, 1), ("c", "A", 2, 1, 0), ("c", "A", 2, 2, 1), ("c", "D", 4, 1, 1), ("c", "D", 4, 2, 1), ("c", "C", 5, 2, 0)]
+    fitted, likelihood = structures.query_gradation(spark.createDataFrame(rows, "context string, region string, query_rank int, half int, neg int"))
+    assert {(r.structure, r.query_rank): (r.total, r.p) for r in fitted.collect()} == {("set", 2): (2, 0.5), ("ordering", 4): (1, 1.0), ("disjunction", 2): (1, 1.0), ("disjunction", 4): (1, 1.0)}
+    got = {r.structure: (r.n, r.log_likelihood) for r in likelihood.collect()}
+    assert got["set"] == (3, pytest.approx((math.log(0.5) + math.log(1e-10)) / 3)) and got["disjunction"] == (3, pytest.approx(0.0))
+    assert got["conjunction"] == (3, pytest.approx(2 * math.log(1e-10) / 3))
+
+
+def test_budgets_must_be_met(spark):
+    need = spark.createDataFrame([("c", "a"), ("c", "b")], "context string, token string")
+    family = spark.createDataFrame([("c", "a x", 0.5)], "context string, token string, score double")
+    back = spark.createDataFrame([("b y", 1), ("b z", 2)], "token string, background_rank int")
+    got = vocab.select_bigrams(need, family, back, 5, 1).orderBy("line_no").collect()
+    assert [r.selection_source for r in got] == ["required", "required", "family", "background_core", "background_overflow"]
+    with pytest.raises(PySparkException, match="more required"):
+        vocab.select_bigrams(need, family, back, 1, 1).collect()
+    with pytest.raises(PySparkException, match="fewer tokens"):
+        vocab.select_bigrams(need, family, back, 6, 1).collect()
+    assert vocab.select_bigrams(need, family, back, 6, 1, exact=False).count() == 5
+
+
+def test_unit_and_provenance_rules(spark):
+    good = canonical_rows(spark).withColumn("analysis_inclusion_status", F.lit("included"))
+    assert canonical.analysis_units(good, {"d": 1}).count() == 1
+    with pytest.raises(ValueError, match="expected"):
+        canonical.analysis_units(good, {"d": 2})
+    with pytest.raises(PySparkException, match="repeats"):
+        canonical.analysis_units(good.unionByName(good)).collect()
+    with pytest.raises(PySparkException, match="finite"):
+        canonical.analysis_units(good.withColumn("query_logprob_mean", F.lit(float("nan")))).collect()
+    df = spark.createDataFrame([("m", "r1", "/x/r1/", -1.0), ("m", "r1", "/x/r2/", float("inf"))], "model string, rev string, path string, s double")
+    got = {r.field: (r.n_values, r.fault) for r in canonical.provenance(df, ["model", "rev"], revision="rev", path="path", scores=("s",)).collect()}
+    assert got == {"model": (1, None), "rev": (1, None), "path": (2, "path"), "s": (1, "finite")}
+
+
+def test_condition_manifests(spark):
+    rows = lambda *r: spark.createDataFrame(r, "item_id string, trigger string, query string, prompt string")
+    own, bare = rows(("1", "some", "all", "B: it is "), ("2", "warm", "hot", "B: so ")), rows(("1", "some", "all", None), ("2", "warm", "hot", None))
+    m = canonical.condition_manifest({"ESI": own, "Eonly": bare}, "f")
+    assert {r.generation_prompt for r in m.where("condition = 'Eonly'").collect()} == {"B: it is ", "B: so "}
+    assert [r.item_id for r in canonical.combined_manifest(m).collect()] == ["ESI::1", "ESI::2", "Eonly::1", "Eonly::2"]
+    with pytest.raises(PySparkException, match="no prompt of ESI"):
+        canonical.condition_manifest({"ESI": own.limit(1), "Eonly": bare}, "f").collect()
+    changed = m.withColumn("query", F.when(F.col("item_id") == "Eonly::2", None).otherwise(F.col("query"))).where("item_id <> 'ESI::1'")
+    assert {(r.group_id, r.fault) for r in canonical.condition_faults(changed).collect()} == {("1", "coverage"), ("2", "differs")}
+    with pytest.raises(ValueError, match="matched_conditions"):
+        canonical.combined_manifest(changed)

@@ -7,6 +7,7 @@ and format alone, so equal values stay equal across documents and different ones
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Callable
 from datetime import date, timedelta
@@ -82,13 +83,26 @@ def card(key: bytes, text: str) -> str | None:
     return fill(text, body + str(-luhn(body + "0") % 10))
 
 
+#: Country calling codes of one and two digits; all others have three.
+ONE_DIGIT_CODES = ("1", "7")
+TWO_DIGIT_CODES = tuple(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+
+
+def country_code(digits: str) -> str:
+    return digits[:1] if digits.startswith(ONE_DIGIT_CODES) else digits[:2] if digits.startswith(TWO_DIGIT_CODES) else digits[:3]
+
+
 def phone(key: bytes, text: str) -> str | None:
+    """The country code stays, all digits after it are permuted; North American numbers keep to their own rules."""
     d = re.sub(r"\D", "", text)
     if text.startswith("+") and not (d.startswith("1") and len(d) == 11):
-        if not 8 <= len(d) <= 15:
+        if not 8 <= len(d) <= 15 or d[0] == "0":
             return None
-        n = 10 ** (len(d) - 2)
-        return fill(text, d[:2] + str(permute(key, "phone" + d[:2], int(d[2:]), n)).zfill(len(d) - 2))
+        code = country_code(d)
+        n = len(d) - len(code)
+        return fill(text, code + str(permute(key, "phone" + code, int(d[len(code) :]), 10**n)).zfill(n))
     own = d[-10:]
     if own[0] in "01" or own[3] in "01":
         return None
@@ -117,6 +131,20 @@ def ip4(key: bytes, text: str) -> str | None:
     return ".".join(map(str, v.to_bytes(4, "big")))
 
 
+def ip6(key: bytes, text: str) -> str | None:
+    """Written out in full if it was, else shortened, in its own case. Of two groups alone, the first must be of three or four characters with a digit (a name of a program's scope looks like the rest)."""
+    groups = [g for g in text.split(":") if g]
+    if len(groups) < 3 and not (len(groups[0]) > 2 and re.search("[0-9]", groups[0])):
+        return None
+    try:
+        old = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    new = ipaddress.IPv6Address(permute(key, "ip6", int(old), 1 << 128))
+    shown = new.exploded if text.lower() == old.exploded else new.compressed
+    return shown.upper() if text != text.lower() else shown
+
+
 def iban(key: bytes, text: str) -> str | None:
     flat = text.replace(" ", "")
     rest = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
@@ -132,6 +160,21 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 #: The orders of year, month and day that a separator stands for; the later ones where the first gives no day of the calendar.
 ORDERS = {"-": ("ymd", "dmy", "mdy"), "/": ("mdy", "dmy"), ".": ("dmy", "mdy")}
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+#: Months of the other languages of the corpora.
+OTHER_MONTHS = {
+    "de": ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"),
+    "es": ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+    "fr": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+}
+#: name: (names of all months in its language and form, place, kind). A name that languages share counts for the first of them; short forms are three letters of English, German and Spanish names but May's.
+MONTH_NAMES: dict[str, tuple[tuple[str, ...], int, str]] = {}
+for _language, _months in (("en", MONTHS), *OTHER_MONTHS.items()):
+    for _place, _month in enumerate(_months):
+        MONTH_NAMES.setdefault(_month.lower(), (_months, _place, "date"))
+for _language, _months in (("en", MONTHS), *OTHER_MONTHS.items()):
+    for _place, _month in enumerate(_months):
+        if _language != "fr" and _place != 4:
+            MONTH_NAMES.setdefault(_month[:3].lower(), (tuple(m[:3] for m in _months), _place, "short"))
 
 
 def _days(keep: Callable[[date], bool]) -> tuple[list[date], dict[date, int]]:
@@ -169,18 +212,27 @@ def day(key: bytes, text: str) -> str | None:
 
 
 def named_day(key: bytes, text: str) -> str | None:
-    """Dates with an English month, in full or of three letters, before or after the day."""
-    name = re.search("[A-Za-z]+", text)[0]
-    month = next(m for m in MONTHS if m.lower().startswith(name.lower()))
+    """Dates with a month's name, before or after the day, which may be an ordinal: the new month is of the name's language, form and case, and an ordinal ends as its new number does."""
+    name = next(w for w in re.findall(r"[^\W\d_]+", text) if w.lower() in MONTH_NAMES)
+    names, place, kind = MONTH_NAMES[name.lower()]
     first, second = re.findall("[0-9]+", text)
-    kind = "short" if len(name) < len(month) else "date"
-    new = _moved(key, kind, int(second), MONTHS.index(month) + 1, int(first))
+    new = _moved(key, kind, int(second), place + 1, int(first))
     if new is None:
         return None
-    shown = MONTHS[new.month - 1][: 3 if kind == "short" else None]
-    shown = shown.upper() if name.isupper() else shown.lower() if name.islower() else shown
-    numbers = iter((f"{new.day:02d}" if len(first) == 2 else str(new.day), f"{new.year:04d}"))
-    return re.sub("[0-9]+", lambda m: next(numbers), text.replace(name, shown))
+    shown = names[new.month - 1]
+    shown = shown.upper() if name.isupper() else shown.lower() if name.islower() else shown[0].upper() + shown[1:]
+    parts = {m[0]: m for m in re.finditer(r"[0-9]+(?:st|nd|rd|th|er)?|[^\W\d_]+", text, re.IGNORECASE)}
+    day_text = next(t for t in parts if t[0].isdigit())
+    suffix = re.sub("[0-9]", "", day_text)
+    number = f"{new.day:02d}" if len(first) == 2 and not suffix else str(new.day)
+    if suffix.lower() == "er":  # said of the first alone
+        number += suffix if new.day == 1 else ""
+    elif suffix:
+        end = "th" if 11 <= new.day <= 13 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+        number += end.upper() if suffix.isupper() else end
+    told = iter((number, f"{new.year:04d}"))
+    month = re.compile(rf"(?<![^\W\d_]){name}(?![^\W\d_])")
+    return re.sub("[0-9]+(?:st|nd|rd|th|er)?", lambda m: next(told), month.sub(shown, text, count=1), flags=re.IGNORECASE)
 
 
 def email(key: bytes, text: str) -> str:
@@ -211,19 +263,20 @@ def secret(key: bytes, text: str) -> str:
 
 
 _LEFT, _RIGHT = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
-_NAMES = "|".join(f"{m}|{m[:3]}" if m[3:] else m for m in MONTHS)
+_NAMES = "|".join(sorted(MONTH_NAMES, key=lambda m: (-len(m), m)))
 #: kind: (pattern, format). Earlier ones win where two begin at the same place.
 KINDS: dict[str, tuple[str, Callable]] = {
     "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", email),
     "iban": (_LEFT + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _RIGHT, iban),
     "access_key": (_LEFT + r"AKIA[A-Z0-9]{16}" + _RIGHT, access_key),
     "secret": (r"(?i:(?:password|passwd|secret|token|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?)(?![A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}\.)(?=[_./+=-]*[A-Za-z0-9])(?P<own>[A-Za-z0-9_./+=-]{7,}[A-Za-z0-9_/+=-])", secret),
-    "date": (_LEFT + r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?!\.?[0-9A-Za-z])", day),
-    "named_date": (_LEFT + rf"(?:[0-9]{{1,2}} (?i:{_NAMES})\.? [0-9]{{4}}|(?i:{_NAMES})\.? [0-9]{{1,2}},? [0-9]{{4}})" + _RIGHT, named_day),
+    "date": (_LEFT + r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?:(?=T[0-9]{2}:?[0-9]{2})|(?!\.?[0-9A-Za-z]))", day),
+    "named_date": (_LEFT + rf"(?i:[0-9]{{1,2}}(?:st|nd|rd|th|er|\.)? (?:of |de )?(?:{_NAMES})\.?,? (?:de |del )?[0-9]{{4}}|(?<!\w)(?:{_NAMES})\.? [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}})" + _RIGHT, named_day),
     "ip4": (r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])", ip4),
+    "ip6": (r"(?<![A-Za-z0-9:.])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){1,7}(?![A-Za-z0-9:])", ip6),
     "social": (_LEFT + r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-)" + _RIGHT, social),
     "card": (_LEFT + r"[0-9]{4}(?:[ -]?[0-9]{4}){2}(?:[ -]?[0-9]{1,4}){1,2}" + _RIGHT, card),
-    "phone": (r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})" + _RIGHT, phone),
+    "phone": (r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]){4,12}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})" + _RIGHT, phone),
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p.replace('?P<own>', '?P<' + k + '_own>')})" for k, (p, _) in KINDS.items()))
 _MAYBE = re.compile(r"[0-9@=:]|AKIA")
@@ -256,7 +309,8 @@ def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: bytes = DEFAUL
     """docs with pseudonyms in text_col, and one more column: places, an array of (kind, start, end) in the old text.
 
     Null stays null, empty stays empty, both without places. Values that fail their format's validation (Luhn,
-    mod 97, calendar, number ranges) stay as they are, and so do an e-mail's host and a number's country code. Rows
+    mod 97, calendar, number ranges) stay as they are, and so do an e-mail's host, a number's country code and the
+    time of day after a date. Rows
     are changed each for itself, so ids may repeat or be null, and copies stay copies; an empty table stays empty.
     `key` decides on the permutations: DEFAULT_KEY is public, and is for tests and checks alone.
     """

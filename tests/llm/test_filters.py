@@ -1,6 +1,7 @@
 """Quality rules, toxicity, decontamination, PII, licenses and the pipeline."""
 
 import hashlib
+import ipaddress
 import os
 import re
 from collections import Counter
@@ -285,6 +286,50 @@ def test_permutation_and_formats():
     assert places[0]["kind"] == "secret" and "608866bb6ce40206" not in new
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "kept"),
+    [
+        ("2020-01-05T10:00:00Z", "date", r"\d{4}-\d\d-\d\dT10:00:00Z"),
+        ("3 mars 2020", "named_date", r"\d{1,2} (janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre) \d{4}"),
+        ("3. März 2020", "named_date", r"\d{1,2}\. (Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember) \d{4}"),
+        ("3 de marzo de 2020", "named_date", r"\d{1,2} de [a-z]+ de \d{4}"),
+        ("Jan 5th, 2020", "named_date", r"[A-Z][a-z]{2} \d{1,2}(st|nd|rd|th), \d{4}"),
+        ("12 DIC 2020", "named_date", r"\d\d [A-Z]{3} \d{4}"),
+        ("+353 1 234 5678", "phone", r"\+353 \d \d{3} \d{4}"),
+        ("+352 26 12 34 56", "phone", r"\+352 \d\d \d\d \d\d \d\d"),
+        ("+7 912 345-67-89", "phone", r"\+7 \d{3} \d{3}-\d\d-\d\d"),
+        ("+49 (30) 1234567", "phone", r"\+49 \(\d\d\) \d{7}"),
+        ("2001:db8::8a2e:370:7334", "ip6", r"[0-9a-f:]+"),
+        ("2001:0DB8:0000:0000:0000:0000:0000:0001", "ip6", r"([0-9A-F]{4}:){7}[0-9A-F]{4}"),
+    ],
+)
+def test_formats_of_other_languages_and_countries(text, kind, kept):
+    new, places = pii.replace(f"on {text} we", b"k")
+    assert [(p["kind"], p["start"]) for p in places] == [(kind, 3)] and re.fullmatch(f"on {kept} we", new) and text not in new, new
+    assert [p["kind"] for p in pii.replace(new, b"k")[1]] == [kind]
+
+
+def test_what_only_looks_like_a_value_stays():
+    for text in ("std::vector", "a::b", "at 10:20:30", "12:30", "+0 123 456 789", "1 Mayor 2020", "31 abril 2020", "::"):
+        assert pii.replace(f"x {text} y", b"k") == (f"x {text} y", []), text
+
+
+def test_one_value_in_several_forms_stays_one():
+    days = {"2020-03-03", "3 March 2020", "3. März 2020", "3 de marzo de 2020", "3 mars 2020", "March 3rd, 2020"}
+    told = [[int(x) for x in re.findall("[0-9]+", pii.replace(t, b"k")[0])] for t in days]
+    assert len({(max(x), min(x[0], x[-1])) for x in told}) == 1  # one year, one day
+    forms = [pii.replace(t, b"k")[0] for t in ("2001:db8::1", "2001:0db8:0000:0000:0000:0000:0000:0001", "2001:DB8::1")]
+    assert len({int(ipaddress.IPv6Address(x)) for x in forms}) == 1
+    assert len({re.sub(r"\D", "", pii.replace(t, b"k")[0]) for t in ("+353 1 234 5678", "+353-1-2345678", "+35312345678")}) == 1
+
+
+def test_months_that_languages_share_are_the_same_month():
+    for months in (pii.MONTHS, *pii.OTHER_MONTHS.values()):
+        for place, month in enumerate(months):
+            assert pii.MONTH_NAMES[month.lower()][1:] == (place, "date")
+    assert all(n[p].lower() == name for name, (n, p, _) in pii.MONTH_NAMES.items())
+
+
 def test_dates_in_every_order():
     """A date stays a date of its format, equal ones stay equal and different ones different; no date is left in clear."""
     from datetime import date

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexora.functions.stats import finite
 from lexora.functions.text import fingerprint
+from lexora.sources.files import observed
 
 C = F.col
 VERSION = "1.1"
@@ -55,13 +56,18 @@ def rules() -> dict[str, Column]:
     }
 
 
+def repeats(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """One row (violations): keys that more than one row has."""
+    return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("violations"))
+
+
 def validate(df: DataFrame) -> DataFrame:
     """(rule, violations) of all rules in one pass, and of the key's uniqueness."""
     if missing := [c for c in COLUMNS if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     sums = df.agg(*[F.sum(F.coalesce(v, F.lit(False)).cast("long")).alias(k) for k, v in rules().items()])
     long = sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(C(k), F.lit(0)).alias("violations")) for k in rules()])).alias("r")).select("r.*")
-    twice = df.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("violations")).select(F.lit("unique_key").alias("rule"), "violations")
+    twice = repeats(df, KEY).select(F.lit("unique_key").alias("rule"), "violations")
     order = F.lit(int([c for c in df.columns if c in COLUMNS] != list(COLUMNS))).cast("long")
     return long.unionByName(twice).unionByName(df.limit(0).agg(order.alias("violations")).select(F.lit("column_order").alias("rule"), "violations"))
 
@@ -80,12 +86,9 @@ def response_counts(trials: DataFrame) -> DataFrame:
 
 def join_faults(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """One row: keys repeated on either side, and keys of one side that the other lacks."""
-    twice = lambda t, name: t.groupBy(*on).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum((C("n") > 1).cast("int")), F.lit(0)).alias(name))
-    lack = lambda a, b, name: a.select(*on).distinct().join(b.select(*on).distinct(), on, "left_anti").agg(F.count("*").alias(name))
-    out = twice(left, "left_repeats")
-    for part in (twice(right, "right_repeats"), lack(left, right, "left_only"), lack(right, left, "right_only")):
-        out = out.crossJoin(F.broadcast(part))  # one row each
-    return out
+    counts = lambda t, name: t.groupBy(*on).agg(F.count("*").alias(name))
+    both = counts(left, "_l").join(counts(right, "_r"), on, "full")  # each side is read once
+    return both.agg(F.count_if(C("_l") > 1).alias("left_repeats"), F.count_if(C("_r") > 1).alias("right_repeats"), F.count_if(C("_r").isNull()).alias("left_only"), F.count_if(C("_l").isNull()).alias("right_only"))
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "one_to_one") -> DataFrame:
@@ -162,13 +165,21 @@ def recovered(cells: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def combine(*tables: DataFrame) -> DataFrame:
-    """All study tables with the canonical columns first and null where one lacks a further column; a violated rule is an error."""
+    """All study tables with the canonical columns first and null where one lacks a further column; a violated rule is an error.
+
+    Rows are checked while the table is saved, so the tables are made once; then one pass over the key tells whether it repeats.
+    """
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
     out = out.select(*COLUMNS, *[c for c in out.columns if c not in COLUMNS])
-    if wrong := validate(out).where("violations > 0").orderBy("rule").collect():
-        raise ValueError(f"not canonical: {', '.join(str((r['rule'], r['violations'])) for r in wrong)}")
+    if missing := [c for c in COLUMNS if c not in out.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    out, seen = observed(out, "canonical", **{k: F.count_if(F.coalesce(v, F.lit(False))) for k, v in rules().items()})
+    if not any(seen.values()):
+        seen = {"unique_key": repeats(out, KEY).first()["violations"]}
+    if any(seen.values()):
+        raise ValueError(f"not canonical: {', '.join(str(x) for x in sorted(seen.items()) if x[1])}")
     return out
 
 
@@ -291,7 +302,7 @@ def validate_manifest(df: DataFrame, matched: tuple[tuple[str, str], ...] = MATC
     wrong = {k: F.coalesce(F.sum(F.coalesce(v, F.lit(True)).cast("long")), F.lit(0)) for k, v in checks.items()}
     sums = df.agg(*[v.alias(k) for k, v in wrong.items()], F.greatest(F.count_if(C("manifest_version") == "1.0") * F.count_if(C("manifest_version") == "1.1"), F.lit(0)).cast("boolean").cast("long").alias("one_version"))
     long = sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), C(k).alias("violations")) for k in (*checks, "one_version")])).alias("r")).select("r.*")
-    twice = df.groupBy(*MANIFEST_KEY).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("violations")).select(F.lit("unique_key").alias("rule"), "violations")
+    twice = repeats(df, MANIFEST_KEY).select(F.lit("unique_key").alias("rule"), "violations")
     apart = condition_faults(df, matched).agg(F.count("*").alias("violations")).select(F.lit("matched_conditions").alias("rule"), "violations")
     return long.unionByName(twice).unionByName(apart)
 

@@ -5,14 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexora.functions.text import clean_word, match_key, ngram_kind, norm_text, normalize_display
-
-
-def require(df: DataFrame, *names: str) -> DataFrame:
-    """df, or an error that lists the missing columns before any work is done."""
-    if missing := sorted(set(names) - set(df.columns)):
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df
+from lexora.functions.text import clean_word, match_key, ngram_kind, norm_text, normalize_display, require
+from lexora.sources.files import observed
 
 
 def canonicalize(df: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -59,10 +53,10 @@ def keep_available(trials: DataFrame, source: DataFrame) -> tuple[DataFrame, int
     """Trials of contexts that the source has, and how many were dropped; an error if none is left."""
     known = source.select("context").distinct().withColumn("_known", F.lit(1))
     marked = trials.join(known, "context", "left")
-    n = marked.agg(F.count("*").alias("all"), F.count("_known").alias("kept")).first()
+    kept, n = observed(marked, "available", F.col("_known") == 1, all=F.count("*"), kept=F.count("_known"))
     if not n["kept"]:
         raise ValueError("no trial's context is in the source")
-    return marked.where("_known = 1").drop("_known"), n["all"] - n["kept"]
+    return kept.drop("_known"), n["all"] - n["kept"]
 
 
 def support(df: DataFrame, word: str = "token") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexora.sources.files import saved
+from lexora.sources.files import observed, saved
 
 
 def cloze_positive(responses: DataFrame) -> DataFrame:
@@ -51,7 +51,8 @@ def frequency_source(counts: DataFrame, required: DataFrame, *, background: int
     if not keep_zero or background is not None:
         need = need.where("weight > 0")
     if background is None:
-        if not need.where("weight > 0").limit(1).count():
+        need, seen = observed(need, "required", positive=F.count_if(F.col("weight") > 0))
+        if not seen["positive"]:
             raise ValueError("no required token has a count")
         return need
     top = counts.where("count > 0").orderBy(*order).limit(background).select("token", F.col("count").alias("weight"))

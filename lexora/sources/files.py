@@ -6,11 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexora.functions.text import POLICIES
-from lexora.operators.trials import require
+from lexora.functions.text import POLICIES, require
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -31,6 +30,16 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, label: str, keep: Column | None = None, **metrics: Column) -> tuple[DataFrame, dict]:
+    """df saved, and aggregates over all its rows seen while it is written; with keep, only such rows are written.
+
+    So a check needs no job of its own, and what is checked is what later steps read.
+    """
+    seen = Observation()
+    watched = df.observe(seen, *[m.alias(k) for k, m in metrics.items()])
+    return saved(watched if keep is None else watched.where(keep), label), seen.get
+
+
 def read_table(spark: SparkSession, path: str, required: Iterable[str], schema: str | None = None) -> DataFrame:
     """A CSV with a header; an error lists the missing columns before any work is done."""
     reader = spark.read.option("header", True)

@@ -529,3 +529,11 @@ def test_condition_manifests(spark):
     assert {(r.group_id, r.fault) for r in canonical.condition_faults(changed).collect()} == {("1", "coverage"), ("2", "differs")}
     with pytest.raises(ValueError, match="matched_conditions"):
         canonical.combined_manifest(changed)
+
+
+def test_checks_while_writing_see_all_rows_and_empty_tables(spark):
+    df = spark.range(100).repartition(7)
+    kept, seen = files.observed(df, "t", F.col("id") < 10, n=F.count("*"), low=F.count_if(F.col("id") < 3))
+    assert kept.count() == 10 and seen == {"n": 100, "low": 3}
+    none, seen = files.observed(df.limit(0), "t", n=F.count("*"))
+    assert none.count() == 0 and seen == {"n": 0}

@@ -23,14 +23,25 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> list[Column]:
     return [a[k].eqNullSafe(b[f"_{k}"]) for k in keys]
 
 
-def value_places(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def weighted_pearson(x: Column, y: Column, w: Column, min_n: int = 2) -> Column:
+    """Aggregate: Pearson's r of pairs that stand for w rows each; for ranks, whose mean is of the size of their spread."""
+    n = F.sum(w)
+    mean = lambda v: F.sum(w * v) / n
+    vx, vy = mean(x * x) - mean(x) * mean(x), mean(y * y) - mean(y) * mean(y)
+    varied = (n >= min_n) & (F.max(x) > F.min(x)) & (F.max(y) > F.min(y)) & (vx > 0) & (vy > 0)
+    return F.when(varied, (mean(x * y) - mean(x) * mean(y)) / F.when(varied, F.sqrt(vx) * F.sqrt(vy)))
+
+
+def value_places(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Distinct values as (_value, _ties, _below, _<key>...): rows with the value, and rows of the group with smaller ones.
 
+    With weight, a row of df stands for that many rows.
+
     Values are counted first, so a run of ties is one row wherever its rows are. The distinct values are then sorted by
     ranges: what lies below is the rows of ranges before, plus those before it in its own range. No task holds a group's
     values. The ranges are saved with their places, as a second run of the same plan may cut others.
     """
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_ties"))
+    counts = df.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("_ties"))
     order = [*keys, value]
     ranged = saved(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()), "ranks")
     before = F.sum("_ties").over(Window.partitionBy("_range", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
@@ -42,9 +53,9 @@ def value_places(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return placed.select(F.col(value).alias("_value"), "_ties", (F.col("_offset") + F.col("_before")).alias("_below"), *[ranged[k].alias(f"_{k}") for k in keys])
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+def average_rank(df: DataFrame, keys: list[str], value: str, name: str, weight: str | None = None) -> DataFrame:
     """df with ranks within keys, ties averaged; no task holds a group's values."""
-    places = value_places(df, keys, value)
+    places = value_places(df, keys, value, weight)
     ranked = places.select("_value", (F.col("_below") + (F.col("_ties") + 1) / 2).alias(name), *[f"_{k}" for k in keys])
     return df.join(ranked, [df[value].eqNullSafe(ranked["_value"]), *_same(df, ranked, keys)]).drop("_value", *[f"_{k}" for k in keys])
 
@@ -69,6 +80,20 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, *, min_n: int = 2,
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), pearson(F.col("_rx"), F.col("_ry"), min_n).alias("rho"), *more)
 
 
+def spearman_sets(df: DataFrame, sets: list[list[str]], x: str, y: str, *, min_n: int = 2) -> DataFrame:
+    """(set, keys..., n, rho) for each grouping set; set is the grouping id over the keys of all sets, in their order.
+
+    Pairs of values are counted by all sets in one pass, and one ranking serves all of them; a repeated pair is one row.
+    """
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    counts = full.groupingSets([[*s, x, y] for s in sets], *keys, x, y).agg(F.shiftright(F.grouping_id(), 2).alias("set"), F.count("*").alias("_w"))
+    by = ["set", *keys]
+    counts = saved(counts, "pairs")
+    ranked = average_rank(average_rank(counts, by, x, "_rx", "_w"), by, y, "_ry", "_w")
+    return ranked.groupBy(*by).agg(F.sum("_w").alias("n"), weighted_pearson(F.col("_rx"), F.col("_ry"), F.col("_w"), min_n).alias("rho"))
+
+
 def loglik(p: Column, neg: Column) -> Column:
     """ln of the observed answer's probability; ln(1e-10) where that is 0 or less."""
     q = F.when(neg == 1, p).otherwise(1 - p)

@@ -9,49 +9,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexora.functions.stats import pearson, spearman
+from lexora.functions.stats import pearson, spearman, spearman_sets
 from lexora.functions.text import uniform
 from lexora.operators.vocab import attach, numbered
 
 C = F.col
 
 
+def _tail(x: float, rest: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function at x = 1 - rest, where a or b is 1/2, by its continued fraction; steps grow with the root of a and b at most."""
+    if x <= 0 or rest <= 0:
+        return float(rest <= 0)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _tail(rest, x, b, a)
+    k = max(a, b)
+    # ln gamma(k + 1/2) - ln gamma(k): for large k by its series, as the difference of two large numbers loses digits
+    gain = math.lgamma(k + 0.5) - math.lgamma(k) if k < 1_000 else 0.5 * math.log(k) - 1 / (8 * k) + 1 / (192 * k**3)
+    log = lambda v, other: math.log(v) if v < 0.5 else math.log1p(-other)
+    front = math.exp(gain - math.lgamma(0.5) + a * log(x, rest) + b * log(rest, x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    value, m = d, 0
+    while True:
+        m += 1
+        for part in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / ((1 + part * d) or tiny), (1 + part / c) or tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-14 or m > 1_000_000:
+            return front * value
+
+
 @F.pandas_udf(T.DoubleType())
 def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p of a correlation, by the finite series of Student's t for whole degrees of freedom; on summary rows only."""
+    """Two-sided p of a correlation by Student's t with n - 2 degrees of freedom; null below 3 rows. On summary rows only."""
 
     def one(r, n) -> float | None:
         if r is None or n is None or r != r or n < 3:
             return None
-        df = int(n) - 2
-        if abs(r) >= 1:
-            return 0.0
-        theta = math.atan(abs(r) * math.sqrt(df / (1 - r * r)) / math.sqrt(df))
-        c2, total = math.cos(theta) ** 2, 0.0
-        if df % 2:
-            term = math.cos(theta)
-            for k in range(1, (df - 1) // 2 + 1):
-                total += term
-                term *= c2 * 2 * k / (2 * k + 1)
-            a = 2 / math.pi * (theta + math.sin(theta) * total)
-        else:
-            term = 1.0
-            for k in range(1, df // 2 + 1):
-                total += term
-                term *= c2 * (2 * k - 1) / (2 * k)
-            a = math.sin(theta) * total
-        return max(0.0, 1 - a)
+        return 0.0 if abs(r) >= 1 else min(1.0, _tail((1 - r) * (1 + r), r * r, (int(n) - 2) / 2, 0.5))
 
     return pd.Series([one(a, b) for a, b in zip(r, n)])
 
 
 def correlation_report(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """For all rows (group ALL) and each group: n, distinct x and y, Pearson and Spearman, p of Pearson, and why r is undefined."""
-    both = df.select(F.explode(F.array(F.lit("ALL"), C(group))).alias("group"), C(x).alias("x"), C(y).alias("y")).where("x is not null and y is not null")
-    base = both.groupBy("group").agg(F.count("*").alias("n"), F.countDistinct("x").alias("x_unique"), F.countDistinct("y").alias("y_unique"), pearson(C("x"), C("y")).alias("r"))
-    ranks = spearman(both, ["group"], "x", "y").select("group", "rho")
+    """For all rows (group ALL) and each group: n, distinct x and y, Pearson and Spearman, p of Pearson, and why r is undefined.
+
+    All of it and the groups are grouping sets of one pass; rows without a group are a group of their own (null).
+    """
+    both = df.select(C(group).alias("group"), C(x).alias("x"), C(y).alias("y")).where("x is not null and y is not null")
+    sets = [[], ["group"]]
+    base = both.groupingSets(sets, "group").agg(F.grouping_id().alias("set"), F.count("*").alias("n"), F.countDistinct("x").alias("x_unique"), F.countDistinct("y").alias("y_unique"), pearson(C("x"), C("y")).alias("r"))
+    ranks = spearman_sets(both, sets, "x", "y").select(C("set").alias("_set"), C("group").alias("_group"), "rho")
     why = F.when(C("n") < 2, "fewer_than_two_points").when(C("x_unique") < 2, "constant_x").when(C("y_unique") < 2, "constant_y")
-    return base.join(ranks, "group").withColumn("undefined_reason", why).withColumn("p_value", p_value("r", "n"))
+    out = base.where("n > 0").join(ranks, C("set").eqNullSafe(C("_set")) & C("group").eqNullSafe(C("_group")), "left")
+    name = F.when(C("set") == 1, "ALL").otherwise(C("group"))
+    return out.select(name.alias("group"), "n", "x_unique", "y_unique", "r", "rho", why.alias("undefined_reason"), p_value("r", "n").alias("p_value"))
 
 
 def halves(df: DataFrame, cell: list[str], unit: str, seed: str, first_larger: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexora.functions.stats import binom_ll, clip, pearson, spearman, structure_probs
+from lexora.functions.stats import binom_ll, clip, pearson, spearman_sets, structure_probs
 from lexora.operators.vocab import numbered
 from lexora.sources.files import saved
 
@@ -194,13 +194,12 @@ def heldout_summary(pred: DataFrame) -> DataFrame:
     rows = pred.select("family", "dataset", "condition", "total", "rate", "ll_baseline", F.explode(each).alias("m")).select("*", "m.*").drop("m")
     keys = ["family", "dataset", "condition"]
     sums = rows.groupingSets([["structure"], ["structure", *keys]], "structure", *keys).agg(
-        F.grouping("family").alias("overall"), F.count("*").alias("items"), F.sum("total").alias("responses"), pearson(C("p"), C("rate")).alias("r"), F.sum("ll").alias("ll"), F.sum("ll_baseline").alias("baseline_ll")
+        F.grouping_id().alias("set"), F.grouping("family").alias("overall"), F.count("*").alias("items"), F.sum("total").alias("responses"), pearson(C("p"), C("rate")).alias("r"), F.sum("ll").alias("ll"), F.sum("ll_baseline").alias("baseline_ll")
     )
     scope = F.when(C("overall") == 1, "all").otherwise(F.concat_ws("::", *keys))
     sums = sums.withColumns({"scope_type": F.when(C("overall") == 1, "overall").otherwise("condition"), "scope": scope})
-    rho = spearman(rows, ["structure"], "p", "rate").select("structure", F.lit("overall").alias("scope_type"), F.lit("all").alias("scope"), "rho")
-    rho = rho.unionByName(spearman(rows, ["structure", *keys], "p", "rate").select("structure", F.lit("condition").alias("scope_type"), F.concat_ws("::", *keys).alias("scope"), "rho"))
-    out = sums.join(rho, ["structure", "scope_type", "scope"], "left")
+    ranks = spearman_sets(rows, [["structure"], ["structure", *keys]], "p", "rate").select(*[C(c).alias(f"_{c}") for c in ("set", "structure", *keys)], "rho")
+    out = sums.join(ranks, [C(c).eqNullSafe(C(f"_{c}")) for c in ("set", "structure", *keys)], "left")
     by = lambda c: C(c) / C("responses")
     return out.select("scope_type", "scope", "structure", "items", "responses", "r", "rho", "ll", by("ll").alias("mean_ll"), "baseline_ll", by("baseline_ll").alias("baseline_mean_ll"), ((C("ll") - C("baseline_ll")) / C("responses")).alias("delta_mean_ll"))
 

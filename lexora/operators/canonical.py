@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexora.functions.stats import finite
@@ -92,11 +92,23 @@ def join_faults(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "one_to_one") -> DataFrame:
-    """Inner join, after an error for repeated keys (on the right; on both sides if one_to_one) or unmatched left rows."""
-    f = join_faults(left, right, on).first()
-    if f["right_repeats"] or f["left_only"] or (how == "one_to_one" and (f["left_repeats"] or f["right_only"])):
-        raise ValueError(f"join on {', '.join(on)} is not {how}: {f.asDict()}")
-    return left.join(right, on)
+    """Inner join, saved, after an error for repeated keys (on the right; on both sides if one_to_one) or unmatched left rows (or right ones if one_to_one).
+
+    Faults are seen while the join is written, in the shuffle that it needs anyway; only if there are any does a
+    second job count them. A repeated right key joins once, so that a fault can't multiply rows.
+    """
+    strict = how == "one_to_one"
+    by = Window.partitionBy(*on)
+    first = right.withColumns({"_rn": F.count("*").over(by), "_rk": F.row_number().over(by.orderBy(*on))}).where("_rk = 1").drop("_rk")
+    mine = left.withColumn("_ln", F.count("*").over(by) if strict else F.lit(1))
+    both = mine.join(first, on, "full")
+    wrong = (C("_rn") > 1) | C("_rn").isNull()
+    if strict:
+        wrong = wrong | (C("_ln") > 1) | C("_ln").isNull()
+    out, seen = observed(both, "joined", C("_ln").isNotNull() & C("_rn").isNotNull(), wrong=F.count_if(F.coalesce(wrong, F.lit(False))))
+    if seen["wrong"]:
+        raise ValueError(f"join on {', '.join(on)} is not {how}: {join_faults(left, right, on).first().asDict()}")
+    return out.drop("_ln", "_rn")
 
 
 def mismatches(df: DataFrame) -> DataFrame:
@@ -110,10 +122,11 @@ def select_scores(scores: DataFrame, family: str, frame: str) -> DataFrame:
     own = scores.where((C("dataset_family") == family) & (C("generation_frame") == frame))
     need_trigger = frame == "no_frame"
     wrong = C("query_logprob_sum").isNull() | (C("trigger_logprob_sum").isNull() if need_trigger else C("trigger_logprob_sum").isNotNull())
-    f = own.agg(F.sum(wrong.cast("int")).alias("wrong"), (F.count("*") - F.countDistinct("source_row_id")).alias("repeats")).first()
-    if f["wrong"] or f["repeats"]:
-        raise ValueError(f"scores of {family}, {frame}: {f.asDict()}")
-    return own
+    same = F.row_number().over(Window.partitionBy("source_row_id").orderBy("source_row_id"))
+    out, seen = observed(own.withColumn("_k", same), "selected", wrong=F.count_if(wrong), repeats=F.count_if((C("_k") > 1) | C("source_row_id").isNull()))
+    if seen["wrong"] or seen["repeats"]:
+        raise ValueError(f"scores of {family}, {frame}: {seen}")
+    return out.drop("_k")
 
 
 def provenance(df: DataFrame, fields: list[str], *, revision: str | None = None, path: str | None = None, scores: tuple[str, ...] = ()) -> DataFrame:
@@ -324,21 +337,25 @@ def pending(manifest: DataFrame, done: DataFrame, version: str, settings: str) -
     """Manifest rows not scored yet. done holds source_row_id, manifest_version, manifest_sha256 and settings of each scored row.
 
     An error if scores are of another version, of a manifest with another fingerprint, of other settings, repeated, or
-    of unknown rows; one job checks all of it.
+    of unknown rows; all of it is seen while the pending rows are saved.
     """
     sha = fingerprint(manifest).select("sha256").scalar()
-    known = manifest.select("source_row_id", F.lit(True).alias("_known"))
-    n = lambda wrong: F.coalesce(F.sum(wrong.cast("int")), F.lit(0))
-    f = done.join(known, "source_row_id", "left").withColumn("_sha", sha).agg(
-        (F.count("*") - F.countDistinct("source_row_id")).alias("repeated"),
-        n(~C("manifest_version").eqNullSafe(version)).alias("other_version"),
-        n(~C("manifest_sha256").eqNullSafe(C("_sha"))).alias("other_manifest"),
-        n(~C("settings").eqNullSafe(settings)).alias("other_settings"),
-        n(C("_known").isNull()).alias("unknown"),
-    ).first().asDict()
+    told = {"manifest_version": "_version", "manifest_sha256": "_sha", "settings": "_settings"}
+    again = F.row_number().over(Window.partitionBy("source_row_id").orderBy("source_row_id"))
+    log = done.select("source_row_id", *[C(c).alias(name) for c, name in told.items()], again.alias("_k"))
+    both = manifest.withColumn("_known", F.lit(True)).join(log, "source_row_id", "full").withColumn("_own_sha", sha)
+    scored = C("_k").isNotNull()
+    faults = {
+        "repeated": C("_k") > 1,
+        "other_version": scored & ~C("_version").eqNullSafe(version),
+        "other_manifest": scored & ~C("_sha").eqNullSafe(C("_own_sha")),
+        "other_settings": scored & ~C("_settings").eqNullSafe(settings),
+        "unknown": C("_known").isNull(),
+    }
+    out, f = observed(both, "pending", ~scored, **{k: F.count_if(F.coalesce(v, F.lit(False))) for k, v in faults.items()})
     if any(f.values()):
         raise ValueError(f"scores don't belong to this manifest: {f}")
-    return manifest.join(done.select("source_row_id"), "source_row_id", "left_anti")
+    return out.select(*manifest.columns)
 
 
 def resume_scoring(manifest: DataFrame, scorer: Callable, path: str, version: str, settings: str, *, parts: int = 8) -> DataFrame:

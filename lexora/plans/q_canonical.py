@@ -87,11 +87,14 @@ def j4(spark, d):
     return J.response_counts(study.trials(spark, d))
 
 
-@query("j5_validated_join", "SELECT (SELECT count(*) FROM (SELECT DISTINCT lang FROM documents)) AS joined, 0 AS left_repeats, (SELECT count(*) FROM (SELECT lang FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY lang HAVING count(*) > 1)) AS right_repeats, 0 AS left_only, 0 AS right_only")
+@query("j5_validated_join", """WITH a AS (SELECT lang, count(*) AS n FROM (SELECT DISTINCT lang, source FROM documents WHERE lang <> 'es') GROUP BY lang), b AS (SELECT lang, count(*) AS n FROM (SELECT DISTINCT lang, n_chars % 7 AS m FROM documents WHERE lang <> 'de') GROUP BY lang)
+SELECT (SELECT count(DISTINCT lang) FROM documents) AS joined, (SELECT count(*) FROM a WHERE n > 1) AS left_repeats, (SELECT count(*) FROM b WHERE n > 1) AS right_repeats, (SELECT count(*) FROM a ANTI JOIN b USING (lang)) AS left_only, (SELECT count(*) FROM b ANTI JOIN a USING (lang)) AS right_only""")
 def j5(spark, d):
+    """Rows of a join without faults, and the faults planted in another: repeated keys on both sides, and a language that each side lacks."""
     docs = study.documents(spark, d)
     joined = J.checked_join(docs.select("lang").distinct(), docs.groupBy("lang").agg(F.count("*").alias("n")), ["lang"])
-    faults = J.join_faults(docs.select("lang").distinct(), docs.select("lang", "source").distinct(), ["lang"])
+    sources = docs.where("lang <> 'es'").select("lang", "source").distinct()
+    faults = J.join_faults(sources, docs.where("lang <> 'de'").select("lang", C("n_chars") % 7).distinct(), ["lang"])
     return faults.crossJoin(F.broadcast(joined.agg(F.count("*").alias("joined"))))  # one row each
 
 

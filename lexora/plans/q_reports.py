@@ -273,9 +273,15 @@ def h2(spark, d):
 _H3 = _AGREE + ", g AS (SELECT unnest(['ALL', context]) AS \"group\", a, b FROM x), gr AS (SELECT *, rank() OVER (PARTITION BY \"group\" ORDER BY a) + (count(*) OVER (PARTITION BY \"group\", a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY \"group\" ORDER BY b) + (count(*) OVER (PARTITION BY \"group\", b) - 1) / 2.0 AS rb FROM g)"
 
 
-@query("h3_correlation_report", _H3 + ' SELECT "group", count(*) AS n, count(DISTINCT a) AS x_unique, count(DISTINCT b) AS y_unique, corr(a, b) AS r, corr(ra, rb) AS rho, NULL AS undefined_reason FROM gr GROUP BY "group"')
+#: Two-sided p of r with n rows: the finite series of Student's t for whole degrees of freedom.
+_P_VALUE = """CASE WHEN n < 3 OR r IS NULL THEN NULL WHEN abs(r) >= 1 THEN 0 WHEN n % 2 = 0
+THEN 1 - abs(r) * list_sum(list_transform(generate_series(0, (n - 4) // 2), lambda k: exp(k * ln(1 - r * r) + lgamma(k + 0.5) - lgamma(k + 1.0) - lgamma(0.5))))
+ELSE 1 - 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(1 - r * r) * coalesce(list_sum(list_transform(generate_series(0, (n - 5) // 2), lambda k: exp(k * ln(1 - r * r) + lgamma(k + 1.0) + lgamma(1.5) - lgamma(k + 1.5)))), 0)) END"""
+
+
+@query("h3_correlation_report", _H3 + f', told AS (SELECT "group", count(*) AS n, count(DISTINCT a) AS x_unique, count(DISTINCT b) AS y_unique, corr(a, b) AS r, corr(ra, rb) AS rho, NULL AS undefined_reason FROM gr GROUP BY "group") SELECT *, abs(round({_P_VALUE}, 9)) AS p_value FROM told')
 def h3(spark, d):
-    return A.correlation_report(_both(spark, d), "context", "a", "b").drop("p_value")
+    return A.correlation_report(_both(spark, d), "context", "a", "b").withColumn("p_value", F.abs(F.round("p_value", 9)))
 
 
 @query("h4_split_half", f"WITH h AS (SELECT *, row_number() OVER (PARTITION BY context, trigger, query ORDER BY {u_sql('context', 'trigger', 'query', 'user_id', seed='split')}, user_id) AS k, count(*) OVER (PARTITION BY context, trigger, query) AS n FROM trials) SELECT context, trigger, query, avg(neg) FILTER (WHERE k <= ceil(n / 2)) AS rate_1, avg(neg) FILTER (WHERE k > ceil(n / 2)) AS rate_2 FROM h GROUP BY ALL")

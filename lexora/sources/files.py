@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,15 +13,46 @@ from pyspark.sql import functions as F
 from lexora.functions.text import POLICIES, require
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the cluster's shared folder; one of this machine only where spark.checkpoint.dir is unset and the session is local."""
+#: Session setting that names the folder of the current run, see run_folder().
+RUN = "spark.lexora.run"
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The current run's folder, or else the cluster's shared folder; one of this machine only where spark.checkpoint.dir is unset and the session is local."""
+    if run := spark.conf.get(RUN, None):
+        return run
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-lexora-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{label}-{uuid.uuid4().hex}"
+    return base
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in scratch_dir()."""
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Tables saved within the block lie in one folder, emptied at its end, also after an error: write the result, elsewhere, before.
+
+    The folder is a setting of the session, so runs in threads of one session need a session each (spark.newSession()).
+    Blocks may be nested.
+    """
+    outer = spark.conf.get(RUN, None)
+    path = scratch_path(spark, "run")
+    spark.conf.set(RUN, path)
+    try:
+        yield path
+    finally:
+        if outer:
+            spark.conf.set(RUN, outer)
+        else:
+            spark.conf.unset(RUN)
+        spark.range(0).write.mode("overwrite").parquet(path)  # an overwrite deletes all that lies there
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:

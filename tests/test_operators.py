@@ -1,7 +1,10 @@
 """Operators on small literal tables: what is easy to get wrong."""
 
 import math
+import os
+import random
 
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -175,6 +178,46 @@ def test_p_value(spark):
     df = spark.createDataFrame([(0.5, 20), (0.3, 11), (1.0, 5), (0.2, 2)], "r double, n long").select(agreement.p_value("r", "n").alias("p"))
     p = [r.p for r in df.collect()]
     assert p[0] == pytest.approx(0.0247, abs=2e-4) and p[1] == pytest.approx(0.3701, abs=2e-4) and p[2:] == [0.0, None]
+    # By the normal distribution for very many rows: z = r * sqrt(n)
+    many = spark.createDataFrame([(1e-5, 10_000_000_000), (1.96e-4, 100_000_000), (0.0, 50), (-0.3, 11)], "r double, n long").select(agreement.p_value("r", "n").alias("p"))
+    p = [r.p for r in many.collect()]
+    assert p[0] == pytest.approx(math.erfc(1 / math.sqrt(2)), abs=1e-7) and p[1] == pytest.approx(math.erfc(1.96 / math.sqrt(2)), abs=1e-7) and p[2] == 1 and p[3] == pytest.approx(0.3701, abs=2e-4)
+
+
+def test_spearman_of_several_grouping_sets(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None, "ALL"]), rng.choice(["u", "v"]), float(rng.randint(0, 4)) if rng.random() < 0.9 else None, float(rng.randint(0, 5))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g string, h string, x double, y double").repartition(5)
+    got = {(r["set"], r["g"], r["h"]): (r["n"], r["rho"]) for r in stats.spearman_sets(df, [["h"], ["h", "g"]], "x", "y").collect()}
+
+    def want(own):
+        ranks = pd.DataFrame(own, columns=["x", "y"]).rank()
+        return len(own), pytest.approx(ranks["x"].corr(ranks["y"]))
+
+    full = [r for r in rows if r[2] is not None]
+    expected = {(0, g, h): want([r[2:] for r in full if r[:2] == (g, h)]) for g in ("a", "b", None, "ALL") for h in "uv"}
+    expected |= {(1, None, h): want([r[2:] for r in full if r[1] == h]) for h in "uv"}  # keys in order h, g: the id's low bit stands for g
+    assert got == expected
+    told = [(r.group, r.n) for r in agreement.correlation_report(df, "g", "x", "y").collect()]  # a group may be called ALL
+    assert len(told) == 5 and sorted(n for g, n in told if g == "ALL")[1] == len(full) and (None, sum(r[0] is None for r in full)) in told
+    assert agreement.correlation_report(df.limit(0), "g", "x", "y").count() == 0
+
+
+def test_run_folder_is_emptied(spark, tmp_path):
+    def held(path):
+        return [f for _, _, names in os.walk(path.removeprefix("file://")) for f in names if f.endswith(".parquet") and not f.startswith(".")]
+
+    with files.run_folder(spark) as path:
+        kept = stats.spearman(spark.range(50).selectExpr("id % 2 AS k", "id AS x", "-id AS y").selectExpr("k", "double(x) AS x", "double(y) AS y"), ["k"], "x", "y")
+        kept.write.parquet(str(tmp_path / "kept"))
+        assert len(held(path)) > 1
+        with files.run_folder(spark) as inner:
+            assert inner.startswith(path) and files.scratch_path(spark, "x").startswith(inner)
+    assert len(held(path)) <= 1 and spark.read.parquet(str(tmp_path / "kept")).count() == 2  # the overwrite's own empty file
+    with pytest.raises(ZeroDivisionError), files.run_folder(spark) as path:
+        files.saved(spark.range(10), "t")
+        1 / 0
+    assert len(held(path)) <= 1 and not files.scratch_path(spark, "x").startswith(path)
 
 
 def test_missing_trigger_drops_all_structures(spark):
@@ -217,8 +260,30 @@ def test_sources(spark, tmp_path):
 def test_checked_join_and_single_key(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1,), (1,), (2,)], "k int")
     assert canonical.checked_join(a, a, ["k"]).count() == 2
-    with pytest.raises(ValueError, match="one_to_one"):
+    with pytest.raises(ValueError, match="one_to_one.*'right_repeats': 1"):
         canonical.checked_join(a, b, ["k"])
+    with pytest.raises(ValueError, match="many_to_one.*'right_repeats': 1"):
+        canonical.checked_join(a, b, ["k"], "many_to_one")
+    with pytest.raises(ValueError, match="'right_only': 1"):
+        canonical.checked_join(a.where("k = 1"), a, ["k"])
+    with pytest.raises(ValueError, match="'left_only': 1"):
+        canonical.checked_join(b, a.where("k = 1"), ["k"], "many_to_one")
+    with pytest.raises(ValueError, match="'left_only': 1"):
+        canonical.checked_join(spark.createDataFrame([(None,), (1,)], "k int"), a, ["k"], "many_to_one")
+    many = canonical.checked_join(b.withColumn("v", F.lit(1)), a.where("k < 9").withColumn("w", F.col("k") * 2), ["k"], "many_to_one")
+    assert sorted(map(tuple, many.collect())) == [(1, 1, 2), (1, 1, 2), (2, 1, 4)]
+    assert canonical.checked_join(a.limit(0), a.limit(0), ["k"]).count() == 0
+
+
+def test_selected_scores_are_checked_as_they_are_saved(spark):
+    schema = "dataset_family string, generation_frame string, source_row_id string, trigger_logprob_sum double, query_logprob_sum double"
+    good = [("f", "no_frame", "1", -1.0, -2.0), ("f", "x_but_not_y", "2", None, -2.0), ("g", "no_frame", "1", None, None)]
+    frame = lambda *more: spark.createDataFrame([*good, *more], schema)
+    assert [r.source_row_id for r in canonical.select_scores(frame(), "f", "no_frame").collect()] == ["1"]
+    assert canonical.select_scores(frame(), "h", "no_frame").count() == 0
+    for bad, name in ((("f", "no_frame", "3", None, -2.0), "'wrong': 1"), (("f", "no_frame", "1", -1.0, -2.0), "'repeats': 1"), (("f", "no_frame", None, -1.0, -2.0), "'repeats': 1")):
+        with pytest.raises(ValueError, match=name):
+            canonical.select_scores(frame(bad), "f", "no_frame")
 
 
 def test_classification_of_nothing(spark):

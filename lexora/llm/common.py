@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexora.sources.files import run_folder, scratch_dir
+
 #: Bytes of text that one vectorised step handles at a time.
 BLOCK = 1 << 20
 
@@ -17,25 +18,23 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir. Where it is unset, a folder of this machine, which only a local session can use."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-lexora-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and return the reread table; lineage ends there."""
-    spark = df.sparkSession
+    return _written(df, f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
+
+
+def save_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """save(make(), label); whatever tables make() saved on the way go when its result is written."""
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
+    with run_folder(spark):
+        return _written(make(), path)
 
 
 def drop(*tables: DataFrame) -> None:

@@ -20,9 +20,8 @@ BLOCK = 3
 FAR = 5
 #: Fixed masks: the token positions that are hashed.
 MASKS = tuple((0, 1, 2, BLOCK * far, BLOCK * far + 1, BLOCK * far + 2) for far in range(1, FAR + 1))
-#: Tokens from which an item may have substitutions, and which it must have at all.
+#: Tokens from which an item may have substitutions.
 SPAN = 12
-SHORTEST = 5
 
 #: An overlap counts if in some WINDOW consecutive aligned tokens (the whole item if shorter) MATCH_PERCENT are equal.
 WINDOW = 20
@@ -80,10 +79,10 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str, item_
 
 
 def _short_hits(met: DataFrame, docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
-    """met, and the places of items of SHORTEST to SPAN - 1 tokens, for the lengths that there are."""
+    """met, and the last place in each document of each item of 1 to SPAN - 1 tokens, for the lengths that there are; all places of such an item are equal."""
     theirs = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), token_hashes(F.col(item_text)).alias("h"))
-    theirs = theirs.where(F.size("h").between(SHORTEST, SPAN - 1)).select("item", F.size("h").alias("n"), F.xxhash64("h").alias("run"))
-    lengths = [r["n"] for r in theirs.select("n").distinct().orderBy("n").collect()]  # SPAN - SHORTEST at most
+    theirs = theirs.where(F.size("h").between(1, SPAN - 1)).select("item", F.size("h").alias("n"), F.xxhash64("h").alias("run"))
+    lengths = [r["n"] for r in theirs.select("n").distinct().orderBy("n").collect()]  # SPAN - 1 at most
     if not lengths:
         return met
     theirs = save(theirs, "short")
@@ -93,15 +92,14 @@ def _short_hits(met: DataFrame, docs: DataFrame, items: DataFrame, id_col: str,
         return F.concat(*[at(n) for n in lengths])
 
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.explode(let(token_hashes(F.col(text_col)), runs)).alias("r")).select("doc", "r.*")
-    found = own.join(small(theirs), ["n", "run"]).select("doc", "item", F.col("at").cast("int").alias("diagonal"), F.lit(0).alias("item_at"))
+    found = own.join(small(theirs), ["n", "run"]).groupBy("doc", "item").agg(F.max("at").cast("int").alias("diagonal")).withColumn("item_at", F.lit(0))
     return met.unionByName(found)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item that overlap: doc, item, matched (equal tokens compared on the best diagonal), compared, item_tokens, doc_start (token).
 
-    Items of fewer than SPAN tokens match where all their tokens stand in a row; of fewer than SHORTEST they say too
-    little and never match. Null and empty texts on either side match nothing, nor does an empty table; rows of a null
+    Items of fewer than SPAN tokens match where all their tokens stand in a row, even an item of one token. Null and empty texts on either side match nothing, nor does an empty table; rows of a null
     id are left out; rows that repeat an id are compared each for itself and told once.
     """
     found = hits(docs, items, id_col=id_col, text_col=text_col, item_col=item_col, item_text=item_text)

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, save
 
 #: Spellings that license matching treats alike.
 SPELLINGS = (
@@ -164,8 +164,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None, notices: DataFrame | N
 
     Null, empty and wordless texts have neither. Each row is looked up for itself, so repeated rows and ids all
     stay. `known` and `notices` (license, digest) must have distinct digests. known is joined by digest, sent to all
-    executors if it has at most max_lookup rows, which is counted. notices, at most max_lookup (more are an error),
-    are one map, as the lines of a text are looked up where the text is.
+    executors if it has at most max_lookup rows, which is counted. So many notices are one map, as the lines of a text
+    are then looked up where the text is; more are joined by the lines' digests.
     """
     spark = docs.sparkSession
     known = known_digests(spark) if known is None else known
@@ -175,13 +175,20 @@ def scan(docs: DataFrame, known: DataFrame | None = None, notices: DataFrame | N
     side = F.broadcast(side) if known.count() <= max_lookup else side
     out = with_digest(docs, F.col(text_col), digest)
     out = out.join(side, out[digest] == F.col("_known"), "left").drop("_known")
-    if notices.count() > max_lookup:
-        raise ValueError(f"more than {max_lookup} notices")
-    out = out.withColumn(table, notices.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license")))).scalar())
     said = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: F.lower(x).rlike(NOTICE))
     marked = F.filter(F.transform(said, digest_of), lambda d: d.isNotNull())
-    licenses = F.filter(F.transform(marked, lambda d: F.try_element_at(F.col(table), d)), lambda x: x.isNotNull())
-    return out.withColumn(found, F.array_sort(F.array_distinct(licenses))).select(*[F.col(f"`{c}`") for c in docs.columns], digest, license_, found)
+    if notices.count() <= max_lookup:
+        out = out.withColumn(table, notices.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license")))).scalar())
+        licenses = F.filter(F.transform(marked, lambda d: F.try_element_at(F.col(table), d)), lambda x: x.isNotNull())
+        out = out.withColumn(found, F.array_sort(F.array_distinct(licenses)))
+    else:  # rows are numbered once, in the saved table, as ids may repeat or be null
+        row = fresh(docs, "row")
+        out = save(out.withColumn(row, F.monotonically_increasing_id()), "scanned")
+        lines = out.select(F.col(row).alias("_row"), F.explode(F.array_distinct(marked)).alias("_line"))
+        told = lines.join(notices.select(F.col("digest").alias("_line"), F.col("license").alias("_license")), "_line")
+        told = told.groupBy("_row").agg(F.array_sort(F.collect_set("_license")).alias("_told"))  # of one text each
+        out = out.join(told, out[row] == F.col("_row"), "left").withColumn(found, F.coalesce("_told", F.array().cast("array<string>")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], digest, license_, found)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -235,7 +235,7 @@ def overlaps_expected(docs, items):
             n = len(b)
             w = min(n, decontaminate.WINDOW)
             least = -(-decontaminate.MATCH_PERCENT * w // 100) if n >= decontaminate.SPAN else n
-            if d is None or n < decontaminate.SHORTEST:
+            if d is None or not n:
                 continue
             for diagonal in range(-n, len(a)):
                 equal = [0 <= j + diagonal < len(a) and a[j + diagonal] == b[j] for j in range(n)]
@@ -249,7 +249,7 @@ def test_decontamination_equals_brute_force(spark):
     from random import Random
 
     r = Random(11)
-    items = [(i, " ".join(prose(n, 700 + i).split())) for i, n in enumerate((3, 5, 7, 11, 12, 14, 20, 33, 60))] + [(90, None), (91, "")]
+    items = [(i, " ".join(prose(n, 700 + i).split())) for i, n in enumerate((3, 5, 7, 11, 12, 14, 20, 33, 60))] + [(90, None), (91, ""), (92, "Quux!"), (93, "quux quux"), (94, "quux")]
     docs = []
     for k in range(160):
         w = r.choice(items[:9])[1].split()
@@ -257,9 +257,11 @@ def test_decontamination_equals_brute_force(spark):
         for _ in range(r.randrange(1 + len(w) // 4)):
             w[r.randrange(len(w))] = f"other{r.randrange(99)}"
         docs.append((k % 150, f"{prose(r.randrange(30), k)} {' '.join(w)} {prose(r.randrange(30), k + 500)}"))
-    docs += [(500, prose(20_000, 9) + " " + items[7][1]), (501, None), (502, ""), (None, items[8][1])]
-    found = {(x.doc, x.item) for x in decontaminate.overlaps(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    docs += [(500, prose(20_000, 9) + " " + items[7][1]), (503, "a QUUX, and quux quux quux"), (504, "quuxes"), (501, None), (502, ""), (None, items[8][1])]
+    told = decontaminate.overlaps(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(x.doc, x.item) for x in told}
     assert found == overlaps_expected(docs, items) and len(found) > 60
+    assert {tuple(x) for x in told if x.doc == 503} == {(503, 92, 1, 1, 1, 5), (503, 93, 2, 2, 2, 4), (503, 94, 1, 1, 1, 5)}  # a short item's last place
     assert decontaminate.overlaps(spark.createDataFrame(docs[:3], SCHEMA), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
@@ -419,9 +421,9 @@ def test_licenses(spark):
     df = spark.createDataFrame([(*r, "d") for r in rows], SCHEMA + ", digest string")
     want = {hashlib.sha256(canonical_expected(t).encode()).hexdigest(): lic for t, lic in known.items()}
     few = license_scan.known_notices(spark).where("license in ('MIT', 'GPL-3.0', 'CC-BY-NC-4.0')").limit(1_000)
-    for notices in (None, few):
-        got = license_scan.scan(df, notices=notices).collect()
-        assert len(got) == len(rows) and got[0].digest == "d"
+    for notices, limit in ((None, license_scan.MAX_LOOKUP), (few, license_scan.MAX_LOOKUP), (None, 5), (few, 0)):  # by one map, and by joins
+        got = license_scan.scan(df, notices=notices, max_lookup=limit).collect()
+        assert len(got) == len(rows) and {r.digest for r in got} == {"d"} and list(got[0].asDict()) == ["doc_id", "text", "digest", "_digest", "license", "notices"]
         for r in got:
             own = canonical_expected(r.text)
             assert r._digest == (hashlib.sha256(own.encode()).hexdigest() if own else None), r.doc_id

@@ -6,11 +6,13 @@ never fails on nulls, empty or long texts, ties, repeated rows or an empty table
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexora.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from lexora.llm.common import drop, save, table
+from lexora.llm.common import drop, save_alone, table
 from lexora.llm.encoding import tokenizer_path
 
 
@@ -66,10 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again; a stage's table goes when the next is written."""
+    """All stages over documents, each written to the shared folder and read again; what a stage saved on its way goes with it, its table when the next is written."""
     docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        docs = save_alone(spark, partial(stage, spark, docs, sf_dir), name)
         drop(*before)
         before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexora.functions import stats, text
 from lexora.operators import agreement, calibrate, canonical, reports, sampling, similarity, structures, trials, vocab
+from lexora.plans import study
 from lexora.sources import files
 
 
@@ -602,3 +603,33 @@ def test_checks_while_writing_see_all_rows_and_empty_tables(spark):
     assert kept.count() == 10 and seen == {"n": 100, "low": 3}
     none, seen = files.observed(df.limit(0), "t", n=F.count("*"))
     assert none.count() == 0 and seen == {"n": 0}
+
+
+def scored_plan(spark, tmp_path):
+    """Scored trials whose 400,000 rows are a few KB on disk, and their plan."""
+    rows = spark.range(400_000).select(F.lit("c").alias("context"), F.lit("t").alias("trigger"), F.concat(F.lit("q"), (F.col("id") % 4).cast("string")).alias("query"), (F.col("id") % 2).cast("int").alias("neg"))
+    rows.repartition(1).write.parquet(str(tmp_path / "trials"))
+    seen = spark.read.parquet(str(tmp_path / "trials"))
+    pos = spark.range(4).select(F.lit("c").alias("context"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("token"), F.lit(0).alias("rep"), F.col("id").alias("position"))
+    out = structures.run_experiment(seen, pos, 1, [2], ["set"], "x")
+    return out, out._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_trials_are_never_the_broadcast_side(spark, tmp_path):
+    out, plan = scored_plan(spark, tmp_path)
+    assert "BuildLeft" not in plan
+    got = out.groupBy("query").agg(F.count("*").alias("n"), F.sum("negation_probability").alias("p")).collect()
+    assert {r["query"]: (r["n"], r["p"]) for r in got} == {f"q{i}": (100_000, 100_000.0 * (i < 2)) for i in range(4)}
+
+
+def test_many_cells_are_joined_by_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(structures, "CELLS", 3)
+    out, plan = scored_plan(spark, tmp_path)
+    assert "Broadcast" not in plan.split("Scan")[0] and out.count() == 400_000
+
+
+def test_answers_are_made_by_tasks_for_their_number(spark, tmp_path):
+    os.symlink("/root/testdata/sf0.001/documents.parquet", tmp_path / "documents.parquet")
+    spark.range(3_000).select(F.col("id").alias("user_id")).repartition(1).write.parquet(str(tmp_path / "events.parquet"))
+    made = study.trials(spark, str(tmp_path))
+    assert made.count() == 3_000 * 120 and len(made.inputFiles()) >= 7

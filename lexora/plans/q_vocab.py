@@ -36,7 +36,7 @@ want AS (SELECT DISTINCT query AS token FROM pairs UNION SELECT token FROM gbi W
 
 
 def gbi(spark, d):
-    return study.bigrams(spark, d).groupBy("token").agg(F.sum("count").alias("count"))
+    return study.bigrams(spark, d)
 
 
 def guni(spark, d):
@@ -363,11 +363,12 @@ def d15_exact(spark, d):
 
 
 def _selection(spark, d, budget, exact=True):
-    scored = d13(spark, d)
     need = study.pairs(spark, d).select("context", C("query").alias("token")).distinct()
     first = study.pairs(spark, d).select("context", C("trigger").alias("w1")).distinct()
-    family = scored.withColumn("w1", F.substring_index("token", " ", 1)).join(F.broadcast(first), "w1").select("context", "token", "score")
-    return V.select_bigrams(need, family, V.background_bigrams(scored, 50), budget, 10, exact)
+    begins = F.substring_index("token", " ", 1).alias("w1")
+    shown = gbi(spark, d).join(F.broadcast(first.select("w1").distinct()), begins == C("w1"), "left_semi")  # before scores are joined to all pairs
+    family = V.bigram_scores(shown, guni(spark, d)).withColumn("w1", begins).join(F.broadcast(first), "w1").select("context", "token", "score")
+    return V.select_bigrams(need, family, V.background_bigrams(d13(spark, d), 50), budget, 10, exact)
 
 
 @query("d16_vocab_union", "SELECT token, max(n) AS count, row_number() OVER (ORDER BY token) AS line FROM counts GROUP BY token")

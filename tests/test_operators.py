@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexora.functions import stats, text
 from lexora.operators import agreement, calibrate, canonical, reports, sampling, similarity, structures, trials, vocab
-from lexora.plans import study
+from lexora.plans import q_vocab, study
 from lexora.sources import files
 
 
@@ -633,3 +633,26 @@ def test_answers_are_made_by_tasks_for_their_number(spark, tmp_path):
     spark.range(3_000).select(F.col("id").alias("user_id")).repartition(1).write.parquet(str(tmp_path / "events.parquet"))
     made = study.trials(spark, str(tmp_path))
     assert made.count() == 3_000 * 120 and len(made.inputFiles()) >= 7
+
+
+TEXTS = ["The cat, the CAT", "?the cat", "the cat1", "12", "", None, "cat", "été a"]
+
+
+def texts_at(spark, tmp_path):
+    """documents of TEXTS below tmp_path."""
+    rows = [(i, t, "en", "src1") for i, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_words_and_pairs_of_odd_texts(spark, tmp_path):
+    d = texts_at(spark, tmp_path)
+    assert {r["token"]: r["n"] for r in study.unigrams(spark, d).collect()} == {"the": 4, "cat": 5, "t": 1, "a": 1}
+    assert {r["token"]: r["count"] for r in study.bigrams(spark, d).collect()} == {"the cat": 4, "cat the": 1, "t a": 1}
+
+
+def test_pairs_cut_a_text_once_and_are_shuffled_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(study, "saved", lambda df, label: df)
+    d = texts_at(spark, tmp_path)
+    plan = q_vocab.gbi(spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(text") == 1 and plan.count("Exchange") == 1

@@ -56,14 +56,25 @@ def a3(spark, d):
     return files.scan_ngrams(spark, _shards(spark, d), n=1)
 
 
-def _shards(spark, d):
-    """gzip shards by prefix of lines token, year (of the source), match_count, volume_count, with some broken lines."""
+def _lines(spark, d):
+    """Lines token, year (of the source), match_count, volume_count by prefix, with some broken ones.
+
+    A row is one document, so its distinct words are found in its array and both counts are sums: no document is shuffled.
+    """
     year = F.regexp_extract("source", "([0-9]+)", 1).cast("int") + 1900
-    per = study.words(spark, d).where("length(token) >= 3").groupBy("token", year.alias("year")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("v"))
-    good = per.select(files.shard_prefix(C("token")).alias("prefix2"), F.concat_ws("\t", F.initcap("token"), "year", "n", "v").alias("value"))
-    broken = per.select(files.shard_prefix(C("token")).alias("prefix2"), F.when(C("n") % 2 == 0, F.concat("token", F.lit("\t1900"))).otherwise(F.concat("token", F.lit("_X\t1900\tmany\t1"))).alias("value"))
+    docs = study.documents(spark, d).select("doc_id", year.alias("year"), study.pieces().alias("w"))
+    both = docs.select("doc_id", "year", F.posexplode(F.array("w", F.array_distinct("w"))).alias("kind", "w"))
+    each = both.select("doc_id", "year", "kind", F.explode("w").alias("token")).where("length(token) >= 3")
+    per = each.groupBy("token", "year").agg(F.count_if(C("kind") == 0).alias("n"), F.count_if((C("kind") == 1) & C("doc_id").isNotNull()).alias("v"))
+    good = F.concat_ws("\t", F.initcap("token"), "year", "n", "v")
+    broken = F.when(C("n") % 2 == 0, F.concat("token", F.lit("\t1900"))).otherwise(F.concat("token", F.lit("_X\t1900\tmany\t1")))
+    return per.select(files.shard_prefix(C("token")).alias("prefix2"), F.explode(F.array(good, broken)).alias("value"))  # both lines of a count, which is made once
+
+
+def _shards(spark, d):
+    """gzip shards by prefix of _lines()."""
     path = files.scratch_path(spark, "ngrams")
-    good.unionByName(broken).repartition("prefix2").write.partitionBy("prefix2").option("compression", "gzip").text(path)
+    _lines(spark, d).repartition("prefix2").write.partitionBy("prefix2").option("compression", "gzip").text(path)
     return path
 
 

@@ -656,3 +656,10 @@ def test_pairs_cut_a_text_once_and_are_shuffled_once(spark, tmp_path, monkeypatc
     d = texts_at(spark, tmp_path)
     plan = q_vocab.gbi(spark, d)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lower(text") == 1 and plan.count("Exchange") == 1
+
+
+def test_shard_lines_are_counted_once(spark, tmp_path):
+    lines = q_vocab._lines(spark, texts_at(spark, tmp_path))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    assert sorted(tuple(r) for r in lines.collect()) == [("ca", "Cat\t1901\t5\t4"), ("ca", "cat_X\t1900\tmany\t1"), ("th", "The\t1901\t4\t3"), ("th", "the\t1900")]

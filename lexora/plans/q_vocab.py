@@ -345,7 +345,7 @@ def d12(spark, d):
 
 @query("d13_bigram_scores", _GRAMS + " SELECT g.token, g.count, g.count / u.count::DOUBLE AS score FROM gbi g JOIN guni u ON u.token = split_part(g.token, ' ', 1)")
 def d13(spark, d):
-    return V.bigram_scores(gbi(spark, d), guni(spark, d))
+    return V.bigram_scores(gbi(spark, d), study.first_words(spark, d))
 
 
 _BACK = _GRAMS + """, sc AS (SELECT g.token, g.count, g.count / u.count::DOUBLE AS score FROM gbi g JOIN guni u ON u.token = split_part(g.token, ' ', 1)),
@@ -379,7 +379,8 @@ def _selection(spark, d, budget, exact=True):
     begins = F.substring_index("token", " ", 1).alias("w1")
     shown = gbi(spark, d).join(F.broadcast(first.select("w1").distinct()), begins == C("w1"), "left_semi")  # before scores are joined to all pairs
     family = V.bigram_scores(shown, guni(spark, d)).withColumn("w1", begins).join(F.broadcast(first), "w1").select("context", "token", "score")
-    return V.select_bigrams(need, family, V.background_bigrams(d13(spark, d), 50), budget, 10, exact)
+    scored = V.bigram_scores(gbi(spark, d), guni(spark, d))
+    return V.select_bigrams(need, family, V.background_bigrams(scored, 50), budget, 10, exact)
 
 
 @query("d16_vocab_union", "SELECT token, max(n) AS count, row_number() OVER (ORDER BY token) AS line FROM counts GROUP BY token")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from lexora import registry
 from lexora.functions import stats, text
 from lexora.operators import agreement, calibrate, canonical, reports, sampling, similarity, structures, trials, vocab
 from lexora.plans import q_vocab, study
@@ -658,6 +659,15 @@ def test_pairs_cut_a_text_once_and_are_shuffled_once(spark, tmp_path, monkeypatc
     assert plan.count("lower(text") == 1 and plan.count("Exchange") == 1
 
 
+@pytest.mark.parametrize("name", ["d13_bigram_scores", "d14_background_bigrams", "p1_corpus_bigram_scorer"])
+def test_scored_pairs_read_the_documents_once(spark, tmp_path, monkeypatch, name):
+    d, read, documents = texts_at(spark, tmp_path), [], study.documents
+    monkeypatch.setattr(study, "documents", lambda *a: read.append(a) or documents(*a))
+    got = {r["token"]: r["score" if "score" in r else "logprob"] for r in registry.queries()[name](spark, d).collect()}
+    want = {"the cat": 1.0, "cat the": 0.2, "t a": 1.0}
+    assert len(read) == 1 and got == pytest.approx({k: math.log(v) for k, v in want.items()} if name[0] == "p" else want)
+
+
 def test_shard_lines_are_counted_once(spark, tmp_path):
     lines = q_vocab._lines(spark, texts_at(spark, tmp_path))
     plan = lines._jdf.queryExecution().executedPlan().toString()

@@ -256,7 +256,8 @@ _AGREE = "WITH x AS (SELECT m.source, m.context, m.token, m.n::DOUBLE AS a, d.n:
 
 
 def _both(spark, d):
-    own = study.dist(spark, d).select("context", "token", C("n").cast("double").alias("b"))
+    """Words' counts by source and over all; joined by key, as Spark would broadcast the saved counts for their few bytes on disk."""
+    own = study.dist(spark, d).select("context", "token", C("n").cast("double").alias("b")).hint("merge")
     return study.model_counts(spark, d).select("source", "context", "token", C("n").cast("double").alias("a")).join(own, ["context", "token"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexora import registry
 from lexora.functions import stats, text
 from lexora.operators import agreement, calibrate, canonical, reports, sampling, similarity, structures, trials, vocab
-from lexora.plans import q_vocab, study
+from lexora.plans import q_reports, q_vocab, study
 from lexora.sources import files
 
 
@@ -629,6 +629,10 @@ def test_many_cells_are_joined_by_key(spark, tmp_path, monkeypatch):
     assert "Broadcast" not in plan.split("Scan")[0] and out.count() == 400_000
 
 
+def test_word_counts_are_joined_by_key(spark):
+    assert "Broadcast" not in q_reports._both(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_answers_are_made_by_tasks_for_their_number(spark, tmp_path):
     os.symlink("/root/testdata/sf0.001/documents.parquet", tmp_path / "documents.parquet")
     spark.range(3_000).select(F.col("id").alias("user_id")).repartition(1).write.parquet(str(tmp_path / "events.parquet"))

@@ -623,6 +623,34 @@ def test_trials_are_never_the_broadcast_side(spark, tmp_path):
     assert {r["query"]: (r["n"], r["p"]) for r in got} == {f"q{i}": (100_000, 100_000.0 * (i < 2)) for i in range(4)}
 
 
+def below(lines, i):
+    """The lines of a printed plan that belong to the tree below line i."""
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    end = next((k for k in range(i + 1, len(lines)) if depth(lines[k]) <= depth(lines[i])), len(lines))
+    return range(i + 1, end)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "f15_counterfactual",
+    ],
+)
+def test_no_query_broadcasts_answers(spark, name):
+    """Answers go to every task only once they are summed up: each scan of the saved trials below a broadcast has an aggregate between."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        lines = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert any("/trials-" in line for line in lines)
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            tree = below(lines, i)
+            summed = {k for a in tree if "Aggregate" in lines[a] for k in below(lines, a)}
+            assert not [lines[k] for k in tree if "/trials-" in lines[k] and k not in summed]
+
+
 def test_many_cells_are_joined_by_key(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(structures, "CELLS", 3)
     out, plan = scored_plan(spark, tmp_path)

@@ -634,6 +634,7 @@ def below(lines, i):
     "name",
     [
         "f15_counterfactual",
+        "f25_ll_totals",
     ],
 )
 def test_no_query_broadcasts_answers(spark, name):

@@ -636,6 +636,7 @@ def below(lines, i):
         "f15_counterfactual",
         "f25_ll_totals",
         "f6_log_likelihood",
+        "i16_region_means",
     ],
 )
 def test_no_query_broadcasts_answers(spark, name):

@@ -637,6 +637,7 @@ def below(lines, i):
         "f25_ll_totals",
         "f6_log_likelihood",
         "i16_region_means",
+        "i16_region_summary",
     ],
 )
 def test_no_query_broadcasts_answers(spark, name):

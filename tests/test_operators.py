@@ -638,6 +638,7 @@ def below(lines, i):
         "f6_log_likelihood",
         "i16_region_means",
         "i16_region_summary",
+        "i17_context_spread",
     ],
 )
 def test_no_query_broadcasts_answers(spark, name):

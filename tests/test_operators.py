@@ -639,6 +639,7 @@ def below(lines, i):
         "i16_region_means",
         "i16_region_summary",
         "i17_context_spread",
+        "i1_ll_by_context",
     ],
 )
 def test_no_query_broadcasts_answers(spark, name):

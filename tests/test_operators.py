@@ -640,6 +640,7 @@ def below(lines, i):
         "i16_region_summary",
         "i17_context_spread",
         "i1_ll_by_context",
+        "i20_diagnostics",
     ],
 )
 def test_no_query_broadcasts_answers(spark, name):

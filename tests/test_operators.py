@@ -641,6 +641,7 @@ def below(lines, i):
         "i17_context_spread",
         "i1_ll_by_context",
         "i20_diagnostics",
+        "i2_ll_rollup",
     ],
 )
 def test_no_query_broadcasts_answers(spark, name):

@@ -642,6 +642,7 @@ def below(lines, i):
         "i1_ll_by_context",
         "i20_diagnostics",
         "i2_ll_rollup",
+        "i5_rate_points",
     ],
 )
 def test_no_query_broadcasts_answers(spark, name):

@@ -643,6 +643,7 @@ def below(lines, i):
         "i20_diagnostics",
         "i2_ll_rollup",
         "i5_rate_points",
+        "i6_rate_correlations",
     ],
 )
 def test_no_query_broadcasts_answers(spark, name):

@@ -644,6 +644,7 @@ def below(lines, i):
         "i2_ll_rollup",
         "i5_rate_points",
         "i6_rate_correlations",
+        "i7_human_cells",
     ],
 )
 def test_no_query_broadcasts_answers(spark, name):

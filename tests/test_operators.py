@@ -645,6 +645,7 @@ def below(lines, i):
         "i5_rate_points",
         "i6_rate_correlations",
         "i7_human_cells",
+        "i15_mean_se",
     ],
 )
 def test_no_query_broadcasts_answers(spark, name):

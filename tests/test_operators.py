@@ -646,6 +646,7 @@ def below(lines, i):
         "i6_rate_correlations",
         "i7_human_cells",
         "i15_mean_se",
+        "i21_likelihoods_long",
     ],
 )
 def test_no_query_broadcasts_answers(spark, name):

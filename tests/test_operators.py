@@ -647,6 +647,7 @@ def below(lines, i):
         "i7_human_cells",
         "i15_mean_se",
         "i21_likelihoods_long",
+        "i4_model_rates",
     ],
 )
 def test_no_query_broadcasts_answers(spark, name):

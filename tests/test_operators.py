@@ -682,6 +682,14 @@ def test_answers_are_made_by_tasks_for_their_number(spark, tmp_path):
     assert made.count() == 3_000 * 120 and len(made.inputFiles()) >= 7
 
 
+def test_a_task_of_the_sink_reads_few_files_of_answers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(study, "ANSWERS", 2_000)
+    os.symlink("/root/testdata/sf0.001/documents.parquet", tmp_path / "documents.parquet")
+    spark.range(3_000).select(F.col("id").alias("user_id")).repartition(1).write.parquet(str(tmp_path / "events.parquet"))
+    sizes = [r["count"] for r in study.trials(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3_000 * 120 and max(sizes) <= 32 * 2_000 * 1.5  # hashed users: the largest files, which one task reads, hold more than the mean
+
+
 TEXTS = ["The cat, the CAT", "?the cat", "the cat1", "12", "", None, "cat", "été a"]
 
 

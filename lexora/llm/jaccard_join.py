@@ -1,24 +1,27 @@
 """N-gram Jaccard join: documents link when their shingle sets are alike, found by prefix-tree joins.
 
-Sets are put in one global order, rare shingles first. Two sets that are alike enough share one of their first
-elements (the prefix), so only documents that share a prefix element can link; documents so connected form a
-cluster. In a cluster the ordered sets are stored in a prefix tree; each set walks it, sharing the overlap of
-common beginnings, and leaves a subtree as soon as what remains on either side cannot reach the needed overlap.
-
-Equal sets are one class from the start. A cluster above one task's size is first held against one of its members
-(the pivot): what links to it is connected. Jaccard distance is a metric, so members further from the pivot than two
-link distances can't link to what is connected; all others are compared block by block, one tree for a block. No
-set, link or count passes through the driver but counts of rows.
+Sets are cut into parts by ranges of their hashes. Two sets that are alike enough differ in fewer elements than they
+have parts, so some parts are equal, and only documents with an equal part can link; documents so connected form a
+cluster. In a cluster the sets are put in one order, rare shingles first, and stored in a prefix tree; each set walks
+it, sharing the overlap of common beginnings, and leaves a subtree as soon as what remains on either side cannot
+reach the needed overlap.
+
+Equal sets are one class from the start. A cluster above one task's size is cut once more: sets that are alike enough
+also share one of the first elements (the prefix) of that order. What is still too large is first held against one of
+its members (the pivot): what links to it is connected. Jaccard distance is a metric, so members further from the
+pivot than two link distances can't link to what is connected; all others are compared block by block, one tree for a
+block. No set, link or count passes through the driver but counts of rows.
 """
 
 from __future__ import annotations
 
 import sys
 from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunk_words, chunks, drop, fresh, gram_hashes, save, scramble, signed
@@ -37,6 +40,8 @@ WALKERS = 2_000
 #: Rounds in which clusters above that are held against a pivot.
 ROUNDS = 3
 BROADCAST_ROWS = 500_000
+#: Bits of the table of documents in clusters, so that few texts of others are shuffled: 2^18 rows at whatever size.
+TABLE_BITS = 1 << 24
 
 
 def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -63,6 +68,42 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def most_apart(total: int, percent: int = PERCENT) -> int:
+    """Most elements that one of two linked sets has and the other lacks, if they have `total` elements together or fewer."""
+    return max(0, *(t - 2 * needed(t, 0, percent) for t in (total - 1, total)))  # grows from every second total to the next
+
+
+@lru_cache(256)
+def _cuts(bits: int, percent: int) -> np.ndarray:
+    """Hashes at which the parts of sets below 2^bits elements begin, but the first: more parts than linked sets can differ in."""
+    apart = most_apart(2 * (2**bits - 1), percent)
+    parts = apart + 2 + apart // 16
+    return np.array([(i << BITS) // parts for i in range(1, parts)], np.uint64)
+
+
+def part_hashes(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Hashes (BITS bits) of a set's parts; linked sets that differ have one in common.
+
+    The larger set's size, as a power of two, says how many parts there are, so a set that may link to one of the next
+    power is cut in both ways. Of p parts at most d differ if d elements do. The p - d or more equal ones can't all be
+    among the last p - d - 1 of a set in an order that all sets have in common, large parts first, so these last ones
+    are left out.
+    """
+    n = len(s)
+    bits, partner = n.bit_length(), n * 100 // percent
+    total, out = np.concatenate((np.zeros(1, np.uint64), np.cumsum(scramble(s)))), []
+    for b, largest in ((bits, min(partner, 2**bits - 1)), (bits + 1, partner)):
+        apart = most_apart(n + largest, percent)
+        if not apart or b > bits and not largest >> bits:  # none differ, or no partner has so many elements
+            continue
+        cuts = _cuts(b, percent)
+        at = np.concatenate((np.zeros(1, np.int64), np.searchsorted(s, cuts), np.full(1, n)))
+        place = np.arange(len(cuts) + 1, dtype=np.uint64) + np.uint64(b << 40)
+        h = scramble(total[at[1:]] - total[at[:-1]] + scramble(place)) >> np.uint64(64 - BITS)
+        out.append(h[np.lexsort((h, at[:-1] - at[1:]))[: apart + 1]])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def counted_below(percent: int) -> int:
     """Hashes below this are counted and come first in the order: somewhat more of a set than its prefix."""
     return int(min(1.0, 0.016 * (100 - percent)) * (1 << BITS))
@@ -211,24 +252,48 @@ class Block:
 
 # ---------------------------------------------------------------- Spark stages
 
-_HEADS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("counted", pa.int64()), ("low", pa.list_(pa.int64()))])
+_HEADS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("parts", pa.list_(pa.int64()))])
 
 
 def _heads(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Saved table of every row's set size, signature, number of counted elements, and these with what its prefix may need beyond them."""
-    limit = np.uint64(counted_below(percent))
+    """Saved table of every row's set size and signature, and its parts' hashes; of equal sets that come together, the smallest document has these."""
 
     def heads(batches):
+        none = np.zeros(0, np.int64)
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), {f.name: [] for f in _HEADS}
+            ids, out, first = batch.column(0).to_pylist(), {f.name: [] for f in _HEADS}, {}
             for i, s in _sets(batch.column(1).to_pylist(), size):
-                n, mixed, counted = len(s), scramble(s), int(np.searchsorted(s, limit))
-                row = (ids[i], n, int(signed(mixed.sum(keepdims=True))[0]), int(signed(scramble(mixed + np.uint64(n)).sum(keepdims=True))[0]), counted, signed(s[: max(counted, prefix_length(n, percent))]))
-                for name, value in zip(out, row):
+                n, mixed, parts = len(s), scramble(s), none
+                sig = int(signed(mixed.sum(keepdims=True))[0]), int(signed(scramble(mixed + np.uint64(n)).sum(keepdims=True))[0])
+                if ids[i] is not None and n:
+                    if (old := first.get(sig)) is None:
+                        parts = signed(part_hashes(s, percent))
+                    elif ids[i] < ids[old]:
+                        parts, out["parts"][old] = out["parts"][old], none
+                    if old is None or ids[i] < ids[old]:
+                        first[sig] = i
+                for name, value in zip(out, (ids[i], n, *sig, parts)):
                     out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=_HEADS)
 
-    return save(docs.select("doc", "text").mapInArrow(heads, "doc long, n long, sig1 long, sig2 long, counted long, low array<long>"), "heads")
+    return save(docs.select("doc", "text").mapInArrow(heads, "doc long, n long, sig1 long, sig2 long, parts array<long>"), "heads")
+
+
+def _candidates(heads: DataFrame) -> DataFrame:
+    """Saved table (node, component): documents connected by equal parts."""
+    rows = heads.select("doc", F.explode("parts").alias("part")).withColumn("b", F.min("doc").over(Window.partitionBy("part")))
+    return components(rows.where("doc <> b").select(F.col("doc").alias("a"), "b"))
+
+
+def _clustered(heads: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Saved table (doc, cluster, blocks): the first documents of the classes of every cluster with more than one set."""
+    first = classes.select(F.col("class").alias("doc")).distinct().join(found.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
+    first = save(first, "first")
+    sets = heads.where("n > 0").join(first, "doc").select("cluster", "doc", "n")
+    sizes = sets.groupBy("cluster").agg(_n_blocks().alias("blocks"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
+    out = save(first.join(sizes, "cluster").select("doc", "cluster", "blocks"), "clustered")
+    drop(first)
+    return out
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -236,55 +301,66 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _prefixes(heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Saved table (doc, s): of each class's first document, the elements of its prefix that another class has too.
+def _prefixes(members: DataFrame, percent: int) -> DataFrame:
+    """Saved table (cluster, doc, s): of each set, the elements of its prefix that another set of its cluster has too.
 
-    The order: counted elements by their number of classes, then all others by hash. Elements of one class alone
+    The order: counted elements by their number of sets, then all others by hash. Elements of one set alone
     take their places at the front of the prefix, but match nothing.
     """
     limit = counted_below(percent)
-    first = classes.select(F.col("class").alias("doc"), "sig1", "sig2")
-    sets = heads.where("n > 0").join(small(first), ["doc", "sig1", "sig2"]).dropDuplicates(["sig1", "sig2"])
-    sets = save(sets.select("doc", F.xxhash64("doc", "sig1", "sig2").alias("set"), "n", "counted", "low"), "sets")
-    rows = sets.select("set", F.explode("low").alias("s"))
-    repeated = save(rows.groupBy("s").agg(F.count("*").alias("f")).where("f > 1"), "repeated")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    sets = members.select("cluster", "doc", F.xxhash64("doc", "keys").alias("set"), "n", "keys", F.size(F.filter("keys", lambda x: x < limit)).alias("counted"))
+    sets = save(sets.select("cluster", "doc", "set", "n", "counted", F.slice("keys", F.lit(1), F.greatest(F.col("counted"), length).cast("int")).alias("low")), "sets")
+    rows = sets.select("cluster", "set", F.explode("low").alias("s"))
+    repeated = save(rows.groupBy("cluster", "s").agg(F.count("*").alias("f")).where("f > 1"), "repeated")
     # Merged at every size, so that work and disk grow in proportion, and Spark can split what a common shingle makes large
-    hits = rows.join(repeated.hint("merge"), "s").select("set", F.struct((F.col("s") >= limit).alias("later"), F.when(F.col("s") < limit, F.col("f")).otherwise(0).alias("f"), "s").alias("e"))
-    lists = hits.groupBy("set").agg(F.array_sort(F.collect_list("e")).alias("e"))  # no longer than one document's elements
+    hits = rows.join(repeated.hint("merge"), ["cluster", "s"]).select("set", F.struct((F.col("s") >= limit).alias("later"), F.when(F.col("s") < limit, F.col("f")).otherwise(0).alias("f"), "s").alias("e"))
+    lists = hits.groupBy("set").agg(F.array_sort(F.collect_set("e")).alias("e"))  # no longer than one document's elements
     alone = F.col("counted") - F.size(F.filter("e", lambda x: ~x["later"]))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     taken = F.greatest(F.lit(0), length - alone).cast("int")
-    out = save(sets.select("doc", "set", "n", "counted").join(lists, "set").select("doc", F.explode(F.slice("e", F.lit(1), taken)).alias("e")).select("doc", "e.s"), "prefixes")
+    out = save(sets.select("cluster", "doc", "set", "n", "counted").join(lists, "set").select("cluster", "doc", F.explode(F.slice("e", F.lit(1), taken)).alias("e")).select("cluster", "doc", "e.s"), "prefixes")
     drop(sets, repeated)
     return out
 
 
-def _clusters(prefixes: DataFrame) -> DataFrame:
-    """Saved table (node, component): documents connected by shared prefix elements."""
-    shared = save(prefixes.groupBy("s").agg(F.min("doc").alias("b"), F.max("doc").alias("last")).where("b < last").select("s", "b"), "shared")
-    out = components(prefixes.join(small(shared), "s").where("doc <> b").select(F.col("doc").alias("a"), "b"))
-    drop(shared)
-    return out
+def _parted(members: DataFrame, percent: int) -> DataFrame:
+    """Saved table: members of large clusters by clusters of their own, connected by shared prefix elements, and each one's blocks."""
+    prefixes = _prefixes(members, percent)
+    shared = save(prefixes.groupBy("cluster", "s").agg(F.min("doc").alias("b"), F.max("doc").alias("last")).where("b < last").select("cluster", "s", "b"), "shared")
+    found = components(prefixes.join(small(shared), ["cluster", "s"]).where("doc <> b").select(F.col("doc").alias("a"), "b"))
+    drop(prefixes, shared)
+    apart = save(members.drop("cluster").join(small(found.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))), "doc"), "parted")
+    return apart.join(small(save(_blocks(apart), "blocks")), "cluster")
 
 
-_MEMBERS = pa.schema([("cluster", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_MEMBERS = pa.schema([("cluster", pa.int64()), ("blocks", pa.int32()), ("doc", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
-def _members(docs: DataFrame, clusters: DataFrame, size: int) -> DataFrame:
-    """Saved table (cluster, doc, n, keys) of the sets of all clustered documents, each distinct set of a document once."""
+def _members(docs: DataFrame, clustered: DataFrame, size: int) -> DataFrame:
+    """Saved table (cluster, blocks, doc, n, keys) of the sets of all clustered documents.
+
+    Few texts of other documents reach the join: a table of bits, as large whatever the input, tells most of them.
+    """
 
     def members(batches):
         for batch in batches:
-            ids, of = (batch.column(i).to_pylist() for i in (0, 2))
+            own = [batch.column(i).to_pylist() for i in (0, 1, 2)]
             out = {f.name: [] for f in _MEMBERS}
-            for i, s in _sets(batch.column(1).to_pylist(), size):
+            for i, s in _sets(batch.column(3).to_pylist(), size):
                 if len(s):
-                    for name, value in zip(out, (of[i], ids[i], len(s), signed(s))):
+                    for name, value in zip(out, (*(x[i] for x in own), len(s), signed(s))):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=_MEMBERS)
 
-    of = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
-    return save(docs.join(small(of), "doc").select("doc", "text", "cluster").mapInArrow(members, "cluster long, doc long, n long, keys array<long>"), "members")
+    at = F.xxhash64("doc").bitwiseAND(F.lit(TABLE_BITS - 1))
+    word, bit = F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit")
+    bits = save(clustered.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")), "bits")
+    some = docs.select("doc", "text", word, bit).join(F.broadcast(bits), "word").where(F.col("bit").bitwiseAND(F.col("bits")) != 0)
+    # Merged at every size, so that what is shuffled grows in proportion
+    texts = some.select("doc", "text").join(clustered.hint("merge"), "doc").select("cluster", "blocks", "doc", "text")
+    out = save(texts.mapInArrow(members, "cluster long, blocks int, doc long, n long, keys array<long>"), "members")
+    drop(bits)
+    return out
 
 
 def _pairs(rows) -> pa.RecordBatch:
@@ -337,9 +413,14 @@ def _across(jobs: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("cluster", "part").sortWithinPartitions("cluster", "part", "walks", F.col("near").isNull(), "doc").mapInArrow(linked, "a long, b long")
 
 
+def _n_blocks() -> Column:
+    """How many blocks the sets of a group make."""
+    return F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
+
+
 def _blocks(members: DataFrame) -> DataFrame:
-    """(cluster, blocks): how many blocks a cluster's sets make."""
-    return members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"))
+    """(cluster, blocks)"""
+    return members.groupBy("cluster").agg(_n_blocks().alias("blocks"))
 
 
 def _own_block(blocks: str) -> Column:
@@ -408,23 +489,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     full = _heads(own, size, percent)
     heads = save(full.select("doc", "n", "sig1", "sig2"), "slim")
     classes = save(heads.where("n > 0 and doc is not null").groupBy("sig1", "sig2").agg(F.min("doc").alias("class")), "classes")
-    prefixes = _prefixes(full, classes, percent)
+    clusters = _candidates(full)
     drop(full)
-    clusters = _clusters(prefixes)
-    members = _members(own.where("doc is not null"), clusters, size)
-    sized = members.join(small(save(_blocks(members), "blocks")), "cluster")
-    within, links = sized.where("blocks = 1").drop("blocks"), []
-    large = save(sized.where("blocks > 1").drop("blocks"), "large")
+    clustered = _clustered(heads, classes, clusters)
+    members = _members(own.where("doc is not null"), clustered, size)
+    within, links = members.where("blocks = 1").drop("blocks"), []
+    large = save(members.where("blocks > 1").drop("blocks"), "large")
     if large.limit(1).count():
-        links, left = _large(large, percent)
-        within = within.unionByName(left.select(*within.columns))
+        parted = _parted(large, percent)
+        within = within.unionByName(parted.where("blocks = 1").select(*within.columns))
+        rest = save(parted.where("blocks > 1").select(*within.columns), "rest")
+        if rest.limit(1).count():
+            links, left = _large(rest, percent)
+            within = within.unionByName(left.select(*within.columns))
     # a document is in more than one class if its id is repeated; it links them
     same = save(heads.where("n > 0 and doc is not null").join(classes, ["sig1", "sig2"]).select("doc", "class"), "same")
     links.append(same.groupBy("doc").agg(F.max("class").alias("a"), F.min("class").alias("b"), F.collect_set("class").alias("all")).where("a <> b").select(F.explode("all").alias("a"), "b"))
     found = components(_union([_within(within, percent), *links])).withColumnRenamed("node", "class")
     placed = same.join(found, "class", "left").select("doc", F.coalesce("component", "class").alias("component"))
     placed = placed.groupBy("doc").agg(F.min("component").alias("component"))
-    drop(prefixes, members, large)
+    drop(clusters, clustered, members, large)
     return heads.select("doc", "n").join(placed, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 

@@ -210,3 +210,54 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(20, 40)] + [(5, 3), (3, 9), (9, 9), (50, 40)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 20 for i in range(20, 41)}, 3: 3, 5: 3, 9: 3, 50: 20}
+
+
+@pytest.mark.parametrize("percent", [51, 80, 85, 99])
+def test_linked_sets_share_a_part(percent):
+    """Sets of all sizes, as different as a link allows, in either direction."""
+    r = np.random.default_rng(percent)
+    for n in [*range(1, 140), 255, 256, 300, 1023, 1500]:
+        for m in {n, n + 1, min(n + n // 20, n * 100 // percent), n * 100 // percent}:
+            o = jaccard_join.needed(n, m, percent)
+            if o <= n:  # else no sets of these sizes link
+                x = r.choice(1 << jaccard_join.BITS, n + m - o, replace=False).astype(np.uint64) if n < 300 else np.unique(r.integers(0, 1 << jaccard_join.BITS, n + m - o).astype(np.uint64))
+                r.shuffle(x)
+                a, b = np.sort(x[:n]), np.sort(x[n - o :])
+                shared = set(jaccard_join.part_hashes(a, percent).tolist()) & set(jaccard_join.part_hashes(b, percent).tolist())
+                assert shared or (a.tolist() == b.tolist()), (n, m)
+
+
+def passages(k, common):
+    """k texts with a few words of their own and some of 20 common lines; every tenth has a near copy."""
+    lines = [prose(7, 7000 + i) for i in range(20)]
+    rows = [(i, " ".join([prose(12, 8000 + i).replace(" ", f"{i} "), *(lines[(i * 7 + j * (1 + i % 5)) % 20] for j in range(common))])) for i in range(k)]
+    return rows + [(k + i, f"{rows[i][1]} end") for i in range(0, k, 10)]
+
+
+def test_jaccard_shared_passages_make_no_large_cluster(spark, monkeypatch):
+    """Short texts with common lines are not compared with all others that have some: what tasks get grows as the texts do."""
+    got, within, across = [], jaccard_join._within, jaccard_join._across
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(jaccard_join, "_within", lambda df, *a: got.append(df.count()) or within(df, *a))
+    monkeypatch.setattr(jaccard_join, "_across", lambda df, *a: got.append(df.count()) or across(df, *a))
+    for k in (150, 600):
+        docs = passages(k, 2)
+        want = components_expected(sets_of(docs))
+        got.clear()
+        assert {r.doc_id: r.component_id for r in jaccard_join.digest(spark.createDataFrame(docs, SCHEMA).repartition(4)).collect()} == want
+        assert sum(d != c for d, c in want.items()) >= k // 12
+        assert sum(got) <= len(docs), (k, got)
+
+
+def test_jaccard_large_cluster_is_cut_by_prefixes(spark, monkeypatch):
+    """Texts with a common quarter have equal parts, but rare shingles of their own: few are compared with others."""
+    base = prose(90, 71)
+    docs = [(i, f"{base} {' '.join(f'own{i}x{j}' for j in range(240))}") for i in range(200)] + [(300, f"{base} {' '.join(f'own7x{j}' for j in range(241))}")]
+    seen, got, parted, across = [], [], jaccard_join._parted, jaccard_join._across
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 10)
+    monkeypatch.setattr(jaccard_join, "_parted", lambda df, *a: seen.append(df.count()) or parted(df, *a))
+    monkeypatch.setattr(jaccard_join, "_across", lambda df, *a: got.append(df.count()) or across(df, *a))
+    found = {r.doc_id: r.component_id for r in jaccard_join.digest(spark.createDataFrame(docs, SCHEMA).repartition(4)).collect()}
+    assert found == {**{i: i for i in range(200)}, 300: 7}
+    assert sum(seen) > 40
+    assert sum(got) <= 20
